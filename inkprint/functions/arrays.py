@@ -15,15 +15,18 @@ def row_lengths(rows: Column) -> Column:
 
 
 def unflatten(values: Column, lens: Column) -> Column:
-    """Cut a flat array back into rows of the given lengths."""
+    """Cut a flat array back into rows of the given lengths. Every value is visited once: `slice` would copy the
+    whole flat array again for each row."""
+    offsets = F.aggregate(lens, F.array(F.lit(0)),
+                          lambda acc, n: F.concat(acc, F.array((F.element_at(acc, -1) + n).cast("int"))))
     empty = F.array().cast("array<int>")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("rows"))
 
-    def step(acc: Column, n: Column) -> Column:
-        row = F.when(n > 0, F.slice(values, acc["at"] + 1, n)).otherwise(empty).cast("array<int>")
-        return F.struct((acc["at"] + n).cast("int").alias("at"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+    def row(n: Column, i: Column) -> Column:
+        at = F.get(offsets, i)
+        places = F.sequence(at, at + n - 1)
+        return F.when(n > 0, F.transform(places, lambda j: F.get(values, j).cast("int"))).otherwise(empty)
 
-    return F.aggregate(lens, start, step, lambda acc: acc["rows"])
+    return F.transform(lens, row)
 
 
 def pad_row(row: Column, length: int, fill: int = 0) -> Column:

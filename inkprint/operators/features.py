@@ -18,13 +18,15 @@ HOURS = 24
 
 def ngram_buckets(tokens: Column, buckets: int = NGRAM_BUCKETS, widths: tuple[int, ...] = NGRAM_WIDTHS) -> Column:
     """Distinct hashed buckets of all n-grams: the best response over positions of a presence filter."""
-    parts = []
-    for width in widths:
-        starts = F.when(F.size(tokens) >= width, F.sequence(F.lit(1), F.size(tokens) - (width - 1))).otherwise(
-            F.array().cast("array<int>"))
-        parts.append(F.transform(
-            starts, lambda i, w=width: md5_bucket(F.array_join(F.slice(tokens, i, w), " "), buckets).cast("int")))
-    return F.array_distinct(F.concat(*parts))
+    # Width n is width n-1 extended by one word: each level is one linear pass over the words.
+    grams, found = tokens, []
+    for width in range(2, max(widths) + 1):
+        count = F.greatest(F.size(tokens) - (width - 1), F.lit(0))
+        grams = F.zip_with(F.slice(grams, F.lit(1), count), F.slice(tokens, F.lit(width), count),
+                           lambda head, last: F.concat(head, F.lit(" "), last))
+        if width in widths:
+            found.append(F.transform(grams, lambda g: md5_bucket(g, buckets).cast("int")))
+    return F.array_distinct(F.concat(*found))
 
 
 def post_features(grams: Column, action: Column | None, hour: Column, n_actions: int,

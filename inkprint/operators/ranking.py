@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from inkprint.functions.vectors import metric_distance
 from inkprint.operators import pairs
+from inkprint.session import settle
 
 RECALL_AT = (1, 2, 4, 8, 16, 32, 64)
 
@@ -45,7 +46,7 @@ def true_rank(queries: DataFrame, targets: DataFrame, metric: str = "cosine",
               decimals: int = pairs.DISTANCE_DECIMALS, block_rows: int = pairs.BLOCK_ROWS) -> DataFrame:
     """1 + number of targets closer than the true one, ties by target id. Nothing is sorted and no pair leaves
     its cell: each cell returns one count per query."""
-    known = true_distances(queries, targets, metric, decimals)
+    known = settle(true_distances(queries, targets, metric, decimals))
 
     def reduce(q, t, d):
         true_d, true_t = q.column("true_d").to_numpy()[:, None], q.column("true_t").to_numpy()[:, None]
@@ -90,4 +91,5 @@ def rank_metrics(ranks: DataFrame, n_targets: int | None = None) -> DataFrame:
 
 def rank_eval(queries: DataFrame, targets: DataFrame, metric: str = "cosine") -> DataFrame:
     """Queries against targets, end to end."""
+    targets = settle(targets)
     return rank_metrics(true_rank(queries, targets, metric), targets.count())

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from inkprint.functions.text import STOP_WORDS, word_tokens
 from inkprint.operators import verification
+from inkprint.session import settle
 
 MAX_DOC_FRACTION = 0.9
 MAX_TERMS = 20_000
@@ -43,9 +44,9 @@ def vocabulary(per_term: DataFrame, n_docs: int, max_fraction: float = MAX_DOC_F
 
 def fit_tfidf(docs: DataFrame, doc: str, body: str = "text", max_fraction: float = MAX_DOC_FRACTION,
               max_terms: int = MAX_TERMS) -> DataFrame:
-    """The fitted model is a table: term, term_id, df, total_tf, idf."""
+    """The fitted model is a table: term, term_id, df, total_tf, idf; at most `max_terms` rows, settled for reuse."""
     n_docs = docs.count()
-    return vocabulary(doc_freq(term_freq(tokens(docs, doc, body), doc), n_docs), n_docs, max_fraction, max_terms)
+    return settle(vocabulary(doc_freq(term_freq(tokens(docs, doc, body), doc), n_docs), n_docs, max_fraction, max_terms))
 
 
 def tfidf_weights(frequencies: DataFrame, model: DataFrame, doc: str) -> DataFrame:
@@ -82,4 +83,5 @@ def first_posts(posts: DataFrame, count: int) -> DataFrame:
 def tfidf_linking(queries: DataFrame, targets: DataFrame, model: DataFrame, target_posts: int | None = 4) -> DataFrame:
     """Link authors by TF-IDF: all posts of a query against the first posts of every target, linear kernel."""
     episode = targets if target_posts is None else first_posts(targets, target_posts)
-    return verification.link_eval(author_vectors(queries, model), author_vectors(episode, model), metric="linear")
+    return verification.link_eval(
+        settle(author_vectors(queries, model)), settle(author_vectors(episode, model)), metric="linear")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from inkprint.functions import sampling, text
 from inkprint.operators.history import UNKNOWN_ACTION
 from inkprint.operators.prefix import take_in_order
+from inkprint.session import settle
 
 
 def kept_posts(posts: DataFrame, body: str = "body") -> DataFrame:
@@ -26,6 +27,7 @@ def action_vocab(counts: DataFrame, size: int) -> DataFrame:
     """The size-1 most frequent communities get ids 0.., the unknown entry gets the last id. Ties go by name.
 
     Fails when there are too few communities or one carries the reserved name."""
+    counts = settle(counts)
     best = counts.orderBy(F.desc("n"), "action").limit(size - 1)
     # At most size-1 rows reach this window.
     ordered = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "action")

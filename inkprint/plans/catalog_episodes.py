@@ -117,7 +117,7 @@ def slice_episode(spark, sf):
 
 @query("episode_from_spec", f"""
 WITH {q.EP}, ix AS ({INDEX_SQL}),
-m AS (SELECT ep.author_id, 0 AS sample_no, pos - start AS ep_pos, hour, action_id, syms
+m AS (SELECT ep.author_id, 0::BIGINT AS sample_no, pos - start AS ep_pos, hour, action_id, syms
       FROM ix JOIN ep ON ep.author_id = ix.author_id AND pos >= start AND pos < start + length)
 {EPISODE_ROWS}""")
 def episode_from_spec(spark, sf):
@@ -171,9 +171,9 @@ PAIRS = f"""
 {draws('pairs', 3)},
 ring AS (SELECT author_id, row_number() OVER (ORDER BY {q.hash32('pairs/pairs', 'author_id')}, author_id) - 1 AS number,
                 count(*) OVER () AS total FROM (SELECT DISTINCT author_id FROM sp)),
-pos_pairs AS (SELECT a.author_id AS l, a.start AS l_start, b.author_id AS r, b.start AS r_start, 1 AS is_same
+pos_pairs AS (SELECT a.author_id AS l, a.start AS l_start, b.author_id AS r, b.start AS r_start, 1::BIGINT AS is_same
               FROM sp a JOIN sp b ON a.author_id = b.author_id AND a.sample_no = 0 AND b.sample_no = 1),
-neg_pairs AS (SELECT a.author_id AS l, a.start AS l_start, b.author_id AS r, b.start AS r_start, 0 AS is_same
+neg_pairs AS (SELECT a.author_id AS l, a.start AS l_start, b.author_id AS r, b.start AS r_start, 0::BIGINT AS is_same
               FROM ring x JOIN ring y ON y.number = (x.number + 1) % x.total AND x.total > 1
               JOIN sp a ON a.author_id = x.author_id AND a.sample_no = 0
               JOIN sp b ON b.author_id = y.author_id AND b.sample_no = 2)"""

@@ -85,7 +85,7 @@ def assemble_history(spark, sf):
 @query("assemble_without_heldout", f"""
 WITH {q.EP}, k AS (SELECT * FROM ep WHERE community <> 'error'),
 hist AS (
-  SELECT a.author_id, 0 AS segment, coalesce(list(syms ORDER BY pos) FILTER (pos IS NOT NULL), []) AS syms,
+  SELECT a.author_id, 0::BIGINT AS segment, coalesce(list(syms ORDER BY pos) FILTER (pos IS NOT NULL), []) AS syms,
          coalesce(list(hour ORDER BY pos) FILTER (pos IS NOT NULL), []) AS hour,
          coalesce(list(minute ORDER BY pos) FILTER (pos IS NOT NULL), []) AS minute,
          coalesce(list(day ORDER BY pos) FILTER (pos IS NOT NULL), []) AS day,

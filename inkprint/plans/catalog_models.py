@@ -10,18 +10,19 @@ from inkprint.plans import inputs, sqlparts as q
 from inkprint.plans.catalog_episodes import PAIRS, counts, draws, pair_samples
 from inkprint.plans.catalog_eval import rounded
 from inkprint.plans.registry import query
+from inkprint.session import settle
 
 DOCS = "docs AS (SELECT doc_id AS doc, text FROM documents)"
 
 
 @query("term_freq", f"WITH {DOCS}, {q.TFIDF} SELECT doc AS doc_id, term, tf FROM tf")
 def term_freq(spark, sf):
-    return tfidf.term_freq(tfidf.tokens(inputs.documents(spark, sf), "doc_id"), "doc_id")
+    return tfidf.term_freq(tfidf.tokens(inputs.texts(spark, sf), "doc_id"), "doc_id")
 
 
 @query("doc_freq", f"WITH {DOCS}, {q.TFIDF} SELECT term, df, total_tf, round(idf, 6) AS idf FROM terms")
 def doc_freq(spark, sf):
-    docs = inputs.documents(spark, sf)
+    docs = inputs.texts(spark, sf)
     found = tfidf.doc_freq(tfidf.term_freq(tfidf.tokens(docs, "doc_id"), "doc_id"), docs.count())
     return found.select("term", "df", "total_tf", F.round("idf", 6).alias("idf"))
 
@@ -29,13 +30,13 @@ def doc_freq(spark, sf):
 @query("vocab_topn", f"WITH {DOCS}, {q.TFIDF} SELECT term, term_id, df, total_tf FROM model")
 def vocab_topn(spark, sf):
     """The reference's vocabulary size, 20,000, after the document-frequency cut."""
-    model = tfidf.fit_tfidf(inputs.documents(spark, sf), "doc_id")
+    model = tfidf.fit_tfidf(inputs.texts(spark, sf), "doc_id")
     return model.select("term", F.col("term_id").cast("bigint").alias("term_id"), "df", "total_tf")
 
 
 @query("fit_tfidf", f"WITH {DOCS}, {q.TFIDF} SELECT term, term_id, round(idf, 6) AS idf FROM model")
 def fit_tfidf(spark, sf):
-    return tfidf.fit_tfidf(inputs.documents(spark, sf), "doc_id").select(
+    return tfidf.fit_tfidf(inputs.texts(spark, sf), "doc_id").select(
         "term", F.col("term_id").cast("bigint").alias("term_id"), F.round("idf", 6).alias("idf"))
 
 
@@ -43,7 +44,7 @@ def fit_tfidf(spark, sf):
 WITH {DOCS}, {q.TFIDF}, r AS (SELECT doc, term, tf * idf AS raw FROM tf JOIN model USING (term))
 SELECT doc AS doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc)), 6) AS w FROM r""")
 def tfidf_weights(spark, sf):
-    docs = inputs.documents(spark, sf)
+    docs = inputs.texts(spark, sf)
     frequencies = tfidf.term_freq(tfidf.tokens(docs, "doc_id"), "doc_id")
     weights = tfidf.tfidf_weights(frequencies, tfidf.fit_tfidf(docs, "doc_id"), "doc_id")
     return weights.select("doc_id", "term", F.round("w", 6).alias("w"))
@@ -51,10 +52,10 @@ def tfidf_weights(spark, sf):
 
 # Author vectors of both sides: qv and tv (label, term, w), unit length.
 AUTHOR_VECTORS = f"""{DOCS}, {q.TFIDF},
-sp AS (SELECT doc_id, text, CAST(substr(source, 4) AS BIGINT) AS label, doc_id % 2 AS side,
-              row_number() OVER (PARTITION BY source, doc_id % 2 ORDER BY doc_id) - 1 AS pos FROM documents),
-at AS (SELECT side, label, pos, unnest(regexp_extract_all(text, '{q.TOKEN}')) AS term FROM sp),
-af AS (SELECT side, label, term, count(*) AS tf FROM at
+sp AS (SELECT doc_id, text, CAST(substr(source, 4) AS BIGINT) AS label, (doc_id // 20) % 2 AS side,
+              row_number() OVER (PARTITION BY source, (doc_id // 20) % 2 ORDER BY doc_id) - 1 AS pos FROM documents),
+atk AS (SELECT side, label, pos, unnest(regexp_extract_all(text, '{q.TOKEN}')) AS term FROM sp),
+af AS (SELECT side, label, term, count(*) AS tf FROM atk
        WHERE (side = 0 OR pos < 4) AND term NOT IN (SELECT term FROM stop) GROUP BY side, label, term),
 aw AS (SELECT side, label, term, af.tf * idf AS raw FROM af JOIN model USING (term)),
 av AS (SELECT side, label, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY side, label)) AS w FROM aw),
@@ -72,9 +73,9 @@ FROM sc GROUP BY q""")
 def sparse_dot_join(spark, sf):
     """Dot products of sparse vectors, block against block; frequent terms cost no more than others."""
     queries, targets = inputs.source_posts(spark, sf)
-    model = tfidf.fit_tfidf(inputs.documents(spark, sf), "doc_id")
+    model = tfidf.fit_tfidf(inputs.texts(spark, sf), "doc_id")
     stats = pairs.score_statistics(
-        tfidf.author_vectors(queries, model), tfidf.author_vectors(tfidf.first_posts(targets, 4), model),
+        settle(tfidf.author_vectors(queries, model)), settle(tfidf.author_vectors(tfidf.first_posts(targets, 4), model)),
         metric="linear", decimals=12)
     return stats.select("q", "n_targets", *[F.round(c, 6).alias(c) for c in ("score_sum", "score_min", "score_max")])
 
@@ -86,7 +87,7 @@ counts AS (SELECT round(s, 7) + 0.0::DOUBLE AS score, count(*) FILTER (same) AS
 def tfidf_linking(spark, sf):
     """All posts of a query author against the first four of a target, the reference's episode; whole texts."""
     queries, targets = inputs.source_posts(spark, sf)
-    return rounded(tfidf.tfidf_linking(queries, targets, tfidf.fit_tfidf(inputs.documents(spark, sf), "doc_id")))
+    return rounded(tfidf.tfidf_linking(queries, targets, tfidf.fit_tfidf(inputs.texts(spark, sf), "doc_id")))
 
 
 # --- mining ----------------------------------------------------------------------------------------------------
@@ -186,7 +187,7 @@ def episode_members(spark, sf, samples, seed):
 
 
 def members_of(spark, sf, spec):
-    docs = inputs.documents(spark, sf).select("doc_id", words(F.col("text")).alias("w")).select(
+    docs = inputs.texts(spark, sf).select("doc_id", words(F.col("text")).alias("w")).select(
         "doc_id", features.ngram_buckets(F.col("w")).alias("grams"))
     posts = inputs.timeline(spark, sf).withColumn("author_id", F.col("author").cast("bigint"))
     members = episodes.episode_posts(episodes.spec_positions(spec), posts)
@@ -274,7 +275,9 @@ def contrastive_score(spark, sf):
     spec = pair_samples(spark, sf)
     pooled = features.pool_posts(members_of(spark, sf, spec), ["author_id", "sample_no"])
     vectors = features.episode_vectors(pooled, ["author_id", "sample_no"], WIDTH)
-    samples = spec.withColumn("sample_no", F.col("sample_no").cast("bigint")).join(vectors, ["author_id", "sample_no"])
+    # The pairs read the vectors four times.
+    samples = settle(spec.withColumn("sample_no", F.col("sample_no").cast("bigint")).join(
+        vectors, ["author_id", "sample_no"]).select("author_id", "sample_no", "vec"))
     labelled = episodes.labelled_pairs(samples, "pairs").select(
         F.col("left.vec").alias("left_vec"), F.col("right.vec").alias("right_vec"), "is_same")
     return rounded(mining.contrastive_score(labelled))

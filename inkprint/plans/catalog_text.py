@@ -97,7 +97,7 @@ SELECT doc_id, term, count(*) AS n FROM t WHERE term NOT IN (SELECT term FROM st
 def word_tokens(spark, sf):
     from inkprint.operators import tfidf
 
-    return tfidf.tokens(inputs.documents(spark, sf), "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return tfidf.tokens(inputs.texts(spark, sf), "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
 @query("fit_subword_vocab", """
@@ -125,7 +125,7 @@ def encode_symbols(spark, sf):
     """Every word starts with exactly one marked piece, and a word has at least one piece."""
     fitted = inputs.subword_vocab(spark, sf)
     starts = [r["piece_id"] for r in fitted.where(F.col("piece").startswith(subword.MARK)).select("piece_id").collect()]
-    encoded = subword.encode_posts(inputs.documents(spark, sf), fitted, "text")
+    encoded = subword.encode_posts(inputs.texts(spark, sf), fitted, "text")
     n_words = F.size(F.filter("syms", lambda s: s.isin(starts))).cast("bigint")
     return encoded.select("doc_id", n_words.alias("n_words"), (F.size("syms") >= n_words).alias("covers"))
 
@@ -136,7 +136,7 @@ SELECT post_id, author, least(32, len({q.words('text')})) > 0 AS has_symbols, tr
 FROM ev JOIN documents ON doc_id = post_id % (SELECT count(*) FROM documents)""")
 def encode_posts(spark, sf):
     """Posts cut to 32 symbols, the length of the published feature configuration."""
-    docs = subword.encode_posts(inputs.documents(spark, sf), inputs.subword_vocab(spark, sf), "text", 32)
+    docs = subword.encode_posts(inputs.texts(spark, sf), inputs.subword_vocab(spark, sf), "text", 32)
     posts = inputs.with_doc(inputs.events(spark, sf), docs.select("doc_id", "syms"), docs.count())
     return posts.select("post_id", "author", (F.size("syms") > 0).alias("has_symbols"), (F.size("syms") <= 32).alias("within"))
 
@@ -145,5 +145,5 @@ def encode_posts(spark, sf):
 def decode_symbols(spark, sf):
     """Decoding the encoded text gives the words back, single-spaced."""
     fitted = inputs.subword_vocab(spark, sf)
-    encoded = subword.encode_posts(inputs.documents(spark, sf).select("doc_id", "text"), fitted, "text")
+    encoded = subword.encode_posts(inputs.texts(spark, sf).select("doc_id", "text"), fitted, "text")
     return subword.decode_posts(encoded, fitted, "doc_id").select("doc_id", F.md5("text").alias("text_md5"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inkprint.functions.text import hashed_symbols
 from inkprint.operators import history, ranking, subword
-from inkprint.session import staging_path
+from inkprint.session import spread, staging_path
 
 NUM_SYMBOLS = 65536
 ACTION_VOCAB = 5
@@ -22,6 +22,11 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for work that is heavy per text."""
+    return spread(documents(spark, sf), "doc_id")
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """post_id, author, community, created_utc. The time stamp has no zone and is read as UTC."""
     epoch = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("ts"))
@@ -64,7 +69,7 @@ def actions(spark: SparkSession, sf: str) -> DataFrame:
 
 def encoded_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Symbols once per document, so that posts carry integers through the shuffles instead of text."""
-    return documents(spark, sf).select("doc_id", hashed_symbols(F.col("text"), NUM_SYMBOLS).alias("syms"))
+    return texts(spark, sf).select("doc_id", hashed_symbols(F.col("text"), NUM_SYMBOLS).alias("syms"))
 
 
 def encoded_posts(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,9 +130,10 @@ def trials(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_posts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """TF-IDF queries and targets: author = document source, even documents on one side and odd ones on the other,
-    with their position in the author's history."""
-    docs = documents(spark, sf).select("doc_id", "text", F.col("source").alias("label"), (F.col("doc_id") % 2).alias("side"))
+    """TF-IDF queries and targets: author = document source; runs of 20 documents fall on the two sides in turn, so
+    every source is on both. `pos` is the place in the author's history on that side."""
+    side = (F.floor(F.col("doc_id") / 20) % 2).alias("side")
+    docs = documents(spark, sf).select("doc_id", "text", F.col("source").alias("label"), side)
     placed = history.timeline(docs.withColumn("side_label", F.concat_ws("|", "label", "side")),
                               author="side_label", time="doc_id", tie="doc_id", bucket_seconds=4096)
     rows = placed.select("doc_id", "text", F.substring("label", 4, 10).cast("bigint").alias("label"), "side", "pos")
@@ -149,6 +155,6 @@ def staged(spark: SparkSession, sf: str, name: str, write) -> str:
 
 def subword_vocab(spark: SparkSession, sf: str) -> DataFrame:
     def write(path: str) -> None:
-        subword.fit_subword_vocab(documents(spark, sf), "text", SUBWORD_SIZE).write.parquet(path)
+        subword.fit_subword_vocab(texts(spark, sf), "text", SUBWORD_SIZE).write.parquet(path)
 
     return spark.read.parquet(staged(spark, sf, "subword", write))

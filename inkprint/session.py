@@ -45,6 +45,13 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give heavy per-row work one partition per core when the input has fewer splits (one file, or compressed text).
+    Inputs with enough splits, the normal case on a cluster, pass through without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write the rows once to reliable storage and cut the lineage, so that several passes agree
     and a lost executor costs a re-read, not a recomputation."""

@@ -34,7 +34,7 @@ def read_id_lists(spark: SparkSession, path: str) -> DataFrame:
 
 def read_heldout_ids(spark: SparkSession, path: str) -> DataFrame:
     ids = F.explode(F.regexp_extract_all("value", F.lit(_TOKEN), F.lit(0)))
-    return spark.read.text(path).select(ids.cast("bigint").alias("post_id")).distinct()
+    return spark.read.text(path).select(ids.alias("id")).select(F.col("id").cast("bigint").alias("post_id")).distinct()
 
 
 def read_sample_spec(spark: SparkSession, path: str) -> DataFrame:
