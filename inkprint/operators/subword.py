@@ -9,6 +9,7 @@ is a parameter.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -88,8 +89,36 @@ def _add(a: float, b: float) -> float:
     return max(a, b) + math.log1p(math.exp(-abs(a - b)))
 
 
-def _expected_uses(word: str, scores: dict[str, float], longest: int, uses: dict[str, float], weight: float) -> None:
-    """Add the expected number of uses of every piece over all splits of the word."""
+def _expected_uses(word: str, chances: dict[str, float], longest: int, uses: dict[str, float], weight: float) -> bool:
+    """Add the expected number of uses of every piece over all splits of the word. False, with nothing added, when the
+    word is so long that its probability leaves the range of floating-point numbers."""
+    size = len(word)
+    ahead = [1.0] + [0.0] * size
+    arcs = []
+    for end in range(1, size + 1):
+        total = 0.0
+        for start in range(max(0, end - longest), end):
+            piece = word[start:end]
+            chance = chances.get(piece)
+            if chance is not None:
+                reach = ahead[start] * chance
+                total += reach
+                arcs.append((start, end, piece, chance))
+        ahead[end] = total
+    whole = ahead[size]
+    if whole < 1e-200:
+        return False
+    behind = [0.0] * size + [1.0]
+    scale = weight / whole
+    for start, end, piece, chance in reversed(arcs):
+        rest = behind[end] * chance
+        behind[start] += rest
+        uses[piece] += ahead[start] * rest * scale
+    return True
+
+
+def _expected_uses_log(word: str, scores: dict[str, float], longest: int, uses: dict[str, float], weight: float) -> None:
+    """The same in logarithms, for long words."""
     lattice = list(_lattice(word, scores, longest))
     ahead = [0.0] + [-math.inf] * len(word)
     for end, arcs in lattice:
@@ -102,7 +131,7 @@ def _expected_uses(word: str, scores: dict[str, float], longest: int, uses: dict
     for end, arcs in reversed(lattice):
         for start, piece, score in arcs:
             behind[start] = _add(behind[start], behind[end] + score)
-            uses[piece] = uses.get(piece, 0.0) + weight * math.exp(ahead[start] + score + behind[end] - whole)
+            uses[piece] += weight * math.exp(ahead[start] + score + behind[end] - whole)
 
 
 def _expectation(counts: DataFrame, scores: dict[str, float]) -> dict[str, float]:
@@ -111,10 +140,13 @@ def _expectation(counts: DataFrame, scores: dict[str, float]) -> dict[str, float
     longest = max(map(len, scores))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        uses: dict[str, float] = {}
+        uses: dict[str, float] = defaultdict(float)
+        scores = shared.value
+        chances = {p: math.exp(s) for p, s in scores.items()}
         for batch in batches:
             for word, n in zip(batch["word"], batch["n"]):
-                _expected_uses(word, shared.value, longest, uses, float(n))
+                if not _expected_uses(word, chances, longest, uses, float(n)):
+                    _expected_uses_log(word, scores, longest, uses, float(n))
         yield pd.DataFrame({"piece": list(uses), "uses": list(uses.values())})
 
     summed = counts.mapInPandas(run, "piece string, uses double").groupBy("piece").agg(

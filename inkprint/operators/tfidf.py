@@ -27,9 +27,18 @@ def term_freq(token_rows: DataFrame, doc: str) -> DataFrame:
     return token_rows.groupBy(doc, "term").agg(F.count("*").alias("tf"))
 
 
-def doc_freq(frequencies: DataFrame, n_docs: int) -> DataFrame:
-    """Documents and occurrences per term, and the smoothed inverse document frequency ln((1+n)/(1+df)) + 1."""
-    per_term = frequencies.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
+def doc_freq(docs: DataFrame, n_docs: int, body: str = "text", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """Documents and occurrences per term, and the smoothed inverse document frequency ln((1+n)/(1+df)) + 1.
+
+    A document is one row, so its distinct terms are known before any shuffle: each gives one `df` mark, each
+    occurrence one `tf` mark, and only per-task sums per term are moved, not (document, term) counts."""
+    found = docs.select(word_tokens(F.col(body)).alias("all"))
+    once = F.transform(F.array_distinct("all"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("t")))
+    every = F.transform("all", lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("t")))
+    marks = found.select(F.inline(F.concat(once, every)))
+    if stop_words:
+        marks = marks.where(~F.col("term").isin(*stop_words))
+    per_term = marks.groupBy("term").agg(F.sum("d").alias("df"), F.sum("t").alias("total_tf"))
     return per_term.withColumn("idf", F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
 
 
@@ -42,11 +51,11 @@ def vocabulary(per_term: DataFrame, n_docs: int, max_fraction: float = MAX_DOC_F
     return best.withColumn("term_id", (F.row_number().over(ordered) - 1).cast("int"))
 
 
-def fit_tfidf(docs: DataFrame, doc: str, body: str = "text", max_fraction: float = MAX_DOC_FRACTION,
+def fit_tfidf(docs: DataFrame, body: str = "text", max_fraction: float = MAX_DOC_FRACTION,
               max_terms: int = MAX_TERMS) -> DataFrame:
     """The fitted model is a table: term, term_id, df, total_tf, idf; at most `max_terms` rows, settled for reuse."""
     n_docs = docs.count()
-    return settle(vocabulary(doc_freq(term_freq(tokens(docs, doc, body), doc), n_docs), n_docs, max_fraction, max_terms))
+    return settle(vocabulary(doc_freq(docs, n_docs, body), n_docs, max_fraction, max_terms))
 
 
 def tfidf_weights(frequencies: DataFrame, model: DataFrame, doc: str) -> DataFrame:
@@ -80,8 +89,7 @@ def first_posts(posts: DataFrame, count: int) -> DataFrame:
     return posts.where(F.col("pos") < count)
 
 
-def tfidf_linking(queries: DataFrame, targets: DataFrame, model: DataFrame, target_posts: int | None = 4) -> DataFrame:
-    """Link authors by TF-IDF: all posts of a query against the first posts of every target, linear kernel."""
-    episode = targets if target_posts is None else first_posts(targets, target_posts)
+def tfidf_linking(queries: DataFrame, targets: DataFrame, model: DataFrame) -> DataFrame:
+    """Link authors by TF-IDF: the posts of every query against those of every target, linear kernel."""
     return verification.link_eval(
-        settle(author_vectors(queries, model)), settle(author_vectors(episode, model)), metric="linear")
+        settle(author_vectors(queries, model)), settle(author_vectors(targets, model)), metric="linear")

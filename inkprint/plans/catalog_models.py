@@ -23,20 +23,20 @@ def term_freq(spark, sf):
 @query("doc_freq", f"WITH {DOCS}, {q.TFIDF} SELECT term, df, total_tf, round(idf, 6) AS idf FROM terms")
 def doc_freq(spark, sf):
     docs = inputs.texts(spark, sf)
-    found = tfidf.doc_freq(tfidf.term_freq(tfidf.tokens(docs, "doc_id"), "doc_id"), docs.count())
+    found = tfidf.doc_freq(docs, docs.count())
     return found.select("term", "df", "total_tf", F.round("idf", 6).alias("idf"))
 
 
 @query("vocab_topn", f"WITH {DOCS}, {q.TFIDF} SELECT term, term_id, df, total_tf FROM model")
 def vocab_topn(spark, sf):
     """The reference's vocabulary size, 20,000, after the document-frequency cut."""
-    model = tfidf.fit_tfidf(inputs.texts(spark, sf), "doc_id")
+    model = tfidf.fit_tfidf(inputs.texts(spark, sf))
     return model.select("term", F.col("term_id").cast("bigint").alias("term_id"), "df", "total_tf")
 
 
 @query("fit_tfidf", f"WITH {DOCS}, {q.TFIDF} SELECT term, term_id, round(idf, 6) AS idf FROM model")
 def fit_tfidf(spark, sf):
-    return tfidf.fit_tfidf(inputs.texts(spark, sf), "doc_id").select(
+    return tfidf.fit_tfidf(inputs.texts(spark, sf)).select(
         "term", F.col("term_id").cast("bigint").alias("term_id"), F.round("idf", 6).alias("idf"))
 
 
@@ -46,7 +46,7 @@ SELECT doc AS doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY d
 def tfidf_weights(spark, sf):
     docs = inputs.texts(spark, sf)
     frequencies = tfidf.term_freq(tfidf.tokens(docs, "doc_id"), "doc_id")
-    weights = tfidf.tfidf_weights(frequencies, tfidf.fit_tfidf(docs, "doc_id"), "doc_id")
+    weights = tfidf.tfidf_weights(frequencies, tfidf.fit_tfidf(docs), "doc_id")
     return weights.select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
@@ -73,9 +73,9 @@ FROM sc GROUP BY q""")
 def sparse_dot_join(spark, sf):
     """Dot products of sparse vectors, block against block; frequent terms cost no more than others."""
     queries, targets = inputs.source_posts(spark, sf)
-    model = tfidf.fit_tfidf(inputs.texts(spark, sf), "doc_id")
+    model = tfidf.fit_tfidf(inputs.texts(spark, sf))
     stats = pairs.score_statistics(
-        settle(tfidf.author_vectors(queries, model)), settle(tfidf.author_vectors(tfidf.first_posts(targets, 4), model)),
+        settle(tfidf.author_vectors(queries, model)), settle(tfidf.author_vectors(targets, model)),
         metric="linear", decimals=12)
     return stats.select("q", "n_targets", *[F.round(c, 6).alias(c) for c in ("score_sum", "score_min", "score_max")])
 
@@ -87,7 +87,7 @@ counts AS (SELECT round(s, 7) + 0.0::DOUBLE AS score, count(*) FILTER (same) AS
 def tfidf_linking(spark, sf):
     """All posts of a query author against the first four of a target, the reference's episode; whole texts."""
     queries, targets = inputs.source_posts(spark, sf)
-    return rounded(tfidf.tfidf_linking(queries, targets, tfidf.fit_tfidf(inputs.texts(spark, sf), "doc_id")))
+    return rounded(tfidf.tfidf_linking(queries, targets, tfidf.fit_tfidf(inputs.texts(spark, sf))))
 
 
 # --- mining ----------------------------------------------------------------------------------------------------

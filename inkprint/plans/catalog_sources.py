@@ -217,6 +217,6 @@ WITH docs AS (SELECT doc_id AS doc, text FROM documents), {q.TFIDF}
 SELECT term, term_id, df, total_tf, round(idf, 6) AS idf FROM model""")
 def save_tfidf_model(spark, sf):
     path = staging_path(spark, "tfidf_model")
-    writers.write_tfidf_model(tfidf.fit_tfidf(inputs.documents(spark, sf), "doc_id"), path)
+    writers.write_tfidf_model(tfidf.fit_tfidf(inputs.texts(spark, sf)), path)
     return spark.read.parquet(path).select(
         "term", F.col("term_id").cast("bigint").alias("term_id"), "df", "total_tf", F.round("idf", 6).alias("idf"))

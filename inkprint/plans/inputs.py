@@ -129,15 +129,17 @@ def trials(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(labels, "doc_id").select(F.col("doc_id").alias("id"), "score", "is_match")
 
 
-def source_posts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def source_posts(spark: SparkSession, sf: str, target_posts: int = 4) -> tuple[DataFrame, DataFrame]:
     """TF-IDF queries and targets: author = document source; runs of 20 documents fall on the two sides in turn, so
-    every source is on both. `pos` is the place in the author's history on that side."""
-    side = (F.floor(F.col("doc_id") / 20) % 2).alias("side")
-    docs = documents(spark, sf).select("doc_id", "text", F.col("source").alias("label"), side)
-    placed = history.timeline(docs.withColumn("side_label", F.concat_ws("|", "label", "side")),
-                              author="side_label", time="doc_id", tie="doc_id", bucket_seconds=4096)
-    rows = placed.select("doc_id", "text", F.substring("label", 4, 10).cast("bigint").alias("label"), "side", "pos")
-    return rows.where("side = 0").drop("side"), rows.where("side = 1").drop("side")
+    every source is on both. Queries have all their posts, targets the first `target_posts` of the history.
+
+    The history is ordered on ids alone; only the chosen posts fetch their text."""
+    side, label = F.floor(F.col("doc_id") / 20) % 2, F.substring("source", 4, 10).cast("bigint")
+    queries = texts(spark, sf).where(side == 0).select("doc_id", "text", label.alias("label"))
+    ids = documents(spark, sf).where(side == 1).select("doc_id", label.alias("label"))
+    placed = history.timeline(ids, author="label", time="doc_id", tie="doc_id", bucket_seconds=4096)
+    chosen = placed.where(F.col("pos") < target_posts).select("doc_id", "label")
+    return queries, chosen.join(documents(spark, sf).select("doc_id", "text"), "doc_id")
 
 
 _STAGED: dict[tuple[str, str, str], str] = {}

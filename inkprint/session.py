@@ -53,7 +53,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write the rows once to reliable storage and cut the lineage, so that several passes agree
-    and a lost executor costs a re-read, not a recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once as a table in the shared folder and go on from there: several passes agree, columns can be
+    pruned, and a lost executor costs a re-read, not a recomputation."""
+    path = staging_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
