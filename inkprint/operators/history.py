@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from inkprint.functions import calendar
 from inkprint.functions.sampling import hash32
 from inkprint.operators.prefix import number_rows, running_sums
+from inkprint.session import settle
 
 SEGMENT_POSTS = 1024
 UNKNOWN_ACTION = "<unk>"
@@ -42,7 +43,7 @@ def id_lines(history: DataFrame, segment_posts: int = SEGMENT_POSTS) -> DataFram
 
 def dense_ids(values: DataFrame, column: str, name: str, seed: str = "ids") -> DataFrame:
     """Distinct values with consecutive ids from 0, in hash order (any order will do, this one repeats)."""
-    distinct = values.select(column).where(F.col(column).isNotNull()).distinct()
+    distinct = settle(values.select(column).where(F.col(column).isNotNull()).distinct())
     return number_rows(distinct, hash32(seed, F.col(column)), [column], name)
 
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK_ROWS = 2048
+SPARSE_BLOCK_ROWS = 256  # a block is made dense over the terms it shares with the other
 SCORE_DECIMALS = 7
 DISTANCE_DECIMALS = 12
 
@@ -113,6 +114,8 @@ def pair_cells(
     sparse = "terms" in queries.columns
     if sparse and metric != "linear":
         raise ValueError("sparse vectors support the linear metric only")
+    if sparse:
+        block_rows = min(block_rows, SPARSE_BLOCK_ROWS)
     tasks = queries.sparkSession.sparkContext.defaultParallelism
     n_left, n_right = _blocks(queries.count(), targets.count(), block_rows, tasks)
 
@@ -121,8 +124,11 @@ def pair_cells(
     right = targets.withColumn("_j", F.pmod(F.xxhash64("id"), F.lit(n_right)).cast("int")).withColumn(
         "_i", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
 
-    # Both sides may stem from one table; renaming gives each its own attributes.
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    # Both sides may stem from one table; renaming gives each its own attributes. One partitioning serves the
+    # cogroup: as many partitions as cells, up to a few waves of tasks.
+    partitions = min(n_left * n_right, max(4 * tasks, 1))
+    left = left.toDF(*left.columns).repartition(partitions, "_i", "_j")
+    right = right.toDF(*right.columns).repartition(partitions, "_i", "_j")
 
     def cell(q: pa.Table, t: pa.Table) -> pa.Table:
         if q.num_rows and t.num_rows:

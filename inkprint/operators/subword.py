@@ -151,7 +151,7 @@ def _expectation(counts: DataFrame, scores: dict[str, float]) -> dict[str, float
 
     summed = counts.mapInPandas(run, "piece string, uses double").groupBy("piece").agg(
         F.round(F.sum("uses"), 6).alias("uses"))
-    out = {r["piece"]: r["uses"] for r in summed.toLocalIterator()}
+    out = {r["piece"]: r["uses"] for r in summed.collect()}
     shared.unpersist()
     return out
 
@@ -183,7 +183,7 @@ def fit_subword_vocab(lines: DataFrame, body: str, size: int, max_chars: int = M
     """(piece, piece_id, score): at most `size` entries, fewer when the text does not support more."""
     spark = lines.sparkSession
     counts = settle(word_counts(lines, body).repartition(spark.sparkContext.defaultParallelism, "word"))
-    seeds = {r["piece"]: float(r["n"]) for r in seed_pieces(counts, SEED_FACTOR * size, max_chars).toLocalIterator()}
+    seeds = {r["piece"]: float(r["n"]) for r in seed_pieces(counts, SEED_FACTOR * size, max_chars).collect()}
     scores = _log_probabilities(seeds)
     room = size - len(RESERVED) - sum(len(p) == 1 for p in scores)
     if room < 0:
@@ -208,7 +208,7 @@ def encode_posts(posts: DataFrame, vocab: DataFrame, body: str, max_symbols: int
                  name: str = "syms") -> DataFrame:
     """Add the piece ids of every post. The vocabulary has a fixed maximum size and travels as a broadcast; posts are
     not shuffled, and each task splits a repeated word once."""
-    table = {r["piece"]: (r["piece_id"], r["score"]) for r in vocab.toLocalIterator()}
+    table = {r["piece"]: (r["piece_id"], r["score"]) for r in vocab.collect()}
     scores = {p: s for p, (i, s) in table.items() if p not in RESERVED}
     ids = {p: i for p, (i, s) in table.items()}
     shared = posts.sparkSession.sparkContext.broadcast((scores, ids))

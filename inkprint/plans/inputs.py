@@ -29,7 +29,9 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """post_id, author, community, created_utc. The time stamp has no zone and is read as UTC."""
-    epoch = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("ts"))
+    ts = F.col("ts")
+    day = F.datediff(ts, F.lit("1970-01-01").cast("date")).cast("bigint")
+    epoch = day * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
     return table(spark, sf, "events").select(
         F.col("event_id").alias("post_id"), F.col("user_id").cast("string").alias("author"),
         F.col("event_type").alias("community"), epoch.alias("created_utc"))
