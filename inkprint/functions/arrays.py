@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it in `body`. An expression mentioned inside the lambda of a higher-order function
+    is evaluated again for every element; a lambda variable is not."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def truncate_rows(rows: Column, max_length: int) -> Column:
     """First `max_length` symbols of every post."""
     return F.transform(rows, lambda r: F.slice(r, 1, max_length))
@@ -15,18 +23,21 @@ def row_lengths(rows: Column) -> Column:
 
 
 def unflatten(values: Column, lens: Column) -> Column:
-    """Cut a flat array back into rows of the given lengths. Every value is visited once: `slice` would copy the
-    whole flat array again for each row."""
+    """Cut a flat array back into rows of the given lengths. Every value is visited once: `slice` would copy the whole
+    flat array again for each row."""
     offsets = F.aggregate(lens, F.array(F.lit(0)),
                           lambda acc, n: F.concat(acc, F.array((F.element_at(acc, -1) + n).cast("int"))))
     empty = F.array().cast("array<int>")
 
-    def row(n: Column, i: Column) -> Column:
-        at = F.get(offsets, i)
-        places = F.sequence(at, at + n - 1)
-        return F.when(n > 0, F.transform(places, lambda j: F.get(values, j).cast("int"))).otherwise(empty)
+    def rows(flat: Column) -> Column:
+        def row(n: Column, i: Column) -> Column:
+            at = F.get(flat["offsets"], i)
+            places = F.sequence(at, at + n - 1)
+            return F.when(n > 0, F.transform(places, lambda j: F.get(flat["values"], j).cast("int"))).otherwise(empty)
+
+        return F.transform(flat["lens"], row)
 
-    return F.transform(lens, row)
+    return bind(F.struct(values.alias("values"), lens.alias("lens"), offsets.alias("offsets")), rows)
 
 
 def pad_row(row: Column, length: int, fill: int = 0) -> Column:

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from inkprint.functions.arrays import bind
+
 
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
@@ -22,8 +24,8 @@ def norm(a: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """Unit vector; the zero vector stays zero."""
-    size = norm(a)
-    return F.transform(a, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(F.lit(0.0)))
+    return bind(F.struct(a.alias("v"), norm(a).alias("size")), lambda s: F.transform(
+        s["v"], lambda x: F.when(s["size"] > 0, x.cast("double") / s["size"]).otherwise(F.lit(0.0))))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

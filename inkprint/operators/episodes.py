@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from inkprint.functions import sampling
+from inkprint.functions.arrays import gather, slice_at
+from inkprint.operators.history import SEGMENT_POSTS
 from inkprint.operators.prefix import number_rows
+from inkprint.session import settle
 
 EPISODE_POSTS = 16
 
@@ -67,14 +70,32 @@ def nest_episodes(members: DataFrame) -> DataFrame:
         F.col("items.action_type").alias("action_type"))
 
 
-def slice_histories(histories: DataFrame, spec: DataFrame) -> DataFrame:
-    """Slice nested one-row histories by (start, length) given per author."""
-    from inkprint.functions.arrays import slice_at
+SEQUENCES = ("syms", "hour", "minute", "day", "action_type")
 
-    joined = histories.join(spec, "author_id")
-    cut = {c: slice_at(F.col(c), F.col("start"), F.col("length"))
-           for c in ("syms", "hour", "minute", "day", "action_type")}
-    return joined.withColumns(cut)
+
+def _join_segments(parts: DataFrame) -> DataFrame:
+    """Pieces of an episode from neighbouring segments of a long history, put together; bounded by its length."""
+    item = F.struct("segment", *SEQUENCES)
+    joined = parts.groupBy("author_id").agg(F.sort_array(F.collect_list(item)).alias("i"))
+    return joined.select("author_id", *[F.flatten(F.col(f"i.{c}")).alias(c) for c in SEQUENCES])
+
+
+def slice_histories(histories: DataFrame, spec: DataFrame, segment_posts: int = SEGMENT_POSTS) -> DataFrame:
+    """Slice nested histories by (start, length) given per author; a slice may cross into the next segment."""
+    base = F.col("segment") * segment_posts
+    first = F.greatest(F.col("start") - base, F.lit(0))
+    last = F.least(F.col("start") + F.col("length") - base, F.size("syms"))
+    parts = histories.join(spec, "author_id").withColumns({"_a": first, "_n": last - first}).where(F.col("_n") > 0)
+    return _join_segments(parts.withColumns({c: slice_at(F.col(c), F.col("_a"), F.col("_n")) for c in SEQUENCES}))
+
+
+def gather_histories(histories: DataFrame, picks: DataFrame, segment_posts: int = SEGMENT_POSTS) -> DataFrame:
+    """Pick posts of nested histories by ascending `idx`, the same indices for all features."""
+    base = F.col("segment") * segment_posts
+    joined = histories.join(picks, "author_id").withColumn("_base", base)
+    inside = F.filter("idx", lambda i: (i >= F.col("_base")) & (i < F.col("_base") + F.size("syms")))
+    parts = joined.withColumn("_i", F.transform(inside, lambda i: i - F.col("_base"))).where(F.size("_i") > 0)
+    return _join_segments(parts.withColumns({c: gather(F.col(c), F.col("_i")) for c in SEQUENCES}))
 
 
 def take_queries(records: DataFrame, count: int, key: str = "author_id") -> DataFrame:
@@ -117,6 +138,8 @@ def negative_pairs(samples: DataFrame, seed: str) -> DataFrame:
 
 
 def labelled_pairs(samples: DataFrame, seed: str) -> DataFrame:
+    """All positives, then all negatives. The samples are read six times, hence written once."""
+    samples = settle(samples)
     return positive_pairs(samples).unionByName(negative_pairs(samples, seed))
 
 

@@ -6,8 +6,9 @@ per feature, the maximum and the mean over the posts of the episode. All of it s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from inkprint.functions.arrays import bind
 from inkprint.functions.text import md5_bucket
 from inkprint.functions.vectors import l2_normalize
 
@@ -43,11 +44,16 @@ def post_features(grams: Column, action: Column | None, hour: Column, n_actions:
 
 
 def pool_posts(members: DataFrame, keys: list[str], features: str = "features") -> DataFrame:
-    """(keys, feature, max_value, mean_value): pooled over the real posts of an episode, absent features omitted."""
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("n_posts"))
-    present = members.select(*keys, F.explode(features).alias("feature")).groupBy(*keys, "feature").agg(
+    """(keys, feature, max_value, mean_value): pooled over the real posts of an episode, absent features omitted.
+
+    Every post also carries the mark -1, whose count is the number of posts. The compact arrays are shuffled once by
+    episode (bounded in size), and counting and dividing follow without another shuffle.
+    """
+    placed = members.select(*keys, F.concat(F.array(F.lit(-1)), F.col(features)).alias("_f")).repartition(*keys)
+    hits = placed.select(*keys, F.explode("_f").alias("feature")).groupBy(*keys, "feature").agg(
         F.count("*").alias("hits"))
-    return present.join(sizes, keys).select(
+    n_posts = F.max(F.when(F.col("feature") == -1, F.col("hits"))).over(Window.partitionBy(*keys))
+    return hits.withColumn("n_posts", n_posts).where(F.col("feature") >= 0).select(
         *keys, "feature", F.lit(1.0).alias("max_value"), (F.col("hits") / F.col("n_posts")).alias("mean_value"))
 
 
@@ -68,4 +74,4 @@ def episode_vectors(pooled: DataFrame, keys: list[str], width: int) -> DataFrame
     means = rows.withColumn("mean", F.transform(
         F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))))
     peaks = F.transform("mean", lambda x: F.when(x > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-    return means.select(*keys, l2_normalize(F.concat(peaks, F.col("mean"))).alias("vec"))
+    return means.select(*keys, bind(F.concat(peaks, F.col("mean")), l2_normalize).alias("vec"))

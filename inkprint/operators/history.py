@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from inkprint.functions import calendar
 from inkprint.functions.sampling import hash32
 from inkprint.operators.prefix import number_rows, running_sums
-from inkprint.session import settle
+from inkprint.session import broadcast_if_small, settle
 
 SEGMENT_POSTS = 1024
 UNKNOWN_ACTION = "<unk>"
@@ -93,11 +93,10 @@ def lookup_action(posts: DataFrame, actions: DataFrame, column: str = "community
     bound; a larger one is left to the planner.
     """
     named = actions.select(F.col("action").alias(column), "action_id")
-    size, unknown = actions.agg(
-        F.count("*"), F.max(F.when(F.col("action") == UNKNOWN_ACTION, F.col("action_id")))).first()
+    unknown = actions.agg(F.max(F.when(F.col("action") == UNKNOWN_ACTION, F.col("action_id")))).first()[0]
     if unknown is None:
         raise ValueError(f"the action dimension has no {UNKNOWN_ACTION} entry")
-    side = F.broadcast(named) if size <= MAX_BROADCAST_ACTIONS else named
+    side = broadcast_if_small(named, MAX_BROADCAST_ACTIONS)
     return posts.join(side, column, "left").withColumn("action_id", F.coalesce("action_id", F.lit(unknown)))
 
 

@@ -11,6 +11,7 @@ from inkprint.operators import pairs
 from inkprint.session import settle
 
 RECALL_AT = (1, 2, 4, 8, 16, 32, 64)
+SALTS = 16
 
 
 def mean_embedding(vectors: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
@@ -64,12 +65,15 @@ def true_rank(queries: DataFrame, targets: DataFrame, metric: str = "cosine",
 def rank_from_scores(scores: DataFrame) -> DataFrame:
     """Ranks from a given (q, t, distance, is_match) table with exactly one match per query: count the closer ones.
 
-    Two hash aggregates and a join on the query; a query with a very long list is split across map tasks."""
+    The join key is (query, salt of the target), so a query with a very long list is spread over several tasks, and
+    the counts are combined before they are shuffled."""
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
     truth = scores.where(F.col("is_match") == 1).select(
-        "q", F.col("distance").alias("true_d"), F.col("t").alias("true_t"))
+        "q", F.col("distance").alias("true_d"), F.col("t").alias("true_t"), F.explode(salts).alias("salt"))
+    scores = scores.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int"))
     closer = (F.col("distance") < F.col("true_d")) | (
         (F.col("distance") == F.col("true_d")) & (F.col("t") < F.col("true_t")))
-    return scores.join(truth, "q").groupBy("q").agg((F.count_if(closer) + 1).alias("rank"))
+    return scores.join(truth, ["q", "salt"]).groupBy("q").agg((F.count_if(closer) + 1).alias("rank"))
 
 
 def rank_metrics(ranks: DataFrame, n_targets: int | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkprint.functions.text import words
-from inkprint.session import settle
+from inkprint.session import broadcast_if_small, settle
 
 # Word-start mark and the ids of the reserved pieces.
 MARK = "▁"
@@ -29,6 +29,7 @@ KEEP_FRACTION = 0.75
 EM_ROUNDS = 2
 UNKNOWN_PENALTY = 10.0
 CACHED_WORDS = 200_000
+MAX_VOCAB = 1_000_000
 
 
 def word_counts(lines: DataFrame, body: str) -> DataFrame:
@@ -208,7 +209,10 @@ def encode_posts(posts: DataFrame, vocab: DataFrame, body: str, max_symbols: int
                  name: str = "syms") -> DataFrame:
     """Add the piece ids of every post. The vocabulary has a fixed maximum size and travels as a broadcast; posts are
     not shuffled, and each task splits a repeated word once."""
-    table = {r["piece"]: (r["piece_id"], r["score"]) for r in vocab.collect()}
+    rows = vocab.limit(MAX_VOCAB + 1).collect()
+    if len(rows) > MAX_VOCAB:
+        raise ValueError(f"a vocabulary may hold at most {MAX_VOCAB} pieces")
+    table = {r["piece"]: (r["piece_id"], r["score"]) for r in rows}
     scores = {p: s for p, (i, s) in table.items() if p not in RESERVED}
     ids = {p: i for p, (i, s) in table.items()}
     shared = posts.sparkSession.sparkContext.broadcast((scores, ids))
@@ -240,9 +244,9 @@ def encode_posts(posts: DataFrame, vocab: DataFrame, body: str, max_symbols: int
 
 
 def decode_posts(encoded: DataFrame, vocab: DataFrame, key: str, syms: str = "syms") -> DataFrame:
-    """(key, text): pieces joined in order, word marks turned into spaces. The vocabulary size bounds the broadcast."""
+    """(key, text): pieces joined in order, word marks turned into spaces."""
     opened = encoded.select(key, F.posexplode_outer(syms).alias("at", "piece_id"))
-    named = opened.join(F.broadcast(vocab.select("piece_id", "piece")), "piece_id", "left")
+    named = opened.join(broadcast_if_small(vocab.select("piece_id", "piece"), MAX_VOCAB), "piece_id", "left")
     ordered = F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "piece"))))
     joined = named.groupBy(key).agg(ordered.alias("p"))
     return joined.select(key, F.ltrim(F.replace(F.array_join(F.col("p.piece"), ""), F.lit(MARK), F.lit(" "))).alias("text"))

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from inkprint.functions.text import STOP_WORDS, word_tokens
 from inkprint.operators import verification
-from inkprint.session import settle
+from inkprint.session import broadcast_if_small, settle
 
 MAX_DOC_FRACTION = 0.9
 MAX_TERMS = 20_000
+MAX_BROADCAST_TERMS = 200_000
 
 
 def tokens(docs: DataFrame, doc: str, body: str = "text", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
@@ -59,8 +60,9 @@ def fit_tfidf(docs: DataFrame, body: str = "text", max_fraction: float = MAX_DOC
 
 
 def tfidf_weights(frequencies: DataFrame, model: DataFrame, doc: str) -> DataFrame:
-    """tf * idf, scaled to unit length per document. The model holds at most MAX_TERMS rows, hence the broadcast."""
-    weighted = frequencies.join(F.broadcast(model.select("term", "term_id", "idf")), "term").withColumn(
+    """tf * idf, scaled to unit length per document. A document has at most as many rows as the vocabulary."""
+    known = broadcast_if_small(model.select("term", "term_id", "idf"), MAX_BROADCAST_TERMS)
+    weighted = frequencies.join(known, "term").withColumn(
         "raw", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(doc)))
     return weighted.select(doc, "term", "term_id", (F.col("raw") / length).alias("w"))

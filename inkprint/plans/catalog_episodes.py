@@ -108,7 +108,7 @@ def zip_episode_index(spark, sf):
 @query("slice_episode", f"""
 WITH {q.HIST}, ix AS ({INDEX_SQL})
 SELECT author_id, {q.joined('hour[start + 1 : start + length]')} AS hours,
-       {q.joined('action_type[start + 1 : start + length]')} AS actions FROM hist JOIN ix USING (author_id)""")
+       {q.joined('action_type[start + 1 : start + length]')} AS actions FROM whole JOIN ix USING (author_id)""")
 def slice_episode(spark, sf):
     cut = episodes.slice_histories(staged_histories(spark, sf), episode_index(spark, sf))
     return cut.select("author_id", arrays.joined(F.col("hour")).alias("hours"),
@@ -129,14 +129,13 @@ def episode_from_spec(spark, sf):
 @query("gather_posts", f"""
 WITH {q.HIST}, {draws('gather', 1)}, g AS (SELECT author_id, {FLOYD.replace('random/pick', 'gather/pick')} AS idx FROM d)
 SELECT author_id, {q.joined('idx')} AS indices, {q.joined('list_transform(idx, lambda i: hour[i + 1])')} AS hours
-FROM g JOIN hist USING (author_id)""")
+FROM g JOIN whole USING (author_id)""")
 def gather_posts(spark, sf):
     drawn = episodes.draw_samples(counts(spark, sf), "gather")
     indices = sampling.distinct_positions("gather", F.col("n"), F.col("length"), F.col("author_id"), F.col("sample_no"))
     picks = drawn.select("author_id", indices.alias("idx"))
-    joined = staged_histories(spark, sf).join(picks, "author_id")
-    return joined.select("author_id", arrays.joined(F.col("idx")).alias("indices"),
-                         arrays.joined(arrays.gather(F.col("hour"), F.col("idx"))).alias("hours"))
+    found = episodes.gather_histories(staged_histories(spark, sf), picks).join(picks, "author_id")
+    return found.select("author_id", arrays.joined(F.col("idx")).alias("indices"), arrays.joined(F.col("hour")).alias("hours"))
 
 
 @query("take_queries", "SELECT user_id AS author_id, count(*) AS n FROM events GROUP BY user_id ORDER BY user_id LIMIT 25000")

@@ -85,12 +85,12 @@ def assemble_history(spark, sf):
 @query("assemble_without_heldout", f"""
 WITH {q.EP}, k AS (SELECT * FROM ep WHERE community <> 'error'),
 hist AS (
-  SELECT a.author_id, 0::BIGINT AS segment, coalesce(list(syms ORDER BY pos) FILTER (pos IS NOT NULL), []) AS syms,
+  SELECT a.author_id, coalesce(pos // 1024, 0) AS segment, coalesce(list(syms ORDER BY pos) FILTER (pos IS NOT NULL), []) AS syms,
          coalesce(list(hour ORDER BY pos) FILTER (pos IS NOT NULL), []) AS hour,
          coalesce(list(minute ORDER BY pos) FILTER (pos IS NOT NULL), []) AS minute,
          coalesce(list(day ORDER BY pos) FILTER (pos IS NOT NULL), []) AS day,
          coalesce(list(action_id ORDER BY pos) FILTER (pos IS NOT NULL), []) AS action_type
-  FROM (SELECT DISTINCT author_id FROM ep) a LEFT JOIN k ON k.author_id = a.author_id GROUP BY a.author_id)
+  FROM (SELECT DISTINCT author_id FROM ep) a LEFT JOIN k ON k.author_id = a.author_id GROUP BY 1, 2)
 {HISTORY_ROWS} FROM hist""")
 def assemble_without_heldout(spark, sf):
     """The whole preprocessing: order, remove held-out posts, look up, nest; authors left without posts stay."""
@@ -134,14 +134,15 @@ def cumulative_counts(spark, sf):
 # --- ragged records ---------------------------------------------------------------------------------------------
 
 THREADS = f"""th AS (SELECT conv_id AS author_id, turn AS pos, role, text, {q.syms('text')} AS syms FROM conversations),
-hist AS (SELECT author_id, list(syms ORDER BY pos) AS syms FROM th GROUP BY author_id)"""
+hist AS (SELECT author_id, list(syms ORDER BY pos) AS syms FROM th GROUP BY author_id, pos // 1024)"""
 ROWS = "array_to_string(list_transform({}, lambda r: array_to_string(r, ',')), ';')"
 
 
 def thread_histories(spark, sf):
-    """Whole conversations; each has a handful of turns."""
+    """Conversations nested like histories, per segment of bounded size."""
     items = F.sort_array(F.collect_list(F.struct("pos", "syms")))
-    return inputs.thread_posts(spark, sf).groupBy("author_id").agg(items.alias("i")).select(
+    threads = history.with_segment(inputs.thread_posts(spark, sf))
+    return threads.groupBy("author_id", "segment").agg(items.alias("i")).select(
         "author_id", F.col("i.syms").alias("syms"))
 
 
@@ -181,11 +182,11 @@ def pad_posts(spark, sf):
 
 
 @query("pad_episodes", f"""
-WITH {THREADS}, g AS (SELECT *, max(len(syms)) OVER (PARTITION BY author_id % 8) AS longest FROM hist)
+WITH {THREADS}, g AS (SELECT *, max(len(syms)) OVER (PARTITION BY author_id // 64) AS longest FROM hist)
 SELECT author_id, longest, {q.joined('list_resize(list_transform(syms, lambda r: len(r)), longest, 0::BIGINT)')} AS lens FROM g""")
 def pad_episodes(spark, sf):
     """Pad every sequence to the longest of its group. The longest is one number per group, joined back."""
-    rows = thread_histories(spark, sf).withColumn("grp", F.col("author_id") % 8).withColumn(
+    rows = thread_histories(spark, sf).withColumn("grp", F.floor(F.col("author_id") / 64)).withColumn(
         "lens", arrays.row_lengths(F.col("syms")))
     longest = rows.groupBy("grp").agg(F.max(F.size("lens")).alias("longest"))
     padded = F.concat("lens", F.array_repeat(F.lit(0), F.col("longest") - F.size("lens")))

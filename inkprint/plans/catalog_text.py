@@ -120,25 +120,29 @@ def fit_subword_vocab(spark, sf):
         shape.select(F.lit("size within bound").alias("piece"), F.col("bound").alias("piece_id")))
 
 
-@query("encode_symbols", f"SELECT doc_id, len({q.words('text')}) AS n_words, true AS covers FROM documents")
-def encode_symbols(spark, sf):
-    """Every word starts with exactly one marked piece, and a word has at least one piece."""
+def marked_pieces(spark, sf):
+    """Encoded documents with the number of pieces that start a word."""
     fitted = inputs.subword_vocab(spark, sf)
     starts = [r["piece_id"] for r in fitted.where(F.col("piece").startswith(subword.MARK)).select("piece_id").collect()]
     encoded = subword.encode_posts(inputs.texts(spark, sf), fitted, "text")
-    n_words = F.size(F.filter("syms", lambda s: s.isin(starts))).cast("bigint")
-    return encoded.select("doc_id", n_words.alias("n_words"), (F.size("syms") >= n_words).alias("covers"))
+    return encoded.select("doc_id", "syms", F.size(F.filter("syms", lambda s: s.isin(starts))).cast("bigint").alias("n_words"))
+
+
+@query("encode_symbols", f"SELECT doc_id, len({q.words('text')}) AS n_words, true AS covers FROM documents")
+def encode_symbols(spark, sf):
+    """Every word starts with exactly one marked piece, and a word has at least one piece."""
+    return marked_pieces(spark, sf).select("doc_id", "n_words", (F.size("syms") >= F.col("n_words")).alias("covers"))
 
 
 @query("encode_posts", f"""
 WITH {q.EV}
-SELECT post_id, author, least(32, len({q.words('text')})) > 0 AS has_symbols, true AS within
+SELECT post_id, author, len({q.words('text')}) AS n_words
 FROM ev JOIN documents ON doc_id = post_id % (SELECT count(*) FROM documents)""")
 def encode_posts(spark, sf):
-    """Posts cut to 32 symbols, the length of the published feature configuration."""
-    docs = subword.encode_posts(inputs.texts(spark, sf), inputs.subword_vocab(spark, sf), "text", 32)
-    posts = inputs.with_doc(inputs.events(spark, sf), docs.select("doc_id", "syms"), docs.count())
-    return posts.select("post_id", "author", (F.size("syms") > 0).alias("has_symbols"), (F.size("syms") <= 32).alias("within"))
+    """Posts with the symbols of their text: each distinct text is encoded once, and integers travel, not text."""
+    docs = marked_pieces(spark, sf)
+    posts = inputs.with_doc(inputs.events(spark, sf), docs, inputs.documents(spark, sf).count())
+    return posts.select("post_id", "author", "n_words")
 
 
 @query("decode_symbols", f"SELECT doc_id, md5(array_to_string({q.words('text')}, ' ')) AS text_md5 FROM documents")

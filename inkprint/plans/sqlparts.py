@@ -58,9 +58,11 @@ ep AS (
   LEFT JOIN act ON act.action = community)"""
 HIST = EP + """,
 hist AS (
-  SELECT author_id, 0::BIGINT AS segment, list(syms ORDER BY pos) AS syms, list(hour ORDER BY pos) AS hour,
+  SELECT author_id, pos // 1024 AS segment, list(syms ORDER BY pos) AS syms, list(hour ORDER BY pos) AS hour,
          list(minute ORDER BY pos) AS minute, list(day ORDER BY pos) AS day, list(action_id ORDER BY pos) AS action_type
-  FROM ep GROUP BY author_id)"""
+  FROM ep GROUP BY author_id, pos // 1024),
+whole AS (SELECT author_id, list(hour ORDER BY pos) AS hour, list(action_id ORDER BY pos) AS action_type
+          FROM ep GROUP BY author_id)"""
 EMB = "emb AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"
 MEANS = EMB + """,
 flat AS (SELECT id, label, id % 2 AS side, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM emb),

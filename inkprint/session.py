@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: int | str = "*", app: str = "inkprint", partitions: int = 8) -> SparkSession:
@@ -52,6 +52,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark a side for broadcast only after counting at most `max_rows` + 1 of its rows; a larger one is left to the
+    planner's shuffle joins."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write the rows once as a table in the shared folder and go on from there: several passes agree, columns can be
     pruned, and a lost executor costs a re-read, not a recomputation."""
