@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from inkprint.functions import calendar
 from inkprint.functions.sampling import hash32
+from inkprint.operators.joins import join_dimension
 from inkprint.operators.prefix import number_rows, running_sums
 from inkprint.session import broadcast_if_small, settle
 
@@ -47,6 +48,11 @@ def dense_ids(values: DataFrame, column: str, name: str, seed: str = "ids") -> D
     return number_rows(distinct, hash32(seed, F.col(column)), [column], name)
 
 
+def join_author_id(posts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Author name to dense id, whichever author holds how many posts."""
+    return join_dimension(posts, ids, "author", "post_id")
+
+
 def authors_in_many_files(posts: DataFrame) -> DataFrame:
     """Authors whose posts come from more than one input file; expected to be empty for pre-split input."""
     files = posts.select("author", F.col("_metadata.file_path").alias("file"))

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from inkprint.functions.vectors import metric_distance
 from inkprint.operators import pairs
+from inkprint.operators.joins import join_dimension
 from inkprint.session import settle
 
 RECALL_AT = (1, 2, 4, 8, 16, 32, 64)
-SALTS = 16
+MAX_BROADCAST_TARGETS = 10_000  # rows with a vector each
 
 
 def mean_embedding(vectors: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
@@ -36,7 +37,7 @@ def only_target(targets: DataFrame) -> DataFrame:
 def true_distances(queries: DataFrame, targets: DataFrame, metric: str = "cosine",
                    decimals: int = pairs.DISTANCE_DECIMALS) -> DataFrame:
     """Queries with the id and distance of their one true target; a query without a target is an error."""
-    joined = queries.join(only_target(targets), "label", "left")
+    joined = join_dimension(queries, only_target(targets), "label", "id", "left", MAX_BROADCAST_TARGETS)
     found = F.when(F.col("t_id").isNotNull(), F.col("t_id")).otherwise(
         F.raise_error(F.concat(F.lit("no target for author "), F.col("label").cast("string"))))
     distance = F.round(metric_distance(metric, F.col("vec"), F.col("t_vec")), decimals)
@@ -65,15 +66,13 @@ def true_rank(queries: DataFrame, targets: DataFrame, metric: str = "cosine",
 def rank_from_scores(scores: DataFrame) -> DataFrame:
     """Ranks from a given (q, t, distance, is_match) table with exactly one match per query: count the closer ones.
 
-    The join key is (query, salt of the target), so a query with a very long list is spread over several tasks, and
-    the counts are combined before they are shuffled."""
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    A query with a very long list is spread over several tasks by the lookup join, and the counts are combined before
+    they are shuffled."""
     truth = scores.where(F.col("is_match") == 1).select(
-        "q", F.col("distance").alias("true_d"), F.col("t").alias("true_t"), F.explode(salts).alias("salt"))
-    scores = scores.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int"))
+        "q", F.col("distance").alias("true_d"), F.col("t").alias("true_t"))
     closer = (F.col("distance") < F.col("true_d")) | (
         (F.col("distance") == F.col("true_d")) & (F.col("t") < F.col("true_t")))
-    return scores.join(truth, ["q", "salt"]).groupBy("q").agg((F.count_if(closer) + 1).alias("rank"))
+    return join_dimension(scores, truth, "q", "t").groupBy("q").agg((F.count_if(closer) + 1).alias("rank"))
 
 
 def rank_metrics(ranks: DataFrame, n_targets: int | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkprint.functions.text import words
-from inkprint.session import broadcast_if_small, settle
+from inkprint.session import broadcast_if_small, settle, spread
 
 # Word-start mark and the ids of the reserved pieces.
 MARK = "▁"
@@ -45,10 +45,10 @@ def seed_pieces(counts: DataFrame, size: int, max_chars: int = MAX_PIECE_CHARS)
         "word", "n", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"),
     ).select("word", "n", "at", F.explode(F.sequence(F.lit(1), F.least(
         F.lit(max_chars), F.length("word") - F.col("at") + 1))).alias("size"))
-    pieces = spans.select(F.substring("word", F.col("at"), F.col("size")).alias("piece"), "n").groupBy("piece").agg(
-        F.sum("n").alias("n"))
+    pieces = settle(spans.select(F.substring("word", F.col("at"), F.col("size")).alias("piece"), "n").groupBy("piece").agg(
+        F.sum("n").alias("n")).where((F.length("piece") == 1) | (F.col("n") > 1)))
     characters = pieces.where(F.length("piece") == 1)
-    longer = pieces.where((F.length("piece") > 1) & (F.col("n") > 1)).orderBy(
+    longer = pieces.where(F.length("piece") > 1).orderBy(
         F.desc(F.col("n") * F.length("piece")), "piece").limit(size)
     return characters.unionByName(longer)
 
@@ -148,7 +148,8 @@ def _expectation(counts: DataFrame, scores: dict[str, float]) -> dict[str, float
             for word, n in zip(batch["word"], batch["n"]):
                 if not _expected_uses(word, chances, longest, uses, float(n)):
                     _expected_uses_log(word, scores, longest, uses, float(n))
-        yield pd.DataFrame({"piece": list(uses), "uses": list(uses.values())})
+        if uses:
+            yield pd.DataFrame({"piece": list(uses), "uses": list(uses.values())})
 
     summed = counts.mapInPandas(run, "piece string, uses double").groupBy("piece").agg(
         F.round(F.sum("uses"), 6).alias("uses"))
@@ -184,6 +185,7 @@ def fit_subword_vocab(lines: DataFrame, body: str, size: int, max_chars: int = M
     """(piece, piece_id, score): at most `size` entries, fewer when the text does not support more."""
     spark = lines.sparkSession
     counts = settle(word_counts(lines, body).repartition(spark.sparkContext.defaultParallelism, "word"))
+    work = spread(counts, "word")
     seeds = {r["piece"]: float(r["n"]) for r in seed_pieces(counts, SEED_FACTOR * size, max_chars).collect()}
     scores = _log_probabilities(seeds)
     room = size - len(RESERVED) - sum(len(p) == 1 for p in scores)
@@ -191,7 +193,7 @@ def fit_subword_vocab(lines: DataFrame, body: str, size: int, max_chars: int = M
         raise ValueError(f"{size} entries cannot hold all characters of the text")
     while True:
         for _ in range(EM_ROUNDS):
-            uses = _expectation(counts, scores)
+            uses = _expectation(work, scores)
             # Unlikely longer pieces go at once; characters stay, so that every word keeps a split.
             alive = {p: max(uses.get(p, 0.0), 1e-6) for p in scores if len(p) == 1 or uses.get(p, 0.0) >= 0.5}
             scores = _log_probabilities(alive)

@@ -40,7 +40,8 @@ def dense_ids(spark, sf):
 @query("join_author_id", f"WITH {q.EV}, {DENSE} SELECT post_id, author, author_id FROM ev JOIN dense USING (author)")
 def join_author_id(spark, sf):
     events = inputs.events(spark, sf).select("post_id", "author")
-    return events.join(history.dense_ids(events, "author", "author_id"), "author").select("post_id", "author", "author_id")
+    ids = history.dense_ids(events, "author", "author_id")
+    return history.join_author_id(events, ids).select("post_id", "author", "author_id")
 
 
 @query("lookup_action", f"""

@@ -24,6 +24,16 @@ def test_queries_equal_their_twins():
     assert run.returncode == 0, run.stdout[-3000:] + run.stderr[-500:]
 
 
+def test_time_stamps_do_not_depend_on_the_session_zone(spark):
+    found = []
+    before = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        found.append(sorted(map(tuple, entry.queries()["hour_of"](spark, DATA).collect())))
+    spark.conf.set("spark.sql.session.timeZone", before)
+    assert found[0] == found[1]
+
+
 def test_plans_hold_no_pair_joins(spark):
     """No cross join or nested loop anywhere in the flagship and composed queries."""
     for name in ("rank_eval", "score_pairs", "link_eval", "build_pairs", "tfidf_linking", "assemble_history",

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkprint.operators import pairs, ranking, verification
+from inkprint.operators.joins import join_dimension
 
 RNG = np.random.default_rng(7)
 QUERIES = [(i, i % 12, RNG.normal(size=6).tolist()) for i in range(40)]
@@ -84,6 +85,15 @@ def test_precomputed(spark):
         assert got[q] == 1 + [m for _, _, m in order].index(1)
 
 
+def test_salted_lookup_equals_broadcast(spark):
+    facts = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(300)], "id bigint, k bigint")
+    dim = spark.createDataFrame([(i, i * 10) for i in range(0, 300, 2)], "k bigint, v bigint")
+    for how in ("inner", "left"):
+        plain = join_dimension(facts, dim, "k", "id", how)
+        salted = join_dimension(facts, dim, "k", "id", how, max_rows=5, salts=4)
+        assert sorted(map(str, plain.select("id", "k", "v").collect())) == sorted(map(str, salted.select("id", "k", "v").collect()))
+
+
 def test_nearest_and_statistics(spark):
     q, t = frames(spark)
     best = pairs.nearest_targets(q, t, 3, block_rows=4).collect()
