@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,35 @@ def test_one_label_holding_most_rows(spark):
     assert tuple(dist) == (same, 8100 - same)
 
 
+def test_score_counts_in_tiles_and_pages(spark, monkeypatch):
+    q, t = frames(spark)
+    want = {}
+    for _, ql, v in QUERIES:
+        for _, tl, w in TARGETS:
+            cell = want.setdefault(round(-cosine(v, w), 3) + 0.0, [0, 0])
+            cell[int(ql != tl)] += 1
+    counters = pairs._Counts(-1.0, 3)
+    left = pa.table({"label": [ql for _, ql, _ in QUERIES]})
+    right = pa.table({"label": [tl for _, tl, _ in TARGETS]})
+    scores = np.array([[cosine(v, w) for _, _, w in TARGETS] for _, _, v in QUERIES])
+    for i in range(0, 40, 7):
+        counters.add(left.slice(i, 7), right, scores[i:i + 7])
+    plain = {r["score"]: [r["pos"], r["neg"]] for r in counters.result().to_pylist()}
+    assert plain == want
+    monkeypatch.setattr(pairs._Counts, "PAGE", 4)
+    monkeypatch.setattr(pairs._Counts, "MAX_PAGES", 2)
+    few = pairs._Counts(-1.0, 3)
+    for i in range(0, 40, 7):
+        few.add(left.slice(i, 7), right, scores[i:i + 7])
+    merged = {}
+    for r in few.result().to_pylist():
+        old = merged.setdefault(r["score"], [0, 0])
+        merged[r["score"]] = [old[0] + r["pos"], old[1] + r["neg"]]
+    assert merged == want
+    got = {r.score: [r.pos, r.neg] for r in pairs.score_distribution(q, t, decimals=3).collect()}
+    assert got == want
+
+
 def test_sparse_equals_dense(spark):
     dense = RNG.random((20, 30)) * (RNG.random((20, 30)) < 0.2)
     rows = [(i, i % 4, np.nonzero(d)[0].astype(int).tolist(), d[np.nonzero(d)].tolist()) for i, d in enumerate(dense)]
