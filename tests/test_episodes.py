@@ -73,3 +73,18 @@ def test_filters_and_takes(spark):
     assert episodes.repeat_epochs(c, 3).count() == 12
     drawn = [r.draw for r in episodes.shuffle_records(c, "s", "author_id").collect()]
     assert drawn == sorted(drawn)
+
+
+def test_slices_and_picks_cross_segments(spark):
+    """A long history nested in several rows gives the same episodes as one row."""
+    from inkprint.operators.history import assemble_history
+
+    authors = spark.createDataFrame([(0,), (1,)], "author_id bigint")
+    spec = spark.createDataFrame([(0, 3, 7), (1, 0, 2)], "author_id bigint, start bigint, length bigint")
+    picks = spark.createDataFrame([(0, [1, 4, 11]), (1, [4])], "author_id bigint, idx array<bigint>")
+    for size in (4, 100):
+        nested = assemble_history(posts(spark, [12, 5]), authors, segment_posts=size)
+        cut = {r.author_id: r.hour for r in episodes.slice_histories(nested, spec, size).collect()}
+        assert cut == {0: list(range(3, 10)), 1: [0, 1]}
+        got = {r.author_id: r.syms for r in episodes.gather_histories(nested, picks, size).collect()}
+        assert got == {0: [[0, 1], [0, 4], [0, 11]], 1: [[1, 4]]}
