@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from inkprint.functions.sampling import HASH_RANGE
 from inkprint.session import settle
 
-DEFAULT_BUCKETS = 1024
+DEFAULT_BUCKETS = 4096
 
 
 def hash_bucket(hashed: Column, buckets: int = DEFAULT_BUCKETS) -> Column:
