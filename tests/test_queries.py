@@ -5,6 +5,7 @@ import subprocess
 import sys
 
 import __spark_entry__ as entry
+from inkprint.plans.registry import QUERIES
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 DATA = "/root/testdata/sf0.001"
@@ -14,11 +15,11 @@ SELECTION = ["rank_eval", "link_eval", "linking_metrics", "min_dcf", "tfidf_link
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql()) and len(entry.queries()) > 100
+    assert set(QUERIES) <= set(entry.oracle_sql()) and set(QUERIES) <= set(entry.queries()) and len(QUERIES) > 100
 
 
 def test_queries_equal_their_twins():
-    names = [] if os.environ.get("FULL_CHECK") else SELECTION
+    names = sorted(QUERIES) if os.environ.get("FULL_CHECK") else SELECTION
     run = subprocess.run([sys.executable, os.path.join(ROOT, "tools", "check_oracle.py"), DATA, *names],
                          capture_output=True, text=True, timeout=3000)
     assert run.returncode == 0, run.stdout[-3000:] + run.stderr[-500:]
