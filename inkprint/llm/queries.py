@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkprint.llm import embedding_dedup, language, packing, quality, topk
+from inkprint.llm import (
+    embedding_dedup, language, minhash_dedup, mixing, packing, quality, suffix_dedup, topk)
 from inkprint.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +51,76 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+@query
+def op3_mix_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.taken(mixing.mix(table(spark, sf, "documents")))
+
+
+ORACLES["op3_mix_schedule"] = mixing.ORACLE
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf, "documents"), window=50)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op4_suffix_dedup"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS no, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+w AS (
+  SELECT no, doc_id, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS i, h FROM d),
+v AS (SELECT no, doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS k FROM w),
+m AS (SELECT k, min(doc_id) AS least FROM v GROUP BY k),
+c AS (SELECT v.no, v.i FROM v JOIN m ON v.k = m.k WHERE v.doc_id > m.least),
+g AS (SELECT no, i, i - lag(i) OVER (PARTITION BY no ORDER BY i) AS step FROM c),
+s AS (SELECT no, i, sum(CASE WHEN step IS NULL OR step > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY no ORDER BY i) AS s FROM g),
+spans AS (SELECT no, s, min(i) AS a, max(i) + 50 AS b FROM s GROUP BY no, s),
+l AS (SELECT no, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS n_removed FROM spans GROUP BY no)
+SELECT d.doc_id, len(d.h) // 2 AS n_bytes, CAST(coalesce(l.n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(len(l.a), 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN l.a IS NULL THEN d.h ELSE
+         array_to_string(list_transform(range(0, len(l.a) + 1), lambda i:
+           substr(d.h, 2 * CASE WHEN i = 0 THEN 0 ELSE l.b[i] END + 1,
+                  2 * (CASE WHEN i = len(l.a) THEN len(d.h) // 2 ELSE l.a[i + 1] END
+                       - CASE WHEN i = 0 THEN 0 ELSE l.b[i] END))), '') END)) AS kept_sha256
+FROM d LEFT JOIN l ON d.no = l.no
+"""
+
+
+@query
+def op5_minmax_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf, "documents"))
+
+
+ORACLES["op5_minmax_dedup"] = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN w IS NULL OR len(w) = 0 THEN []::VARCHAR[]
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
+c AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 @query
 def op6_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf, "embeddings"), threshold=0.9)
