@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkprint.llm import (
-    embedding_dedup, language, minhash_dedup, mixing, packing, quality, suffix_dedup, topk)
+    embedding_dedup, html_text, language, minhash_dedup, mixing, packing, quality, suffix_dedup, topk, warc)
 from inkprint.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,73 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     model = quality.fit(docs, labels)
     scored = quality.score(docs, model, ["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query
+def op2_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(table(spark, sf, "pages"), ["page_id", "url"])
+
+
+WEEK = 7 * 86_400
+
+
+def page_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page as a WARC response, and a week later as a not-modified revisit under another spelling of its URL.
+    Pages are a minute apart, so another page of the same canonical URL may have been fetched in between."""
+    pages = table(spark, sf, "pages").withColumn("body", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")))
+    time = F.lit(1_600_000_000) + F.col("page_id") * 60
+
+    def stamp(seconds: Column) -> Column:
+        return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+    tag = F.concat(F.lit('ETag: "'), F.md5("body"), F.lit('"\r\n'))
+    name = F.col("page_id").cast("string")
+    response = warc.to_record(
+        F.lit("response"), F.concat(F.lit("page:"), name), F.col("url"), stamp(time), F.lit("200 OK"),
+        F.concat(tag, F.lit("Content-Type: text/html\r\nCache-Control: no-cache\r\nContent-Length: "),
+                 F.length("body").cast("string"), F.lit("\r\n")), F.col("body"))
+    revisit = warc.to_record(
+        F.lit("revisit"), F.concat(F.lit("again:"), name), F.concat(F.col("url"), F.lit("#again")), stamp(time + WEEK),
+        F.lit("304 Not Modified"),
+        F.concat(F.lit("Cache-Control: max-age="), name, F.lit("\r\nContent-Length: 0\r\n"), tag), F.col("body"))
+    return pages.select(F.explode(F.array(response, revisit)).alias("record"))
+
+
+@query
+def op7_warc_revisits(spark: SparkSession, sf: str) -> DataFrame:
+    found = warc.resolve(warc.parse(page_records(spark, sf)), bodies=False)
+    number = F.substring_index("record_id", ":", -1).cast("bigint")
+    return found.select(
+        number.alias("page_id"), "url", "canonical", F.substring_index("refers_to", ":", -1).cast("bigint").alias("refers_to"),
+        "outcome", F.element_at("headers", F.lit("cache-control")).alias("cache_control"),
+        F.element_at("headers", F.lit("content-length")).cast("bigint").alias("content_length"),
+        F.element_at("headers", F.lit("content-type")).alias("content_type"), "digest")
+
+
+ORACLES["op7_warc_revisits"] = r"""
+WITH u AS (
+  SELECT page_id, url, coalesce(html, '') AS html, regexp_replace(trim(url), '#.*$', '') AS p FROM pages),
+h AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(
+      lower(regexp_extract(p, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^.*@', ''), ':[0-9]*$', ''), '^www\.', '') AS host,
+    regexp_replace(regexp_extract(p, '^[^:/?]+://[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(p, '\?(.*)$', 1), '&'), lambda x: x <> ''
+      AND NOT regexp_matches(x, '^(utm_[^=]*|gclid|fbclid)(=.*)?$'))) AS q
+  FROM u),
+c AS (
+  SELECT page_id, url, html, md5(html) AS tag, octet_length(encode(html)) AS n,
+    CASE WHEN host <> '' THEN host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END
+      AS canonical
+  FROM h),
+r AS (
+  SELECT a.page_id, max(b.page_id) AS refers_to FROM c a JOIN c b
+  ON a.canonical = b.canonical AND b.page_id * 60 < a.page_id * 60 + 604800 GROUP BY a.page_id)
+SELECT a.page_id, a.url || '#again' AS url, a.canonical, r.refers_to,
+  CASE WHEN a.canonical IS NULL THEN 'no_url' WHEN r.refers_to IS NULL THEN 'no_response'
+       WHEN a.tag <> b.tag THEN 'tag_differs' ELSE 'resolved' END AS outcome,
+  CASE WHEN a.tag = b.tag THEN 'max-age=' || a.page_id END AS cache_control,
+  CASE WHEN a.tag = b.tag THEN CAST(b.n AS BIGINT) END AS content_length,
+  CASE WHEN a.tag = b.tag THEN 'text/html' END AS content_type,
+  CASE WHEN a.tag = b.tag THEN 'md5:' || b.tag END AS digest
+FROM c a LEFT JOIN r ON r.page_id = a.page_id LEFT JOIN c b ON b.page_id = r.refers_to
+"""

@@ -385,7 +385,7 @@ def _mask_of(sent: Sent, kind: int, replies: list[dict]) -> np.ndarray:
     return mask
 
 
-def _remove(window: int, buckets: int, rest: list[str]) -> Callable:
+def _remove(window: int, buckets: int, rest: list[str], whole: bool) -> Callable:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,6 +410,9 @@ def _remove(window: int, buckets: int, rest: list[str]) -> Callable:
                     np.add.at(change, hit, 1)
                     np.add.at(change, hit + window, -1)
                 gone = np.cumsum(change[:-1]) > 0
+                if whole and gone.any():
+                    letter = np.flatnonzero((chunk.data & 0xC0) != 0x80)  # first bytes of UTF-8 characters
+                    gone = np.repeat(np.logical_or.reduceat(gone, letter), np.diff(np.append(letter, len(gone))))
                 begins = ends - chunk.sizes
                 # Spans by document: a removed run ends at the end of its document.
                 edge = np.zeros(len(gone) + 1, bool)
@@ -433,10 +436,13 @@ def _remove(window: int, buckets: int, rest: list[str]) -> Callable:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None = None, id_col: str = "doc_id",
-                   text_col: str = "text", hot_chunks: int = HOT_CHUNKS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                   text_col: str = "text", hot_chunks: int = HOT_CHUNKS, bucket_bytes: int = BUCKET_BYTES,
+                   whole_characters: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, spans (array of start, end in bytes: what is removed), kept (the remaining
     bytes), and the columns `keep`, renamed to c0, c1, ...
 
+    With `whole_characters` a character goes if one of its bytes does, so what is left is text.
+
     A byte goes if a string of `window` bytes that covers it also starts in a document with a smaller id. The suffixes
     that start at all bytes are ordered through their first `window` bytes only, digit by digit, and leave the sort as
     soon as they are alone. The first digit is the window's anchor, which stands for a run of neighbouring windows, so
@@ -473,7 +479,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None
     answers = settle(answers.groupBy("chunk").agg(
         F.collect_list(F.struct("bucket", "kind", "reply")).alias("answers")))
     full = _joined(_joined(chunks, replies, "replies"), answers, "answers")
-    out = full.mapInArrow(_remove(window, buckets, rest), "id bigint, n_bytes bigint, spans array<struct<start: bigint, "
+    out = full.mapInArrow(_remove(window, buckets, rest, whole_characters), "id bigint, n_bytes bigint, spans array<struct<start: bigint, "
                           "end: bigint>>, kept binary" + (", " + kinds.replace(": ", " ") if kinds else ""))
     return out.withColumnRenamed("id", id_col)
 
