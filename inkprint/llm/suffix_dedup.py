@@ -115,8 +115,8 @@ def _pack(*arrays: np.ndarray) -> bytes:
 # ---- chunks of documents
 
 
-def _chunks(rest: list[str]) -> Callable:
-    """Group documents into rows of about CHUNK_BYTES, so that later passes see the same documents together."""
+def _chunks(rest: list[str], chunk_bytes: int) -> Callable:
+    """Group documents into rows of about `chunk_bytes`, so that later passes see the same documents together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -144,13 +144,13 @@ def _chunks(rest: list[str]) -> Callable:
                                                 rest or ["_none"])
             at = 0
             while at < len(texts):
-                to = int(np.searchsorted(offsets, offsets[at] + max(1, CHUNK_BYTES - size), side="left"))
+                to = int(np.searchsorted(offsets, offsets[at] + max(1, chunk_bytes - size), side="left"))
                 to = min(max(to, at + 1), len(texts))
                 held.append((batch.column("id").slice(at, to - at), np.diff(offsets[at:to + 1]),
                              bytes(body[offsets[at]:offsets[to]]), others.slice(at, to - at)))
                 size += int(offsets[to] - offsets[at])
                 at = to
-                if size >= CHUNK_BYTES or sum(len(h[0]) for h in held) >= 1 << 16:
+                if size >= chunk_bytes or sum(len(h[0]) for h in held) >= 1 << 16:
                     yield row()
                     held, size, number = [], 0, number + 1
         if held:
@@ -437,7 +437,7 @@ def _remove(window: int, buckets: int, rest: list[str], whole: bool) -> Callable
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None = None, id_col: str = "doc_id",
                    text_col: str = "text", hot_chunks: int = HOT_CHUNKS, bucket_bytes: int = BUCKET_BYTES,
-                   whole_characters: bool = False) -> DataFrame:
+                   whole_characters: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per document: id, n_bytes, spans (array of start, end in bytes: what is removed), kept (the remaining
     bytes), and the columns `keep`, renamed to c0, c1, ...
 
@@ -464,7 +464,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None
                        *[F.col(c).alias(r) for c, r in zip(keep, rest, strict=True)])
     kinds = ", ".join(f"{r}: {docs.schema[c].dataType.simpleString()}" for c, r in zip(keep, rest, strict=True))
     chunks = settle(spread(rows, "id").mapInArrow(
-        _chunks(rest), "chunk bigint, raw bigint, ids array<bigint>, sizes binary, data binary, "
+        _chunks(rest, chunk_bytes), "chunk bigint, raw bigint, ids array<bigint>, sizes binary, data binary, "
                        f"rest array<struct<{kinds or '_none: tinyint'}>>"))
     total = chunks.agg(F.sum("raw")).first()[0] or 0
     buckets = int(min(1 << 23, max(1, -(-total // bucket_bytes))))

@@ -45,35 +45,35 @@ def _score(k: int) -> Callable:
     """Best k stored rows of one cell for each query that reached it."""
 
     def score(queries: pa.Table, stored: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()),
-                          "score": pa.array([], pa.int64())})
+        names = ("key", "query_id", "id", "score")
+        empty = pa.table({name: pa.array([], pa.int64()) for name in names})
         if not queries.num_rows or not stored.num_rows:
             return empty
         dim = len(queries.column("vec")[0])
         ids, vec = stored.column("id").to_numpy(), list_column(stored.column("vec"), dim, np.int64)
         order = np.argsort(ids, kind="stable")
         ids, vec = ids[order], vec[order]
-        asked, query = queries.column("query_id").to_numpy(), list_column(queries.column("vec"), dim, np.int64)
+        keys, asked = queries.column("key").to_numpy(), queries.column("query_id").to_numpy()
+        query = list_column(queries.column("vec"), dim, np.int64)
         top = float(np.abs(vec).max(initial=0)) * float(np.abs(query).max(initial=0)) * dim
         kind = np.float64 if top < 2.0 ** 53 else np.int64  # both exact
         wide, out = vec.astype(kind).T, []
         for at in range(0, len(asked), 256):
             s = (query[at:at + 256].astype(kind) @ wide).astype(np.int64)
-            for row, q in zip(s, asked[at:at + 256], strict=True):
+            for row, key, q in zip(s, keys[at:at + 256], asked[at:at + 256], strict=True):
                 keep = np.arange(len(ids))
                 if len(ids) > k + 1:
                     keep = np.flatnonzero(row >= np.partition(row, -(k + 1))[-(k + 1)])
                 keep = keep[ids[keep] != q]
                 keep = keep[np.argsort(-row[keep], kind="stable")][:k]  # ids ascend: ties go to the smaller
-                out.append((np.full(len(keep), q), ids[keep], row[keep]))
-        return pa.table({c: np.concatenate(x) for c, x in zip(("query_id", "id", "score"), zip(*out, strict=True),
-                                                               strict=True)})
+                out.append((np.full(len(keep), key), np.full(len(keep), q), ids[keep], row[keep]))
+        return pa.table({c: np.concatenate(x) for c, x in zip(names, zip(*out, strict=True), strict=True)})
 
     return score
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    order = Window.partitionBy("key", "query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -90,11 +90,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, n_pivots: int = P
     |r - |p - q|| <= d. Only the rings within the bound follow, and rings beyond are never opened. The result is exact.
 
     Defined cases: ties go to the smaller id; fewer than k rows give fewer ranks; vectors of other lengths than a query
-    are no candidates; rows that repeat an id all count as candidates; an empty table gives no rows.
+    are no candidates; rows that repeat an id all count as candidates; equal
+    queries give one list, unequal ones of one id a list each; an empty table gives no rows.
     """
     schema = "query_id bigint, rank int, id bigint, score bigint"
     stored = settle(vectors.select("id", "vec", F.size("vec").alias("dim")))
-    asked = settle(queries.select("id", "vec", F.size("vec").alias("dim")))
+    asked = settle(queries.select("id", "vec", F.size("vec").alias("dim")).distinct())
     dims = [r.dim for r in asked.select("dim").distinct().collect()]  # lengths of vectors, usually one
     spark = vectors.sparkSession
     parts = []
@@ -123,24 +124,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, n_pivots: int = P
             F.struct("pivot", "ring", "cell", "q_block").alias("place"), "id", "vec")
         q_block = F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("q_block")
         q = settle(asked.where(F.col("dim") == dim).mapInArrow(key, fields).select(
-            F.col("id").alias("query_id"), "vec", F.posexplode("all").alias("pivot", "d")))
+            F.xxhash64("id", "vec").alias("key"), F.col("id").alias("query_id"), "vec", F.posexplode("all").alias("pivot", "d")))
         reach = q.join(rings_of, "pivot").withColumn(
             "gap", F.greatest(F.col("low") - F.col("d"), F.col("d") - F.col("high"), F.lit(0.0)))
         spread = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
 
         def visit(rows: DataFrame) -> DataFrame:
-            to = rows.select("pivot", "ring", spread.alias("cell"), q_block, "query_id", "vec").select(
-                F.struct("pivot", "ring", "cell", "q_block").alias("place"), "query_id", "vec")
+            to = rows.select("pivot", "ring", spread.alias("cell"), q_block, "key", "query_id", "vec").select(
+                F.struct("pivot", "ring", "cell", "q_block").alias("place"), "key", "query_id", "vec")
             return to.groupBy("place").cogroup(cells.groupBy("place")).applyInArrow(
-                _score(k), "query_id bigint, id bigint, score bigint")
+                _score(k), "key bigint, query_id bigint, id bigint, score bigint")
 
-        closest = Window.partitionBy("query_id").orderBy("gap", "d", "pivot", "ring")
+        closest = Window.partitionBy("key", "query_id").orderBy("gap", "d", "pivot", "ring")
         order = reach.withColumn("turn", F.row_number().over(closest))
         first = settle(_best(visit(order.where("turn <= 2")), k))
         length = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-        kth = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
+        kth = first.groupBy("key", "query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
         bound = F.sqrt(F.greatest(length + far - 2.0 * F.col("kth"), F.lit(0.0)))
-        rest = order.where("turn > 2").join(kth, "query_id", "left").where(
+        rest = order.where("turn > 2").join(kth, ["key", "query_id"], "left").where(
             F.col("kth").isNull() | (F.col("gap") <= bound + MARGIN * (1.0 + np.sqrt(far) + F.sqrt(length))))
         parts.append(_best(first.drop("rank").unionByName(visit(rest)), k))
     out = spark.createDataFrame([], schema)

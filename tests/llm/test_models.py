@@ -1,0 +1,116 @@
+"""Language, quality and packing: exact sums, separable cases, round trips."""
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+import public_tokenizers
+
+from inkprint.llm import language, packing, quality
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+SCHEMA = "doc_id bigint, text string, lang string, score double, lang_pred int"
+
+
+def test_forward_sums_all_segmentations():
+    names = ["▁", "▁a", "a", "ab", "b", "ba", "▁ab", "bab"]
+    model = language.Model(["x", "y"], language.Pieces(names), np.random.default_rng(1).random((2, len(names) + 2)))
+    model.prob[:, -1] = 0
+    place = {n: i for i, n in enumerate(names)}
+    for word in ("▁abab", "▁bcab", "▁a", "ab"):
+        want = np.zeros(2)
+        for cuts in itertools.product([0, 1], repeat=len(word) - 1):
+            ends = [i + 1 for i, c in enumerate(cuts) if c] + [len(word)]
+            parts = [word[a:b] for a, b in zip([0, *ends], ends)]
+            ids = [place.get(p, len(names) if len(p) == 1 else len(names) + 1) for p in parts]
+            want += model.prob[:, ids].prod(1)
+        assert np.allclose(np.exp(model.log_scores([word])[0]), want)
+
+
+def test_language_of_plain_texts(spark):
+    rows = [(i, t, lang, 0.0, 1) for i, (t, lang) in enumerate([
+        ("the house is on the hill and the river is near", "en"), ("das haus ist auf dem berg und der fluss ist nah", "de"),
+        ("la maison est sur la colline et la rivière est près", "fr")] * 5)]
+    train = spark.createDataFrame(rows, SCHEMA)
+    model = language.fit(train, PIECES)
+    tests = [(1, "The river is near the house", None, 0.0, 0), (2, "der berg und das haus", None, 0.0, 0), (3, None, None, None, None),
+             (4, "12 !!", "en", 0.0, 0), (5, "", None, 0.0, 0), (6, "la rivière " * 20_000, None, 0.0, 0),
+             (None, "x" * 5000, None, 0.0, 0), (1, "The river is near the house", None, 0.0, 0)]
+    got = sorted(map(tuple, language.predict(spark.createDataFrame(tests, SCHEMA), model, ["doc_id", "lang"]).collect()), key=str)
+    by = {r[0]: r[2:] for r in got}
+    assert len(got) == 8 and by[1][0] == "en" and by[2][0] == "de" and by[6][0] == "fr"
+    assert by[3] == by[4] == by[5] == ("und", 0.0) and all(0 <= r[3] <= 1 for r in got)
+    nothing = spark.createDataFrame([], SCHEMA)
+    assert language.predict(nothing, language.fit(nothing, PIECES), ["doc_id"]).count() == 0
+    assert language.predict(train, language.fit(nothing, PIECES), ["doc_id"]).where("lang_pred = 'und'").count() == 15
+
+
+def test_tokens_are_scored_alike_in_any_block(monkeypatch):
+    model = language.learn([("a", "▁ab", 3), ("b", "▁cd", 4)], ["▁", "a", "b", "c", "d", "ab", "cd"])
+    texts = ["ab, cd! ab", "cd-ab cd", "é", "abcd" * 30]
+    want = language._sums(iter(texts), language._Scorer(model))
+    monkeypatch.setattr(language, "CACHE_WORDS", 2)
+    assert np.allclose(language._sums(iter(texts), language._Scorer(model), most=1), want)
+    direct = np.array([model.log_scores(language.parts_of(t)).sum(0) for t in texts])
+    assert np.allclose(want[:, :-1], direct)
+
+
+def test_non_negative_risk_separates():
+    draw = np.random.default_rng(2)
+    good = draw.normal(1, 0.3, (600, quality.BINS + quality.SHAPES)) * (np.arange(quality.BINS + quality.SHAPES) < 4)
+    bad = draw.normal(-1, 0.3, (200, quality.BINS + quality.SHAPES)) * (np.arange(quality.BINS + quality.SHAPES) < 4)
+    model = quality.learn(good[:200], np.vstack([good[200:], bad]), 2 / 3)
+    assert model.score(good).min() > 0.5 > model.score(bad).max()
+
+
+def test_quality_scores_every_text(spark):
+    rows = [(i, f"a calm line of prose number {i} with ordinary words in it" if i % 4 else f"$$$ ### !!! {i} %%%", "en", 0.0, 0)
+            for i in range(80)] + [(90, None, None, None, None), (91, "", "en", 0.0, 0), (None, "x" * 200_000, None, 0.0, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(60)] + [(None, 1), (3, None)], "doc_id bigint, quality int")
+    got = quality.score(docs, quality.fit(docs, labels), ["doc_id"]).collect()
+    assert len(got) == 83 and all(0 <= r.score <= 1 for r in got)
+    held = {r.doc_id: r.score for r in got}
+    assert min(held[i] for i in range(60, 80) if i % 4) > max(held[i] for i in range(60, 80) if not i % 4)
+    nothing = quality.fit(docs.limit(0), labels.limit(0))
+    assert {r.score for r in quality.score(docs, nothing, ["doc_id"]).collect()} == {0.5}
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(BPE)
+    found.encode_special_tokens = True
+    return found
+
+
+def test_unit_wise_encoding_equals_the_library(monkeypatch):
+    own, whole, draw = packing.Encoder(BPE), library(), random.Random(4)
+    monkeypatch.setattr(packing, "PART", 30)
+    parts = [" ", "  ", "\n", " \n", "\n ", "\t", "a", "bc", "é", "12", "!!", "日本", "'s", "<|endoftext|>", "\x1c", "\xa0", " x ", "😀"]
+    for _ in range(800):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 40)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize(("window", "count"), [(16, 2), (64, 8)])
+def test_packing_is_a_round_trip(spark, window, count):
+    draw = random.Random(6)
+    rows = [(i, " ".join(draw.choice(["alpha", "béta", "gam", "d"]) for _ in range(draw.randint(0, 90))), "en", 0.0, 0) for i in range(60)]
+    rows += [(100, None, None, None, None), (101, "", None, 0.0, 0), (102, "long " * 3000, None, 0.0, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    pieces = [r.asDict() for r in packing.pack(docs, BPE, window=window, open_windows=count).collect()]
+    whole, texts = library(), {}
+    for r in sorted(pieces, key=lambda r: r["start"]):
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert len(ids) == r["length"] and r["start"] == len(texts.get(r["doc_id"], []))
+        texts.setdefault(r["doc_id"], []).extend(ids)
+    assert texts == {i: [*whole.encode(t or "", add_special_tokens=False).ids, 0] for i, t, *_ in rows}
+    sequences = {}
+    for r in sorted(pieces, key=lambda r: r["offset"]):
+        assert r["offset"] == sequences.get(r["sequence_id"], 0)
+        sequences[r["sequence_id"]] = r["offset"] + r["length"]
+    assert all(n <= window and (n == window or n & (n - 1) == 0) for n in sequences.values())
+    assert packing.pack(docs.limit(0), BPE).count() == 0
