@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from inkprint.session import spread
 
 BINS = 1024
-SHAPES = 14
+SHAPES = 17
 FIT_ROWS = 8_000
 STEPS = 600
 DEFAULT_PRIOR = 0.5
@@ -23,8 +24,8 @@ for _low, _high, _k in ((0, 255, 6), (97, 122, 0), (65, 90, 1), (48, 57, 2), (9,
 
 
 def features(text: str) -> np.ndarray:
-    """Square roots of shares of hashed byte pairs, and measures of a text's shape: kinds of bytes, repetition of words
-    and lines, words with signs in them, lengths. An empty text has zeros only."""
+    """Square roots of shares of hashed byte pairs, and measures of a text's shape: kinds of bytes, different words and
+    lines, words that end in a sign, lengths, words and lines equal to one just before. An empty text has zeros only."""
     out = np.zeros(BINS + SHAPES, np.float32)
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     if not len(data):
@@ -40,8 +41,11 @@ def features(text: str) -> np.ndarray:
     different = len(set(words))
     signs = sum(not w[-1].isalnum() for w in words)
     n = max(1, len(words))
+    again = [sum(map(operator.eq, words[k:], words)) / n for k in (1, 2)]
+    again.append(sum(map(operator.eq, lines[1:], lines)) / len(lines))
     out[BINS:] = [*(kinds / len(data)), different / n, len(set(lines)) / len(lines), signs / n,
-                  min(1.0, len(text) / n / 20), np.log1p(len(words)) / 10, np.log1p(len(lines)) / 10, 1.0]
+                  min(1.0, len(text) / n / 20), np.log1p(len(words)) / 10, np.log1p(len(lines)) / 10, 1.0,
+                  *np.sqrt(again)]
     return out
 
 
