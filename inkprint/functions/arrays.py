@@ -41,9 +41,9 @@ def unflatten(values: Column, lens: Column) -> Column:
 
 
 def pad_row(row: Column, length: int, fill: int = 0) -> Column:
-    """Cut or right-pad one row to exactly `length`."""
-    cut = F.slice(row, 1, length)
-    return F.concat(cut, F.array_repeat(F.lit(fill), F.lit(length) - F.size(cut)))
+    """Right-pad one row to exactly `length`; a longer row is an error."""
+    padded = F.concat(row, F.array_repeat(F.lit(fill), F.lit(length) - F.size(row)))
+    return F.when(F.size(row) > length, F.raise_error(F.lit(f"a row has more than {length} values"))).otherwise(padded)
 
 
 def pad_rows(rows: Column, length: int, fill: int = 0) -> Column:

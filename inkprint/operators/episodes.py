@@ -30,13 +30,18 @@ def draw_samples(counts: DataFrame, seed: str, samples: int = 1, shortest: int =
 
 
 def short_histories(samples: DataFrame) -> DataFrame:
-    """Draws that do not fit into their history; contiguous sampling leaves them out."""
+    """Draws that do not fit into their history."""
     return samples.where(F.col("n") < F.col("length"))
 
 
-def contiguous_spec(samples: DataFrame, seed: str) -> DataFrame:
-    """A uniform start for every draw that fits."""
-    fits = samples.where(F.col("n") >= F.col("length"))
+def contiguous_spec(samples: DataFrame, seed: str, drop_short: bool = False) -> DataFrame:
+    """A uniform start for every draw. A draw longer than its history is an error, unless `drop_short` leaves it out."""
+    enough = F.col("n") >= F.col("length")
+    if drop_short:
+        fits = samples.where(enough)
+    else:
+        short = F.raise_error(F.concat(F.lit("too few posts for a draw of author "), F.col("author_id").cast("string")))
+        fits = samples.withColumn("n", F.when(enough, F.col("n")).otherwise(short.cast("bigint")))
     return fits.withColumn("start", sampling.episode_start(
         seed, F.col("n"), F.col("length"), F.col("author_id"), F.col("sample_no")))
 

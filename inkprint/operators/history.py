@@ -31,15 +31,28 @@ def timeline(posts: DataFrame, author: str = "author", time: str = "created_utc"
     return numbered.withColumn("pos", F.col("pos") - 1).drop("_bucket")
 
 
+def renumber(posts: DataFrame, author: str = "author", run: int = SEGMENT_POSTS) -> DataFrame:
+    """Close the gaps in `pos` after posts were removed, so that the place in the list is the position again. Counted
+    inside runs of `run` old positions, so a long history is spread over many tasks."""
+    placed = posts.withColumn("_bucket", F.floor(F.col("pos") / run)).withColumnRenamed("pos", "_old")
+    numbered = running_sums(placed, [F.col("_old")], {"pos": F.lit(1)}, keys=[author])
+    return numbered.withColumn("pos", F.col("pos") - 1).select(*posts.columns)
+
+
 def with_segment(posts: DataFrame, segment_posts: int = SEGMENT_POSTS) -> DataFrame:
     return posts.withColumn("segment", F.floor(F.col("pos") / segment_posts))
 
 
 def id_lines(history: DataFrame, segment_posts: int = SEGMENT_POSTS) -> DataFrame:
-    """Text lines of post ids in history order, one per (author, segment)."""
+    """Text lines of post ids in history order, one per (author, segment). A line that goes on with a long history
+    begins with `@first:pos`, the author's first id and the position of the line's first post."""
     ids = F.sort_array(F.collect_list(F.struct("pos", F.col("post_id").cast("string").alias("post_id"))))
-    lines = with_segment(history, segment_posts).groupBy("author", "segment").agg(ids.alias("ids"))
-    return lines.select(F.array_join(F.col("ids.post_id"), " ").alias("value"))
+    lines = settle(with_segment(history, segment_posts).groupBy("author", "segment").agg(ids.alias("ids")))
+    head = lines.groupBy("author").agg(F.min_by(F.col("ids")[0]["post_id"], "segment").alias("first"),
+                                       F.min("segment").alias("segment_0"))
+    mark = F.when(F.col("segment") > F.col("segment_0"), F.concat(
+        F.lit("@"), "first", F.lit(":"), F.col("ids")[0]["pos"].cast("string"), F.lit(" "))).otherwise(F.lit(""))
+    return lines.join(head, "author").select(F.concat(mark, F.array_join(F.col("ids.post_id"), " ")).alias("value"))
 
 
 def dense_ids(values: DataFrame, column: str, name: str, seed: str = "ids") -> DataFrame:

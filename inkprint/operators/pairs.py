@@ -260,13 +260,15 @@ def nearest_targets(queries: DataFrame, targets: DataFrame, k: int, metric: str
         d = sign * s + 0.0
         ids, t_ids = _numbers(q, "id"), _numbers(t, "id")
         keep = min(k, d.shape[1])
-        order = np.lexsort((np.broadcast_to(t_ids, d.shape), d), axis=1)[:, :keep] if d.size else (
-            np.zeros((len(d), 0), int))
-        return pa.table({
-            "q": np.repeat(ids, order.shape[1]), "t": t_ids[order.ravel()] if t.num_rows else np.array([], np.int64),
-            "distance": np.take_along_axis(d, order, axis=1).ravel(),
-            "t_label": _numbers(t, "label")[order.ravel()] if t.num_rows else np.array([], np.int64),
-            "q_label": np.repeat(_numbers(q, "label"), order.shape[1])})
+        # Everything up to the k-th distance, ties included; the ties are then settled by id.
+        last = np.partition(d, keep - 1, axis=1)[:, keep - 1:keep] if d.size else np.zeros((len(d), 1))
+        row, column = np.nonzero(d <= last)
+        order = np.lexsort((t_ids[column], d[row, column], row))
+        row, column = row[order], column[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, column = row[place < keep], column[place < keep]
+        return pa.table({"q": ids[row], "t": t_ids[column], "distance": d[row, column],
+                         "t_label": _numbers(t, "label")[column], "q_label": _numbers(q, "label")[row]})
 
     cells = pair_cells(queries, targets, reduce, "q bigint, t bigint, distance double, t_label bigint, q_label bigint",
                        metric, decimals, block_rows)

@@ -18,6 +18,11 @@ from inkprint.session import settle
 DEFAULT_BUCKETS = 4096
 
 
+def buckets_for(rows: int, rows_per_bucket: int = 250_000, least: int = 64, most: int = 1 << 20) -> int:
+    """As many buckets as the rows need, so that a bucket keeps its size when the data grow."""
+    return max(least, min(most, rows // rows_per_bucket + 1))
+
+
 def hash_bucket(hashed: Column, buckets: int = DEFAULT_BUCKETS) -> Column:
     """Order-preserving bucket of a 32-bit hash: no sampling and no skew on distinct keys."""
     return F.floor(hashed / F.lit(HASH_RANGE // buckets)).cast("int")
@@ -86,10 +91,11 @@ def running_sums(
 
 def number_rows(
     df: DataFrame, hashed: Column, tie: Sequence[str], name: str, keys: Sequence[str] = (),
-    buckets: int = DEFAULT_BUCKETS, total: str | None = None,
+    buckets: int | None = None, total: str | None = None,
 ) -> DataFrame:
     """Consecutive numbers from 0 in the order of a 32-bit hash, ties by the `tie` columns; per key if given.
-    `total` names a column for the number of rows (per key)."""
+    `total` names a column for the number of rows (per key). Without `buckets` the rows are counted first."""
+    buckets = buckets or buckets_for(df.count())
     hashed_rows = df.withColumn("_hash", hashed).withColumn("_bucket", hash_bucket(F.col("_hash"), buckets))
     numbered = running_sums(hashed_rows, [F.col("_hash"), *[F.col(t) for t in tie]], {name: F.lit(1)}, keys,
                             totals=total is not None)
@@ -108,10 +114,10 @@ def take_in_order(
     return number_rows(df, hashed, tie, "_number").where(F.col("_number") < count).drop("_number")
 
 
-def take_first(df: DataFrame, key: str, count: int, small: int = 100_000, buckets: int = 256) -> DataFrame:
+def take_first(df: DataFrame, key: str, count: int, small: int = 100_000, buckets: int | None = None) -> DataFrame:
     """First `count` rows by a unique numeric key; large counts are numbered in buckets like above."""
     if count <= small:
         return df.orderBy(key).limit(count)
-    placed = with_quantile_bucket(df, key, buckets)
+    placed = with_quantile_bucket(df, key, buckets or buckets_for(df.count()))
     numbered = running_sums(placed, [F.col(key)], {"_number": F.lit(1)})
     return numbered.where(F.col("_number") <= count).drop("_number", "_bucket")

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from inkprint.functions.vectors import metric_distance
 from inkprint.operators import pairs
 from inkprint.operators.joins import join_dimension
+from inkprint.operators.prefix import running_sums
 from inkprint.session import settle
 
 RECALL_AT = (1, 2, 4, 8, 16, 32, 64)
+RANKS_PER_BUCKET = 65_536
 MAX_BROADCAST_TARGETS = 10_000  # rows with a vector each
 
 
@@ -76,15 +78,23 @@ def rank_from_scores(scores: DataFrame) -> DataFrame:
 
 
 def rank_metrics(ranks: DataFrame, n_targets: int | None = None) -> DataFrame:
-    """One row of ranking metrics. Ranks are first counted, so the final step sees distinct ranks only."""
-    counts = ranks.groupBy("rank").agg(F.count("*").alias("n"))
+    """One row of ranking metrics. Ranks are first counted; the median comes from running counts in ranges of
+    `RANKS_PER_BUCKET` ranks, so that no task holds all distinct ranks."""
+    counts = settle(ranks.groupBy("rank").agg(F.count("*").alias("n")))
+    placed = counts.withColumn("_bucket", F.floor(F.col("rank") / RANKS_PER_BUCKET))
+    running = running_sums(placed, [F.col("rank")], {"upto": F.col("n")}, totals=True)
     total = F.sum("n")
-    row = counts.agg(
+    middle = (F.col("upto_total") - 1) / 2
+
+    def at(index: Column) -> Column:
+        return F.min(F.when(F.col("upto") > index, F.col("rank")))
+
+    row = running.agg(
         (F.sum(F.col("n") / F.col("rank")) / total).alias("mrr"),
         (F.sum(F.col("n") * F.col("rank")) / total).alias("mean_rank"),
         F.min("rank").cast("bigint").alias("min_rank"),
         F.max("rank").cast("bigint").alias("max_rank"),
-        F.expr("percentile(rank, 0.5D, n)").alias("median_rank"),
+        ((at(F.floor(middle)) + at(F.ceil(middle))) / 2).alias("median_rank"),
         *[(F.sum(F.when(F.col("rank") <= k, F.col("n")).otherwise(0)) / total).alias(f"recall_at_{k}")
           for k in RECALL_AT],
         total.cast("bigint").alias("num_queries"),

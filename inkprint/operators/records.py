@@ -49,8 +49,9 @@ def truncate_symbols(histories: DataFrame, max_length: int = MAX_POST_SYMBOLS) -
     return histories.withColumn("syms", arrays.truncate_rows(F.col("syms"), max_length))
 
 
-def ragged_features(histories: DataFrame, max_length: int | None = MAX_POST_SYMBOLS) -> DataFrame:
-    """Nested symbols to flat values, row lengths and number of posts. `max_length=None` keeps whole posts."""
+def ragged_features(histories: DataFrame, max_length: int | None = None) -> DataFrame:
+    """Nested symbols to flat values, row lengths and number of posts in the row. Whole posts, unless `max_length` is
+    given."""
     rows = F.col("syms") if max_length is None else arrays.truncate_rows(F.col("syms"), max_length)
     cut = histories.withColumn("_rows", rows)
     return cut.withColumns({
@@ -73,31 +74,40 @@ def valid_history() -> Column:
 
 
 def history_violations(histories: DataFrame) -> DataFrame:
-    """Number of rows checked and of rows failing each rule."""
+    """Number of histories checked and of rows failing each rule. A long history is several rows but has one segment 0."""
     return histories.agg(
-        F.count("*").alias("n_rows"),
+        _histories(histories).alias("n_rows"),
         F.count_if(F.coalesce(F.size("syms") < 1, F.lit(True))).alias("n_empty"),
         F.count_if(~valid_history()).alias("n_invalid"))
 
 
+def _histories(rows: DataFrame) -> Column:
+    return F.count_if(F.col("segment") == 0) if "segment" in rows.columns else F.count("*")
+
+
 def record_violations(records: DataFrame) -> DataFrame:
     total = F.aggregate("lens", F.lit(0), lambda acc, x: acc + x)
     return records.agg(
-        F.count("*").alias("n_rows"),
+        _histories(records).alias("n_rows"),
         F.count_if(total != F.size("syms")).alias("n_bad_length"),
         F.count_if(F.size("lens") != F.col("num_posts")).alias("n_bad_posts"))
 
 
 def select_features(records: DataFrame, config: FeatureConfig) -> DataFrame:
-    """Only the configured columns: the scan below reads nothing else."""
-    return records.select(*config.columns)
+    """Only the configured columns, and the segment that orders the rows of a long history: the scan below reads
+    nothing else."""
+    return records.select(*_segment(records), *config.columns)
+
+
+def _segment(records: DataFrame) -> list[str]:
+    return ["segment"] if "segment" in records.columns else []
 
 
 def split_label(records: DataFrame, config: FeatureConfig) -> DataFrame:
     others = [c for c in config.columns if c != config.label_feature]
-    return records.select(F.struct(*others).alias("features"), F.col(config.label_feature).alias("label"))
+    return records.select(*_segment(records), F.struct(*others).alias("features"), F.col(config.label_feature).alias("label"))
 
 
 def pad_posts(records: DataFrame, length: int = MAX_POST_SYMBOLS) -> DataFrame:
-    """Dense rows of exactly `length` symbols, zeros on the right."""
+    """Dense rows of exactly `length` symbols, zeros on the right. A longer post is an error: truncate first."""
     return records.withColumn("syms", arrays.pad_rows(arrays.unflatten(F.col("syms"), F.col("lens")), length))

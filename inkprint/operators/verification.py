@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkprint.operators import pairs
-from inkprint.operators.prefix import running_sums, with_quantile_bucket, with_range_bucket
+from inkprint.operators.prefix import buckets_for, running_sums, with_quantile_bucket, with_range_bucket
 from inkprint.session import settle
 
-BUCKETS = 64
-
 
 def score_counts(trials: DataFrame) -> DataFrame:
     """(score, pos, neg) from (score, is_match): exact for every metric that treats equal scores alike."""
@@ -18,13 +16,14 @@ def score_counts(trials: DataFrame) -> DataFrame:
         F.sum(1 - F.col("is_match").cast("bigint")).alias("neg"))
 
 
-def roc_curve(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def roc_curve(counts: DataFrame, buckets: int | None = None) -> DataFrame:
     """Cumulative counts at every distinct score, best score first, with the `kept` flag of the corner points.
 
     `true_pos` and `false_pos` count pairs scored at least as high. A point is dropped as collinear when both
     counts step on to the next point exactly as they stepped to this one.
     """
-    placed = with_quantile_bucket(settle(counts), "score", buckets)
+    counts = settle(counts)
+    placed = with_quantile_bucket(counts, "score", buckets or buckets_for(counts.count()))
     point = F.struct("pos", "neg")
     per_bucket = placed.groupBy("_bucket").agg(
         F.sum("pos").alias("bp"), F.sum("neg").alias("bn"), F.max_by(point, "score").alias("head"))
@@ -101,7 +100,7 @@ def min_dcf_column(p_target: float = 0.01, c_miss: float = 1.0, c_fa: float = 1.
 def error_rates(trials: DataFrame, id_columns: list[str], buckets: int | None = None) -> DataFrame:
     """Error rates after each item in ascending score order, ties in id order: fnr = positives so far / all,
     fpr = 1 - negatives so far / all. Range buckets over (score, ids) split even a single hot score."""
-    count = buckets or trials.sparkSession.sparkContext.defaultParallelism
+    count = buckets or buckets_for(trials.count(), least=trials.sparkSession.sparkContext.defaultParallelism)
     order = ["score", *id_columns]
     placed = with_range_bucket(trials.select(*order, F.col("is_match").cast("int").alias("is_match")), order, count)
     sums = {"cum_pos": F.col("is_match"), "cum_neg": 1 - F.col("is_match")}

@@ -40,7 +40,7 @@ WITH {q.TL}, {draws('contiguous', 1)}
 SELECT author_id, sample_no, pos - start AS ep_pos, pos, post_id
 FROM sp JOIN tl ON CAST(author AS BIGINT) = author_id AND pos >= start AND pos < start + length""")
 def episode_contiguous(spark, sf):
-    spec = episodes.contiguous_spec(episodes.draw_samples(counts(spark, sf), "contiguous"), "contiguous")
+    spec = episodes.contiguous_spec(episodes.draw_samples(counts(spark, sf), "contiguous"), "contiguous", drop_short=True)
     return episodes.episode_posts(episodes.spec_positions(spec), order_posts(spark, sf)).select(
         F.col("author_id"), F.col("sample_no").cast("bigint").alias("sample_no"), "ep_pos", "pos", "post_id")
 
@@ -93,7 +93,7 @@ m AS (SELECT sp.author_id, sample_no, pos - start AS ep_pos, hour, action_id, sy
 {EPISODE_ROWS}""")
 def episodes_per_author(spark, sf):
     """Eight episodes per author, as in the published triplet runs."""
-    spec = episodes.contiguous_spec(episodes.draw_samples(counts(spark, sf), "multi", 8), "multi")
+    spec = episodes.contiguous_spec(episodes.draw_samples(counts(spark, sf), "multi", 8), "multi", drop_short=True)
     members = episodes.episode_posts(episodes.spec_positions(spec), inputs.encoded_posts(spark, sf))
     return episode_rows(episodes.nest_episodes(members))
 
@@ -157,7 +157,7 @@ SELECT author_id, count(*) AS num_posts, md5(array_to_string(list(text ORDER BY
 FROM m GROUP BY author_id""")
 def concat_posts(spark, sf):
     """Texts of one episode per author, concatenated."""
-    spec = episodes.contiguous_spec(episodes.draw_samples(counts(spark, sf), "concat"), "concat")
+    spec = episodes.contiguous_spec(episodes.draw_samples(counts(spark, sf), "concat"), "concat", drop_short=True)
     members = episodes.episode_posts(episodes.spec_positions(spec), order_posts(spark, sf))
     docs = inputs.documents(spark, sf).select("doc_id", "text")
     texts = inputs.with_doc(members, docs, docs.count())
@@ -180,7 +180,7 @@ PAIR_COLUMNS = "l AS left_author, l_start AS left_start, r AS right_author, r_st
 
 
 def pair_samples(spark, sf):
-    return episodes.contiguous_spec(episodes.draw_samples(counts(spark, sf), "pairs", 3), "pairs")
+    return episodes.contiguous_spec(episodes.draw_samples(counts(spark, sf), "pairs", 3), "pairs", drop_short=True)
 
 
 def pair_rows(pairs, *more):
@@ -225,6 +225,6 @@ m AS (SELECT sp.author_id, sample_no, pos - start AS ep_pos, hour, action_id, sy
 def build_training_view(spark, sf):
     """Take and filter first, then sample: a filter on authors sits below the sampling and reaches the scan."""
     known = episodes.take_queries(counts(spark, sf), 0)
-    spec = episodes.contiguous_spec(episodes.draw_samples(known, "train", 4, 1, 16), "train")
+    spec = episodes.contiguous_spec(episodes.draw_samples(known, "train", 4, 1, 16), "train", drop_short=True)
     members = episodes.episode_posts(episodes.spec_positions(spec), inputs.encoded_posts(spark, sf))
     return episode_rows(episodes.nest_episodes(members))

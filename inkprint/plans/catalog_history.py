@@ -84,7 +84,8 @@ def assemble_history(spark, sf):
 
 
 @query("assemble_without_heldout", f"""
-WITH {q.EP}, k AS (SELECT * FROM ep WHERE community <> 'error'),
+WITH {q.EP}, k AS (SELECT * REPLACE (row_number() OVER (PARTITION BY author_id ORDER BY pos) - 1 AS pos) FROM ep
+                   WHERE community <> 'error'),
 hist AS (
   SELECT a.author_id, coalesce(pos // 1024, 0) AS segment, coalesce(list(syms ORDER BY pos) FILTER (pos IS NOT NULL), []) AS syms,
          coalesce(list(hour ORDER BY pos) FILTER (pos IS NOT NULL), []) AS hour,
@@ -94,8 +95,10 @@ hist AS (
   FROM (SELECT DISTINCT author_id FROM ep) a LEFT JOIN k ON k.author_id = a.author_id GROUP BY 1, 2)
 {HISTORY_ROWS} FROM hist""")
 def assemble_without_heldout(spark, sf):
-    """The whole preprocessing: order, remove held-out posts, look up, nest; authors left without posts stay."""
+    """The whole preprocessing: order, remove held-out posts, close the gaps, look up, nest; authors left without posts
+    stay."""
     kept = history.exclude_heldout(inputs.encoded_posts(spark, sf), inputs.heldout(spark, sf))
+    kept = history.renumber(kept, "author_id")
     return history_rows(history.assemble_history(kept, inputs.authors(spark, sf)))
 
 
@@ -144,7 +147,7 @@ def thread_histories(spark, sf):
     items = F.sort_array(F.collect_list(F.struct("pos", "syms")))
     threads = history.with_segment(inputs.thread_posts(spark, sf))
     return threads.groupBy("author_id", "segment").agg(items.alias("i")).select(
-        "author_id", F.col("i.syms").alias("syms"))
+        "author_id", "segment", F.col("i.syms").alias("syms"))
 
 
 @query("truncate_symbols", f"""
@@ -155,7 +158,7 @@ def truncate_symbols(spark, sf):
 
 
 @query("ragged_features", f"""
-WITH {THREADS}, c AS (SELECT author_id, list_transform(syms, lambda r: r[1:32]) AS s FROM hist)
+WITH {THREADS}, c AS (SELECT author_id, syms AS s FROM hist)
 SELECT author_id, len(s) AS num_posts, {q.joined('list_transform(s, lambda r: len(r))')} AS lens,
        md5({q.joined('flatten(s)')}) AS syms_md5 FROM c""")
 def ragged_features(spark, sf):
@@ -167,7 +170,7 @@ def ragged_features(spark, sf):
 @query("unflatten", f"WITH {THREADS} SELECT author_id, len(syms) AS n_rows, md5({ROWS.format('syms')}) AS syms_md5 FROM hist")
 def unflatten(spark, sf):
     """Flat values and lengths back to rows: the nested form of the whole posts returns."""
-    flat = records.ragged_features(thread_histories(spark, sf), max_length=None)
+    flat = records.ragged_features(thread_histories(spark, sf))
     nested = records.nested_symbols(flat)
     return nested.select("author_id", F.size("syms").cast("bigint").alias("n_rows"),
                          F.md5(arrays.joined_rows(F.col("syms"))).alias("syms_md5"))
@@ -178,7 +181,7 @@ PADDED = "list_transform(syms, lambda r: list_resize(r[1:32], 32, 0::BIGINT))"
 
 @query("pad_posts", f"WITH {THREADS} SELECT author_id, md5({ROWS.format(PADDED)}) AS syms_md5 FROM hist")
 def pad_posts(spark, sf):
-    padded = records.pad_posts(records.ragged_features(thread_histories(spark, sf)))
+    padded = records.pad_posts(records.ragged_features(thread_histories(spark, sf), records.MAX_POST_SYMBOLS))
     return padded.select("author_id", F.md5(arrays.joined_rows(F.col("syms"))).alias("syms_md5"))
 
 
@@ -220,20 +223,21 @@ def one_hot_time(spark, sf):
 
 
 @query("select_features", f"""
-WITH {q.HIST} SELECT author_id, len(syms) AS num_posts, {q.joined('hour')} AS hours, {q.joined('day')} AS days FROM hist""")
+WITH {q.HIST} SELECT author_id, segment, len(syms) AS num_posts, {q.joined('hour')} AS hours, {q.joined('day')} AS days
+FROM hist""")
 def select_features(spark, sf):
     config = records.FeatureConfig(sequence_features=["hour", "day"])
     chosen = records.select_features(records.ragged_features(inputs.histories(spark, sf)), config)
-    return chosen.select("author_id", "num_posts", arrays.joined(F.col("hour")).alias("hours"),
+    return chosen.select("author_id", "segment", "num_posts", arrays.joined(F.col("hour")).alias("hours"),
                          arrays.joined(F.col("day")).alias("days"))
 
 
 @query("split_label", f"""
-WITH {q.HIST} SELECT author_id AS label, len(syms) AS num_posts, {q.joined('hour')} AS hours FROM hist""")
+WITH {q.HIST} SELECT author_id AS label, segment, len(syms) AS num_posts, {q.joined('hour')} AS hours FROM hist""")
 def split_label(spark, sf):
     config = records.FeatureConfig(sequence_features=["hour"])
     split = records.split_label(records.ragged_features(inputs.histories(spark, sf)), config)
-    return split.select("label", F.col("features.num_posts").alias("num_posts"),
+    return split.select("label", "segment", F.col("features.num_posts").alias("num_posts"),
                         arrays.joined(F.col("features.hour")).alias("hours"))
 
 

@@ -52,14 +52,13 @@ def tfidf_weights(spark, sf):
 
 # Author vectors of both sides: qv and tv (label, term, w), unit length.
 AUTHOR_VECTORS = f"""{DOCS}, {q.TFIDF},
-sp AS (SELECT doc_id, text, CAST(substr(source, 4) AS BIGINT) AS label, (doc_id // 20) % 2 AS side,
-              row_number() OVER (PARTITION BY source, (doc_id // 20) % 2 ORDER BY doc_id) - 1 AS pos FROM documents),
-atk AS (SELECT side, label, pos, unnest(regexp_extract_all(text, '{q.TOKEN}')) AS term FROM sp),
+sp AS (SELECT doc_id, text, CAST(substr(source, 4) AS BIGINT) AS label, (doc_id // 20) % 2 AS side FROM documents),
+atk AS (SELECT side, label, unnest(regexp_extract_all(text, '{q.TOKEN}')) AS term FROM sp),
 af AS (SELECT side, label, term, count(*) AS tf FROM atk
-       WHERE (side = 0 OR pos < 4) AND term NOT IN (SELECT term FROM stop) GROUP BY side, label, term),
+       WHERE term NOT IN (SELECT term FROM stop) GROUP BY side, label, term),
 aw AS (SELECT side, label, term, af.tf * idf AS raw FROM af JOIN model USING (term)),
 av AS (SELECT side, label, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY side, label)) AS w FROM aw),
-people AS (SELECT DISTINCT side, label FROM sp WHERE side = 0 OR pos < 4),
+people AS (SELECT DISTINCT side, label FROM sp),
 dp AS (SELECT a.label AS q, b.label AS t, sum(a.w * b.w) AS s
        FROM av a JOIN av b ON a.term = b.term AND a.side = 0 AND b.side = 1 GROUP BY a.label, b.label),
 sc AS (SELECT a.label AS q, b.label AS t, a.label = b.label AS same, coalesce(s, 0) AS s
@@ -85,7 +84,7 @@ WITH {AUTHOR_VECTORS},
 counts AS (SELECT round(s, 7) + 0.0::DOUBLE AS score, count(*) FILTER (same) AS pos, count(*) FILTER (NOT same) AS neg
            FROM sc GROUP BY 1), {q.CURVE} {q.LINK_METRICS}""")
 def tfidf_linking(spark, sf):
-    """All posts of a query author against the first four of a target, the reference's episode; whole texts."""
+    """All posts of a query author against all posts of a target author; whole texts."""
     queries, targets = inputs.source_posts(spark, sf)
     return rounded(tfidf.tfidf_linking(queries, targets, tfidf.fit_tfidf(inputs.texts(spark, sf))))
 
@@ -182,7 +181,7 @@ gr AS (SELECT DISTINCT doc_id, {q.word_hash('g')} % {features.NGRAM_BUCKETS} AS
 def episode_members(spark, sf, samples, seed):
     """Posts of the sampled episodes with their feature indices. n-grams are hashed once per document, before the
     shuffle, so that joins move a few integers per post."""
-    spec = episodes.contiguous_spec(episodes.draw_samples(counts(spark, sf), seed, samples), seed)
+    spec = episodes.contiguous_spec(episodes.draw_samples(counts(spark, sf), seed, samples), seed, drop_short=True)
     return members_of(spark, sf, spec)
 
 

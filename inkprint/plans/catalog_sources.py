@@ -57,8 +57,7 @@ def scan_wiki_json(spark, sf):
 
 @query("scan_id_lists", f"""
 WITH {q.TL}
-SELECT first_value(post_id) OVER (PARTITION BY author, pos // 1024 ORDER BY pos) AS first_id, pos % 1024 AS pos, post_id
-FROM tl""")
+SELECT first_value(post_id) OVER (PARTITION BY author ORDER BY pos) AS first_id, pos, post_id FROM tl""")
 def scan_id_lists(spark, sf):
     lines = history.id_lines(inputs.timeline(spark, sf))
     path = inputs.staged(spark, sf, "id_lists", lambda p: writers.write_lines(lines, p))
@@ -94,7 +93,7 @@ def scan_histories(spark, sf):
 
 RECORD_SQL = f"""
 WITH {q.HIST}
-SELECT author_id, len(syms) AS num_posts, md5({q.joined('flatten(syms)')}) AS syms_md5,
+SELECT author_id, segment, len(syms) AS num_posts, md5({q.joined('flatten(syms)')}) AS syms_md5,
        {q.joined('list_transform(syms, lambda r: len(r))')} AS lens, {q.joined('hour')} AS hours,
        {q.joined('action_type')} AS actions
 FROM hist"""
@@ -106,7 +105,7 @@ def whole_records(spark, sf):
 
 def record_rows(df):
     return df.select(
-        "author_id", "num_posts", F.md5(joined(F.col("syms"))).alias("syms_md5"), joined(F.col("lens")).alias("lens"),
+        "author_id", "segment", "num_posts", F.md5(joined(F.col("syms"))).alias("syms_md5"), joined(F.col("lens")).alias("lens"),
         joined(F.col("hour")).alias("hours"), joined(F.col("action_type")).alias("actions"))
 
 
@@ -126,7 +125,8 @@ FROM n WHERE n >= 16"""
 def episode_index(spark, sf):
     counts = inputs.events(spark, sf).groupBy(F.col("author").cast("bigint").alias("author_id")).agg(
         F.count("*").alias("n"))
-    return episodes.contiguous_spec(episodes.draw_samples(counts, "index"), "index").select("author_id", "start", "length")
+    return episodes.contiguous_spec(
+        episodes.draw_samples(counts, "index"), "index", drop_short=True).select("author_id", "start", "length")
 
 
 @query("scan_episode_index", INDEX_SQL)

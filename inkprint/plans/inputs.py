@@ -131,13 +131,15 @@ def trials(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(labels, "doc_id").select(F.col("doc_id").alias("id"), "score", "is_match")
 
 
-def source_posts(spark: SparkSession, sf: str, target_posts: int = 4) -> tuple[DataFrame, DataFrame]:
+def source_posts(spark: SparkSession, sf: str, target_posts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """TF-IDF queries and targets: author = document source; runs of 20 documents fall on the two sides in turn, so
-    every source is on both. Queries have all their posts, targets the first `target_posts` of the history.
+    every source is on both. Both have all their posts, unless `target_posts` keeps the first ones of a target's history.
 
-    The history is ordered on ids alone; only the chosen posts fetch their text."""
+    The history is then ordered on ids alone; only the chosen posts fetch their text."""
     side, label = F.floor(F.col("doc_id") / 20) % 2, F.substring("source", 4, 10).cast("bigint")
     queries = texts(spark, sf).where(side == 0).select("doc_id", "text", label.alias("label"))
+    if target_posts is None:
+        return queries, texts(spark, sf).where(side == 1).select("doc_id", "text", label.alias("label"))
     ids = documents(spark, sf).where(side == 1).select("doc_id", label.alias("label"))
     placed = history.timeline(ids, author="label", time="doc_id", tie="doc_id", bucket_seconds=4096)
     chosen = placed.where(F.col("pos") < target_posts).select("doc_id", "label")

@@ -25,11 +25,16 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_id_lists(spark: SparkSession, path: str) -> DataFrame:
-    """(first_id, pos, post_id) from lines of ids in history order; the first id stands for the line."""
-    ids = F.regexp_extract_all("value", F.lit(_TOKEN), F.lit(0))
-    lines = spark.read.text(path).select(ids.alias("ids")).where(F.size("ids") > 0)
-    return lines.select(F.element_at("ids", 1).cast("bigint").alias("first_id"), F.posexplode("ids").alias("pos", "id")).select(
-        "first_id", F.col("pos").cast("bigint").alias("pos"), F.col("id").cast("bigint").alias("post_id"))
+    """(first_id, pos, post_id) from lines of ids in history order; the first id stands for the history. A line that
+    goes on with a long history names that id and its own first position: `@first:pos`."""
+    mark = F.regexp_extract("value", r"^@\d+:\d+", 0)
+    ids = F.regexp_extract_all(F.regexp_replace("value", r"^@\d+:\d+", ""), F.lit(_TOKEN), F.lit(0))
+    lines = spark.read.text(path).select(mark.alias("mark"), ids.alias("ids")).where(F.size("ids") > 0)
+    on = F.col("mark") != ""
+    first = F.when(on, F.regexp_extract("mark", r"^@(\d+)", 1)).otherwise(F.element_at("ids", 1)).cast("bigint")
+    base = F.when(on, F.regexp_extract("mark", r":(\d+)$", 1)).otherwise(F.lit("0")).cast("bigint")
+    return lines.select(first.alias("first_id"), base.alias("base"), F.posexplode("ids").alias("pos", "id")).select(
+        "first_id", (F.col("base") + F.col("pos")).alias("pos"), F.col("id").cast("bigint").alias("post_id"))
 
 
 def read_heldout_ids(spark: SparkSession, path: str) -> DataFrame:

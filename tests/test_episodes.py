@@ -16,7 +16,9 @@ def posts(spark, sizes):
 def test_contiguous_edges(spark):
     """A history of exactly the episode length starts at 0; a shorter one is reported and left out."""
     samples = episodes.draw_samples(counts(spark, [16, 15, 40]), "s", samples=3)
-    spec = episodes.contiguous_spec(samples, "s").collect()
+    spec = episodes.contiguous_spec(samples, "s", drop_short=True).collect()
+    with pytest.raises(Exception, match="too few posts for a draw of author 1"):
+        episodes.contiguous_spec(samples, "s").collect()
     assert {r.start for r in spec if r.author_id == 0} == {0}
     assert not [r for r in spec if r.author_id == 1]
     assert all(0 <= r.start <= 24 for r in spec if r.author_id == 2)

@@ -71,9 +71,12 @@ def test_ragged_records(spark):
     hist = spark.createDataFrame(
         [(1, [list(range(40)), [], [7]], [1, 2, 3], [0, 0, 0], [0, 0, 0], [1, 1, 1]), (2, [], [], [], [], [])],
         "author_id bigint, syms array<array<int>>, hour array<int>, minute array<int>, day array<int>, action_type array<int>")
-    row = records.ragged_features(hist).where("author_id = 1").first()
+    row = records.ragged_features(hist, 32).where("author_id = 1").first()
     assert row.lens == [32, 0, 1] and row.num_posts == 3 and row.syms == list(range(32)) + [7]
-    dense = records.pad_posts(records.ragged_features(hist)).where("author_id = 1").first().syms
+    assert records.ragged_features(hist).where("author_id = 1").first().lens == [40, 0, 1]
+    with pytest.raises(Exception, match="more than 32"):
+        records.pad_posts(records.ragged_features(hist)).collect()
+    dense = records.pad_posts(records.ragged_features(hist, 32)).where("author_id = 1").first().syms
     assert [len(r) for r in dense] == [32, 32, 32] and dense[1] == [0] * 32
     assert tuple(records.history_violations(hist).first()) == (2, 1, 1)
     assert tuple(records.record_violations(records.ragged_features(hist)).first()) == (2, 0, 0)
@@ -85,3 +88,35 @@ def test_feature_config(tmp_path):
     assert records.FeatureConfig.from_json(str(tmp_path / "c.json")) == config
     with pytest.raises(ValueError, match="unknown feature"):
         records.FeatureConfig(sequence_features=["smell"])
+
+
+def long_history(spark, n=1100):
+    rows = [(1, p, 5000 + p, [p], p % 24, 0, 0, 0) for p in range(n)] + [(2, p, 9000 + p, [p], 0, 0, 0, 0) for p in range(3)]
+    return spark.createDataFrame(
+        rows, "author_id bigint, pos bigint, post_id bigint, syms array<int>, hour int, minute int, day int, action_id int")
+
+
+def test_positions_close_up_after_removal(spark):
+    """Slices of a long history find all their posts, whatever was removed before."""
+    from inkprint.operators import episodes
+
+    kept = history.renumber(long_history(spark).where("author_id = 2 or pos % 40 <> 7 or pos >= 960"), "author_id")
+    assert [r.pos for r in kept.where("author_id = 1").orderBy("pos").collect()] == list(range(1076))
+    nested = history.assemble_history(kept, kept.select("author_id").distinct())
+    for start in (995, 1000, 1010):
+        spec = spark.createDataFrame([(1, start, 16)], "author_id bigint, start bigint, length bigint")
+        assert len(episodes.slice_histories(nested, spec).first().syms) == 16
+    assert records.history_violations(nested).first().n_rows == 2
+    chosen = records.select_features(records.ragged_features(nested), records.FeatureConfig())
+    parts = chosen.where("author_id = 1").orderBy("segment").collect()
+    assert [p.num_posts for p in parts] == [1024, 52] and sum((p.syms for p in parts), [])[:7] == list(range(7))
+
+
+def test_id_lines_keep_the_order_of_long_histories(spark, tmp_path):
+    from inkprint.sources import readers, writers
+
+    posts = long_history(spark).select(F.col("author_id").cast("string").alias("author"), "pos", "post_id")
+    writers.write_lines(history.id_lines(posts, 100), str(tmp_path / "ids"))
+    got = readers.read_id_lists(spark, str(tmp_path / "ids")).collect()
+    want = [(5000 if r.author == "1" else 9000, r.pos, r.post_id) for r in posts.collect()]
+    assert sorted(map(tuple, got)) == sorted(want)
