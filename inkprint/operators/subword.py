@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkprint.functions.text import words
-from inkprint.session import broadcast_if_small, settle, spread
+from inkprint.session import settle, spread
 
 # Word-start mark and the ids of the reserved pieces.
 MARK = "▁"
@@ -40,13 +40,13 @@ def word_counts(lines: DataFrame, body: str) -> DataFrame:
 
 
 def seed_pieces(counts: DataFrame, size: int, max_chars: int = MAX_PIECE_CHARS) -> DataFrame:
-    """(piece, n): every character, and the most valuable repeated substrings (frequency times length)."""
-    spans = counts.select(
-        "word", "n", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"),
-    ).select("word", "n", "at", F.explode(F.sequence(F.lit(1), F.least(
-        F.lit(max_chars), F.length("word") - F.col("at") + 1))).alias("size"))
-    pieces = settle(spans.select(F.substring("word", F.col("at"), F.col("size")).alias("piece"), "n").groupBy("piece").agg(
-        F.sum("n").alias("n")).where((F.length("piece") == 1) | (F.col("n") > 1)))
+    """(piece, n): every character, and the most valuable repeated substrings (frequency times length). A word is first
+    opened into windows of `max_chars`, so that long words cost time in proportion to their length."""
+    starts = F.sequence(F.lit(1), F.length("word"))
+    spans = counts.select("n", F.explode(F.transform(starts, lambda i: F.substring("word", i, F.lit(max_chars)))).alias("w"))
+    sizes = F.sequence(F.lit(1), F.length("w"))
+    pieces = settle(spans.select(F.explode(F.transform(sizes, lambda k: F.substring("w", F.lit(1), k))).alias("piece"), "n"
+                                 ).groupBy("piece").agg(F.sum("n").alias("n")).where((F.length("piece") == 1) | (F.col("n") > 1)))
     characters = pieces.where(F.length("piece") == 1)
     longer = pieces.where(F.length("piece") > 1).orderBy(
         F.desc(F.col("n") * F.length("piece")), "piece").limit(size)
@@ -246,12 +246,21 @@ def encode_posts(posts: DataFrame, vocab: DataFrame, body: str, max_symbols: int
 
 
 def decode_posts(encoded: DataFrame, vocab: DataFrame, key: str, syms: str = "syms") -> DataFrame:
-    """(key, text): pieces joined in order, word marks turned into spaces."""
-    opened = encoded.select(key, F.posexplode_outer(syms).alias("at", "piece_id"))
-    named = opened.join(broadcast_if_small(vocab.select("piece_id", "piece"), MAX_VOCAB), "piece_id", "left")
-    ordered = F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "piece"))))
-    joined = named.groupBy(key).agg(ordered.alias("p"))
-    return joined.select(key, F.ltrim(F.replace(F.array_join(F.col("p.piece"), ""), F.lit(MARK), F.lit(" "))).alias("text"))
+    """(key, text): pieces joined in order, word marks turned into spaces; ids without a piece are left out. The pieces,
+    a table of bounded size, are looked up where the ids are, so nothing is shuffled."""
+    rows = vocab.select("piece_id", "piece").limit(MAX_VOCAB + 1).collect()
+    if len(rows) > MAX_VOCAB:
+        raise ValueError(f"a vocabulary may hold at most {MAX_VOCAB} pieces")
+    shared = encoded.sparkSession.sparkContext.broadcast({r["piece_id"]: r["piece"] for r in rows})
+
+    @F.pandas_udf("string")
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pieces = shared.value
+        for batch in batches:
+            yield batch.map(lambda ids: "" if ids is None else "".join(pieces.get(i, "") for i in ids)).astype(object)
+
+    joined = decode(F.col(syms))
+    return encoded.select(key, F.ltrim(F.replace(joined, F.lit(MARK), F.lit(" "))).alias("text"))
 
 
 def concat_posts(posts: DataFrame, keys: list[str], order: str, body: str = "text") -> DataFrame:
