@@ -58,9 +58,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write the rows once as a table in the shared folder and go on from there: several passes agree, columns can be
     pruned, and a lost executor costs a re-read, not a recomputation."""
     path = staging_path(df.sparkSession, "settled")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
