@@ -51,11 +51,13 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Every document, without the passages of 50 bytes and more that a document with a smaller id has. Characters are
     removed whole. A null text stays null."""
     ship(spark)
-    found = suffix_dedup.remove_repeats(docs, window=50, keep=docs.columns, whole_characters=True)
-    text = f"c{docs.columns.index('text')}"
-    new = F.when(F.size("spans") > 0, F.col("kept").cast("string")).otherwise(F.col(text))
-    cut = found.select(*[new.alias(c) if c == "text" else F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
-    return _sized(cut)
+    others = [c for c in docs.columns if c != "text"]
+    has_text = "_".join(docs.columns) + "_"  # no column's name
+    marked = docs.withColumn(has_text, F.col("text").isNotNull())
+    found = suffix_dedup.remove_repeats(marked, window=50, keep=[*others, has_text], whole_characters=True)
+    text = F.when(F.col(f"c{len(others)}"), F.col("kept").cast("string"))
+    place = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {"text": text}
+    return _sized(found.select(*[place[c].alias(c) for c in docs.columns]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -245,7 +245,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, open_windows: int
     stay null; an empty table gives no rows; other columns are ignored.
     """
     rows = spread(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
-    made = settle(rows.mapInArrow(_first(tokenizer, window, open_windows, keep_ids, end_id), FIELDS))
+    made = settle(rows.mapInArrow(_first(tokenizer, window, open_windows, keep_ids, end_id), FIELDS), "zstd")
     parts, tasks, step = [], rows.rdd.getNumPartitions(), 0
     while True:
         parts.append(made.where("window is not null").withColumn("step", F.lit(step)))
@@ -256,7 +256,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, open_windows: int
         groups = left.coalesce(1) if tasks == 1 else left.repartition(tasks, F.floor(F.col("task") / FAN_IN))
         joined = groups.sortWithinPartitions("task", "doc_id", "start")
         step += 1
-        made = settle(joined.mapInArrow(_again(window, open_windows, keep_ids, tasks == 1), FIELDS))
+        made = settle(joined.mapInArrow(_again(window, open_windows, keep_ids, tasks == 1), FIELDS), "zstd")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
