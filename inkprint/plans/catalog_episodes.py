@@ -14,13 +14,13 @@ from inkprint.plans.registry import query
 N = "n AS (SELECT user_id AS author_id, count(*) AS n FROM events GROUP BY user_id)"
 
 
-def draws(seed: str, samples: int, shortest: int = 16, longest: int = 16) -> str:
+def draws(seed: str, samples: int, shortest: int = 16, longest: int = 16, source: str = "n") -> str:
     """SQL twin of draw_samples and contiguous_spec: d(author_id, n, sample_no, length), sp(... start)."""
     length = "16" if shortest == longest else (
         f"CAST(ceil({longest - shortest}::DOUBLE * pow({q.hash32(seed + '/length', 'author_id', 'sample_no')} "
         f"/ 4294967296::DOUBLE, 1.0::DOUBLE / 3)) AS BIGINT) + {shortest}")
     return f"""{N},
-d0 AS (SELECT author_id, n, unnest(range({samples})) AS sample_no FROM n),
+d0 AS (SELECT author_id, n, unnest(range({samples})) AS sample_no FROM {source}),
 d AS (SELECT *, {length} AS length FROM d0),
 sp AS (SELECT *, {q.hash32(seed + '/start', 'author_id', 'sample_no')} % (n - length + 1) AS start FROM d WHERE n >= length)"""
 
@@ -35,6 +35,12 @@ def order_posts(spark, sf):
     return inputs.timeline(spark, sf).select(F.col("author").cast("bigint").alias("author_id"), "pos", "post_id")
 
 
+def encoded_members(spark, sf, spec):
+    """Posts of the drawn episodes: positions meet the ordered ids first, texts are fetched for those alone."""
+    ids = inputs.timeline(spark, sf).withColumn("author_id", F.col("author").cast("bigint"))
+    return inputs.encoded_choice(spark, sf, episodes.episode_posts(episodes.spec_positions(spec), ids))
+
+
 @query("episode_contiguous", f"""
 WITH {q.TL}, {draws('contiguous', 1)}
 SELECT author_id, sample_no, pos - start AS ep_pos, pos, post_id
@@ -94,8 +100,7 @@ m AS (SELECT sp.author_id, sample_no, pos - start AS ep_pos, hour, action_id, sy
 def episodes_per_author(spark, sf):
     """Eight episodes per author, as in the published triplet runs."""
     spec = episodes.contiguous_spec(episodes.draw_samples(counts(spark, sf), "multi", 8), "multi", drop_short=True)
-    members = episodes.episode_posts(episodes.spec_positions(spec), inputs.encoded_posts(spark, sf))
-    return episode_rows(episodes.nest_episodes(members))
+    return episode_rows(episodes.nest_episodes(encoded_members(spark, sf, spec)))
 
 
 @query("zip_episode_index", INDEX_SQL)
@@ -122,8 +127,7 @@ m AS (SELECT ep.author_id, 0::BIGINT AS sample_no, pos - start AS ep_pos, hour,
 {EPISODE_ROWS}""")
 def episode_from_spec(spark, sf):
     spec = episode_index(spark, sf).withColumn("sample_no", F.lit(0))
-    members = episodes.episode_posts(episodes.spec_positions(spec), inputs.encoded_posts(spark, sf))
-    return episode_rows(episodes.nest_episodes(members))
+    return episode_rows(episodes.nest_episodes(encoded_members(spark, sf, spec)))
 
 
 @query("gather_posts", f"""
@@ -218,13 +222,13 @@ def build_pairs(spark, sf):
 
 
 @query("build_training_view", f"""
-WITH {q.EP}, {draws('train', 4, 1, 16)},
+WITH {q.EP}, {draws('train', 4, 1, 16, source='(SELECT * FROM n WHERE n > 20 ORDER BY author_id LIMIT 1000)')},
 m AS (SELECT sp.author_id, sample_no, pos - start AS ep_pos, hour, action_id, syms
       FROM sp JOIN ep ON ep.author_id = sp.author_id AND pos >= start AND pos < start + length)
 {EPISODE_ROWS}""")
 def build_training_view(spark, sf):
-    """Take and filter first, then sample: a filter on authors sits below the sampling and reaches the scan."""
-    known = episodes.take_queries(counts(spark, sf), 0)
+    """Authors with more than 20 posts, the first 1,000 of them, then the sampling: the steps of the training reader in
+    its order."""
+    known = episodes.take_queries(episodes.filter_num_posts(counts(spark, sf), 20), 1000)
     spec = episodes.contiguous_spec(episodes.draw_samples(known, "train", 4, 1, 16), "train", drop_short=True)
-    members = episodes.episode_posts(episodes.spec_positions(spec), inputs.encoded_posts(spark, sf))
-    return episode_rows(episodes.nest_episodes(members))
+    return episode_rows(episodes.nest_episodes(encoded_members(spark, sf, spec)))

@@ -8,7 +8,7 @@ from inkprint.functions import arrays, calendar
 from inkprint.operators import episodes, history, records
 from inkprint.operators.prefix import running_sums
 from inkprint.plans import inputs, sqlparts as q
-from inkprint.plans.catalog_sources import HISTORY_ROWS, history_rows
+from inkprint.plans.catalog_sources import HISTORY_ROWS, history_rows, record_rows
 from inkprint.plans.registry import query
 
 
@@ -83,16 +83,20 @@ def assemble_history(spark, sf):
     return history_rows(inputs.histories(spark, sf))
 
 
-@query("assemble_without_heldout", f"""
-WITH {q.EP}, k AS (SELECT * REPLACE (row_number() OVER (PARTITION BY author_id ORDER BY pos) - 1 AS pos) FROM ep
-                   WHERE community <> 'error'),
+def thinned(where: str, authors: str = "SELECT DISTINCT author_id FROM ep") -> str:
+    """SQL twin: posts that fulfil a condition, positions closed up, nested for every listed author."""
+    return f"""k AS (SELECT * REPLACE (row_number() OVER (PARTITION BY author_id ORDER BY pos) - 1 AS pos) FROM ep WHERE {where}),
 hist AS (
   SELECT a.author_id, coalesce(pos // 1024, 0) AS segment, coalesce(list(syms ORDER BY pos) FILTER (pos IS NOT NULL), []) AS syms,
          coalesce(list(hour ORDER BY pos) FILTER (pos IS NOT NULL), []) AS hour,
          coalesce(list(minute ORDER BY pos) FILTER (pos IS NOT NULL), []) AS minute,
          coalesce(list(day ORDER BY pos) FILTER (pos IS NOT NULL), []) AS day,
          coalesce(list(action_id ORDER BY pos) FILTER (pos IS NOT NULL), []) AS action_type
-  FROM (SELECT DISTINCT author_id FROM ep) a LEFT JOIN k ON k.author_id = a.author_id GROUP BY 1, 2)
+  FROM ({authors}) a LEFT JOIN k ON k.author_id = a.author_id GROUP BY 1, 2)"""
+
+
+@query("assemble_without_heldout", f"""
+WITH {q.EP}, {thinned("community <> 'error'")}
 {HISTORY_ROWS} FROM hist""")
 def assemble_without_heldout(spark, sf):
     """The whole preprocessing: order, remove held-out posts, close the gaps, look up, nest; authors left without posts
@@ -102,6 +106,22 @@ def assemble_without_heldout(spark, sf):
     return history_rows(history.assemble_history(kept, inputs.authors(spark, sf)))
 
 
+@query("preprocess_with_spec", f"""
+WITH {q.EP}, {thinned("community <> 'error' AND pos BETWEEN 3 AND 18")},
+rec AS (SELECT author_id, segment, len(syms) AS num_posts, md5({q.joined('flatten(syms)')}) AS syms_md5,
+               {q.joined('list_transform(syms, lambda r: len(r))')} AS lens, {q.joined('hour')} AS hours,
+               {q.joined('action_type')} AS actions FROM hist)
+SELECT * FROM rec""")
+def preprocess_with_spec(spark, sf):
+    """The preprocessing of a sampled set, in its order: slice by the spec, remove held-out posts, close the gaps, fetch
+    and look up, nest, flatten to records. A sampled author whose posts are all removed stays, with an empty record."""
+    sliced = history.join_sample_spec(inputs.timeline(spark, sf), inputs.sample_spec(spark, sf))
+    kept = history.renumber(history.exclude_heldout(sliced, inputs.heldout(spark, sf)))
+    posts = inputs.encoded_choice(spark, sf, kept).withColumn("author_id", F.col("author").cast("bigint"))
+    sampled = inputs.sample_spec(spark, sf).select(F.col("author").cast("bigint").alias("author_id"))
+    return record_rows(records.ragged_features(history.assemble_history(posts, sampled)))
+
+
 @query("posts_per_author", f"""
 WITH {q.EP} SELECT author_id, count(*) AS num_posts, sum(len(syms))::BIGINT AS num_symbols FROM ep GROUP BY author_id""")
 def posts_per_author(spark, sf):

@@ -84,6 +84,17 @@ def encoded_posts(spark: SparkSession, sf: str) -> DataFrame:
         F.col("action_id").cast("int").alias("action_id"))
 
 
+def encoded_choice(spark: SparkSession, sf: str, chosen: DataFrame) -> DataFrame:
+    """Symbols, calendar and action id for chosen rows of the timeline (post_id, community, created_utc, ...), other
+    columns kept. Posts are chosen on ids; only texts that some row needs are hashed, and travel once."""
+    placed = chosen.withColumn("doc_id", F.col("post_id") % documents(spark, sf).count())
+    needed = placed.select("doc_id").distinct()
+    docs = spread(documents(spark, sf).join(needed, "doc_id", "left_semi"), "doc_id").select(
+        "doc_id", hashed_symbols(F.col("text"), NUM_SYMBOLS).alias("syms"))
+    named = history.lookup_action(placed.join(docs, "doc_id"), actions(spark, sf))
+    return history.with_calendar(named).withColumn("action_id", F.col("action_id").cast("int"))
+
+
 def authors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(F.col("user_id").alias("author_id")).distinct()
 
