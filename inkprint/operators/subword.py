@@ -12,9 +12,12 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from inkprint.functions.lattice import Pieces, by_length, expected_uses
 from inkprint.functions.text import words
 from inkprint.session import settle, spread
 
@@ -23,9 +26,10 @@ MARK = "▁"
 RESERVED = {"<pad>": 0, "</s>": 1, "<unk>": 2}
 UNK_ID = 2
 
-MAX_PIECE_CHARS = 8
-SEED_FACTOR = 4
-KEEP_FRACTION = 0.75
+MAX_PIECE_CHARS = 16
+SEED_PIECES = 200_000
+VECTOR_CHARS = 40
+KEEP_FRACTION = 0.5
 EM_ROUNDS = 2
 UNKNOWN_PENALTY = 10.0
 CACHED_WORDS = 200_000
@@ -136,24 +140,36 @@ def _expected_uses_log(word: str, scores: dict[str, float], longest: int, uses:
 
 
 def _expectation(counts: DataFrame, scores: dict[str, float]) -> dict[str, float]:
-    """Expected uses of each piece over the whole word table. One partial sum per piece and task is shuffled."""
+    """Expected uses of each piece over the whole word table. One partial sum per piece and task is shuffled.
+
+    Words of one length go through the sums together, as arrays; words so long that their probability would leave the
+    range of floating-point numbers go one by one, in logarithms."""
     shared = counts.sparkSession.sparkContext.broadcast(scores)
     longest = max(map(len, scores))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        uses: dict[str, float] = defaultdict(float)
         scores = shared.value
-        chances = {p: math.exp(s) for p, s in scores.items()}
+        names = list(scores)
+        pieces, prob = Pieces(names), np.exp(np.append(list(scores.values()), -np.inf))
+        uses, rare = np.zeros(len(names) + 1), defaultdict(float)
         for batch in batches:
-            for word, n in zip(batch["word"], batch["n"]):
-                if not _expected_uses(word, chances, longest, uses, float(n)):
-                    _expected_uses_log(word, scores, longest, uses, float(n))
-        if uses:
-            yield pd.DataFrame({"piece": list(uses), "uses": list(uses.values())})
+            words, n = batch["word"].tolist(), batch["n"].to_numpy(np.float64)
+            for group in by_length(words):
+                if len(words[group[0]]) <= VECTOR_CHARS:
+                    expected_uses(pieces.arcs([words[i] for i in group]), prob, n[group], uses)
+                else:
+                    for i in group:
+                        _expected_uses_log(words[i], scores, longest, rare, float(n[i]))
+        found = {p: u for p, u in zip(names, uses) if u > 0}
+        for p, u in rare.items():
+            found[p] = found.get(p, 0.0) + u
+        if found:
+            yield pd.DataFrame({"piece": list(found), "uses": list(found.values())})
 
     summed = counts.mapInPandas(run, "piece string, uses double").groupBy("piece").agg(
         F.round(F.sum("uses"), 6).alias("uses"))
-    out = {r["piece"]: r["uses"] for r in summed.collect()}
+    got = summed.toArrow()
+    out = dict(zip(got["piece"].to_pylist(), got["uses"].to_pylist(), strict=True))
     shared.unpersist()
     return out
 
@@ -174,19 +190,23 @@ def _prune(spark, scores: dict[str, float], uses: dict[str, float], keep: int) -
                     for p, u in zip(batch["piece"], batch["uses"])]
             yield pd.DataFrame({"piece": batch["piece"], "loss": loss})
 
-    longer = spark.createDataFrame([(p, uses.get(p, 0.0)) for p in scores if len(p) > 1], "piece string, uses double")
+    names = [p for p in scores if len(p) > 1]
+    longer = spark.createDataFrame(pa.table({"piece": names, "uses": [float(uses.get(p, 0.0)) for p in names]}))
     ranked = longer.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "piece string, loss double")
-    kept = {r["piece"] for r in ranked.orderBy(F.desc("loss"), "piece").limit(keep).collect()}
+    kept = set(ranked.orderBy(F.desc("loss"), "piece").limit(keep).toArrow()["piece"].to_pylist())
     shared.unpersist()
     return {p: s for p, s in scores.items() if len(p) == 1 or p in kept}
 
 
-def fit_subword_vocab(lines: DataFrame, body: str, size: int, max_chars: int = MAX_PIECE_CHARS) -> DataFrame:
-    """(piece, piece_id, score): at most `size` entries, fewer when the text does not support more."""
+def fit_subword_vocab(lines: DataFrame, body: str, size: int, max_chars: int = MAX_PIECE_CHARS,
+                      seed_size: int = SEED_PIECES) -> DataFrame:
+    """(piece, piece_id, score): at most `size` entries, fewer when the text does not support more. Pieces have at most
+    `max_chars` characters; the fit starts from the `seed_size` most valuable substrings, or four times `size`."""
     spark = lines.sparkSession
     counts = settle(word_counts(lines, body).repartition(spark.sparkContext.defaultParallelism, "word"))
     work = spread(counts, "word")
-    seeds = {r["piece"]: float(r["n"]) for r in seed_pieces(counts, SEED_FACTOR * size, max_chars).collect()}
+    found = seed_pieces(counts, max(seed_size, 4 * size), max_chars).toArrow()
+    seeds = {p: float(n) for p, n in zip(found["piece"].to_pylist(), found["n"].to_pylist(), strict=True)}
     scores = _log_probabilities(seeds)
     room = size - len(RESERVED) - sum(len(p) == 1 for p in scores)
     if room < 0:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from inkprint.functions import arrays, text
@@ -103,10 +104,12 @@ def word_tokens(spark, sf):
 @query("fit_subword_vocab", """
 SELECT piece, piece_id FROM (VALUES ('<pad>', 0::BIGINT), ('</s>', 1), ('<unk>', 2)) t(piece, piece_id)
 UNION ALL
-SELECT CASE WHEN i = 0 THEN 'all characters' WHEN i = 1 THEN 'ids are dense' ELSE 'size within bound' END, 1
-FROM (VALUES (0), (1), (2)) v(i)""")
+SELECT CASE i WHEN 0 THEN 'all characters' WHEN 1 THEN 'ids are dense' WHEN 2 THEN 'size within bound'
+       ELSE 'half the pieces of single characters' END, CASE WHEN i < 3 OR n > 0 THEN 1 ELSE 0 END
+FROM (VALUES (0), (1), (2), (3)) v(i), (SELECT count(*) AS n FROM documents)""")
 def fit_subword_vocab(spark, sf):
-    """The fitted vocabulary is checked, not listed: reserved ids, every character of the text, dense ids, size."""
+    """The fitted vocabulary is checked, not listed: reserved ids, every character of the text, dense ids, size, and that
+    the texts need less than half as many pieces as characters and words."""
     fitted = inputs.subword_vocab(spark, sf)
     reserved = fitted.where(F.col("piece_id") < 3).select("piece", F.col("piece_id").cast("bigint").alias("piece_id"))
     letters = inputs.documents(spark, sf).select(F.explode(F.split("text", "")).alias("piece")).where(
@@ -115,17 +118,28 @@ def fit_subword_vocab(spark, sf):
     shape = fitted.agg(
         ((F.max("piece_id") == F.count("*") - 1) & (F.count_distinct("piece_id") == F.count("*"))).cast("bigint").alias("dense"),
         (F.count("*") <= inputs.SUBWORD_SIZE).cast("bigint").alias("bound"))
+    letters_in = F.aggregate(text.words(F.col("text")), F.lit(0), lambda n, w: n + F.length(w) + 1)
+    encoded = subword.encode_posts(inputs.texts(spark, sf), fitted, "text").select(
+        F.size("syms").alias("n"), letters_in.alias("c"))
+    saved = encoded.agg((F.sum("n") * 2 < F.sum("c")).cast("bigint").alias("piece_id"))
     return reserved.unionByName(missing.withColumn("piece", F.lit("all characters"))).unionByName(
         shape.select(F.lit("ids are dense").alias("piece"), F.col("dense").alias("piece_id"))).unionByName(
-        shape.select(F.lit("size within bound").alias("piece"), F.col("bound").alias("piece_id")))
+        shape.select(F.lit("size within bound").alias("piece"), F.col("bound").alias("piece_id"))).unionByName(
+        saved.select(F.lit("half the pieces of single characters").alias("piece"), "piece_id"))
 
 
 def marked_pieces(spark, sf):
     """Encoded documents with the number of pieces that start a word."""
     fitted = inputs.subword_vocab(spark, sf)
-    starts = [r["piece_id"] for r in fitted.where(F.col("piece").startswith(subword.MARK)).select("piece_id").collect()]
+    rows = fitted.where(F.col("piece").startswith(subword.MARK)).select("piece_id").collect()
+    starts = spark.sparkContext.broadcast(frozenset(r["piece_id"] for r in rows))
+
+    @F.pandas_udf("bigint")
+    def marked(syms: pd.Series) -> pd.Series:
+        return syms.map(lambda ids: sum(i in starts.value for i in ids))
+
     encoded = subword.encode_posts(inputs.texts(spark, sf), fitted, "text")
-    return encoded.select("doc_id", "syms", F.size(F.filter("syms", lambda s: s.isin(starts))).cast("bigint").alias("n_words"))
+    return encoded.select("doc_id", "syms", marked("syms").alias("n_words"))
 
 
 @query("encode_symbols", f"SELECT doc_id, len({q.words('text')}) AS n_words, true AS covers FROM documents")

@@ -11,7 +11,7 @@ from inkprint.session import spread, staging_path
 NUM_SYMBOLS = 65536
 ACTION_VOCAB = 5
 HELDOUT_TYPE = "error"
-SUBWORD_SIZE = 4000
+SUBWORD_SIZE = 32_768
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -136,3 +136,20 @@ def test_expected_uses_agree_in_both_forms():
     assert dict(plain) == pytest.approx(dict(logs))
     assert not subword._expected_uses("ab" * 2000, chances, 3, plain, 1.0)
     assert sum(len(p) * n for p, n in logs.items()) == pytest.approx(2.0 * 5)
+
+
+def test_vectorised_expectation_equals_the_word_by_word_one():
+    import numpy as np
+
+    from inkprint.functions.lattice import Pieces, by_length, expected_uses
+
+    names = ["a", "b", "ab", "ba", "aba", "bb"]
+    scores = {p: -1.0 - 0.3 * i for i, p in enumerate(names)}
+    chances, uses = {p: math.exp(s) for p, s in scores.items()}, defaultdict(float)
+    words, weight = ["abaab", "b", "abbab", "ba"], np.array([2.0, 1.0, 3.0, 5.0])
+    for w, n in zip(words, weight):
+        assert subword._expected_uses(w, chances, 3, uses, n)
+    pieces, got = Pieces(names), np.zeros(len(names) + 1)
+    for group in by_length(words):
+        expected_uses(pieces.arcs([words[i] for i in group]), np.append(list(chances.values()), 0.0), weight[group], got)
+    assert np.allclose(got[:-1], [uses[p] for p in names])
