@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -11,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from inkprint.llm.common import BASE, mix
 from inkprint.session import spread
 
 FIT_DOCS = 2_000
@@ -22,56 +25,105 @@ PRIOR = 0.1  # pseudo-count of every piece
 CACHE_WORDS = 1 << 18
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN_LANGUAGE = "und"
+MARK = "▁"
 
 
 def parts_of(text: str) -> list[str]:
     """Lower-cased runs of letters behind a word mark, cut after `PART` letters; later cuts have no mark."""
     out = []
     for word in _LETTERS.findall(text.lower()):
-        out.append("▁" + word[:PART])
+        out.append(MARK + word[:PART])
         for at in range(PART, len(word), PART):
             out.append(word[at:at + PART])
     return out
 
 
+class Pieces:
+    """Piece numbers by a 64-bit hash of their letters, looked up for whole arrays of substrings at once."""
+
+    BITS = 20
+
+    def __init__(self, names: list[str]) -> None:
+        self.names, self.none, self.unknown = names, len(names) + 1, len(names)
+        self.keys, self.ids = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32)
+        for i, name in enumerate(names):
+            key = self._key(functools.reduce(self._add, map(np.uint64, map(ord, name)), np.zeros(1, np.uint64)), len(name))
+            slot = int(key[0] >> np.uint64(64 - self.BITS))
+            while self.ids[slot] >= 0:
+                slot = (slot + 1) % len(self.ids)
+            self.keys[slot], self.ids[slot] = key[0], i
+
+    @staticmethod
+    def _add(h: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        return h * np.uint64(BASE) + (letter + np.uint64(1))
+
+    @staticmethod
+    def _key(h: np.ndarray, length: int) -> np.ndarray:
+        return mix(h + np.uint64(length * 0xC2B2AE3D27D4EB4F % (1 << 64)))
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        out = np.full(len(key), self.none, np.int32)
+        slot = (key >> np.uint64(64 - self.BITS)).astype(np.int64)
+        left = np.arange(len(key))
+        while len(left):
+            ids = self.ids[slot]
+            hit = (ids >= 0) & (self.keys[slot] == key[left])
+            out[left[hit]] = ids[hit]
+            on = (ids >= 0) & ~hit
+            left, slot = left[on], (slot[on] + 1) % len(self.ids)
+        return out
+
+
 @dataclass
 class Model:
-    """Piece numbers, and log-free probabilities [language, piece]; the last two columns are for a letter outside the
-    vocabulary and for no piece (probability 0)."""
+    """Pieces and their probabilities [language, piece]; the last two columns are for a letter outside the vocabulary
+    and for no piece (probability 0)."""
 
     languages: list[str]
-    pieces: dict[str, int]
+    pieces: Pieces
     prob: np.ndarray
 
     def arcs(self, words: list[str]) -> np.ndarray:
         """[word, start, length - 1]: the piece there, if any. All words have one length."""
-        none, unknown, n = len(self.pieces) + 1, len(self.pieces), len(words[0])
+        n = len(words[0])
+        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n).astype(np.uint64)
         widest = min(n, LONGEST)
-        find = self.pieces.get
-        flat = [find(w[i:i + k], none) if i + k <= n else none
-                for w in words for i in range(n) for k in range(1, widest + 1)]
-        ids = np.array(flat, np.int32).reshape(len(words), n, widest)
-        alone = ids[:, :, 0]
-        alone[alone == none] = unknown
+        ids = np.full((n, widest, len(words)), self.pieces.none, np.int32)
+        for start in range(n):
+            h = np.zeros(len(words), np.uint64)
+            for k in range(1, min(widest, n - start) + 1):
+                h = Pieces._add(h, letters[:, start + k - 1])
+                ids[start, k - 1] = self.pieces.find(Pieces._key(h, k))
+        alone = ids[:, 0]
+        alone[alone == self.pieces.none] = self.pieces.unknown
         return ids
 
+    def _weights(self, ids: np.ndarray, start: int, k: int) -> np.ndarray | None:
+        """[language, word]: probability of the piece of k letters at a place; none if no word has one."""
+        found = ids[start, k - 1]
+        return None if found.min() == self.pieces.none else self.prob[:, found]
+
     def forward(self, ids: np.ndarray) -> np.ndarray:
         """[position, language, word]: probability of everything before the position, over all segmentations."""
-        words, n, widest = ids.shape
+        n, widest, words = ids.shape
         total = np.zeros((n + 1, len(self.languages), words))
         total[0] = 1
         for end in range(1, n + 1):
             for k in range(1, min(end, widest) + 1):
-                total[end] += total[end - k] * self.prob[:, ids[:, end - k, k - 1]]
+                weights = self._weights(ids, end - k, k)
+                if weights is not None:
+                    total[end] += total[end - k] * weights
         return total
 
     def backward(self, ids: np.ndarray) -> np.ndarray:
-        words, n, widest = ids.shape
+        n, widest, words = ids.shape
         total = np.zeros((n + 1, len(self.languages), words))
         total[n] = 1
         for start in range(n - 1, -1, -1):
             for k in range(1, min(n - start, widest) + 1):
-                total[start] += total[start + k] * self.prob[:, ids[:, start, k - 1]]
+                weights = self._weights(ids, start, k)
+                if weights is not None:
+                    total[start] += total[start + k] * weights
         return total
 
     def log_scores(self, words: list[str]) -> np.ndarray:
@@ -98,7 +150,7 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()))
-    ok = (p for p in names if p == "▁" or (p.removeprefix("▁").isalpha() and len(p) <= LONGEST))
+    ok = (p for p in names if p == MARK or (p.removeprefix(MARK).isalpha() and len(p) <= LONGEST))
     return list(dict.fromkeys(ok))
 
 
@@ -112,7 +164,7 @@ def learn(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = R
     for lang, word, n in counts:
         weight[number[lang], place[word]] = n
     size = len(pieces) + 2
-    model = Model(languages, {p: i for i, p in enumerate(pieces)}, np.full((len(languages), size), 1.0 / size))
+    model = Model(languages, Pieces(pieces), np.full((len(languages), size), 1.0 / size))
     model.prob[:, -1] = 0
     groups = [(at, model.arcs([words[i] for i in at])) for at in _by_length(words)]
     for _ in range(rounds if words else 0):
@@ -120,9 +172,11 @@ def learn(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = R
         for at, ids in groups:
             before, after = model.forward(ids), model.backward(ids)
             share = weight[:, at] / before[-1]
-            for start in range(ids.shape[1]):
-                for k in range(1, min(ids.shape[1] - start, ids.shape[2]) + 1):
-                    arc = ids[:, start, k - 1]
+            for start in range(ids.shape[0]):
+                for k in range(1, min(ids.shape[0] - start, ids.shape[1]) + 1):
+                    arc = ids[start, k - 1]
+                    if arc.min() == model.pieces.none:
+                        continue
                     gain = before[start] * model.prob[:, arc] * after[start + k] * share
                     for lang in range(len(languages)):
                         expected[lang] += np.bincount(arc, gain[lang], size)
@@ -164,59 +218,83 @@ def fit(docs: DataFrame, pieces_path: str, fit_docs: int = FIT_DOCS, fit_words:
 
 
 class _Scorer:
-    """Log scores of words, with a table of bounded size per worker."""
+    """Log scores of tokens between white space (the sum over their runs of letters) and whether they have a letter, in
+    a table of bounded size per worker."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.place, self.table = model, {}, np.empty((0, len(model.languages)))
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        """[word, language] of the listed words, which may repeat."""
-        distinct = list(dict.fromkeys(words))
-        new = [w for w in distinct if w not in self.place]
-        if len(self.place) + len(new) > CACHE_WORDS:
-            self.place, self.table, new = {}, self.table[:0], distinct
+        self.model, self.place = model, {}
+        self.table = np.zeros((max(1 << 12, min(CACHE_WORDS, (1 << 22) // max(1, len(model.languages)))),
+                               len(model.languages) + 1))
+
+    def _score(self, tokens: list[str]) -> np.ndarray:
+        runs = [parts_of(t) for t in tokens]
+        distinct = {r: i for i, r in enumerate(dict.fromkeys(r for own in runs for r in own))}
+        out = np.zeros((len(tokens), self.table.shape[1]))
+        if distinct:
+            scores = self.model.log_scores(list(distinct))
+            token = np.repeat(np.arange(len(tokens)), [len(own) for own in runs])
+            np.add.at(out[:, :-1], token, scores[[distinct[r] for own in runs for r in own]])
+            out[token, -1] = 1
+        return out
+
+    def rows(self, tokens: list[str]) -> np.ndarray:
+        """[token, language + 1] of the listed tokens, which may repeat."""
+        new = list({t for t in tokens if t not in self.place})
+        if len(self.place) + len(new) > len(self.table):
+            self.place.clear()
+            new = list(dict.fromkeys(tokens))
+        if len(new) > len(self.table):
+            own = {t: i for i, t in enumerate(new)}
+            return self._score(new)[np.fromiter(map(own.__getitem__, tokens), np.int64, len(tokens))]
         if new:
             before = len(self.place)
-            self.place.update((w, before + i) for i, w in enumerate(new))
-            self.table = np.vstack([self.table[:before], self.model.log_scores(new)])
-        return self.table[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
+            self.place.update(zip(new, range(before, before + len(new)), strict=True))
+            self.table[before:before + len(new)] = self._score(new)
+        return self.table[np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))]
+
+
+def _sums(texts: Iterator[str | None], scorer: _Scorer, most: int = 1 << 17) -> np.ndarray:
+    """[text, language + 1]: the sums over all tokens; texts are read in blocks of tokens."""
+    held, owner = [], []
+
+    def flush() -> None:
+        if held:
+            np.add.at(total, np.repeat([o for o, _ in owner], [n for _, n in owner]), scorer.rows(held))
+        held.clear()
+        owner.clear()
+
+    texts = list(texts)
+    total = np.zeros((len(texts), len(scorer.model.languages) + 1))
+    for i, text in enumerate(texts):
+        tokens = (text or "").lower().split()
+        for at in range(0, len(tokens), most):
+            part = tokens[at:at + most]
+            held += part
+            owner.append((i, len(part)))
+            if len(held) >= most:
+                flush()
+    flush()
+    return total
+
 
+_SCORERS: dict[str, _Scorer] = {}
 
-def _predict(model: Model) -> Callable:
+
+def _predict(model: Model, name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(model)
+        if name not in _SCORERS:  # one per worker and model
+            _SCORERS.clear()
+            _SCORERS[name] = _Scorer(model)
+        scorer = _SCORERS[name]
         for batch in batches:
             lang: list[str] = []
             score: list[float] = []
-            for at in range(0, batch.num_rows, 64):
-                texts = batch.column(0).slice(at, 64)
-                sums = np.zeros((len(texts), len(model.languages)))
-                some = np.zeros(len(texts), bool)
-                held: list[str] = []
-                lengths: list[tuple[int, int]] = []
-
-                def flush() -> None:
-                    if held and model.languages:
-                        rows, start = scorer.rows(held), 0
-                        for i, n in lengths:
-                            sums[i] += rows[start:start + n].sum(0)
-                            start += n
-                    held.clear()
-                    lengths.clear()
-
-                for i, text in enumerate(texts):
-                    words = parts_of(text.as_py() or "")
-                    some[i] = bool(words)
-                    for k in range(0, len(words), 1 << 15):
-                        part = words[k:k + (1 << 15)]
-                        held += part
-                        lengths.append((i, len(part)))
-                        if len(held) >= 1 << 15:
-                            flush()
-                flush()
+            for at in range(0, batch.num_rows, 256):
+                sums = _sums((t.as_py() for t in batch.column(0).slice(at, 256)), scorer)
+                some, sums = sums[:, -1] > 0, sums[:, :-1]
                 if not model.languages:
-                    lang += [UNKNOWN_LANGUAGE] * len(texts)
-                    score += [0.0] * len(texts)
+                    lang += [UNKNOWN_LANGUAGE] * len(sums)
+                    score += [0.0] * len(sums)
                     continue
                 best = sums.argmax(1)
                 share = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
@@ -243,7 +321,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     rows = docs.select(F.col(text_col).alias("_text"), *[F.col(c).alias(p) for c, p in zip(keep, place, strict=True)])
     kinds = ", ".join(f"{p} {docs.schema[c].dataType.simpleString()}" for c, p in zip(keep, place, strict=True))
     scored = spread(rows, *place[:1]).mapInArrow(
-        _predict(model), f"{kinds + ', ' if kinds else ''}lang_pred string, score double")
+        _predict(model, uuid.uuid4().hex), f"{kinds + ', ' if kinds else ''}lang_pred string, score double")
     return scored.select(*[F.col(p).alias(c) for c, p in zip(keep, place, strict=True)], "lang_pred", "score")
 
 
