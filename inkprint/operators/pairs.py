@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 BLOCK_ROWS = 8192
 COUNTING_BLOCK_ROWS = 16_384  # larger cells bring more equal scores together before anything is shuffled
+MAX_PARTITIONS = 20_000
 TILE_ROWS = 2048
 SPARSE_TILE_ROWS = 256  # a tile is made dense over the terms both sides share
 SCORE_DECIMALS = 7
@@ -115,15 +116,31 @@ class _Rows:
 
 class _Counts:
     """Counts scores of a whole cell on the decimal grid. Counters come in pages of neighbouring grid points, so the
-    memory follows the range of scores that occur, not the number of pairs."""
+    memory follows the range of scores that occur, not the number of pairs. Tiles with few pairs, and tiles whose scores
+    are too far apart for pages, are sorted and counted instead; their tables are merged as they grow."""
 
     PAGE = 1 << 22
     MAX_PAGES = 8
+    MERGE_ROWS = 1 << 21
 
     def __init__(self, sign: float, decimals: int) -> None:
         self.sign, self.scale = sign, 10.0 ** decimals
         self.pages: dict[int, np.ndarray] = {}
-        self.spilled: list[pa.Table] = []
+        self.sorted: list[np.ndarray] = []  # rows: point, pos, neg
+        self.limit = self.MERGE_ROWS
+
+    def _keep(self, points: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> None:
+        self.sorted.append(np.stack([points, pos.astype(np.int64), neg.astype(np.int64)]))
+        if sum(x.shape[1] for x in self.sorted) > self.limit:
+            self._merge()
+            self.limit = max(self.MERGE_ROWS, 2 * self.sorted[0].shape[1])
+
+    def _merge(self) -> None:
+        every = np.concatenate(self.sorted, axis=1)
+        order = np.argsort(every[0], kind="stable")
+        every = every[:, order]
+        starts = np.flatnonzero(np.r_[True, every[0, 1:] != every[0, :-1]])
+        self.sorted = [np.stack([every[0, starts], *np.add.reduceat(every[1:], starts, axis=1)])]
 
     def _table(self, points: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> pa.Table:
         return pa.table({"score": points / self.scale + 0.0, "pos": pos.astype(np.int64), "neg": neg.astype(np.int64)})
@@ -133,11 +150,11 @@ class _Counts:
         points = np.rint(self.sign * scores.ravel() * self.scale).astype(np.int64)
         page = points // self.PAGE
         numbers = np.unique(page)
-        if len(self.pages.keys() | set(numbers.tolist())) > self.MAX_PAGES:
-            # Scores too far apart for counters: hand this tile on as counted distinct scores.
+        if not len(points):
+            return
+        if 8 * len(points) < self.PAGE or len(self.pages.keys() | set(numbers.tolist())) > self.MAX_PAGES:
             values, at = np.unique(points, return_inverse=True)
-            self.spilled.append(self._table(values, np.bincount(at[same], minlength=len(values)),
-                                            np.bincount(at[~same], minlength=len(values))))
+            self._keep(values, np.bincount(at[same], minlength=len(values)), np.bincount(at[~same], minlength=len(values)))
             return
         for number in numbers.tolist():
             here = page == number
@@ -150,7 +167,9 @@ class _Counts:
                 self.pages[number] = counts
 
     def result(self) -> pa.Table:
-        parts = list(self.spilled)
+        if self.sorted:
+            self._merge()
+        parts = [self._table(*x) for x in self.sorted]
         for number, counts in self.pages.items():
             pairs = counts.reshape(-1, 2)
             used = np.flatnonzero(pairs.any(axis=1))
@@ -189,8 +208,8 @@ def pair_cells(
     right = targets.withColumn("_j", F.pmod(F.xxhash64("id"), F.lit(n_right)).cast("int")).withColumn(
         "_i", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
     # Both sides may stem from one table; renaming gives each its own attributes. One partitioning serves the
-    # cogroup: as many partitions as cells, up to a few waves of tasks.
-    partitions = min(n_left * n_right, max(4 * tasks, 1))
+    # cogroup: one cell a partition as far as a stage can have that many tasks, so that no task sorts many cells.
+    partitions = min(n_left * n_right, max(4 * tasks, MAX_PARTITIONS))
     left = left.toDF(*left.columns).repartition(partitions, "_i", "_j")
     right = right.toDF(*right.columns).repartition(partitions, "_i", "_j")
 
