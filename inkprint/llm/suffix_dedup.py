@@ -15,7 +15,7 @@ from inkprint.llm.common import mix, window_hashes
 from inkprint.session import settle, spread
 
 WINDOW = 50
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19  # compressed, a row stays well below half a megabyte
 BUCKET_BYTES = 16 << 20
 HOT_CHUNKS = 4096
 BROADCAST_BYTES = 32 << 20
@@ -65,7 +65,8 @@ def find_runs(data: np.ndarray, sizes: np.ndarray, window: int) -> Runs:
             continue
         new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
         stop = np.r_[new[1:], len(start)] - 1
-        found.append((at[new] + begin, grams[at[new]], start[new] + begin, start[stop] + begin, doc[new]))
+        # Anchors have small hashes; mixed again, they spread over all buckets.
+        found.append((at[new] + begin, mix(grams[at[new]]), start[new] + begin, start[stop] + begin, doc[new]))
     if not found:
         none = np.empty(0, np.int64)
         return Runs(none, none.astype(np.uint64), none, none, none)

@@ -173,3 +173,12 @@ def test_hashes_in_blocks_equal_hashes_at_once():
     whole = common.window_hashes(data, 50)
     for at in (0, common.BLOCK - 3, common.BLOCK, len(whole) - 1):
         assert whole[at] == common.window_hashes(data[at:at + 50], 50)[0]
+
+
+def test_anchors_spread_over_buckets():
+    import numpy as np
+
+    data = np.random.default_rng(3).integers(97, 123, 60_000).astype(np.uint8)
+    runs = suffix_dedup.find_runs(data, np.array([len(data)]), 50)
+    counts = np.bincount(suffix_dedup.bucket_of(runs.hash, 4), minlength=4)
+    assert counts.min() > 0.2 * counts.sum() and len(runs.at) < len(data) / 8
