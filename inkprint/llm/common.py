@@ -104,8 +104,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        large = settle(large)
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         edges = settle(large.join(down, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi > lo")
                        .unionByName(down.select("hi", F.col("m").alias("lo"))).distinct())

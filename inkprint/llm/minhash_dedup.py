@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +14,8 @@ from inkprint.session import settle, spread
 
 WORDS = 5
 PERCENT = 75
-ROWS = 4  # values in a band, half of them minima, half maxima
-BANDS = 40
-DEEP_ROWS, DEEP_BANDS = 3, 24  # finer keys that split large buckets
+ROWS, BANDS = 4, 32  # values in a band, half of them minima, half maxima
+FINER = ((6, 64), (10, 200))  # longer keys for the members of large buckets that stay open
 PAIRS_PER_MEMBER = 16
 
 
@@ -75,11 +74,36 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "bands"])
 
 
-def _deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finer(rows: int, bands: int, seed: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [band_keys(shingles(t.as_py()), bands, rows, seed) for t in batch.column("data")]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("key", "size", "shared")), pa.array(keys, pa.list_(pa.int64()))],
+                names=["key", "size", "shared", "bands"])
+
+    return run
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, shingle) of every text, a part of the batch at a time."""
     for batch in batches:
-        keys = [band_keys(shingles(t.as_py()), DEEP_BANDS, DEEP_ROWS, 2) for t in batch.column("data")]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(keys, pa.list_(pa.int64()))],
-                                         names=["key", "deep"])
+        keys = batch.column("key").to_pylist()
+        for at in range(0, len(keys), 256):
+            sets = [shingles(t.as_py()) for t in batch.column("data").slice(at, 256)]
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[at:at + 256], pa.binary()).take(pa.array(owner)),
+                 pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["key", "shingle"])
+
+
+def _alone(texts: DataFrame) -> DataFrame:
+    """(key, alone): how many shingles of a text no other candidate has. They are in no intersection, so sets x and y
+    have at most min(size - alone) of the two in common."""
+    rows = texts.mapInArrow(_opened, "key binary, shingle bigint")
+    again = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.first("key").alias("key"))
+    alone = again.where("n = 1").groupBy("key").agg(F.count("*").alias("alone"))
+    return texts.select("key").join(alone, "key", "left").select("key", F.coalesce("alone", F.lit(0)).alias("alone"))
 
 
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,17 +114,23 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare full sets. Pairs come sorted by their first text, whose set is then built once."""
-    last, mine = None, np.empty(0, np.uint64)
+    """Compare full sets. The sets of the texts seen last are kept: most pairs have a leader in common."""
+    known: dict[bytes, np.ndarray] = {}
+
+    def of(data: bytes) -> np.ndarray:
+        found = known.get(data)
+        if found is None:
+            if len(known) >= 64:
+                known.clear()
+            found = known[data] = shingles(data)
+        return found
+
     for batch in batches:
         ok = []
         for a, b in zip(batch.column("data_a"), batch.column("data_b"), strict=True):
-            a = a.as_py()
-            if a != last:
-                last, mine = a, shingles(a)
-            other = shingles(b.as_py())
-            both = len(np.intersect1d(mine, other, assume_unique=True))
-            ok.append(100 * both >= PERCENT * (len(mine) + len(other) - both))
+            one, other = of(a.as_py()), of(b.as_py())
+            both = len(np.intersect1d(one, other, assume_unique=True))
+            ok.append(100 * both >= PERCENT * (len(one) + len(other) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())],
                                          names=["a", "b", "ok"])
 
@@ -112,17 +142,28 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return settle(both.select("a", "b", "data_a", "data_b").mapInArrow(_confirm, "a binary, b binary, ok boolean"))
 
 
+def _members(signed: DataFrame) -> DataFrame:
+    """(bucket, key, size, central) of all buckets with two members or more. `central` is how many members a text meets
+    in all its buckets: the text that a group of near copies was made from meets the most."""
+    opened = signed.select(F.explode("bands").alias("bucket"), "key", "size", "shared")
+    full = opened.groupBy("bucket").agg(F.count("*").alias("s")).where("s > 1")
+    met = settle(opened.join(full, "bucket"))
+    central = met.groupBy("key").agg(F.sum("s").alias("central"))
+    return settle(met.drop("s").join(central, "key"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept. Documents link when 100 * |A and B| >= 75 * |A or B|
     over their sets of distinct 5-word shingles; a component is named by its smallest id.
 
-    Documents with the same word sequence form one class. A class has a min-max signature: 80 permutations, each
-    evaluated once and giving its minimum and its maximum, in 40 bands of 4. Two sets at the threshold share no band with
-    a probability of about 3 in 10^7. All members of a bucket are compared with its first member, on full sets. Buckets
-    that then still hold several components compare the pairs across components, where these are few; larger ones are
-    split by finer keys (24 of 3 further values) and treated in the same way, twice at most. So a large group of copies
-    costs about one comparison per member, and no step lists all pairs of a group. Pairs in a bucket whose set sizes
-    differ too much are ruled out by size alone.
+    Documents with the same word sequence form one class. A class has a min-max signature: 64 permutations, each
+    evaluated once and giving its minimum and its maximum, in 32 bands of 4. Two sets at the threshold share no band with
+    a probability of about 5 in 10^6. All members of a bucket are compared with its most central member, on full sets.
+    Buckets that then still hold several components compare the pairs across components, where these are few; members
+    of larger ones get longer keys (64 of 6 values, then 200 of 10) and are treated in the same way. So a large group of
+    copies costs about one comparison per member and band, and no step lists all pairs of a group. Shingles that only
+    one candidate has bound every intersection from above; texts and pairs that cannot reach the threshold by this bound
+    are not compared.
 
     Defined cases: a text without words or a null has the size 0 and no link; fewer than five words are one shingle; a
     null id links with nothing and is kept; rows that repeat an id are one document if their words agree, else separate
@@ -134,26 +175,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = signed.where("key is not null and doc_id is not null")
     classes = settle(usable.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("size"),
                                                F.first("bands").alias("bands")))
-    members = classes.select(F.explode("bands").alias("bucket"), "key", "size")
-    full = members.groupBy("bucket").agg(F.count("*").alias("s")).where("s > 1").select("bucket")
-    members = settle(members.join(full, "bucket"))
-    wanted = members.select("key").distinct().join(classes.select("key", "first"), "key").select("first").distinct()
+    opened = classes.select(F.explode("bands").alias("bucket"), "key", "first")
+    full = opened.groupBy("bucket").agg(F.count("*").alias("s")).where("s > 1").select("bucket")
+    wanted = opened.join(full, "bucket").select("first").distinct()
     texts = docs.select(F.col(id_col).cast("bigint").alias("first"), F.col(text_col).alias("text")).where(
         "text is not null").join(wanted, "first", "left_semi").select("text")
     texts = settle(texts.mapInArrow(_normalise, "key binary, data binary").groupBy("key").agg(
         F.first("data").alias("data")))
 
-    empty = classes.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(True).alias("ok")).limit(0)
-    tested, deep = empty, None
-    groups = components(empty)
-    for level in range(3):
-        lead = members.groupBy("bucket").agg(F.min_by(F.struct("key", "size"), "key").alias("lead"))
-        star = members.join(lead, "bucket").where("key > lead.key").where(_sizes(F.col("lead.size"))).select(
-            F.col("lead.key").alias("a"), F.col("key").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        tested = tested.unionByName(_confirmed(star, texts))
+    alone = _alone(texts)
+    able = classes.join(alone, "key").withColumn("shared", F.col("size") - F.col("alone"))
+    members = _members(able.where(f"100 * shared >= {PERCENT} * size").select("key", "size", "shared", "bands"))
+    tested = classes.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(True).alias("ok")).limit(0)
+    for level in range(len(FINER) + 1):
+        lead = members.groupBy("bucket").agg(F.max_by(F.struct("key", "size", "shared"), F.struct("central", "key")).alias("lead"))
+        star = members.join(lead, "bucket").where("key <> lead.key").where(
+            _possible(F.col("lead.size"), F.col("lead.shared")))
+        star = star.select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")).distinct()
+        tested = tested.unionByName(_confirmed(star.join(tested, ["a", "b"], "left_anti"), texts))
         groups = settle(components(tested.where("ok").select("a", "b")))
-        named = members.join(groups, members.key == groups.node, "left").select(
-            "bucket", "key", "size", F.coalesce("component", "key").alias("component"))
+        named = settle(members.join(groups, members.key == groups.node, "left").select(
+            "bucket", "key", "size", "shared", F.coalesce("component", "key").alias("component")))
         parts = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         several = settle(parts.groupBy("bucket").agg(
             F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("parts")).where(
@@ -161,30 +203,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     F.lit(PAIRS_PER_MEMBER) * F.col("s"))).alias("few")))
         if several.isEmpty():
             break
-        now = several if level == 2 else several.where("few")
-        near = settle(named.join(now.select("bucket"), "bucket"))
+        last = level == len(FINER)
+        now = several if last else several.where("few")
+        near = named.join(now.select("bucket"), "bucket")
         other = near.select("bucket", F.col("key").alias("b"), F.col("size").alias("size_b"),
-                            F.col("component").alias("component_b"))
+                            F.col("shared").alias("shared_b"), F.col("component").alias("component_b"))
         pairs = near.join(other, "bucket").where("component <> component_b and key < b").where(
-            _sizes(F.col("size_b"))).select(F.col("key").alias("a"), "b").distinct().join(
+            _possible(F.col("size_b"), F.col("shared_b"))).select(F.col("key").alias("a"), "b").distinct().join(
                 tested, ["a", "b"], "left_anti")
         tested = tested.unionByName(_confirmed(pairs, texts))
-        groups = settle(components(tested.where("ok").select("a", "b")))
         large = several.where("not few")
-        if level == 2 or large.isEmpty():
+        if last or large.isEmpty():
+            groups = components(tested.where("ok").select("a", "b"))
             break
-        split = members.join(large.select("bucket"), "bucket")
-        if deep is None:
-            deep = settle(texts.join(split.select("key").distinct(), "key", "left_semi").mapInArrow(
-                _deep, "key binary, deep array<bigint>"))
-        finer = F.posexplode("deep").alias("i", "d")
-        if level == 1:  # two neighbouring keys together
-            pairs_of = F.transform("deep", lambda x, i: F.xxhash64(x, F.get("deep", (i + 1) % DEEP_BANDS)))
-            finer = F.posexplode(pairs_of).alias("i", "d")
-        split = split.join(deep, "key").select("bucket", "key", "size", finer).select(
-            F.xxhash64("bucket", "i", "d").alias("bucket"), "key", "size")
-        full = split.groupBy("bucket").agg(F.count("*").alias("s")).where("s > 1").select("bucket")
-        members = settle(split.join(full, "bucket"))
+        still = named.join(large.select("bucket"), "bucket").select("key", "size", "shared").distinct()
+        length, bands = FINER[level]
+        members = _members(settle(texts.join(still, "key").select("key", "size", "shared", "data").mapInArrow(
+            _finer(length, bands, level + 2), "key binary, size bigint, shared bigint, bands array<bigint>")))
     linked = classes.select("key", "first").join(groups, F.col("key") == F.col("node"), "left").select(
         "key", "first", F.coalesce("component", "key").alias("component"))
     names = linked.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -195,6 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def _sizes(other: Column) -> Column:
-    """Sets whose sizes differ by more cannot reach the threshold."""
-    return F.least("size", other) * 100 >= F.greatest("size", other) * PERCENT
+def _possible(size: Column, shared: Column) -> Column:
+    """The largest possible intersection reaches the threshold; the other text's columns are `size` and `shared`."""
+    most = F.least("shared", shared)
+    return 100 * most >= PERCENT * (F.col("size") + size - most)
