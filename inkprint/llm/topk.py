@@ -57,13 +57,14 @@ def _score(k: int) -> Callable:
         query = list_column(queries.column("vec"), dim, np.int64)
         top = float(np.abs(vec).max(initial=0)) * float(np.abs(query).max(initial=0)) * dim
         kind = np.float64 if top < 2.0 ** 53 else np.int64  # both exact
-        wide, out = vec.astype(kind).T, []
+        wide, out, least = vec.astype(kind).T, [], np.iinfo(np.int64).min
         for at in range(0, len(asked), 256):
             s = (query[at:at + 256].astype(kind) @ wide).astype(np.int64)
             for row, key, q in zip(s, keys[at:at + 256], asked[at:at + 256], strict=True):
+                row[ids.searchsorted(q, "left"):ids.searchsorted(q, "right")] = least  # any number of own rows
                 keep = np.arange(len(ids))
-                if len(ids) > k + 1:
-                    keep = np.flatnonzero(row >= np.partition(row, -(k + 1))[-(k + 1)])
+                if len(ids) > k:
+                    keep = np.flatnonzero(row >= np.partition(row, -k)[-k])
                 keep = keep[ids[keep] != q]
                 keep = keep[np.argsort(-row[keep], kind="stable")][:k]  # ids ascend: ties go to the smaller
                 out.append((np.full(len(keep), key), np.full(len(keep), q), ids[keep], row[keep]))

@@ -52,6 +52,19 @@ def test_top_k_is_exact(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_top_k_with_repeated_query_rows(spark):
+    draw = random.Random(5)
+    rows = [(i, [100 + draw.randint(-40, 40) for _ in range(6)]) for i in range(1, 120)]
+    rows += [(0, [150 + i, 151, 152, 153, 154, 155]) for i in range(8)] + [(0, [150] * 6)] * 3  # above all other scores
+    table = spark.createDataFrame(rows, "id bigint, vec array<bigint>").coalesce(2)
+    got = topk.top_k(table, table.where("id in (0, 60)"), k=5, n_pivots=2, rings=2, cell_rows=1000)
+    want = []
+    for q, a in {(q, tuple(a)) for q, a in rows if q in (0, 60)}:
+        found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in rows if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:5])]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_top_k_with_few_rows_or_none(spark):
     table = topk.whole_vectors(stored(spark, [(0, [1.0, 0.0], 0, 0.0), (7, [0.5, 0.5], 0, 0.0)]), "vec_id", "embedding", 1024)
     assert [tuple(r) for r in topk.top_k(table, table.where("id = 0"), k=5).collect()] == [(0, 1, 7, 512 * 1024)]
