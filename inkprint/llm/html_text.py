@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -30,14 +30,30 @@ TABLE_PARTS = SECTIONS | frozenset("table tr".split())
 CELLS = frozenset("td th caption".split())
 WALLS = CELLS | frozenset("table html template".split())  # end tags inside do not reach elements outside
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+
+# The screen that style sheets are read for: a desktop browser with a mouse, light, without preferences.
+SCREEN = {"width": 1280, "height": 720, "device-width": 1280, "device-height": 720, "aspect-ratio": 16 / 9,
+          "device-aspect-ratio": 16 / 9, "resolution": 1, "-webkit-device-pixel-ratio": 1, "color": 8, "color-index": 0,
+          "monochrome": 0, "grid": 0, "orientation": "landscape", "hover": "hover", "any-hover": "hover", "pointer": "fine",
+          "any-pointer": "fine", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference",
+          "prefers-reduced-data": "no-preference", "prefers-reduced-transparency": "no-preference",
+          "prefers-contrast": "no-preference", "forced-colors": "none", "inverted-colors": "none", "scripting": "enabled",
+          "display-mode": "browser", "update": "fast", "color-gamut": "srgb", "overflow-block": "scroll"}
+_UNITS = {"": 1, "px": 1, "em": 16, "rem": 16, "pt": 4 / 3, "in": 96, "cm": 96 / 2.54, "mm": 96 / 25.4, "dppx": 1, "x": 1,
+          "dpi": 1 / 96, "dpcm": 2.54 / 96}
+_IGNORED = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|url\([^)]*\)|<!--|-->", re.S)
+_GROUP = re.compile(r"\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)|[^\s()]+")
+_COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+_DISPLAY = re.compile(r"-webkit-[a-z-]+|(?:(?:block|inline|flow|flow-root|flex|grid|table|list-item|contents|ruby|math|"
+                      r"run-in|initial|inherit|unset|inline-block|inline-flex|inline-grid|inline-table|table-[a-z-]+|ruby-[a-z-]+)(?: |\Z))+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "under")
 
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None) -> None:
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None, under: Node | None = None) -> None:
         self.tag, self.attrs, self.children = tag, attrs or {}, []
+        self.under = under  # the open element below `DEPTH` that it became a sibling of
 
 
 class Builder(HTMLParser):
@@ -47,35 +63,50 @@ class Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
-        self.stack, self.styles, self.deep = [self.root], [], 0
+        self.stack, self.styles = [self.root], []
+        self.places: dict[str, list[int]] = {}  # of the open elements of each tag in the stack
 
     def _open(self, tags: frozenset[str] | set[str], walls: frozenset[str] | set[str]) -> int:
         """Place of the innermost open element with one of the tags, or 0 if a wall comes first."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in tags:
-                return i
-            if self.stack[i].tag in walls:
-                return 0
-        return 0
+        at = wall = 0
+        for tag, places in self.places.items():
+            if tag in tags:
+                at = max(at, places[-1])
+            elif tag in walls:
+                wall = max(wall, places[-1])
+        return at if at > wall else 0
+
+    def _cut(self, at: int) -> None:
+        """End the elements from a place on."""
+        for node in self.stack[at:]:
+            self.places[node.tag].pop()
+            if not self.places[node.tag]:
+                del self.places[node.tag]
+        del self.stack[at:]
 
     def _close(self, tags: set[str] | frozenset[str], walls: set[str] | frozenset[str]) -> bool:
         at = self._open(tags, walls)
         if at:
-            del self.stack[at:]
+            self._cut(at)
         return bool(at)
 
     def _push(self, tag: str, attrs: dict[str, str] | None = None) -> None:
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, self.stack[-1] if len(self.stack) > DEPTH else None)
         self._home(tag).append(node)
-        if tag not in VOID and len(self.stack) < DEPTH:
+        if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.stack))
             self.stack.append(node)
+            if tag == "style" and not self.places.keys() & {"template", "noscript"} and applies(node.attrs.get("media", "")):
+                self.styles.append([node])
 
     def _home(self, tag: str) -> list:
         """Where a new child goes: into the open element, or in front of the table if that may not hold it."""
-        top = self.stack[-1]
+        top = self.stack[min(len(self.stack), DEPTH) - 1]
         if top.tag not in TABLE_PARTS or tag in TABLE_PARTS | CELLS | {"colgroup", "col", "script", "style", "template"}:
             return top.children
-        at = self._open({"table"}, set())
+        at = next((i for i in range(min(len(self.stack), DEPTH) - 1, 0, -1) if self.stack[i].tag == "table"), 0)
+        if not at:
+            return top.children
         front = self.stack[at - 1].children
         table = self.stack[at]
         new: list = _Before(front, table)
@@ -88,7 +119,7 @@ class Builder(HTMLParser):
             self.root.attrs = got | self.root.attrs
             return
         if self.stack[-1].tag == "head" and tag not in IN_HEAD:
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
         if tag in CLOSE_P:
             self._close({"p"}, WALLS | {"button"})
         if tag == "li":
@@ -96,7 +127,7 @@ class Builder(HTMLParser):
         elif tag in ("dt", "dd"):
             self._close({"dt", "dd"}, WALLS | {"dl"})
         elif tag in HEADINGS and self.stack[-1].tag in HEADINGS:
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
         elif tag in ("option", "optgroup"):
             self._close({"option"} if tag == "option" else {"option", "optgroup"}, WALLS | {"select"})
         elif tag in SECTIONS or tag in ("caption", "colgroup", "tr", "td", "th"):
@@ -115,7 +146,7 @@ class Builder(HTMLParser):
                 keep += 1
             if tag != "tr" and len(self.stack) > keep and self.stack[keep].tag == "tr":
                 keep += 1
-        del self.stack[keep:]
+        self._cut(keep)
         if tag in ("tr", "td", "th") and self.stack[-1].tag == "table":
             self._push("tbody")
         if tag in ("td", "th") and self.stack[-1].tag != "tr":
@@ -139,17 +170,23 @@ class Builder(HTMLParser):
             inline = tag not in BLOCKS
             at = self._open({tag}, WALLS | (BLOCKS if inline else set()))
             if at:
-                del self.stack[at:]
+                self._cut(at)
 
     def handle_data(self, data: str) -> None:
         top = self.stack[-1]
-        if top.tag == "style":
-            self.styles.append(data)
+        if self.styles and self.styles[-1][0] is top:
+            self.styles[-1].append(data)
         blank = not _SPACE.sub("", data)
         if top.tag == "head" and not blank:
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
         if not blank or self.stack[-1].tag not in TABLE_PARTS:
-            self._home("#text").append(data)
+            home = self._home("#text")
+            if len(self.stack) <= DEPTH:
+                home.append(data)
+            else:
+                text = Node("#text", under=top)
+                text.children.append(data)
+                home.append(text)
 
 
 class _Before(list):
@@ -164,24 +201,120 @@ class _Before(list):
         self.front.insert(at, child)
 
 
-def hiding_rules(styles: list[str]) -> dict[str, str]:
-    """Simple selectors (tag, .class, #id) that a style sheet hides: display or visibility."""
-    found = {}
-    for names, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", "\n".join(styles), flags=re.S)):
-        value = _hiding(body)
-        if value:
-            for name in names.split(","):
-                if re.fullmatch(r"[.#]?[\w-]+", name.strip()):
-                    found[name.strip()] = value
+def _not(value: bool | None) -> bool | None:
+    return None if value is None else not value
+
+
+def _holds(condition: str, feature: Callable[[str], bool | None]) -> bool | None:
+    """A condition of features in brackets with not, and, or; None if unknown."""
+    words = _GROUP.findall(condition)
+    values = [_holds(w[1:-1], feature) if re.match(r"\s*(\(|not\b)", w[1:-1]) else feature(w[1:-1].strip())
+              for w in words if w[0] == "("]
+    if not values:
+        return None
+    if words[0] == "not":
+        return _not(values[0]) if len(values) == 1 else None
+    sure = "or" in words  # the value that decides alone
+    return sure if sure in values else None if None in values else not sure
+
+
+def _number(text: str) -> float | None:
+    found = re.fullmatch(r"([+-]?(?:\d+\.?\d*|\.\d+))([a-z]*)(?:\s*/\s*(\d+))?", text.strip())
+    if not found or found[2] not in _UNITS or found[3] and not int(found[3]):
+        return None
+    return float(found[1]) * _UNITS[found[2]] / int(found[3] or 1)
+
+
+def _feature(text: str) -> bool | None:
+    """Whether the screen has a media feature: name, name: value, or a range."""
+    name, colon, value = (x.strip() for x in text.partition(":"))
+    if colon:
+        side = re.match(r"(-webkit-)?(min|max)-", name)
+        has = SCREEN.get(name.replace(side[0], side[1] or "", 1) if side else name)
+        if has is None or isinstance(has, str):
+            return None if has is None or side else has == value
+        asked = _number(value)
+        return None if asked is None else has >= asked if side and side[2] == "min" else has <= asked if side else has == asked
+    parts = re.split(r"\s*(<=|>=|<|>|=)\s*", text)
+    if len(parts) == 1:
+        has = SCREEN.get(name)
+        return None if has is None else has not in (0, "none", "no-preference")
+    values = [SCREEN.get(p, _number(p)) for p in parts[::2]]
+    if any(v is None or isinstance(v, str) for v in values):
+        return None
+    compare = {"<": float.__lt__, "<=": float.__le__, ">": float.__gt__, ">=": float.__ge__, "=": float.__eq__}
+    return all(compare[c](float(x), float(y)) for x, c, y in zip(values, parts[1::2], values[1:], strict=False))
+
+
+def applies(media: str) -> bool:
+    """Whether one of a list of media queries holds for the screen; an unknown one does not."""
+    return not media.strip() or any(map(_query, media.lower().split(",")))
+
+
+def _query(query: str) -> bool:
+    found = re.fullmatch(r"\s*(?:(not|only)\s+)?([a-z-]+)(?:\s+and\b(.*))?\s*", query, re.S)
+    if not found:
+        return _holds(query, _feature) is True
+    holds = found[2] in ("all", "screen") and (found[3] is None or _holds(found[3], _feature))
+    return (_not(holds) if found[1] == "not" else holds) is True
+
+
+def _block(head: str) -> bool:
+    """Whether the rules of an at-rule's block apply."""
+    name, rest = re.match(r"@([\w-]*)(.*)", head, re.S).groups()
+    if name.lower() == "supports":
+        return _holds(rest.lower(), lambda x: not re.match(r"-(ms|moz|o)-", x)) is True
+    return name.lower() == "layer" or name.lower() == "media" and applies(rest)
+
+
+def _declarations(css: str) -> Iterator[tuple[str, str]]:
+    """Selectors and one declaration each, of the rules that apply; rules inside rules do not count."""
+    css = _IGNORED.sub(" ", css)
+    open_, at = [("", True)], 0
+    for found in re.finditer(r"[{};]|\Z", css):
+        head, at = css[at:found.start()].strip(), found.end()
+        names, on = open_[-1]
+        if found[0] == "{":
+            open_.append((names, on and _block(head)) if head.startswith("@") else (head, on and not names))
+            continue
+        if on and names and head:
+            yield names, head
+        if found[0] == "}" and len(open_) > 1:
+            open_.pop()
+
+
+def hiding_rules(styles: list[str]) -> dict[str, list[tuple]]:
+    """Display and visibility that style sheets give to compound selectors (tag, .class, #id, or several of them), by one
+    of the names: (tag, other names, property, weight, value)."""
+    found: dict[str, list[tuple]] = {}
+    for order, (selectors, text) in enumerate(x for css in styles if re.search("display|visibility", css, re.I)
+                                              for x in _declarations(css)):
+        for name, important, value in _declared(text):
+            for selector in map(str.strip, selectors.split(",")):
+                got = _COMPOUND.fullmatch(selector)
+                if got and selector:
+                    tag, marks = (got[1] or "*").lower(), re.findall(r"[.#][\w-]+", got[2])
+                    ids = sum(m[0] == "#" for m in marks)
+                    weight = (important, 0, ids, len(marks) - ids, tag != "*", order)
+                    found.setdefault(marks[0] if marks else tag, []).append((tag, frozenset(marks), name, weight, value))
     return found
 
 
-def _hiding(style: str) -> str:
-    style = re.sub(r"\s+|!important", "", style.lower())
-    declared = dict(d.split(":", 1) for d in style.split(";") if ":" in d)
-    if declared.get("display") == "none":
-        return "display"
-    return {"hidden": "visibility", "collapse": "visibility", "visible": "shown"}.get(declared.get("visibility", ""), "")
+def _declared(style: str) -> Iterator[tuple[str, bool, str]]:
+    """Valid display and visibility declarations: property, whether important, and what it does."""
+    for text in style.lower().split(";"):
+        name, _, value = (x.strip() for x in text.partition(":"))
+        short = re.sub(r"\s*!\s*important$", "", value)
+        value, important = " ".join(short.split()), short != value
+        if name == "display":
+            kind = {"none": "none", "revert": "", "revert-layer": ""}.get(value, "shown" if _DISPLAY.fullmatch(value) else None)
+        elif name == "visibility":
+            kind = {"hidden": "visibility", "collapse": "visibility", "visible": "shown", "initial": "shown", "inherit": "",
+                    "unset": "", "revert": "", "revert-layer": ""}.get(value)
+        else:
+            continue
+        if kind is not None:
+            yield name, important, kind
 
 
 def width(text: str) -> int:
@@ -249,18 +382,42 @@ class Flow:
 
 
 class Renderer:
-    def __init__(self, rules: dict[str, str]) -> None:
-        self.rules = rules
+    def __init__(self, rules: dict[str, list[tuple]]) -> None:
+        self.rules, self.below = rules, {}
 
     def hiding(self, node: Node) -> str:
-        if node.tag in HIDDEN or "hidden" in node.attrs or node.tag == "dialog" and "open" not in node.attrs:
+        """Whether an element is hidden or shown again, by itself or by the elements that it became a sibling of."""
+        if node.under is None:
+            return self._own(node)
+        chain, at = [], node
+        while at is not None and at not in self.below:
+            chain.append(at)
+            at = at.under
+        for at in reversed(chain):
+            outer = self.below[at.under] if at.under else ""
+            closed = at.under and at.under.tag == "details" and "open" not in at.under.attrs and at.tag != "summary"
+            self.below[at] = "display" if outer == "display" or closed else self._own(at) or outer
+        return self.below[node]
+
+    def _own(self, node: Node) -> str:
+        """By the cascade: importance, inline before rules, ids, classes, tags, order."""
+        if node.tag in HIDDEN or node.attrs.get("hidden", "").lower() == "until-found":
+            return "display"
+        best: dict[str, tuple] = {}
+        if self.rules and node.tag != "#text":
+            marks = {"." + c for c in node.attrs.get("class", "").split()} | {"#" + node.attrs.get("id", "")}
+            for key in (node.tag, "*", *marks):
+                for tag, need, name, weight, value in self.rules.get(key, ()):
+                    if tag in ("*", node.tag) and need <= marks:
+                        best[name] = max(best.get(name, ()), (weight, value))
+        if "style" in node.attrs:
+            for order, (name, important, value) in enumerate(_declared(_IGNORED.sub(" ", node.attrs["style"]))):
+                best[name] = max(best.get(name, ()), ((important, 1, 0, 0, 0, order), value))
+        display = best["display"][1] if "display" in best else ""
+        if display == "none" or not display and (
+                "hidden" in node.attrs or node.tag == "dialog" and "open" not in node.attrs):
             return "display"
-        own = _hiding(node.attrs["style"]) if "style" in node.attrs else ""
-        if own or not self.rules:
-            return own
-        names = [node.tag, *["." + c for c in node.attrs.get("class", "").split()], "#" + node.attrs.get("id", "")]
-        found = [self.rules[n] for n in names if n in self.rules]
-        return "display" if "display" in found else found[-1] if found else ""
+        return best["visibility"][1] if "visibility" in best else ""
 
     def inside(self, node: Node, flow: Flow, pre: bool, shown: bool, listed: bool = False) -> None:
         closed = node.tag == "details" and "open" not in node.attrs
@@ -400,7 +557,7 @@ def render(html: str) -> str:
     builder = Builder()
     builder.feed(html)
     builder.close()
-    renderer = Renderer(hiding_rules(builder.styles))
+    renderer = Renderer(hiding_rules(["".join(parts) for _, *parts in builder.styles]))
     if renderer.hiding(builder.root) == "display":
         return ""
     lines = renderer.box(builder.root, False, renderer.hiding(builder.root) != "visibility")
@@ -421,12 +578,14 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html", text_name
     Blocks begin on a line of their own; paragraphs, headings, lists, quotations and tables have an empty line around
     them. List items have bullets or their numbers, nested lists are indented. Table cells start at the same place in
     all rows, unless they are wider than `ALIGN`. White space is collapsed outside preformatted text. Hidden are
-    scripts and other elements without text, `hidden`, closed dialogs and details, and what an inline style or a simple
-    rule of a style sheet gives `display: none` or `visibility: hidden`.
+    scripts and other elements without text, `hidden`, closed dialogs and details, and what inline styles and the rules of
+    style sheets for tags, classes and ids give `display: none` or `visibility: hidden` in the end: by importance, then
+    inline, specificity and order. Media queries are read for a desktop screen (`SCREEN`); selectors with combinators,
+    attributes or pseudo-classes and rules inside rules are ignored, layers count in their order.
 
     Defined cases: a null page has a null text; an empty page or one without visible text an empty one; broken markup is
-    repaired by implied tags; pages nested deeper than `DEPTH` keep their text; repeated rows and nulls elsewhere pass
-    through; other columns are ignored.
+    repaired by implied tags; pages nested deeper than `DEPTH` keep their text, and what
+    is hidden there stays hidden; repeated rows and nulls elsewhere pass through; other columns are ignored.
     """
     place = [f"_k{i}" for i in range(len(keep))]
     rows = pages.select(F.col(html_col).alias("_html"), *[F.col(c).alias(p) for c, p in zip(keep, place, strict=True)])

@@ -27,6 +27,38 @@ def test_layout(html, text):
     assert html_text.render(html) == text
 
 
+CSS = "<style>{}</style><p class=x>a<p>b".format
+DEEP = "<div>" * 200
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    (CSS("@media print { .x { display:none } }"), "a\n\nb"),
+    (CSS("@media screen and (max-width: 600px) { .x { display:none } } .y{color:red}"), "a\n\nb"),
+    (CSS("@media (min-width: 40em) { .x { display:none } }"), "b"),
+    (CSS("@media print, (400px <= width < 2000px) { .x { display:none } }"), "b"),
+    (CSS("@media not screen { .x { display:none } } @supports not (display:grid) { .x {display:none} }"), "a\n\nb"),
+    (CSS("@supports (display:grid) { @media not print { .x {display:none} } }"), "b"),
+    (CSS("@media print { .y {color:red} } .x { display:none"), "b"),
+    (CSS(".x{display:none} .x{display:block}"), "a\n\nb"),
+    (CSS(".x{display:block} .x{display:none}"), "b"),
+    (CSS(".x{display:none} p{display:block}"), "b"),
+    (CSS(".x{display:none} p.x{display:block}"), "a\n\nb"),
+    (CSS(".x{display:none !important} .x{display:block}"), "b"),
+    (CSS(".x{display:none; display:wrong}"), "b"),
+    ("<style media=print>.x{display:none}</style><p class=x>a", "a"),
+    ("<noscript><style>.x{display:none}</style></noscript><p class=x>a", "a"),
+    ("<style>.x{display:none}</style><p class=x style='display:block'>a", "a"),
+    ("<style>.x{visibility:hidden}</style><p class=x style='visibility:visible'>a", "a"),
+    (DEEP + "a<script>no</script>b<span style='display:none'>no<i>no</i>no</span>c", "abc"),
+    ("<style>.x{display:none}</style>" + DEEP + "a<div class=x>no<ul><li>no</ul>no</div>b", "ab"),
+    ("<div>" * 148 + "<div hidden><div><div>no</div>no</div>no</div>b", "b"),
+    (DEEP + "<b style='visibility:hidden'>no<i style='visibility:visible'>a</i>no</b>", "a"),
+    ("<i><div>" * 30_000 + "<script>no</script>a" + "</div></i>" * 30_000 + "b", "a\nb"),
+])
+def test_only_visible_text(html, text):
+    assert html_text.render(html) == text
+
+
 def test_pages_without_html(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a", 1), (1, "u", "<p>a", 1), (2, None, None, None), (3, "w", "", 2),
                                    (4, "v", "<p>" + "long " * 50_000, 2)], "page_id bigint, url string, html string, text int")
