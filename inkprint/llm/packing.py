@@ -34,19 +34,27 @@ class Encoder:
 
     The file's vocabulary is run by `tiktoken`, which gives the same ids several times faster. In its splitting rule a
     single space between two other characters always starts a new unit, so a text is encoded unit by unit and frequent
-    units come from a table of bounded size.
+    units come from a table of bounded size. With `added`, the file's added tokens in a text get their own ids, as the
+    library gives them; otherwise they are ordinary characters.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         import public_tokenizers
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            content = json.load(file)
+        vocabulary = content["model"]["vocab"]
+        marks = {t["content"]: t for t in content["added_tokens"]}
+        tokens = marks if added else {}
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens.values()):
+            raise ValueError("added tokens that take in white space or depend on their neighbours")
+        self.added = {c: np.array([t["id"]], "<u4").tobytes() for c, t in tokens.items()}
+        longest = sorted(map(re.escape, tokens), key=len, reverse=True)
+        self.at_added = re.compile(f"({'|'.join(longest)})") if tokens else None
         byte_of = _byte_of()
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token)}
-        special = len(vocabulary) - 1
-        ranks = {token: i for token, i in ranks.items() if i < special}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items()
+                 if token not in marks and all(c in byte_of for c in token)}
         self.encode_part = tiktoken.Encoding(
             "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
@@ -71,6 +79,11 @@ class Encoder:
         return self._ids(first) + b"".join(got)
 
     def encode(self, text: str) -> bytes:
+        if not self.at_added or not self.at_added.search(text):
+            return self._ordinary(text)
+        return b"".join(self.added[x] if i % 2 else self._ordinary(x) for i, x in enumerate(self.at_added.split(text)))
+
+    def _ordinary(self, text: str) -> bytes:
         out, at = [], 0
         while at < len(text):
             cut = _SINGLE.search(text, at + PART) if len(text) > at + PART else None
@@ -86,7 +99,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One per worker process."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, added=True)
     return _ENCODERS[path]
 
 
@@ -241,7 +254,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, open_windows: int
     the fullest window, which is emitted. The open windows of all tasks are merged by the same rule, `FAN_IN` tasks at a time, so
     what remains is bounded in every step; the last few are cut to lengths that are powers of two, which need no padding.
 
-    Defined cases: a null or empty text is the end id alone; rows that repeat a doc_id are separate documents; null ids
+    Defined cases: added tokens of the file within a text get their ids; a null or empty text is the end id alone; rows that repeat a doc_id are separate documents; null ids
     stay null; an empty table gives no rows; other columns are ignored.
     """
     rows = spread(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), "doc_id")

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 import public_tokenizers
+from tokenizers import Tokenizer
 
 from inkprint.llm import language, packing, quality
 
@@ -95,6 +96,16 @@ def test_unit_wise_encoding_equals_the_library(monkeypatch):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_equal_the_library_as_it_is(monkeypatch):
+    own, whole, draw = packing.encoder(BPE), Tokenizer.from_file(BPE), random.Random(5)
+    monkeypatch.setattr(packing, "PART", 30)
+    parts = [" ", "  ", "\n", "a", " b", "é", "12", "!!", "'s", "<|endoftext|>", "<|endoftext|>", "<|end", "<|", "|>", "\xa0"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 40))) for _ in range(800)]
+    last = whole.decode([whole.get_vocab_size(with_added_tokens=False) - 1])
+    for text in ["a<|endoftext|>b", "<|endoftext|>", "he" + last, *texts]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize(("window", "count"), [(16, 2), (64, 8)])
 def test_packing_is_a_round_trip(spark, window, count):
     draw = random.Random(6)
