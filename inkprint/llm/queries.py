@@ -202,13 +202,14 @@ def page_records(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op7_warc_revisits(spark: SparkSession, sf: str) -> DataFrame:
-    found = warc.resolve(warc.parse(page_records(spark, sf)), bodies=False)
+    found = warc.resolve(warc.parse(page_records(spark, sf)))
     number = F.substring_index("record_id", ":", -1).cast("bigint")
     return found.select(
         number.alias("page_id"), "url", "canonical", F.substring_index("refers_to", ":", -1).cast("bigint").alias("refers_to"),
         "outcome", F.element_at("headers", F.lit("cache-control")).alias("cache_control"),
-        F.element_at("headers", F.lit("content-length")).cast("bigint").alias("content_length"),
-        F.element_at("headers", F.lit("content-type")).alias("content_type"), "digest")
+        F.length("body").cast("bigint").alias("content_length"),
+        F.element_at("headers", F.lit("content-type")).alias("content_type"),
+        F.concat(F.lit("md5:"), F.md5("body")).alias("digest"))
 
 
 ORACLES["op7_warc_revisits"] = r"""

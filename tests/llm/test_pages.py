@@ -1,8 +1,10 @@
 """HTML layout and WARC revisits."""
 
+import hashlib
+
 import pytest
 
-from inkprint.llm import html_text, warc
+from inkprint.llm import html_text, queries, warc
 
 
 @pytest.mark.parametrize(("html", "text"), [
@@ -97,3 +99,13 @@ def test_revisits(spark):
     assert got["r1"].headers == {"etag": '"1"', "x": "new", "content-length": "3"} and bytes(got["r1"].body) == b"one"
     assert got["r2"].headers is None and got["r2"].body is None
     assert warc.resolve(warc.parse(table.limit(0))).count() == 0
+
+
+def test_revisits_query_reads_the_joined_body(spark, monkeypatch):
+    rows = [record("response", "page:1", "https://a.org/", "2020-01-01T00:00:00Z", headers=[("ETag", "x"), ("Content-Length", "9")], body=b"one"),
+            record("response", "page:2", "https://b.org/", "2020-01-01T00:00:00Z"),
+            *[record("revisit", f"again:{i}", f"https://{s}.org/", "2020-01-02T00:00:00Z", "304 Not Modified") for i, s in enumerate("abc", 1)]]
+    table = spark.createDataFrame([(bytearray(r),) for r in rows], "record binary")
+    monkeypatch.setattr(queries, "page_records", lambda *_: table)
+    got = {r.page_id: (r.content_length, r.digest) for r in queries.op7_warc_revisits(spark, "none").collect()}
+    assert got == {1: (3, "md5:" + hashlib.md5(b"one").hexdigest()), 2: (0, "md5:" + hashlib.md5(b"").hexdigest()), 3: (None, None)}
