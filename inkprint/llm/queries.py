@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkprint.llm import (
-    embedding_dedup, html_text, language, minhash_dedup, mixing, packing, quality, suffix_dedup, topk, warc)
-from inkprint.llm.common import table
+    bpe, embedding_dedup, html_text, language, minhash_dedup, mixing, packing, periodic, quality, suffix_dedup, topk, warc)
+from inkprint.llm.common import ASCII_WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -239,3 +239,78 @@ SELECT a.page_id, a.url || '#again' AS url, a.canonical, r.refers_to,
   CASE WHEN a.tag = b.tag THEN 'md5:' || b.tag END AS digest
 FROM c a LEFT JOIN r ON r.page_id = a.page_id LEFT JOIN c b ON b.page_id = r.refers_to
 """
+
+
+@query
+def op11_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"), ["doc_id"], decoded=True)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def with_tails(docs: DataFrame) -> DataFrame:
+    """The documents' texts; in those whose crc32 of the id ends in 0, the words from some place on repeat the first few
+    of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    listed = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, F.regexp_extract_all(
+        "text", F.lit(ASCII_WORD), F.lit(0))).alias("words"))
+    placed = listed.withColumn("a", F.when(F.size("words") > 0, F.col("g") % F.size("words")).cast("int"))
+    left = F.size("words") - F.col("a")
+    placed = placed.withColumn("p", (1 + F.floor(left / (3 + F.col("g") % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int")))
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), left)), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic.find_runs(with_tails(table(spark, sf, "documents")), ["doc_id"])
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-best["start"]).alias("start"),
+        best["length"].alias("length"), (-best["period"]).alias("period"),
+        F.floor(1000 * best["length"] / -best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+ORACLES["op12_periodic_runs"] = r"""
+WITH RECURSIVE bits AS (
+  SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS s, 0 AS k, CAST(4294967295 AS BIGINT) AS c FROM documents
+  UNION ALL
+  SELECT doc_id, s, k + 1, xor(x // 2, (x % 2) * 3988292384)
+  FROM (SELECT doc_id, s, k, CASE WHEN k % 8 = 0 THEN xor(c, CAST(ascii(s[k // 8 + 1]) AS BIGINT)) ELSE c END AS x
+        FROM bits WHERE k < 8 * len(s))),
+crc AS (SELECT doc_id, xor(c, 4294967295) AS h FROM bits WHERE k = 8 * len(s)),
+t AS (
+  SELECT row_number() OVER () AS no, d.doc_id, h, h // 10 AS g,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents d LEFT JOIN crc ON crc.doc_id = d.doc_id),
+a AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN g % len(w) END AS a FROM t),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (
+  SELECT no, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w
+  FROM p),
+x AS (SELECT no, unnest(range(0, n)) AS i, unnest(w) AS word FROM d),
+g AS (SELECT no, i, array_to_string(w[i + 1:i + 6], ' ') AS gram
+      FROM (SELECT no, unnest(range(0, greatest(n - 5, 0))) AS i, w FROM d)),
+e AS (SELECT a.no, a.i, b.i - a.i AS q FROM g a JOIN g b ON a.no = b.no AND a.gram = b.gram AND a.i < b.i),
+f AS (SELECT no, q, i, i - row_number() OVER (PARTITION BY no, q ORDER BY i) AS island FROM e),
+s AS (SELECT no, q, min(i) AS start, count(*) + 5 + q AS length FROM f GROUP BY no, q, island),
+r AS (SELECT no, start, length, min(q) AS q FROM s WHERE length >= greatest(12, 2 * q) GROUP BY no, start, length),
+best AS (
+  SELECT no, count(*) AS n_runs, first(struct_pack(start := start, length := length, q := q)
+                                       ORDER BY length DESC, start, q) AS b,
+         string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines
+  FROM r GROUP BY no),
+gone AS (SELECT DISTINCT no, unnest(range(start + q, start + length)) AS i FROM r),
+kept AS (SELECT no, string_agg(word, ' ' ORDER BY i) AS text FROM x ANTI JOIN gone USING (no, i) GROUP BY no)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.start AS start, b.length AS length, b.q AS period,
+       1000 * b.length // b.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN best ON best.no = d.no LEFT JOIN kept ON kept.no = d.no
+"""
