@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkprint.llm import (
-    bpe, embedding_dedup, html_text, language, minhash_dedup, mixing, packing, periodic, quality, suffix_dedup, topk, warc)
+    bpe, collocation, embedding_dedup, html_text, language, minhash_dedup, mixing, packing, periodic, quality,
+    suffix_dedup, topk, warc)
 from inkprint.llm.common import ASCII_WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -314,3 +315,44 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.start AS start, b.length AS le
        sha256(coalesce(kept.text, '')) AS collapsed_sha256
 FROM d LEFT JOIN best ON best.no = d.no LEFT JOIN kept ON kept.no = d.no
 """
+
+
+@query
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocation.mine(table(spark, sf, "documents"), least=100, longest=5, top=2000)
+
+
+ORACLES["op13_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda k: list_transform(
+    range(0, len(w) - k + 1), lambda i: array_to_string(w[i + 1:i + k], ' '))))) AS phrase
+  FROM w),
+f AS (SELECT lang, phrase, count(*) AS f FROM g GROUP BY lang, phrase HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE contains(phrase, ' ')),
+cut AS (SELECT lang, phrase, a, w, unnest(range(1, len(w))) AS k FROM c),
+scored AS (
+  SELECT cut.lang, cut.phrase, cut.a, x.f AS l, y.f AS r, n.n, k,
+    CAST(CAST(1000 AS HUGEINT) * cut.a * n.n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1:k], ' ')
+  JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(w[k + 1:], ' ')
+  JOIN n ON n.lang = cut.lang),
+least AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored),
+inner_ AS (
+  SELECT lang, a, unnest(flatten(list_transform(range(2, len(w)), lambda k: list_transform(
+    range(0, len(w) - k + 1), lambda i: array_to_string(w[i + 1:i + k], ' '))))) AS phrase
+  FROM c),
+held AS (SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY lang, phrase),
+kept AS (
+  SELECT s.lang, s.phrase, a, l, r, n, score FROM least s LEFT JOIN held h ON h.lang = s.lang AND h.phrase = s.phrase
+  WHERE place = 1 AND (h.most IS NULL OR h.most < a)),
+ranked AS (
+  SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS BIGINT) AS rank,
+         phrase, a, l, r, n, score FROM kept)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
