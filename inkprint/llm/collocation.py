@@ -8,6 +8,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,44 +17,71 @@ from inkprint.session import broadcast_if_small, settle, spread
 
 NO_LANGUAGE = "und"
 LEAST, LONGEST, TOP = 100, 5, 2000
-BITS = 26  # of a filter: 8 MB, whatever the number of phrases
+BITS = 25  # of a filter: 4 MB, whatever the number of phrases
 BUCKET = 15  # bits of a position inside one row of a filter
-CHUNK_BYTES = 1 << 25
+CHUNK_BYTES = 1 << 24
 SALTS = 64
 MOST_LANGUAGES = 100_000
 BREAK = b"."
+ROLES = ("grow", "want", "path", "often")  # phrases to continue, to count, their beginnings, frequent words
 _MAP = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + BREAK * 9)
 
 
 # Counting inside tasks.
 
+def _numbered(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """Distinct words in the order they appear, and the texts as places in that list. Word 0 is a break, which stands
+    before, between and after all pieces."""
+    data = b" . ".join([b"", *(t.encode() for t in texts), b""]).translate(_MAP).replace(BREAK, b" . ")
+    found = data.split()
+    first_place = {BREAK: 0}
+    ids = np.fromiter(map(first_place.setdefault, found, count(1)), np.int32, len(found))
+    number = np.zeros(len(found) + 1, np.int32)
+    number[np.fromiter(first_place.values(), np.int64, len(first_place))] = np.arange(len(first_place))
+    return list(first_place), number[ids]
+
+
 class Words:
-    """The words of some texts as numbers; number 0 is a break, which stands before, between and after all pieces."""
-
-    def __init__(self, texts: list[str]) -> None:
-        data = b" . ".join(["".encode(), *(t.encode() for t in texts), b""]).translate(_MAP).replace(BREAK, b" . ")
-        found = data.split()
-        first_place = {BREAK: -1}
-        ids = np.fromiter(map(first_place.setdefault, found, count()), np.int64, len(found))
-        self.words = list(first_place)
-        self.ids = np.searchsorted(np.fromiter(first_place.values(), np.int64, len(first_place)), ids)
-        self.codes = np.fromiter(map(zlib.crc32, self.words), np.uint64, len(self.words))
-
-    def phrase(self, at: int, size: int) -> str:
-        return b" ".join([self.words[i] for i in self.ids[at:at + size].tolist()]).decode()
-
-    def distinct(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the phrases of `size` words at some places: a place of each distinct one, its number, all their groups."""
-        base = len(self.words)
-        key, top = self.ids[at], base
+    """Numbered words of some texts."""
+
+    def __init__(self, names: pa.Array, ids: np.ndarray) -> None:
+        self.names, self.ids = names, ids
+        self.codes = np.fromiter(map(zlib.crc32, names.cast(pa.binary()).to_pylist()), np.uint64, len(names))
+
+    def phrases(self, at: np.ndarray, size: int) -> pa.Array:
+        """The phrases of `size` words at some places."""
+        return pc.binary_join_element_wise(*[self.names.take(pa.array(self.ids[at + j])) for j in range(size)], " ")
+
+    def _keys(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Equal numbers for equal phrases of `size` words."""
+        base = len(self.names)
+        key, top = self.ids[at].astype(np.int64), base
         for j in range(1, size):
             if top * base >= 1 << 62:
                 key = np.unique(key, return_inverse=True)[1]
                 top = len(at)
             key = key * base + self.ids[at + j]
             top *= base
-        _, first, group, number = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        return at[first], number, group
+        return key
+
+    def distinct(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """A place of each distinct phrase among those at some places, and its number."""
+        _, first, number = np.unique(self._keys(at, size), return_index=True, return_counts=True)
+        return at[first], number
+
+    def beside(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As `distinct`, with the one word before and after all places of a phrase: 0 where there are several or a
+        break."""
+        if not len(at):
+            return at, at, at, at
+        key = self._keys(at, size)
+        order = np.argsort(key, kind="stable")
+        start = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] - 1))
+        sole = []
+        for ids in (self.ids[at - 1][order], self.ids[at + size][order]):
+            least, most = np.minimum.reduceat(ids, start), np.maximum.reduceat(ids, start)
+            sole.append(np.where(least == most, least, 0))
+        return at[order[start]], np.diff(start, append=len(at)), *sole
 
 
 def _language_code(lang: str) -> np.uint64:
@@ -73,21 +101,36 @@ def _in(bits: np.ndarray, code: np.ndarray) -> np.ndarray:
     return bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
+CHUNK = "lang string, words array<string>, ids binary"
+
+
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of one language at a time, about `CHUNK_BYTES` letters or one text."""
     held: dict[str, list[str]] = {}
     size = 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang in list(held):
+            words, ids = _numbered(held.pop(lang))
+            names = pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), names, pa.array([ids.tobytes()], pa.binary())],
+                                             names=["lang", "words", "ids"])
+
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             if text.is_valid:
                 held.setdefault(lang, []).append(text.as_py())
                 size += len(held[lang][-1]) + 16
                 if size > CHUNK_BYTES:
-                    for found, texts in held.items():
-                        yield found, Words(texts)
-                    held, size = {}, 0
-    for found, texts in held.items():
-        yield found, Words(texts)
+                    yield from rows()
+                    size = 0
+    yield from rows()
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
+    for batch in batches:
+        for lang, words, ids in zip(*batch.columns):
+            yield lang.as_py(), Words(words.values, np.frombuffer(ids.as_buffer(), np.int32))
 
 
 _WORD_ROWS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
@@ -95,59 +138,51 @@ _WORD_ROWS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, some in _chunks(batches):
-        number = np.bincount(some.ids, minlength=len(some.words))
-        words = [None, *(w.decode() for w in some.words[1:])]
+        number = np.bincount(some.ids, minlength=len(some.names))
         number[0] = number[1:].sum()  # without a phrase: all words
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()),
-                                          pa.array(number, pa.int64())], schema=_WORD_ROWS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.repeat(pa.scalar(lang, pa.string()), len(number)),
+             pa.concat_arrays([pa.nulls(1, pa.string()), some.names.slice(1)]), pa.array(number, pa.int64())], schema=_WORD_ROWS)
 
 
-FIELDS = "lang string, phrase string, context boolean, n bigint, before string, after string"
-_ROWS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("context", pa.bool_()), ("n", pa.int64()),
-                   ("before", pa.string()), ("after", pa.string())])
-
-
-def _sole(values: np.ndarray, group: np.ndarray, groups: int, words: list[bytes]) -> list[str]:
-    """The one word of each group, or nothing where there are several or a break."""
-    least, most = np.full(groups, len(words)), np.zeros(groups, np.int64)
-    np.minimum.at(least, group, values)
-    np.maximum.at(most, group, values)
-    return [words[a].decode() if a == b and a else "" for a, b in zip(least.tolist(), most.tolist())]
+FIELDS = "lang string, phrase string, side string, beside string, n bigint"
+_ROWS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("side", pa.string()), ("beside", pa.string()),
+                   ("n", pa.int64())])
 
 
 def _count_phrases(filters: Broadcast, longest: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grow, want, often = (filters.value[k] for k in ("grow", "want", "often"))
+        grow, want, path, often = (filters.value[k] for k in ROLES)
+
+        def rows(lang: str, some: Words, first: np.ndarray, size: int, number: np.ndarray, side: str | None = None,
+                 beside: np.ndarray | None = None) -> pa.RecordBatch:
+            n = len(first)
+            return pa.RecordBatch.from_arrays(
+                [pa.repeat(pa.scalar(lang, pa.string()), n), some.phrases(first, size), pa.repeat(pa.scalar(side, pa.string()), n),
+                 pa.nulls(n, pa.string()) if beside is None else some.names.take(pa.array(beside)), pa.array(number, pa.int64())],
+                schema=_ROWS)
+
         for lang, some in _chunks(batches):
-            one = mix(_language_code(lang) + some.codes)
-            usual = _in(often, one)
-            usual[0] = False
-            at = np.flatnonzero(usual[some.ids])
-            code = one[some.ids[at]]
-            grows = _in(grow, code)
+            code = mix(_language_code(lang) + some.codes)
+            usual, grown = _in(often, code), _in(grow, code)
+            usual[0] = grown[0] = False
+            at = np.flatnonzero((grown | usual & _in(path, code))[some.ids])
+            code, grows = code[some.ids[at]], grown[some.ids[at]]
             for size in range(2, longest + 1):
                 going = usual[some.ids[at + size - 1]]  # all words are frequent, and in one piece
                 at, grows = at[going], grows[going]
                 code = mix(code[going] + some.codes[some.ids[at + size - 1]])
-                counted = at[grows | _in(want, code)]
-                first, number, _ = some.distinct(counted, size)
-                phrases = [some.phrase(i, size) for i in first.tolist()]
-                none = [None] * len(phrases)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()),
-                     pa.array([False] * len(phrases), pa.bool_()), pa.array(number, pa.int64()),
-                     pa.array(none, pa.string()), pa.array(none, pa.string())], schema=_ROWS)
+                first, number = some.distinct(at[grows | _in(want, code)], size)
+                yield rows(lang, some, first, size, number)
                 if size == longest:
                     break
                 grows = _in(grow, code)
-                seen = at[grows]
-                first, number, group = some.distinct(seen, size)
-                phrases = [some.phrase(i, size) for i in first.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()),
-                     pa.array([True] * len(phrases), pa.bool_()), pa.array(number, pa.int64()),
-                     pa.array(_sole(some.ids[seen - 1], group, len(first), some.words), pa.string()),
-                     pa.array(_sole(some.ids[seen + size], group, len(first), some.words), pa.string())], schema=_ROWS)
+                first, number, *sole = some.beside(at[grows], size)
+                for side, beside in zip(("before", "after"), sole):
+                    one = beside > 0
+                    yield rows(lang, some, first[one], size, number[one], side, beside[one])
+                on = grows | _in(path, code)
+                at, code, grows = at[on], code[on], grows[on]
 
     return run
 
@@ -164,7 +199,7 @@ def _filters(rows: DataFrame) -> dict[str, np.ndarray]:
     places = rows.mapInArrow(_places, "role string, place bigint")
     parts = places.groupBy("role", F.shiftright("place", BUCKET).alias("bucket")).agg(
         F.bitmap_construct_agg(F.col("place").bitwiseAND((1 << BUCKET) - 1)).alias("bits")).collect()
-    out = {role: np.zeros(1 << (BITS - 3), np.uint8) for role in ("grow", "want", "often")}
+    out = {role: np.zeros(1 << (BITS - 3), np.uint8) for role in ROLES}
     for role, bucket, bits in parts:
         at = bucket << (BUCKET - 3)
         out[role][at:at + len(bits)] = np.frombuffer(bits, np.uint8)
@@ -209,8 +244,9 @@ class _Search:
     """
 
     def __init__(self, texts: DataFrame, least: int, longest: int, top: int) -> None:
-        self.texts, self.least, self.longest, self.top, self.spark = texts, least, longest, top, texts.sparkSession
-        counted = settle(texts.mapInArrow(_count_words, "lang string, phrase string, n bigint").groupBy("lang", "phrase")
+        self.least, self.longest, self.top, self.spark = least, longest, top, texts.sparkSession
+        self.texts = settle(texts.mapInArrow(_number, CHUNK), "zstd")
+        counted = settle(self.texts.mapInArrow(_count_words, "lang string, phrase string, n bigint").groupBy("lang", "phrase")
                          .agg(F.sum("n").alias("a")).where(F.col("phrase").isNull() | (F.col("a") >= least)))
         totals = broadcast_if_small(counted.where("phrase is null").select("lang", F.col("a").alias("n")), MOST_LANGUAGES)
         words = counted.where("phrase is not null").join(totals, "lang").withColumn("level", F.floor(F.log2("a")))
@@ -284,12 +320,13 @@ class _Search:
         if tasks.isEmpty():
             return None
         often = self.nodes.select(F.lit("often").alias("role"), "lang", "phrase")
-        filters = self.spark.sparkContext.broadcast(_filters(tasks.unionByName(often)))
-        found = settle(self.texts.mapInArrow(_count_phrases(filters, self.longest), FIELDS).groupBy("lang", "phrase", "context").agg(
-            F.sum("n").alias("a"), F.min("before").alias("b1"), F.max("before").alias("b2"), F.min("after").alias("a1"),
-            F.max("after").alias("a2")).where(F.col("context") | (F.col("a") >= self.least)))
+        begins = F.expr("transform(sequence(1, size(split(phrase, ' ')) - 1), k -> substring_index(phrase, ' ', k))")
+        path = tasks.where("contains(phrase, ' ')").select(F.lit("path").alias("role"), "lang", F.explode(begins).alias("phrase"))
+        filters = self.spark.sparkContext.broadcast(_filters(_union([tasks, often, path.distinct()])))
+        found = settle(self.texts.mapInArrow(_count_phrases(filters, self.longest), FIELDS).groupBy(
+            "lang", "phrase", "side", "beside").agg(F.sum("n").alias("_a")).where(F.col("_a") >= self.least))
         filters.unpersist()
-        counted = found.where("not context").select("lang", "phrase", F.col("a").alias("_a"))
+        counted = found.where("side is null").select("lang", "phrase", "_a")
         parent = F.expr("substring_index(phrase, ' ', size(split(phrase, ' ')) - 1)")
         above = grow.select("lang", F.col("phrase").alias("_parent"), "k", "a", "n", "first", "lefts")
         fresh = settle(counted.withColumn("_parent", parent).join(above, ["lang", "_parent"]).select(
@@ -298,9 +335,9 @@ class _Search:
         wanted = counted.join(tasks.where("role = 'want'"), ["lang", "phrase"], "left_semi").join(
             fresh, ["lang", "phrase"], "left_anti")
         self.counts += [fresh.select("lang", "phrase", "a"), settle(wanted.select("lang", "phrase", F.col("_a").alias("a")))]
-        sole = [(F.col(x) == F.col(y)) & (F.col(x) != "") for x, y in (("b1", "b2"), ("a1", "a2"))]
-        self.seen.append(settle(found.where("context").select("lang", "phrase", (sole[0] | sole[1]).alias("inside")).join(
-            grow, ["lang", "phrase"], "left_semi")))
+        beside = found.where("side is not null").select("lang", "phrase", "_a")
+        self.seen.append(settle(grow.where("k > 1").join(beside, ["lang", "phrase"], "left").groupBy("lang", "phrase").agg(
+            F.coalesce(F.max(F.col("_a") == F.col("a")), F.lit(False)).alias("inside"))))
         self.score(fresh)
         left = open_.join(grow, ["lang", "phrase"], "left_anti")
         return settle(left.unionByName(fresh.where(F.col("k") < self.longest)))
@@ -317,8 +354,8 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least:
 
     Phrases grow word by word from their first word, best bounds first: the rarest words, half of all occurrences, in
     the first reading of the texts; what they grow to in the next ones; then the frequent words whose bound still
-    reaches the score of the language's last place. Each reading counts, in one shuffle, the continuations of the nodes
-    it grows, the words beside them, and second parts that scores lack. Filters of fixed size tell tasks what to count;
+    reaches the score of the language's last place. The texts are numbered word by word once; each reading counts, in one shuffle, the
+    continuations of the nodes it grows, words that alone stand beside them, and second parts that scores lack. Filters of fixed size tell tasks what to count;
     they may pass too much, never too little. It ends when no open node and no open score reaches the last place.
 
     Defined cases: a null language is `und`; a null or empty text has no words; repeated rows count each time; ties are

@@ -66,7 +66,7 @@ def test_pruned_growth_gives_the_same_first_rows(spark):
 def test_full_filters_only_cost_work(spark, monkeypatch):
     def full(rows):
         rows.count()
-        return {role: np.full(1 << 23, 255, np.uint8) for role in ("grow", "want", "often")}
+        return {role: np.full(1 << (collocation.BITS - 3), 255, np.uint8) for role in collocation.ROLES}
 
     monkeypatch.setattr(collocation, "_filters", full)
     rows = texts(random.Random(3), 40)
