@@ -222,13 +222,12 @@ def build_pairs(spark, sf):
 
 
 @query("build_training_view", f"""
-WITH {q.EP}, {draws('train', 4, 1, 16, source='(SELECT * FROM n WHERE n > 20 ORDER BY author_id LIMIT 1000)')},
+WITH {q.EP}, {draws('train', 4, 1, 16, source='(SELECT * FROM n WHERE n > 20)')},
 m AS (SELECT sp.author_id, sample_no, pos - start AS ep_pos, hour, action_id, syms
       FROM sp JOIN ep ON ep.author_id = sp.author_id AND pos >= start AND pos < start + length)
 {EPISODE_ROWS}""")
 def build_training_view(spark, sf):
-    """Authors with more than 20 posts, the first 1,000 of them, then the sampling: the steps of the training reader in
-    its order."""
-    known = episodes.take_queries(episodes.filter_num_posts(counts(spark, sf), 20), 1000)
+    """All authors with more than 20 posts, then the sampling: the steps of the training reader in its order."""
+    known = episodes.filter_num_posts(counts(spark, sf), 20)
     spec = episodes.contiguous_spec(episodes.draw_samples(known, "train", 4, 1, 16), "train", drop_short=True)
     return episode_rows(episodes.nest_episodes(encoded_members(spark, sf, spec)))

@@ -41,3 +41,12 @@ def test_plans_hold_no_pair_joins(spark):
                  "episodes_per_author", "negative_pairs"):
         plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+
+
+def test_missing_library_costs_only_its_queries():
+    """Without a library of the training-data operators, all other queries are there."""
+    code = ("import sys; sys.modules['zstandard'] = sys.modules['regex'] = sys.modules['tiktoken'] = None\n"
+            "import warnings; warnings.simplefilter('ignore')\n"
+            "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))")
+    run = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert run.stdout.split() == [str(len(QUERIES)), "False"], run.stderr[-500:]
