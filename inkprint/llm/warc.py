@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from inkprint.operators.prefix import with_quantile_bucket
+from inkprint.operators.prefix import with_range_bucket
 from inkprint.session import settle, spread
 
+SALTS = 64
 ROWS_PER_BUCKET = 50_000
 #: Headers that describe one message, not the stored content; a 304 does not change them (fixed names of HTTP).
 NOT_MERGED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive",
@@ -53,7 +54,7 @@ def to_record(kind: Column, record_id: Column, url: Column, time: Column, status
 
 def _fields(block: bytes) -> tuple[str, dict[str, str]]:
     """First line, and header fields by lower-case name; repeated names are joined, folded lines unfolded."""
-    first, *lines = re.sub(rb"\r?\n[ \t]+", b" ", block).decode("utf-8", "replace").splitlines() or [""]
+    first, *lines = re.sub(rb"\r?\n[ \t]+", b" ", block).decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
     found: dict[str, str] = {}
     for line in lines:
         name, colon, value = line.partition(":")
@@ -70,7 +71,7 @@ def parse_record(data: bytes) -> tuple | None:
     if not first.startswith("WARC/"):
         return None
     length = warc.get("content-length", "")
-    block = rest[:int(length)] if length.isdigit() else rest.removesuffix(b"\r\n\r\n")
+    block = rest[:int(length)] if length.isascii() and length.isdigit() else rest.removesuffix(b"\r\n\r\n")
     status, headers, body = None, {}, b""
     if "http" in warc.get("content-type", ""):
         cut = _BREAK.search(block)
@@ -111,7 +112,8 @@ def resolve(records: DataFrame, bodies: bool = True, rows_per_bucket: int = ROWS
     `rows_per_bucket` rows, and each URL carries its last response from bucket to bucket, so a URL with a third of all
     captures is split like the rest. Headers and bodies are joined by record id at the end.
 
-    Defined cases: null urls or times give `no_url` or `no_response`; repeated revisits give repeated rows, repeated
+    Defined cases: null urls give `no_url`, null or malformed times `no_response`, and responses with such times are
+    none; a malformed length takes the whole record; repeated revisits give repeated rows, repeated
     responses count once; an empty table gives no rows; other columns are ignored.
     """
     rows = records.select("record_id", "type", "url", "time", "digest", "status", "headers",
@@ -125,9 +127,8 @@ def resolve(records: DataFrame, bodies: bool = True, rows_per_bucket: int = ROWS
     seen = full.groupBy("canonical", "time").agg(F.max_by(facts, "record_id").alias("response"))
     asked = revisits.where("canonical is not null and time is not null").select("canonical", "time").distinct()
     line = seen.join(asked, ["canonical", "time"], "full_outer")
-    line = settle(line.withColumn("order", F.unix_timestamp(F.to_timestamp("time")).cast("double")))
-    buckets = line.count() // rows_per_bucket + 1
-    line = with_quantile_bucket(line.where("order is not null"), "order", buckets, "bucket")
+    line = settle(line.withColumn("order", F.try_to_timestamp("time")).where("order is not null"))
+    line = with_range_bucket(line, ["order", "time", "canonical"], line.count() // rows_per_bucket + 1, "bucket")
     of_bucket = line.where("response is not null").groupBy("canonical", "bucket").agg(
         F.max_by("response", F.struct("order", "time")).alias("last"))
     marks = line.select("canonical", "bucket").distinct().join(of_bucket, ["canonical", "bucket"], "left")
@@ -149,7 +150,12 @@ def resolve(records: DataFrame, bodies: bool = True, rows_per_bucket: int = ROWS
     stored = full.dropDuplicates(["record_id"]).select(
         F.col("record_id").alias("refers_to"), F.col("headers").alias("old"), F.col("digest").alias("old_digest"),
         *(["body"] if bodies else []))
-    joined = found.join(stored, "refers_to", "left")
+    # Revisits without a response need no look-up. Many may refer to one response, so every response is copied to
+    # `SALTS` places and its revisits are dealt among them.
+    salted = found.where("refers_to is not null").withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)))
+    copies = stored.join(salted.select("refers_to", "salt").distinct(), "refers_to")
+    joined = salted.join(copies, ["refers_to", "salt"], "left").drop("salt").unionByName(
+        found.where("refers_to is null"), allowMissingColumns=True)
     news = F.map_filter("headers", lambda k, v: ~k.isin(*NOT_MERGED))
     merged = F.map_concat(F.map_filter("old", lambda k, v: ~F.array_contains(F.map_keys(news), k)), news)
     ok = F.col("outcome") == "resolved"

@@ -1,6 +1,7 @@
 """HTML layout and WARC revisits."""
 
 import hashlib
+import re
 
 import pytest
 
@@ -109,3 +110,28 @@ def test_revisits_query_reads_the_joined_body(spark, monkeypatch):
     monkeypatch.setattr(queries, "page_records", lambda *_: table)
     got = {r.page_id: (r.content_length, r.digest) for r in queries.op7_warc_revisits(spark, "none").collect()}
     assert got == {1: (3, "md5:" + hashlib.md5(b"one").hexdigest()), 2: (0, "md5:" + hashlib.md5(b"").hexdigest()), 3: (None, None)}
+
+
+def test_malformed_dates_and_lengths(spark):
+    good = record("response", "a", "https://site.org/p", "2020-01-01T00:00:00Z", headers=[("ETag", '"1"')], body=b"one")
+    late = record("response", "b", "https://site.org/p", "2020-13-45T99:00:00Z", headers=[("ETag", '"1"')], body=b"two")
+    odd = record("revisit", "r1", "https://site.org/p", "not a date", "304 Not Modified", [("ETag", '"1"')])
+    fine = record("revisit", "r2", "https://site.org/p", "2020-01-02T00:00:00Z", "304 Not Modified", [("ETag", '"1"')])
+    fine = re.sub(rb"(\r\nContent-Length: )\d+", lambda m: m[1] + "²".encode(), fine, count=1)
+    table = spark.createDataFrame([(bytearray(r),) for r in (good, late, odd, fine)], "record binary")
+    got = {r.record_id: (r.outcome, r.refers_to) for r in warc.resolve(warc.parse(table)).collect()}
+    assert got == {"r1": ("no_response", None), "r2": ("resolved", "a")}
+
+
+def test_one_url_with_most_revisits(spark):
+    day = "2020-01-{:02d}T00:00:00Z".format
+    rows = [record("response", f"a{i}", "https://hot.org/p", day(i), headers=[("ETag", '"1"')], body=b"%d" % i) for i in (1, 9, 20)]
+    rows += [record("revisit", f"r{i}", "https://hot.org/p", day(2 + i % 27), "304 Not Modified", [("ETag", '"1"')]) for i in range(300)]
+    rows += [record("revisit", f"s{i}", f"https://cold.org/{i}", day(3), "304 Not Modified") for i in range(40)]
+    table = spark.createDataFrame([(bytearray(r),) for r in rows], "record binary")
+    got = {r.record_id: r for r in warc.resolve(warc.parse(table), rows_per_bucket=5).collect()}
+    assert len(got) == 340 and all(got[f"s{i}"].outcome == "no_response" for i in range(40))
+    for i in range(300):
+        at = 2 + i % 27
+        want = max(d for d in (1, 9, 20) if d < at)
+        assert got[f"r{i}"].refers_to == f"a{want}" and bytes(got[f"r{i}"].body) == b"%d" % want
