@@ -153,9 +153,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, n_pivots: int = P
 
 def whole_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(id, vec): floor(scale x component). Rows with a null id, a null vector, or a null or non-finite component drop
-    out, as do components whose whole number does not fit 31 bits, for which sums of products could overflow."""
+    out. A vector whose squared length reaches 2^62 is an error, for its inner products might not fit 64 bits; below,
+    no sum of products of two vectors leaves them."""
     x = F.col("x")
     ok = F.col("id").isNotNull() & x.isNotNull() & F.forall(
-        x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v * scale) < float(1 << 31)))
+        x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    whole = F.transform(x, lambda v: F.floor(v * scale))
+    square = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * scale * (v * scale))
+    wide = F.raise_error(F.concat(F.lit("a vector is too long for 64-bit products: id "), F.col("id").cast("string")))
     return rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("x")).where(
-        F.coalesce(ok, F.lit(False))).select("id", F.transform(x, lambda v: F.floor(v * scale)).alias("vec"))
+        F.coalesce(ok, F.lit(False))).select("id", F.when(square < 2.0 ** 62, whole).otherwise(wide).alias("vec"))

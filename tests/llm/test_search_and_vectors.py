@@ -3,6 +3,9 @@
 import math
 import random
 
+import pytest
+from pyspark.errors import SparkRuntimeException
+
 from inkprint.llm import embedding_dedup, topk
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, score double"
@@ -102,3 +105,12 @@ def test_embedding_links_are_exact(spark):
     key = str
     assert sorted(map(tuple, got.collect()), key=key) == sorted(brute_links(rows, 0.9), key=key)
     assert embedding_dedup.near_duplicates(stored(spark, [])).count() == 0
+
+
+def test_long_vectors_take_part_or_are_an_error(spark):
+    rows = spark.createDataFrame([(0, [3e6, 1.0]), (1, [2e6, -1.0]), (2, [-3e6, 0.5]), (3, [float("inf"), 0.0])],
+                                 "id int, v array<double>")
+    found = topk.top_k(topk.whole_vectors(rows, "id", "v", 1), topk.whole_vectors(rows, "id", "v", 1).where("id = 0"))
+    assert [(r.id, r.score) for r in found.orderBy("rank").collect()] == [(1, 6 * 10**12 - 1), (2, -9 * 10**12)]
+    with pytest.raises(SparkRuntimeException, match="too long for 64-bit products: id 7"):
+        topk.whole_vectors(spark.createDataFrame([(7, [3e9, 1.0])], "id int, v array<double>"), "id", "v", 1024).collect()
