@@ -143,13 +143,32 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _members(signed: DataFrame) -> DataFrame:
-    """(bucket, key, size, central) of all buckets with two members or more. `central` is how many members a text meets
+    """(bucket, key, size, shared, s, central) of all buckets with two members or more. `central` is how many members a text meets
     in all its buckets: the text that a group of near copies was made from meets the most."""
     opened = signed.select(F.explode("bands").alias("bucket"), "key", "size", "shared")
     full = opened.groupBy("bucket").agg(F.count("*").alias("s")).where("s > 1")
     met = settle(opened.join(full, "bucket"))
     central = met.groupBy("key").agg(F.sum("s").alias("central"))
-    return settle(met.drop("s").join(central, "key"))
+    return settle(met.join(central, "key"))
+
+
+def _leads(members: DataFrame) -> DataFrame:
+    return members.groupBy("bucket").agg(F.max_by(F.struct("key", "size", "shared"), F.struct("central", "key")).alias("lead"))
+
+
+def _star(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of buckets with their bucket's leader."""
+    star = members.join(_leads(members), "bucket").where("key <> lead.key").where(
+        _possible(F.col("lead.size"), F.col("lead.shared")))
+    return star.select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")).distinct()
+
+
+def _open(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of the buckets that still hold several components."""
+    named = members.join(groups, members.key == groups.node, "left").select(
+        "bucket", F.coalesce("component", "key").alias("component"))
+    several = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    return settle(members.join(several.select("bucket"), "bucket", "left_semi"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,10 +177,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents with the same word sequence form one class. A class has a min-max signature: 64 permutations, each
     evaluated once and giving its minimum and its maximum, in 32 bands of 4. Two sets at the threshold share no band with
-    a probability of about 5 in 10^6. All members of a bucket are compared with its most central member, on full sets.
-    Buckets that then still hold several components compare the pairs across components, where these are few; members
+    a probability of about 5 in 10^6. Every text is compared with the most central member of its largest bucket, on
+    full sets; members of buckets that then still hold several components with the most central member of each.
+    Buckets that still hold several compare the pairs across components, where these are few; members
     of larger ones get longer keys (64 of 6 values, then 200 of 10) and are treated in the same way. So a large group of
-    copies costs about one comparison per member and band, and no step lists all pairs of a group. Shingles that only
+    copies costs about one comparison per member, and no step lists all pairs of a group. Shingles that only
     one candidate has bound every intersection from above; texts and pairs that cannot reach the threshold by this bound
     are not compared.
 
@@ -188,11 +208,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = _members(able.where(f"100 * shared >= {PERCENT} * size").select("key", "size", "shared", "bands"))
     tested = classes.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(True).alias("ok")).limit(0)
     for level in range(len(FINER) + 1):
-        lead = members.groupBy("bucket").agg(F.max_by(F.struct("key", "size", "shared"), F.struct("central", "key")).alias("lead"))
-        star = members.join(lead, "bucket").where("key <> lead.key").where(
-            _possible(F.col("lead.size"), F.col("lead.shared")))
-        star = star.select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")).distinct()
-        tested = tested.unionByName(_confirmed(star.join(tested, ["a", "b"], "left_anti"), texts))
+        # One leader per text first, that of its largest bucket: it joins most groups of near copies. The other buckets
+        # are needed only where several components remain.
+        main = members.groupBy("key").agg(
+            F.max_by("bucket", F.struct("s", "bucket")).alias("bucket"), F.first("size").alias("size"),
+            F.first("shared").alias("shared"))
+        led = main.join(_leads(members), "bucket").where("key <> lead.key").where(
+            _possible(F.col("lead.size"), F.col("lead.shared"))).select(
+                F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")).distinct()
+        tested = settle(tested.unionByName(_confirmed(led.join(tested, ["a", "b"], "left_anti"), texts)))
+        members = _open(members, settle(components(tested.where("ok").select("a", "b"))))
+        tested = settle(tested.unionByName(_confirmed(_star(members).join(tested, ["a", "b"], "left_anti"), texts)))
         groups = settle(components(tested.where("ok").select("a", "b")))
         named = settle(members.join(groups, members.key == groups.node, "left").select(
             "bucket", "key", "size", "shared", F.coalesce("component", "key").alias("component")))
