@@ -11,15 +11,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkprint.llm.common import BASE, mix
-from inkprint.session import spread
+from inkprint.session import settle, spread
 
 FIT_DOCS = 2_000
 FIT_WORDS = 200_000
 ROUNDS = 3
-PART = 24  # letters scored together; longer runs are cut
+SIDE_BY_SIDE = 24  # letters of words whose sums are plain products; longer runs are summed in logarithms
+BLOCK_LETTERS = 1 << 14
+FIT_LETTERS = 1 << 16  # of a run of letters that is learnt from
 LONGEST = 16  # letters in a piece
 PRIOR = 0.1  # pseudo-count of every piece
 CACHE_WORDS = 1 << 18
@@ -29,13 +32,8 @@ MARK = "▁"
 
 
 def parts_of(text: str) -> list[str]:
-    """Lower-cased runs of letters behind a word mark, cut after `PART` letters; later cuts have no mark."""
-    out = []
-    for word in _LETTERS.findall(text.lower()):
-        out.append(MARK + word[:PART])
-        for at in range(PART, len(word), PART):
-            out.append(word[at:at + PART])
-    return out
+    """Lower-cased runs of letters behind a word mark."""
+    return [MARK + word for word in _LETTERS.findall(text.lower())]
 
 
 class Pieces:
@@ -129,11 +127,75 @@ class Model:
     def log_scores(self, words: list[str]) -> np.ndarray:
         """[word, language]: log of the probability of a word, summed over all its segmentations."""
         out = np.empty((len(words), len(self.languages)))
-        for at in _by_length(words):
-            ids = self.arcs([words[i] for i in at])
-            out[at] = np.log(self.forward(ids)[-1]).T
+        for at in _by_length([w if len(w) <= SIDE_BY_SIDE else "" for w in words]):
+            if words[at[0]] and len(words[at[0]]) <= SIDE_BY_SIDE:
+                out[at] = np.log(self.forward(self.arcs([words[i] for i in at]))[-1]).T
+        for i, word in enumerate(words):
+            if len(word) > SIDE_BY_SIDE:
+                out[i] = self._log_score(word)
         return out
 
+    def _log_score(self, word: str) -> np.ndarray:
+        """The same for one run of any length: logarithms of the sums before the last `LONGEST` places are carried from
+        block to block."""
+        prob = self.log_prob()
+        back = np.full((LONGEST, len(self.languages)), -np.inf)  # back[-k]: what ends k letters ago
+        back[-1] = 0
+        for at in range(0, len(word), BLOCK_LETTERS):
+            seen = min(at, LONGEST - 1)
+            ids = self.arcs([word[at - seen:at + BLOCK_LETTERS]])[:, :, 0]
+            for end in range(seen + 1, len(ids) + 1):
+                k = np.arange(1, min(end, ids.shape[1]) + 1)
+                sums = back[-k] + prob[:, ids[end - k, k - 1]].T
+                top = sums.max(0)
+                back[:-1] = back[1:]
+                back[-1] = top + np.log(np.exp(sums - top).sum(0))
+        return back[-1]
+
+    def log_prob(self) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.log(self.prob)
+
+    def expected_uses(self, words: list[str], weight: np.ndarray) -> np.ndarray:
+        """[language, piece]: how often each piece is expected in words that count `weight` [language, word] times."""
+        uses = np.zeros(self.prob.shape)
+        for at in _by_length([w if len(w) <= SIDE_BY_SIDE else "" for w in words]):
+            if words[at[0]] and len(words[at[0]]) <= SIDE_BY_SIDE:
+                self._add_uses(uses, self.arcs([words[i] for i in at]), weight[:, at])
+        for i, word in enumerate(words):
+            if len(word) > SIDE_BY_SIDE:
+                self._add_long(uses, word, weight[:, i])
+        return uses
+
+    def _add_uses(self, uses: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> None:
+        before, after = self.forward(ids), self.backward(ids)
+        share = weight / before[-1]
+        for start in range(ids.shape[0]):
+            for k in range(1, min(ids.shape[0] - start, ids.shape[1]) + 1):
+                arc = ids[start, k - 1]
+                if arc.min() == self.pieces.none:
+                    continue
+                gain = before[start] * self.prob[:, arc] * after[start + k] * share
+                for lang in range(len(self.languages)):
+                    uses[lang] += np.bincount(arc, gain[lang], uses.shape[1])
+
+    def _add_long(self, uses: np.ndarray, word: str, weight: np.ndarray) -> None:
+        prob, ids = self.log_prob(), self.arcs([word])[:, :, 0]
+        n = len(word)
+        before, after = np.full((n + 1, len(weight)), -np.inf), np.full((n + 1, len(weight)), -np.inf)
+        before[0] = after[n] = 0
+        for end in range(1, n + 1):
+            k = np.arange(1, min(end, LONGEST) + 1)
+            before[end] = np.logaddexp.reduce(before[end - k] + prob[:, ids[end - k, k - 1]].T, axis=0)
+        for start in range(n - 1, -1, -1):
+            k = np.arange(1, min(n - start, LONGEST) + 1)
+            after[start] = np.logaddexp.reduce(after[start + k] + prob[:, ids[start, k - 1]].T, axis=0)
+        for k in range(1, min(n, LONGEST) + 1):
+            arc = ids[:n - k + 1, k - 1]
+            gain = np.exp(before[:n - k + 1].T + prob[:, arc] + after[k:].T - before[n][:, None]) * weight[:, None]
+            for lang in range(len(weight)):
+                uses[lang] += np.bincount(arc, gain[lang], uses.shape[1])
+
 
 def _by_length(words: list[str], most: int = 4096) -> Iterator[list[int]]:
     groups: dict[int, list[int]] = {}
@@ -154,43 +216,57 @@ def vocabulary(path: str) -> list[str]:
     return list(dict.fromkeys(ok))
 
 
-def learn(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = ROUNDS) -> Model:
-    """Piece probabilities per language from (language, word, count), by expectation over all segmentations."""
-    languages = sorted({c[0] for c in counts})
-    number = {lang: i for i, lang in enumerate(languages)}
-    words = sorted({c[1] for c in counts})
-    place = {w: i for i, w in enumerate(words)}
-    weight = np.zeros((len(languages), len(words)))
-    for lang, word, n in counts:
-        weight[number[lang], place[word]] = n
+def _start(languages: list[str], pieces: list[str]) -> Model:
     size = len(pieces) + 2
     model = Model(languages, Pieces(pieces), np.full((len(languages), size), 1.0 / size))
     model.prob[:, -1] = 0
-    groups = [(at, model.arcs([words[i] for i in at])) for at in _by_length(words)]
-    for _ in range(rounds if words else 0):
-        expected = np.zeros((len(languages), size))
-        for at, ids in groups:
-            before, after = model.forward(ids), model.backward(ids)
-            share = weight[:, at] / before[-1]
-            for start in range(ids.shape[0]):
-                for k in range(1, min(ids.shape[0] - start, ids.shape[1]) + 1):
-                    arc = ids[start, k - 1]
-                    if arc.min() == model.pieces.none:
-                        continue
-                    gain = before[start] * model.prob[:, arc] * after[start + k] * share
-                    for lang in range(len(languages)):
-                        expected[lang] += np.bincount(arc, gain[lang], size)
-        expected += PRIOR
-        expected[:, -1] = 0
-        model.prob = expected / expected.sum(1, keepdims=True)
     return model
 
 
-def fit(docs: DataFrame, pieces_path: str, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS) -> Model:
+def _again(model: Model, uses: np.ndarray) -> Model:
+    """The model that gives every piece its share of the expected uses."""
+    uses = uses + PRIOR
+    uses[:, -1] = 0
+    return Model(model.languages, model.pieces, uses / uses.sum(1, keepdims=True))
+
+
+def _uses(model: Model, counts: list[tuple[str, str, int]]) -> np.ndarray:
+    """Expected uses over (language, word, count)."""
+    number = {lang: i for i, lang in enumerate(model.languages)}
+    place = {w: i for i, w in enumerate(dict.fromkeys(c[1] for c in counts))}
+    weight = np.zeros((len(number), len(place)))
+    for lang, word, n in counts:
+        weight[number[lang], place[word]] += n
+    return model.expected_uses(list(place), weight)
+
+
+def learn(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = ROUNDS) -> Model:
+    """Piece probabilities per language from (language, word, count), by expectation over all segmentations."""
+    model = _start(sorted({c[0] for c in counts}), pieces)
+    for _ in range(rounds if counts else 0):
+        model = _again(model, _uses(model, counts))
+    return model
+
+
+def _expect(model: Broadcast) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses = np.zeros(model.value.prob.shape)
+        for batch in batches:
+            uses += _uses(model.value, list(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+        lang, piece = np.nonzero(uses)
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(piece, pa.int32()), pa.array(uses[lang, piece])],
+                                         names=["lang", "piece", "uses"])
+
+    return run
+
+
+def fit(docs: DataFrame, pieces_path: str, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS, rounds: int = ROUNDS) -> Model:
     """Learn from documents (text, lang), rows with a null in either left out.
 
     Bounded sample: about `fit_docs` documents of each language, chosen by a hash of the text, and of their words the
-    most frequent, `fit_words` over all languages together.
+    most frequent, `fit_words` over all languages together, none longer than `FIT_LETTERS`. The words stay in a settled
+    table; in each round tasks sum the expected uses of pieces over their words, and only the probabilities, one per
+    language and piece, come to the driver.
     """
     known = docs.select("text", "lang").where("text is not null and lang is not null")
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -204,7 +280,7 @@ def fit(docs: DataFrame, pieces_path: str, fit_docs: int = FIT_DOCS, fit_words:
         for batch in batches:
             found: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(parts_of(text))
+                found.setdefault(lang, Counter()).update(w for w in parts_of(text) if len(w) <= FIT_LETTERS)
             rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))],
@@ -214,7 +290,18 @@ def fit(docs: DataFrame, pieces_path: str, fit_docs: int = FIT_DOCS, fit_words:
         F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")  # over the sample's words only
     best = words.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= max(1, fit_words // len(sizes)))
-    return learn([(r.lang, r.word, r.n) for r in best.collect()], vocabulary(pieces_path))
+    context = docs.sparkSession.sparkContext
+    best = settle(best.select("lang", "word", "n").repartition(context.defaultParallelism, "word"))
+    model = _start(sorted(sizes), vocabulary(pieces_path))
+    for _ in range(rounds):
+        shared = context.broadcast(model)
+        found = best.mapInArrow(_expect(shared), "lang int, piece int, uses double").groupBy("lang", "piece").agg(
+            F.sum("uses").alias("uses")).toArrow()
+        shared.unpersist()
+        uses = np.zeros(model.prob.shape)
+        uses[found.column("lang").to_numpy(), found.column("piece").to_numpy()] = found.column("uses").to_numpy()
+        model = _again(model, uses)
+    return model
 
 
 class _Scorer:
@@ -311,7 +398,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     """The columns `keep` of every document with `lang_pred` and `score`, the probability of that language.
 
     Each text is lower-cased and read whole. The score of a word under a language is the sum of the probabilities of all
-    ways to cut it into vocabulary pieces (forward algorithm); words are independent, languages equally likely at first.
+    ways to cut it into vocabulary pieces (forward algorithm), however long it is; words are independent, languages
+    equally likely at first.
 
     Defined cases: a null text or one without a letter is `und` with score 0, as is everything under a model without
     languages; ties go to the language first by code point; letters outside the vocabulary count as one rare piece;

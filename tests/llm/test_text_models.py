@@ -2,6 +2,8 @@
 
 import itertools
 import random
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -30,6 +32,39 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(np.exp(model.log_scores([word])[0]), want)
 
 
+@pytest.mark.parametrize("letters", [23, 30, 60])
+def test_long_words_sum_all_segmentations(monkeypatch, letters):
+    """Counted by the plain recursion in exact fractions, in blocks and not."""
+    names = ["▁", "▁a", "a", "ab", "b", "ba", "▁ab", "bab", "abababababababab"]
+    model = language.Model(["x", "y"], language.Pieces(names), np.random.default_rng(2).random((2, len(names) + 2)))
+    model.prob[:, -1] = 0
+    word = "▁" + "".join(random.Random(letters).choice("aabbbac") for _ in range(letters - 1 - 18)) + "abababababababab" + "ba"
+    place = {n: i for i, n in enumerate(names)}
+    for lang in range(2):
+        sums = [Fraction(1)]
+        for end in range(1, len(word) + 1):
+            sums.append(sum(sums[start] * Fraction(model.prob[lang, place.get(word[start:end], len(names))])
+                            for start in range(max(0, end - 16), end) if end - start == 1 or word[start:end] in place))
+        want = float(sums[-1])
+        for block in (language.BLOCK_LETTERS, 5, 17):
+            monkeypatch.setattr(language, "BLOCK_LETTERS", block)
+            assert np.isclose(np.exp(model.log_scores([word])[0, lang]), want)
+    uses, weight = model.expected_uses([word], np.ones((2, 1))), np.ones((2, 1))
+    monkeypatch.setattr(language, "SIDE_BY_SIDE", 100)
+    assert np.allclose(uses, model.expected_uses([word], weight))
+    lengths = np.array([*map(len, names), 1, 0])
+    assert np.allclose(uses @ lengths, len(word))  # the pieces of a segmentation cover the word
+
+
+def test_fitting_on_workers_equals_fitting_at_once(spark, monkeypatch):
+    texts = [("the house is on the hill " + "x" * 40, "en"), ("das haus ist auf dem berg", "de"), ("the haus", "de"), (None, "en"), ("a", None)]
+    docs = spark.createDataFrame([(t, lang) for t, lang in texts * 3], "text string, lang string").repartition(3)
+    counts = Counter((lang, w) for t, lang in texts * 3 if t and lang for w in language.parts_of(t))
+    want = language.learn([(lang, w, n) for (lang, w), n in counts.items()], language.vocabulary(PIECES))
+    got = language.fit(docs, PIECES)
+    assert got.languages == want.languages and np.allclose(got.prob, want.prob)
+
+
 def test_language_of_plain_texts(spark):
     rows = [(i, t, lang, 0.0, 1) for i, (t, lang) in enumerate([
         ("the house is on the hill and the river is near", "en"), ("das haus ist auf dem berg und der fluss ist nah", "de"),
