@@ -270,7 +270,7 @@ def score_distribution(queries: DataFrame, targets: DataFrame, metric: str = "co
 
 def nearest_targets(queries: DataFrame, targets: DataFrame, k: int, metric: str = "cosine",
                     decimals: int = DISTANCE_DECIMALS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The k nearest targets of each query by (distance, target id). Each cell hands on at most k per query."""
+    """The k nearest targets of each query by (distance, target id). Each tile of a cell hands on at most k per query."""
     from pyspark.sql import Window
 
     sign = -1.0 if metric in SIMILARITIES else 1.0
