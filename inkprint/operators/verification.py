@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from inkprint.operators import pairs
+from inkprint.operators import intervals, pairs
 from inkprint.operators.prefix import buckets_for, running_sums, with_quantile_bucket, with_range_bucket
 from inkprint.session import settle
 
@@ -128,7 +128,26 @@ def metrics_from_counts(counts: DataFrame) -> DataFrame:
         min_dcf_column().alias("min_dcf"))
 
 
+def trial_metrics(trials: DataFrame, id_columns: list[str], p_target: float = 0.01, c_miss: float = 1.0,
+                  c_fa: float = 1.0) -> DataFrame:
+    """All metrics of a given list of scored trials (score, is_match and ids): area and both equal error rates over the
+    curve, the detection cost and its score after every item in (score, ids) order. A list of one class has no rates:
+    the area and the cost are null then."""
+    trials = settle(trials.select(*id_columns, "score", "is_match"))
+    whole = roc_curve(score_counts(trials)).agg(
+        auc_column().alias("auc_roc"), eer_column().alias("eer"), eer_v2_column().alias("eer_v2"))
+    cost = min_dcf(error_rates(trials, id_columns), id_columns, p_target, c_miss, c_fa)
+    one = F.lit(1).alias("_one")
+    return whole.select("*", one).join(cost.select("*", one), "_one").drop("_one")
+
+
 def link_eval(queries: DataFrame, targets: DataFrame, metric: str = "cosine",
-              decimals: int = pairs.SCORE_DECIMALS) -> DataFrame:
-    """All queries against all targets, end to end."""
+              decimals: int | None = None) -> DataFrame:
+    """All queries against all targets, end to end. Without `decimals` no score is rounded, and work and memory follow
+    the distinct same-author scores. `decimals` puts scores on a grid, whose size bounds both whatever the labels are.
+
+    The first equal error rate takes its points from the curve's corners; a stretch of other-author pairs alone is one
+    line. Pairs with equal scores are accepted or rejected together."""
+    if decimals is None:
+        return metrics_from_counts(intervals.interval_counts(queries, targets, metric))
     return metrics_from_counts(pairs.score_distribution(queries, targets, metric, decimals))

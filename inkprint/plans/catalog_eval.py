@@ -152,9 +152,12 @@ def nearest_targets(spark, sf):
     return found.select("q", "t", "t_label", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 6).alias("distance"))
 
 
-LINK_COUNTS = f"""{SIDES},
-counts AS (SELECT -round(d, 7) + 0.0::DOUBLE AS score, count(*) FILTER (same) AS pos, count(*) FILTER (NOT same) AS neg
-           FROM sc GROUP BY 1)"""
+LINK_COUNTS = f"""{q.EMB},
+counts AS (
+  SELECT list_dot_product(a.vec, b.vec)
+           / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))) AS score,
+         count(*) FILTER (a.label = b.label) AS pos, count(*) FILTER (a.label <> b.label) AS neg
+  FROM emb a JOIN emb b ON a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY 1)"""
 
 
 @query("score_distribution", f"""
@@ -241,6 +244,16 @@ def min_dcf(spark, sf):
     return rounded(verification.min_dcf(rates, ["id"]))
 
 
+@query("trial_metrics", f"""
+WITH {q.TRIAL_COUNTS}, {q.CURVE}, lm AS ({q.LINK_METRICS}), {RATES.replace(q.TRIALS + ",", "", 1)},
+c AS (SELECT *, fnr * 0.01::DOUBLE + fpr * 0.99::DOUBLE AS cost FROM rates)
+SELECT (SELECT auc_roc FROM lm) AS auc_roc, (SELECT eer FROM lm) AS eer, (SELECT eer_v2 FROM lm) AS eer_v2,
+       round(min(cost) / 0.01::DOUBLE, 6) AS min_dcf, round(arg_min(score, (cost, score, id)), 6) AS threshold FROM c""")
+def trial_metrics(spark, sf):
+    """All metrics of a given score table, the cost over its items."""
+    return rounded(verification.trial_metrics(inputs.trials(spark, sf), ["id"]))
+
+
 @query("score_sort", f"WITH {q.TRIALS} SELECT id, score, row_number() OVER (ORDER BY score, id) - 1 AS place FROM tr")
 def score_sort(spark, sf):
     """Ascending stable order of all scores: the place of each trial."""
