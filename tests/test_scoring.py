@@ -1,10 +1,12 @@
+import math
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from inkprint.operators import pairs, ranking, verification
-from inkprint.operators.joins import join_dimension
+from inkprint.operators.joins import fits_broadcast, hot_keys, join_dimension
 
 RNG = np.random.default_rng(7)
 QUERIES = [(i, i % 12, RNG.normal(size=6).tolist()) for i in range(40)]
@@ -87,12 +89,31 @@ def test_precomputed(spark):
 
 
 def test_salted_lookup_equals_broadcast(spark):
-    facts = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(300)], "id bigint, k bigint")
+    facts = spark.createDataFrame([(i, None if i % 7 == 0 else 0 if i % 3 else i) for i in range(300)], "id bigint, k bigint")
     dim = spark.createDataFrame([(i, i * 10) for i in range(0, 300, 2)], "k bigint, v bigint")
     for how in ("inner", "left"):
         plain = join_dimension(facts, dim, "k", "id", how)
-        salted = join_dimension(facts, dim, "k", "id", how, max_rows=5, salts=4)
-        assert sorted(map(str, plain.select("id", "k", "v").collect())) == sorted(map(str, salted.select("id", "k", "v").collect()))
+        salted = join_dimension(facts, dim, "k", "id", how, max_rows=5, group_rows=20)
+        assert salted.columns == plain.columns
+        assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect()))
+
+
+def test_hot_keys_get_salts_by_share(spark):
+    """A key with a third of the rows goes to many groups, ordinary keys to one; text keys work alike."""
+    facts = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 5000).alias("k"))
+    for column in (F.col("k"), F.col("k").cast("string")):
+        found = hot_keys(facts.withColumn("k", column), "k", group_rows=1000).collect()
+        assert [str(r.k) for r in found] == ["-1"]
+        assert found[0]["_salts"] == math.ceil(20_000 / max(1000, 60_000 / (4 * spark.sparkContext.defaultParallelism)))
+    assert hot_keys(facts.limit(0), "k").count() == 0
+    dim = facts.select("k").distinct().withColumn("v", F.col("k") * 2)
+    joined = join_dimension(facts, dim, "k", "id", max_rows=5, group_rows=1000)
+    assert joined.count() == 60_000 and joined.where("v <> 2 * k").count() == 0
+
+
+def test_wide_rows_are_not_broadcast(spark):
+    wide = spark.range(100).withColumn("vec", F.array_repeat(F.lit(0.123456789), 100))
+    assert fits_broadcast(wide, 100) and not fits_broadcast(wide, 99) and not fits_broadcast(wide, 100, max_bytes=50_000)
 
 
 def test_nearest_and_statistics(spark):
