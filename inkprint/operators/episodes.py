@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from inkprint.functions import sampling
 from inkprint.functions.arrays import gather, slice_at
 from inkprint.operators.history import SEGMENT_POSTS
-from inkprint.operators.prefix import number_rows
+from inkprint.operators.prefix import number_rows, take_first
 from inkprint.session import settle
 
 EPISODE_POSTS = 16
@@ -104,8 +104,8 @@ def gather_histories(histories: DataFrame, picks: DataFrame, segment_posts: int
 
 
 def take_queries(records: DataFrame, count: int, key: str = "author_id") -> DataFrame:
-    """First `count` records by key; zero or less means all."""
-    return records if count <= 0 else records.orderBy(key).limit(count)
+    """First `count` records by key; zero or less means all. A filter on the key, whatever the count."""
+    return records if count <= 0 else take_first(records, key, count)
 
 
 def filter_authors(records: DataFrame, below: int) -> DataFrame:

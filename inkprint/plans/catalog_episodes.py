@@ -10,6 +10,7 @@ from inkprint.operators.subword import concat_posts as concat_texts
 from inkprint.plans import inputs, sqlparts as q
 from inkprint.plans.catalog_sources import INDEX_SQL, episode_index, staged_histories
 from inkprint.plans.registry import query
+from inkprint.session import settle
 
 N = "n AS (SELECT user_id AS author_id, count(*) AS n FROM events GROUP BY user_id)"
 
@@ -145,7 +146,7 @@ def gather_posts(spark, sf):
 @query("take_queries", "SELECT user_id AS author_id, count(*) AS n FROM events GROUP BY user_id ORDER BY user_id LIMIT 25000")
 def take_queries(spark, sf):
     """The reference's default number of queries, 25,000."""
-    return episodes.take_queries(counts(spark, sf), 25_000)
+    return episodes.take_queries(settle(counts(spark, sf)), 25_000)
 
 
 @query("repeat_epochs", f"WITH {N} SELECT author_id, n, unnest(range(3)) AS epoch FROM n")

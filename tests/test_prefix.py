@@ -1,9 +1,10 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from inkprint.functions.sampling import hash32
 from inkprint.operators.prefix import (
-    number_rows, running_sums, take_first, take_in_order, with_quantile_bucket, with_range_bucket)
+    nth_smallest, number_rows, running_sums, take_first, take_in_order, with_quantile_bucket, with_range_bucket)
 
 
 def test_running_sums_with_a_hot_value(spark):
@@ -51,3 +52,30 @@ def test_both_ways_of_taking_agree(spark):
     assert small == large and len(small) == 300
     assert {r.id for r in take_first(rows, "id", 450, small=10).collect()} == set(range(450))
     assert take_first(rows, "id", 5000, small=10).count() == 2000
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double", "string", "date", "timestamp"])
+def test_nth_smallest(spark, kind):
+    """Ranks within one histogram bucket, ties, shared beginnings and extremes, against a sorted list."""
+    rng = np.random.default_rng(2)
+    numbers = [int(x) for x in np.r_[rng.integers(0, 30_000, 400), rng.integers(20_000, 20_010, 400)]]
+    column = {"bigint": F.col("n") * (1 << 48) - (1 << 62), "double": F.when(F.col("n") > 29_000, F.lit(float("inf"))).otherwise(
+        F.exp(F.col("n") / 50.0)), "string": F.concat(F.lit("straße/"), F.col("n").cast("string")),
+        "date": F.date_add(F.lit("1500-01-01").cast("date"), F.col("n").cast("int")),
+        "timestamp": F.timestamp_seconds("n")}[kind]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n bigint").select(column.alias("k"))
+    values = [r.k for r in rows.orderBy("k").collect()]
+    for n in (395, 800):
+        assert nth_smallest(rows, "k", n, small=20) == values[n - 1]
+    assert nth_smallest(rows, "k", 801) is None and nth_smallest(rows, "k", 0) is None
+    assert take_first(rows, "k", 500, small=50).count() == 500
+
+
+def test_take_first_with_missing_keys_and_ties(spark):
+    rows = spark.createDataFrame([(None,)] * 3 + [(1,)] * 4 + [(2,)] * 4, "k bigint")
+    for count in (2, 3, 5, 7, 9, 20):
+        found = [r.k for r in take_first(rows, "k", count, small=1).collect()]
+        assert sorted(found, key=lambda k: (k is not None, k or 0)) == ([None] * 3 + [1] * 4 + [2] * 4)[:count]
+    assert take_first(rows.limit(0), "k", 5).count() == 0
+    plan = take_first(spark.range(1000), "id", 100, small=10)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "TakeOrdered" not in plan
