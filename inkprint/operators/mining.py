@@ -1,52 +1,70 @@
 """Hard-example reports inside batches of embeddings.
 
-A batch is a fixed number of vectors (512 in the published runs), so it is a bounded group. Each batch is scored
-by one matrix product inside a task, and only one row per anchor comes out; pairs are never rows.
+A batch is a fixed number of vectors (512 in the published runs), so it is a bounded group and one task holds its
+vectors. Its anchors are scored in strips against the whole batch, so no matrix grows with the square of the batch, and
+only one row per anchor comes out; pairs are never rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from inkprint.functions.vectors import euclidean
 
-MAX_BATCH = 4096
+STRIP_SCORES = 1 << 21
 
 
 def _batch(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if table.num_rows > MAX_BATCH:
-        raise ValueError(f"a batch may hold at most {MAX_BATCH} vectors, got {table.num_rows}")
+    """Ids, labels and unit vectors in order of the ids; the zero vector stays zero."""
     table = table.sort_by("id")
     vectors = table.column("vec").combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return table.column("id").to_numpy(), table.column("label").to_numpy(), flat.reshape(len(vectors), -1)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1)
+    sizes = np.linalg.norm(flat, axis=1, keepdims=True)
+    unit = np.divide(flat, sizes, out=np.zeros_like(flat), where=sizes > 0)
+    return table.column("id").to_numpy(), table.column("label").to_numpy(), unit
+
+
+def _strips(labels: np.ndarray, unit: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """For a strip of anchors at a time: its place, dot products with the whole batch, same label, and not itself."""
+    height = max(1, STRIP_SCORES // len(labels))
+    for start in range(0, len(labels), height):
+        rows = np.arange(start, min(start + height, len(labels)))
+        others = rows[:, None] != np.arange(len(labels))[None, :]
+        yield slice(start, rows[-1] + 1), unit[rows] @ unit.T, labels[rows, None] == labels[None, :], others
+
 
+def _report(batches: DataFrame, columns: str, strip: Callable[..., dict[str, np.ndarray]]) -> DataFrame:
+    """One row per anchor with what `strip(scores, same, others, place, unit)` finds, batch by batch."""
 
-def _margin_scores(labels: np.ndarray, vectors: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cosine scores with `margin` added to negatives, the same-label mask and the off-diagonal mask."""
-    sizes = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = np.divide(vectors, sizes, out=np.zeros_like(vectors), where=sizes > 0)
-    same = labels[:, None] == labels[None, :]
-    others = ~np.eye(len(labels), dtype=bool)
-    return unit @ unit.T + margin * ~same, same, others
+    def batch(key, table):
+        ids, labels, unit = _batch(table)
+        parts = [strip(scores, same, others, place, unit) for place, scores, same, others in _strips(labels, unit)]
+        found = {name: np.concatenate([part[name] for part in parts]) for name in parts[0]}
+        return pa.table({"batch_id": np.full(len(ids), key[0].as_py(), np.int64), "anchor": ids, **found})
+
+    return batches.groupBy("batch_id").applyInArrow(batch, f"batch_id bigint, anchor bigint, {columns}")
 
 
 def anchor_report(batches: DataFrame, margin: float) -> DataFrame:
-    """Each anchor against the rest of its batch: positives and negatives, and the sum of their scores."""
+    """Each anchor against the rest of its batch: positives and negatives, and the sum of their scores. A score is the
+    cosine, with `margin` added for negatives."""
 
-    def report(key, table):
-        ids, labels, vectors = _batch(table)
-        scores, same, others = _margin_scores(labels, vectors, margin)
+    def strip(scores, same, others, place, unit):
         pos, neg = same & others, ~same
-        return pa.table({
-            "batch_id": np.full(len(ids), key[0].as_py(), np.int64), "anchor": ids,
-            "n_pos": pos.sum(1), "n_neg": neg.sum(1),
-            "pos_sum": np.where(pos, scores, 0.0).sum(1), "neg_sum": np.where(neg, scores, 0.0).sum(1)})
+        return {"n_pos": pos.sum(1), "n_neg": neg.sum(1), "pos_sum": np.where(pos, scores, 0.0).sum(1),
+                "neg_sum": np.where(neg, scores + margin, 0.0).sum(1)}
+
+    return _report(batches, "n_pos bigint, n_neg bigint, pos_sum double, neg_sum double", strip)
+
 
-    return batches.groupBy("batch_id").applyInArrow(
-        report, "batch_id bigint, anchor bigint, n_pos bigint, n_neg bigint, pos_sum double, neg_sum double")
+def _sum_of_least(values: np.ndarray, wanted: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per row the sum of the `counts` least wanted values."""
+    ordered = np.sort(np.where(wanted, values, np.inf), axis=1)
+    return np.where(np.arange(values.shape[1])[None, :] < counts[:, None], ordered, 0.0).sum(1)
 
 
 def ranked_list_report(batches: DataFrame, margin: float, k: int) -> DataFrame:
@@ -57,30 +75,23 @@ def ranked_list_report(batches: DataFrame, margin: float, k: int) -> DataFrame:
     Otherwise (case 2): all intruders against the highest missed positives, as many as there are intruders.
     """
 
-    def report(key, table):
-        ids, labels, vectors = _batch(table)
-        scores, same, others = _margin_scores(labels, vectors, margin)
-        if len(ids) - 1 < k:
-            raise ValueError(f"batch {key[0].as_py()} has fewer than {k} other vectors")
-        rows = []
-        for i in range(len(ids)):
-            row, is_pos = scores[i][others[i]], same[i][others[i]]
-            kth = np.partition(row, -k)[-k]
-            intruders = np.sort(row[~is_pos & (row >= kth)])
-            missed = np.sort(row[is_pos & (row < kth)])
-            few = int(is_pos.sum()) < k
-            neg = intruders[:len(missed)].sum() if few else intruders.sum()
-            pos = missed.sum() if few else missed[max(0, len(missed) - len(intruders)):].sum()
-            rows.append((1 if few else 2, int(is_pos.sum()), kth, len(intruders), len(missed), neg, pos))
-        case, n_pos, kth, intruding, missed, neg, pos = (np.array(c) for c in zip(*rows))
-        return pa.table({
-            "batch_id": np.full(len(ids), key[0].as_py(), np.int64), "anchor": ids, "batch_size": np.full(len(ids), len(ids)),
-            "loss_case": case, "n_pos": n_pos, "kth_score": kth, "n_intruding": intruding, "n_missed": missed,
-            "neg_part": neg, "pos_part": pos})
-
-    return batches.groupBy("batch_id").applyInArrow(
-        report, "batch_id bigint, anchor bigint, batch_size bigint, loss_case bigint, n_pos bigint, kth_score double, "
-                "n_intruding bigint, n_missed bigint, neg_part double, pos_part double")
+    def strip(scores, same, others, place, unit):
+        size = scores.shape[1]
+        if size - 1 < k:
+            raise ValueError(f"a batch has fewer than {k} other vectors")
+        scores = np.where(same, scores, scores + margin)
+        kth = np.partition(np.where(others, scores, -np.inf), size - k, axis=1)[:, size - k]
+        intruding, missed = ~same & (scores >= kth[:, None]), same & others & (scores < kth[:, None])
+        n_pos, n_in, n_out = (same & others).sum(1), intruding.sum(1), missed.sum(1)
+        few, least = n_pos < k, np.minimum(n_in, n_out)
+        return {
+            "batch_size": np.full(len(scores), size), "loss_case": np.where(few, 1, 2), "n_pos": n_pos, "kth_score": kth,
+            "n_intruding": n_in, "n_missed": n_out,
+            "neg_part": _sum_of_least(scores, intruding, np.where(few, least, n_in)),
+            "pos_part": -_sum_of_least(-scores, missed, np.where(few, n_out, least))}
+
+    return _report(batches, "batch_size bigint, loss_case bigint, n_pos bigint, kth_score double, n_intruding bigint, "
+                            "n_missed bigint, neg_part double, pos_part double", strip)
 
 
 def ranked_list_score(report: DataFrame, run_case1: bool) -> DataFrame:
@@ -95,35 +106,22 @@ def semihard_triplets(batches: DataFrame, margin: float) -> DataFrame:
     """Per anchor, over its positives: the hinge of positive distance + margin against the nearest negative that is
     farther than the positive, or the farthest negative when there is none. Euclidean distance of unit vectors."""
 
-    def report(key, table):
-        ids, labels, vectors = _batch(table)
-        sizes = np.linalg.norm(vectors, axis=1, keepdims=True)
-        unit = np.divide(vectors, sizes, out=np.zeros_like(vectors), where=sizes > 0)
-        gram = unit @ unit.T
-        square = np.diag(gram)
-        dist = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * gram, 0.0))
-        same = labels[:, None] == labels[None, :]
-        n_pos, n_outside, loss = [], [], []
-        for i in range(len(ids)):
-            negatives = np.sort(dist[i][~same[i]])
-            mine = same[i].copy()
-            mine[i] = False
-            d = dist[i][mine]
-            if not len(negatives):
-                d = d[:0]
-            at = np.searchsorted(negatives, d, side="right")
-            outside = at < len(negatives)
-            chosen = negatives[np.minimum(at, len(negatives) - 1)] if len(d) else d
-            n_pos.append(len(d))
-            n_outside.append(int(outside.sum()))
-            loss.append(float(np.maximum(margin + d - chosen, 0.0).sum()))
-        return pa.table({
-            "batch_id": np.full(len(ids), key[0].as_py(), np.int64), "anchor": ids,
-            "n_triplets": np.array(n_pos, np.int64), "n_semihard": np.array(n_outside, np.int64),
-            "hinge_sum": np.array(loss, np.float64)})
-
-    return batches.groupBy("batch_id").applyInArrow(
-        report, "batch_id bigint, anchor bigint, n_triplets bigint, n_semihard bigint, hinge_sum double")
+    def strip(scores, same, others, place, unit):
+        square = (unit * unit).sum(1)
+        dist = np.sqrt(np.maximum(square[place, None] + square[None, :] - 2 * scores, 0.0))
+        # By distance, negatives first among equals: the next negative after a positive is farther.
+        order = np.lexsort((same, dist), axis=1)
+        ordered = np.take_along_axis(dist, order, axis=1)
+        negative = np.take_along_axis(~same, order, axis=1)
+        following = np.minimum.accumulate(np.where(negative, ordered, np.inf)[:, ::-1], axis=1)[:, ::-1]
+        farthest = np.where(~same, dist, -np.inf).max(axis=1, initial=-np.inf)
+        usable = (farthest > -np.inf)[:, None] & np.take_along_axis(same & others, order, axis=1)
+        outside = usable & np.isfinite(following)
+        chosen = np.where(outside, following, np.where(farthest > -np.inf, farthest, 0.0)[:, None])
+        hinge = np.where(usable, np.maximum(margin + ordered - chosen, 0.0), 0.0)
+        return {"n_triplets": usable.sum(1), "n_semihard": outside.sum(1), "hinge_sum": hinge.sum(1)}
+
+    return _report(batches, "n_triplets bigint, n_semihard bigint, hinge_sum double", strip)
 
 
 def triplet_score(report: DataFrame) -> DataFrame:

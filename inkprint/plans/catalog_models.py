@@ -10,7 +10,7 @@ from inkprint.plans import inputs, sqlparts as q
 from inkprint.plans.catalog_episodes import PAIRS, counts, draws, pair_samples
 from inkprint.plans.catalog_eval import rounded
 from inkprint.plans.registry import query
-from inkprint.session import settle
+from inkprint.session import settle, spread
 
 DOCS = "docs AS (SELECT doc_id AS doc, text FROM documents)"
 
@@ -148,7 +148,7 @@ SELECT batch_id, c AS loss_case, count(*) FILTER (loss_case = c) AS n_anchors,
        round(coalesce(sum(neg_part - pos_part) FILTER (loss_case = c), 0) / any_value(n), 6) + 0.0::DOUBLE AS score
 FROM rl JOIN b USING (batch_id), (VALUES (1::BIGINT), (2)) v(c) GROUP BY batch_id, c""")
 def ranked_list_score(spark, sf):
-    report = ranked_report(spark, sf)
+    report = settle(ranked_report(spark, sf))
     both = [mining.ranked_list_score(report, run_case1=case == 1).withColumn("loss_case", F.lit(case).cast("bigint"))
             for case in (1, 2)]
     return both[0].unionByName(both[1]).select("batch_id", "loss_case", "n_anchors", (F.round("score", 6) + 0.0).alias("score"))
@@ -179,19 +179,21 @@ gr AS (SELECT DISTINCT doc_id, {q.word_hash('g')} % {features.NGRAM_BUCKETS} AS
 
 
 def episode_members(spark, sf, samples, seed):
-    """Posts of the sampled episodes with their feature indices. n-grams are hashed once per document, before the
-    shuffle, so that joins move a few integers per post."""
+    """Posts of the sampled episodes with their feature indices. Episodes are drawn on ids; n-grams are
+    hashed once per document that was drawn, so that joins move a few integers per post."""
     spec = episodes.contiguous_spec(episodes.draw_samples(counts(spark, sf), seed, samples), seed, drop_short=True)
     return members_of(spark, sf, spec)
 
 
 def members_of(spark, sf, spec):
-    docs = inputs.texts(spark, sf).select("doc_id", words(F.col("text")).alias("w")).select(
-        "doc_id", features.ngram_buckets(F.col("w")).alias("grams"))
     posts = inputs.timeline(spark, sf).withColumn("author_id", F.col("author").cast("bigint"))
-    members = episodes.episode_posts(episodes.spec_positions(spec), posts)
-    described = inputs.with_doc(history.with_calendar(history.lookup_action(members, inputs.actions(spark, sf))),
-                                docs, docs.count())
+    members = settle(episodes.episode_posts(episodes.spec_positions(spec), posts).withColumn(
+        "doc_id", F.col("post_id") % inputs.documents(spark, sf).count()))
+    # Only texts that a drawn post has are read into n-grams, each once.
+    drawn = inputs.documents(spark, sf).join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    docs = spread(drawn, "doc_id").select("doc_id", words(F.col("text")).alias("w")).select(
+        "doc_id", features.ngram_buckets(F.col("w")).alias("grams"))
+    described = history.with_calendar(history.lookup_action(members, inputs.actions(spark, sf))).join(docs, "doc_id")
     return described.select(
         "author_id", F.col("sample_no").cast("bigint").alias("sample_no"), "ep_pos",
         features.post_features(F.col("grams"), F.col("action_id"), F.col("hour"), N_ACTIONS).alias("features"))

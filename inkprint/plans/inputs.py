@@ -129,7 +129,7 @@ def mean_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return means.where("side = 0").drop("side"), means.where("side = 1").drop("side")
 
 
-def batches(spark: SparkSession, sf: str, size: int = 64) -> DataFrame:
+def batches(spark: SparkSession, sf: str, size: int = 512) -> DataFrame:
     return embeddings(spark, sf).withColumn("batch_id", F.floor(F.col("id") / size))
 
 

@@ -110,7 +110,7 @@ model AS (
     SELECT * FROM terms WHERE df <= 0.9::DOUBLE * (SELECT count(*) FROM docs)
     ORDER BY total_tf DESC, term LIMIT 20000))"""
 BATCH_PAIRS = EMB + """,
-unit AS (SELECT id, id // 64 AS batch_id, label, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec
+unit AS (SELECT id, id // 512 AS batch_id, label, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec
          FROM emb),
 pr AS (
   SELECT a.batch_id, a.id AS anchor, b.id AS other, a.label = b.label AS same,

@@ -84,6 +84,40 @@ def test_tied_kth_score(spark):
     assert row.kth_score == 1.0 and row.n_intruding == 3 and row.n_missed == 0
 
 
+def test_batches_larger_than_one_strip(spark):
+    """5,000 vectors in a batch, scored in several strips; some anchors against plain loops."""
+    rng = np.random.default_rng(9)
+    n, k, vectors = 5000, 400, rng.normal(size=(5000, 4))
+    labels = rng.integers(0, 10, n)
+    batch = spark.createDataFrame([(0, i, int(labels[i]), vectors[i].tolist()) for i in range(n)],
+                                  "batch_id bigint, id bigint, label bigint, vec array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    ranked = {r.anchor: r for r in mining.ranked_list_report(batch, 0.25, k).collect()}
+    sums = {r.anchor: r for r in mining.anchor_report(batch, 0.25).collect()}
+    hard = {r.anchor: r for r in mining.semihard_triplets(batch, 0.2).collect()}
+    assert len(ranked) == len(sums) == len(hard) == n
+    for i in (0, 417, 420, 2500, n - 1):
+        rest = np.delete(np.arange(n), i)
+        same = labels[rest] == labels[i]
+        score = unit[rest] @ unit[i] + 0.25 * ~same
+        kth = np.sort(score)[-k]
+        intruders, missed = np.sort(score[~same & (score >= kth)]), np.sort(score[same & (score < kth)])[::-1]
+        few, least = same.sum() < k, min(len(intruders), len(missed))
+        want = (intruders[:least].sum(), missed.sum()) if few else (intruders.sum(), missed[:least].sum())
+        assert (ranked[i].n_intruding, ranked[i].n_missed) == (len(intruders), len(missed))
+        assert (ranked[i].kth_score, ranked[i].neg_part, ranked[i].pos_part) == pytest.approx((kth, *want))
+        assert (sums[i].n_pos, sums[i].n_neg) == (same.sum(), (~same).sum())
+        assert (sums[i].pos_sum, sums[i].neg_sum) == pytest.approx((score[same].sum(), score[~same].sum()))
+        far = np.sqrt(np.maximum(2 - 2 * (unit[rest] @ unit[i]), 0))
+        negatives, loss, outside = far[~same], 0.0, 0
+        for d in far[same]:
+            later = negatives[negatives > d]
+            outside += bool(len(later))
+            loss += max(0.0, 0.2 + d - (later.min() if len(later) else negatives.max()))
+        assert (hard[i].n_triplets, hard[i].n_semihard) == (same.sum(), outside)
+        assert hard[i].hinge_sum == pytest.approx(loss, abs=1e-6)
+
+
 def test_contrastive(spark):
     pairs = spark.createDataFrame([([0.0, 0.0], [3.0, 4.0], 1), ([0.0], [0.5], 0), ([0.0], [2.0], 0)],
                                   "left_vec array<double>, right_vec array<double>, is_same int")
