@@ -178,6 +178,52 @@ class _Counts:
         return pa.concat_tables(parts) if parts else self._table(empty, empty, empty)
 
 
+class _Nearest:
+    """The k nearest targets of every query row of a cell. A cell goes through its tiles query rows first, so only the
+    state of one strip of queries is open; rows are kept by their place in the strip, as ids may repeat."""
+
+    def __init__(self, k: int, sign: float) -> None:
+        self.k, self.sign = k, sign
+        self.strip, self.open = None, None  # row, distance, target id, target label
+        self.parts: list[pa.Table] = []
+
+    def _best(self, row: np.ndarray, distance: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((ids, distance, row))
+        row = row[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+        return row[kept], *(x[order][kept] for x in (distance, ids, labels))
+
+    def _close(self) -> None:
+        if self.open is not None:
+            row, distance, ids, labels = self.open
+            self.parts.append(pa.table({
+                "q": _numbers(self.strip, "id")[row], "t": ids, "distance": distance, "t_label": labels,
+                "q_label": _numbers(self.strip, "label")[row]}))
+
+    def add(self, q: pa.Table, t: pa.Table, scores: np.ndarray) -> None:
+        if q is not self.strip:
+            self._close()
+            self.strip, self.open = q, None
+        d = self.sign * scores + 0.0
+        if not d.size:
+            return
+        # Everything up to the k-th distance, ties included; the ties are then settled by id.
+        keep = min(self.k, d.shape[1])
+        last = np.partition(d, keep - 1, axis=1)[:, keep - 1:keep]
+        row, column = np.nonzero(d <= last)
+        found = (row, d[row, column], _numbers(t, "id")[column], _numbers(t, "label")[column])
+        if self.open is not None:
+            found = tuple(np.concatenate(x) for x in zip(self.open, found))
+        self.open = self._best(*found)
+
+    def result(self) -> pa.Table:
+        self._close()
+        if self.parts:
+            return pa.concat_tables(self.parts)
+        whole = ("q", "t", "distance", "t_label", "q_label")
+        return pa.table({c: pa.array([], pa.float64() if c == "distance" else pa.int64()) for c in whole})
+
+
 def pair_cells(
     queries: DataFrame,
     targets: DataFrame,
@@ -223,8 +269,9 @@ def pair_cells(
     def cell(q: pa.Table, t: pa.Table) -> pa.Table:
         found = reducer() if per_cell else _Rows(reducer)
         for i in range(0, max(q.num_rows, 1), tile):
+            a = q.slice(i, tile)
             for j in range(0, max(t.num_rows, 1), tile):
-                a, b = q.slice(i, tile), t.slice(j, tile)
+                b = t.slice(j, tile)
                 found.add(a, b, score_tile(a, b))
         return found.result()
 
@@ -269,27 +316,14 @@ def score_distribution(queries: DataFrame, targets: DataFrame, metric: str = "co
 
 
 def nearest_targets(queries: DataFrame, targets: DataFrame, k: int, metric: str = "cosine",
-                    decimals: int = DISTANCE_DECIMALS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The k nearest targets of each query by (distance, target id). Each tile of a cell hands on at most k per query."""
+                    decimals: int = DISTANCE_DECIMALS, block_rows: int = COUNTING_BLOCK_ROWS) -> DataFrame:
+    """The k nearest targets of each query by (distance, target id). A cell keeps the best of its tiles so far and hands
+    on at most k rows per query."""
     from pyspark.sql import Window
 
     sign = -1.0 if metric in SIMILARITIES else 1.0
-
-    def reduce(q, t, s):
-        d = sign * s + 0.0
-        ids, t_ids = _numbers(q, "id"), _numbers(t, "id")
-        keep = min(k, d.shape[1])
-        # Everything up to the k-th distance, ties included; the ties are then settled by id.
-        last = np.partition(d, keep - 1, axis=1)[:, keep - 1:keep] if d.size else np.zeros((len(d), 1))
-        row, column = np.nonzero(d <= last)
-        order = np.lexsort((t_ids[column], d[row, column], row))
-        row, column = row[order], column[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        row, column = row[place < keep], column[place < keep]
-        return pa.table({"q": ids[row], "t": t_ids[column], "distance": d[row, column],
-                         "t_label": _numbers(t, "label")[column], "q_label": _numbers(q, "label")[row]})
-
-    cells = pair_cells(queries, targets, reduce, "q bigint, t bigint, distance double, t_label bigint, q_label bigint",
-                       metric, decimals, block_rows)
+    cells = pair_cells(queries, targets, lambda: _Nearest(k, sign),
+                       "q bigint, t bigint, distance double, t_label bigint, q_label bigint",
+                       metric, decimals, block_rows, per_cell=True)
     best = Window.partitionBy("q").orderBy("distance", "t")
     return cells.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -129,6 +129,24 @@ def test_nearest_and_statistics(spark):
         assert stats[i].score_sum == pytest.approx(sum(d)) and stats[i].score_min == pytest.approx(min(d))
 
 
+def test_nearest_of_a_cell_with_several_tiles():
+    """Tiles of one cell are merged; equal distances go by id, and repeated query rows keep their own lists."""
+    rng = np.random.default_rng(12)
+    scores = rng.integers(0, 4, (6, 40)).astype(float)
+    q = pa.table({"id": [1, 2, 3, 3, 4, 5], "label": [0, 1, 2, 2, 3, 4]})
+    t = pa.table({"id": rng.permutation(40), "label": np.arange(40)})
+    cell = pairs._Nearest(7, 1.0)
+    for i in range(0, 6, 3):
+        strip = q.slice(i, 3)
+        for j in range(0, 40, 9):
+            cell.add(strip, t.slice(j, 9), scores[i:i + 3, j:j + 9])
+    got = [(r["q"], r["distance"], r["t"]) for r in cell.result().to_pylist()]
+    ids = t.column("id").to_numpy()
+    want = [(int(q.column("id")[i].as_py()), d, int(n)) for i in range(6) for d, n in sorted(zip(scores[i], ids))[:7]]
+    assert got == want
+    assert pairs._Nearest(3, 1.0).result().num_rows == 0
+
+
 def test_one_label_holding_most_rows(spark):
     """A hot label is spread over blocks like any other, and all of its pairs are counted."""
     rows = [(i, 0 if i % 3 else i, RNG.normal(size=4).tolist()) for i in range(90)]
