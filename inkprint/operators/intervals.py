@@ -178,6 +178,8 @@ def interval_counts(queries: DataFrame, targets: DataFrame, metric: str = "cosin
     """
     if metric not in pairs.SIMILARITIES + pairs.DISTANCES:
         raise ValueError(f"unsupported metric {metric!r}; choose one of {pairs.SIMILARITIES + pairs.DISTANCES}")
+    if "vec" not in queries.columns:
+        raise ValueError("exact counts need dense vectors; sparse ones are compared on a grid of `decimals`")
     queries, targets = (settle(s.select("id", "label", "vec")) for s in (queries, targets))
     tasks = queries.sparkSession.sparkContext.defaultParallelism
     known = settle(same_author_scores(queries, targets, metric))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from inkprint.functions.text import STOP_WORDS, word_tokens
-from inkprint.operators import verification
+from inkprint.operators import pairs, verification
 from inkprint.session import broadcast_if_small, settle
 
 MAX_DOC_FRACTION = 0.9
@@ -94,4 +94,4 @@ def first_posts(posts: DataFrame, count: int) -> DataFrame:
 def tfidf_linking(queries: DataFrame, targets: DataFrame, model: DataFrame) -> DataFrame:
     """Link authors by TF-IDF: the posts of every query against those of every target, linear kernel."""
     return verification.link_eval(
-        settle(author_vectors(queries, model)), settle(author_vectors(targets, model)), metric="linear")
+        settle(author_vectors(queries, model)), settle(author_vectors(targets, model)), metric="linear", decimals=pairs.SCORE_DECIMALS)

@@ -148,6 +148,8 @@ def test_empty_and_one_sided_tables(spark):
     assert intervals.interval_counts(nobody, right).count() == 0
     with pytest.raises(ValueError, match="unsupported metric"):
         intervals.interval_counts(left, right, "jaccard")
+    with pytest.raises(ValueError, match="dense vectors"):
+        intervals.interval_counts(left.drop("vec"), right.drop("vec"), "linear")
 
 
 def test_trial_metrics(spark):
