@@ -59,66 +59,131 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weight + self.bias, -30, 30)))
 
 
-def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, decay: float = 1e-4,
+def risk_gradient(weight: np.ndarray, bias: float, p: np.ndarray, u: np.ndarray, prior: float | None,
+                  ) -> tuple[float, float, np.ndarray, float]:
+    """Positive and negative part of the risk at a linear score f, and the gradient of the step (weight, bias).
+
+    With a prior: prior * E_p[l(f)] and E_u[l(-f)] - prior * E_p[l(-f)], l logistic; where the second is below 0 the step
+    goes up that part alone. Without one, positives are told apart from unlabelled rows: E_p[l(f)] and E_u[l(-f)].
+    """
+    fp, fu = p @ weight + bias, u @ weight + bias
+    sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
+    part = 1.0 if prior is None else prior
+    taken = 0.0 if prior is None else prior
+    positive = part * np.logaddexp(0, -fp).mean()
+    negative = np.logaddexp(0, fu).mean() - taken * np.logaddexp(0, fp).mean()
+    # l'(f) = s - 1 for positives, s for the others.
+    gp, gu = part * (sp - 1) / len(p) - taken * sp / len(p), su / len(u)
+    if negative < 0:
+        gp, gu = taken * sp / len(p), -su / len(u)
+    return float(positive), float(negative), p.T @ gp + u.T @ gu, float(gp.sum() + gu.sum())
+
+
+@dataclass
+class Sample:
+    """Rows of features, how often each occurs, and the half of all texts that it belongs to."""
+
+    x: np.ndarray
+    count: np.ndarray
+    half: np.ndarray
+
+    def part(self, half: int) -> Sample:
+        at = self.half == half
+        return Sample(self.x[at], self.count[at], self.half[at])
+
+    def draw(self, source: np.random.Generator, rows: int) -> np.ndarray:
+        ends = np.cumsum(self.count)
+        at = np.searchsorted(ends, source.integers(0, ends[-1], min(rows, int(ends[-1]))), side="right")
+        return self.x[at].astype(np.float64)
+
+
+def learn(positive: Sample, unlabelled: Sample, prior: float | None, steps: int = STEPS, decay: float = 1e-4,
           rate: float = 0.05, batch: int = 2048, seed: int = 7) -> Model:
     """Minimise the non-negative unbiased risk prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]), l logistic.
 
-    When the part for negatives falls below 0, the step goes up that part alone, which undoes the overfitting.
+    When the part for negatives falls below 0, the step goes up that part alone, which undoes the overfitting. The model
+    is the mean of the second half of all steps, since single steps near that border go to and fro.
     """
-    model = Model(np.zeros(BINS + SHAPES, np.float64), 0.0, prior)
-    if not len(positive) or not len(unlabelled):
+    model = Model(np.zeros(BINS + SHAPES, np.float64), 0.0, DEFAULT_PRIOR if prior is None else prior)
+    if not len(positive.x) or not len(unlabelled.x):
         return model
     draw = np.random.default_rng(seed)
-    first, second, b1, b2 = np.zeros(BINS + SHAPES + 1), np.zeros(BINS + SHAPES + 1), 0.9, 0.999
+    first, second, mean, b1, b2 = *np.zeros((3, BINS + SHAPES + 1)), 0.9, 0.999
     for step in range(1, steps + 1):
-        p = positive[draw.integers(0, len(positive), min(batch, len(positive)))].astype(np.float64)
-        u = unlabelled[draw.integers(0, len(unlabelled), min(batch, len(unlabelled)))].astype(np.float64)
-        fp, fu = p @ model.weight + model.bias, u @ model.weight + model.bias
-        sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        # Gradients of the three means with respect to f: l'(f) = s - 1 for positives, s for the others.
-        up, down = prior * (sp - 1) / len(p), (su / len(u), -prior * sp / len(p))
-        if negative >= 0:
-            gp, gu = up + down[1], down[0]
-        else:
-            gp, gu = -down[1], -down[0]
-        grad = np.append(p.T @ gp + u.T @ gu + decay * model.weight, gp.sum() + gu.sum())
+        p, u = positive.draw(draw, batch), unlabelled.draw(draw, batch)
+        _, _, slope, lift = risk_gradient(model.weight, model.bias, p, u, prior)
+        grad = np.append(slope + decay * model.weight, lift)
         first, second = b1 * first + (1 - b1) * grad, b2 * second + (1 - b2) * grad ** 2
         move = rate * (first / (1 - b1 ** step)) / (np.sqrt(second / (1 - b2 ** step)) + 1e-8)
         model.weight -= move[:-1]
         model.bias -= float(move[-1])
-    return model
+        if 2 * step > steps:
+            mean += np.append(model.weight, model.bias)
+    mean /= max(1, steps - steps // 2)
+    return Model(mean[:-1], float(mean[-1]), model.prior)
+
+
+def mixture_share(positive: np.ndarray, positive_count: np.ndarray, unlabelled: np.ndarray,
+                  unlabelled_count: np.ndarray, doubt: float = 0.1) -> float:
+    """The share of positives among unlabelled rows from scores alone: above every bound c the unlabelled rows hold at
+    least share * P(positive score >= c), so U(c) / P(c) is an upper estimate. It is read where that ratio and its
+    confidence width together are smallest. Rows weigh by their counts; the width goes by different rows."""
+    bounds = np.unique(positive)
+
+    def above(scores: np.ndarray, count: np.ndarray) -> np.ndarray:
+        order = np.argsort(scores)
+        ends = np.append(0, np.cumsum(count[order]))
+        return 1 - ends[np.searchsorted(scores[order], bounds, side="left")] / ends[-1]
+
+    p, u = above(positive, positive_count), above(unlabelled, unlabelled_count)
+    width = sum(np.sqrt(np.log(4 / doubt) / 2 / len(s)) for s in (positive, unlabelled))
+    return float((u / p)[np.argmin((u + width) / p)])
+
+
+def class_prior(positive: Sample, unlabelled: Sample) -> float:
+    """The share of quality 1 in unlabelled text, from trusted positives and unlabelled texts only: a classifier learns to
+    tell them apart on each half of the texts, the share is read from its scores on the other half; the mean of both.
+    Kept within 0.01 and 0.99; DEFAULT_PRIOR where a half has no rows."""
+    found = []
+    for half in (0, 1):
+        p, u, p2, u2 = (s.part(h) for h in (half, 1 - half) for s in (positive, unlabelled))
+        if min(len(s.x) for s in (p, u, p2, u2)):
+            model = learn(p, u, None)
+            found.append(mixture_share(model.score(p2.x), p2.count, model.score(u2.x), u2.count))
+    return min(0.99, max(0.01, float(np.mean(found)))) if found else DEFAULT_PRIOR
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, prior: float | None = None) -> Model:
     """Learn from `docs` (doc_id, text) and the trusted rows `labels` (doc_id, quality).
 
     Trusted positives are the documents with quality 1; every document is unlabelled web text. Both are bounded samples
-    of about `fit_rows` by a hash of the text. The class prior is estimated as the share of positives among the
-    distinct labelled ids, unless given. Documents labelled 0 are used for nothing else.
+    of about `fit_rows` rows by a hash of id and text; equal texts come to the driver once, with their count. The class
+    prior is estimated from the two samples (`class_prior`), unless given. Documents labelled 0 are used for nothing.
     """
-    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
-        F.max("quality").alias("quality"))
-    n, ones = marks.agg(F.count("*"), F.sum((F.col("quality") == 1).cast("int"))).first()
-    texts = docs.select("doc_id", "text").where("text is not null")
-    total = texts.count()
-    estimate = prior if prior is not None else min(0.99, max(0.01, (ones or 0) / n)) if n else DEFAULT_PRIOR
-
-    def rows(source: DataFrame, size: int) -> np.ndarray:
-        draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-        taken = source.where(draw < min(1.0, fit_rows / max(1, size))).select("text")
-        made = spread(taken).mapInArrow(_features, "x binary")
-        found = [np.frombuffer(r.x, np.float16) for r in made.collect()]
-        return np.array(found, np.float32).reshape(len(found), BINS + SHAPES)
-
-    positives = texts.join(marks.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
-    return learn(rows(positives, ones or 0), rows(texts, total), estimate)
+    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1")
+    good = good.select("doc_id", F.lit(1).alias("_good"))
+    texts = docs.select("doc_id", "text").where("text is not null").join(good, "doc_id", "left")
+    total, ones = texts.agg(F.count("*"), F.count("_good")).first()
+    draw = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    shares = [min(1.0, fit_rows / max(1, size)) for size in (ones, total)]
+    # Equal texts of a sample are one row; the texts themselves stay on the workers.
+    taken = texts.select("text", (F.col("_good").isNotNull() & (draw < shares[0])).cast("int").alias("p"),
+                         (draw < shares[1]).cast("int").alias("u")).where("p + u > 0")
+    counted = taken.groupBy("text").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).withColumn(
+        "half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+    found = spread(counted).mapInArrow(_features, "x binary, p bigint, u bigint, half int").toArrow()
+    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float16).reshape(-1, BINS + SHAPES).astype(np.float32)
+    p, u, half = (found.column(c).to_numpy().astype(np.int64) for c in ("p", "u", "half"))
+    # Rows come back in no fixed order; draws go by position.
+    order = np.lexsort((half, u, p, *x[:, -SHAPES:].T, *x[:, :8].T)) if len(x) else np.arange(0)
+    positives, unlabelled = (Sample(x[order][n[order] > 0], n[order][n[order] > 0], half[order][n[order] > 0]) for n in (p, u))
+    return learn(positives, unlabelled, class_prior(positives, unlabelled) if prior is None else prior)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = [features(t.as_py()).astype(np.float16).tobytes() for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["x"])
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), *batch.columns[1:]], names=["x", "p", "u", "half"])
 
 
 def _score(model: Model) -> Callable:

@@ -93,12 +93,57 @@ def test_tokens_are_scored_alike_in_any_block(monkeypatch):
     assert np.allclose(want[:, :-1], direct)
 
 
+def sample(x):
+    return quality.Sample(x, np.ones(len(x), np.int64), np.arange(len(x)) % 2)
+
+
+def mixture(source, positives, good, bad):
+    size = quality.BINS + quality.SHAPES
+    rows = [source.normal(at, 0.3, (n, size)) * (np.arange(size) < 4) for n, at in ((positives, 1), (good, 1), (bad, -1))]
+    return sample(rows[0]), sample(np.vstack(rows[1:]))
+
+
 def test_non_negative_risk_separates():
-    draw = np.random.default_rng(2)
-    good = draw.normal(1, 0.3, (600, quality.BINS + quality.SHAPES)) * (np.arange(quality.BINS + quality.SHAPES) < 4)
-    bad = draw.normal(-1, 0.3, (200, quality.BINS + quality.SHAPES)) * (np.arange(quality.BINS + quality.SHAPES) < 4)
-    model = quality.learn(good[:200], np.vstack([good[200:], bad]), 2 / 3)
-    assert model.score(good).min() > 0.5 > model.score(bad).max()
+    positive, unlabelled = mixture(np.random.default_rng(2), 200, 400, 200)
+    model = quality.learn(positive, unlabelled, 2 / 3)
+    assert model.score(unlabelled.x[:400]).min() > 0.5 > model.score(unlabelled.x[400:]).max()
+
+
+def test_gradient_of_the_risk_equals_differences():
+    source = np.random.default_rng(4)
+    p, u, weight, bias = source.normal(0.5, 1, (30, 5)), source.normal(0, 1, (40, 5)), source.normal(0, 1, 5), 0.3
+    for prior in (None, 0.3, 0.9):
+        for moved in (weight, weight * 0, weight * 5 + 3):
+            *_, slope, lift = quality.risk_gradient(moved, bias, p, u, prior)
+
+            def value(w, b):
+                positive, negative, *_ = quality.risk_gradient(w, b, p, u, prior)
+                return -negative if quality.risk_gradient(moved, bias, p, u, prior)[1] < 0 else positive + negative
+
+            steps = [(value(moved + d, bias) - value(moved - d, bias)) / 2e-5 for d in np.eye(5) * 1e-5]
+            assert np.allclose(slope, steps, atol=1e-6)
+            assert np.isclose(lift, (value(moved, bias + 1e-5) - value(moved, bias - 1e-5)) / 2e-5, atol=1e-6)
+
+
+def test_class_prior_needs_no_negative_label():
+    for share in (0.2, 0.5, 0.8):
+        positive, unlabelled = mixture(np.random.default_rng(5), 1500, int(4000 * share), 4000 - int(4000 * share))
+        assert abs(quality.class_prior(positive, unlabelled) - share) < 0.06
+    assert quality.class_prior(positive, unlabelled.part(2)) == quality.DEFAULT_PRIOR
+    # Counts weigh as repeated rows do.
+    scores, twice = np.array([0.1, 0.2, 0.8, 0.9]), np.array([2, 1, 1, 1])
+    weighed = quality.mixture_share(scores[2:], twice[2:], scores, twice)
+    assert np.isclose(weighed, 0.4)
+
+
+def test_label_zero_and_copies_change_nothing(spark):
+    rows = [(i, f"a calm line of prose number {i % 50} with words" if i % 4 else f"$$$ ### {i % 60} %%%", "en", 0.0, 0)
+            for i in range(400)] + [(1000, "one page that a third of all rows hold", "en", 0.0, 0)] * 200
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    ones = spark.createDataFrame([(i, 1) for i in range(0, 300) if i % 4], "doc_id bigint, quality int")
+    zeros = spark.createDataFrame([(i, 0) for i in range(0, 300, 4)], "doc_id bigint, quality int")
+    a, b = quality.fit(docs, ones), quality.fit(docs.repartition(7), ones.unionByName(zeros))
+    assert a.prior == b.prior and np.allclose(a.weight, b.weight)
 
 
 def test_quality_scores_every_text(spark):
