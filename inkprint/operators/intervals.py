@@ -166,7 +166,7 @@ class _Between:
 
 
 def interval_counts(queries: DataFrame, targets: DataFrame, metric: str = "cosine",
-                    block_rows: int = pairs.COUNTING_BLOCK_ROWS, chunk_keys: int = CHUNK_KEYS,
+                    block_rows: int | None = None, chunk_keys: int = CHUNK_KEYS,
                     wave_chunks: int = WAVE_CHUNKS) -> DataFrame:
     """(score, pos, neg) over all pairs, exact. A row has the pairs with a score that some same-author pair has, or the
     other-author pairs strictly between two such scores: their row carries the next double below the upper one (above
@@ -181,7 +181,6 @@ def interval_counts(queries: DataFrame, targets: DataFrame, metric: str = "cosin
     if "vec" not in queries.columns:
         raise ValueError("exact counts need dense vectors; sparse ones are compared on a grid of `decimals`")
     queries, targets = (settle(s.select("id", "label", "vec")) for s in (queries, targets))
-    tasks = queries.sparkSession.sparkContext.defaultParallelism
     known = settle(same_author_scores(queries, targets, metric))
     chunks = max(1, math.ceil(known.count() / chunk_keys))
     waves = math.ceil(chunks / wave_chunks)
@@ -194,7 +193,7 @@ def interval_counts(queries: DataFrame, targets: DataFrame, metric: str = "cosin
     ends = tops.select("_w", F.lag("top").over(order).alias("floor"), F.lead("top").over(order).isNull().alias("last"))
     packs = placed.groupBy("_w", "_bucket").agg(F.collect_list("score").alias("bounds")).join(F.broadcast(ends), "_w")
 
-    n_left, n_right = pairs._blocks(queries.count(), targets.count(), block_rows, tasks)
+    n_left, n_right, tasks = pairs.grid(queries, targets, block_rows)
     every_i, every_j = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (n_left, n_right))
     every_w = F.explode(F.sequence(F.lit(0), F.lit(waves - 1)))
     bounds = packs.withColumn("_i", every_i).withColumn("_j", every_j)

@@ -2,9 +2,10 @@
 
 Both sides are hashed into blocks of bounded size. A query block and a target block meet in one cell of a
 grid and are scored there tile by tile, one matrix product per tile. A reducer turns each tile into something small:
-rank counts, score counts, the k nearest, or per-query statistics. Blocks are cut by row id, never by label, so a
+rank counts, score counts, the k nearest, or per-query statistics. Rows go to blocks by row id, never by label, so a
 label that holds a third of all rows is spread like any other. A task holds two blocks and one tile of scores; the
-shuffle moves each query once per target block and each target once per query block.
+shuffle moves each query once per target block and each target once per query block. Blocks are cut by the size of
+their vectors in bytes: short vectors share large blocks and are copied seldom, long ones never exceed the memory.
 
 Scores are put on a decimal grid. It makes equal vectors tie exactly wherever they are compared, and bounds
 the number of distinct scores.
@@ -19,11 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-BLOCK_ROWS = 8192
-COUNTING_BLOCK_ROWS = 16_384  # larger cells bring more equal scores together before anything is shuffled
+BLOCK_BYTES = 64 << 20  # vectors of one block
 MAX_PARTITIONS = 20_000
 TILE_ROWS = 2048
-SPARSE_TILE_ROWS = 256  # a tile is made dense over the terms both sides share
+DENSE_TERMS = 1024  # shared terms that are multiplied as one dense product
+DENSE_GAIN = 400  # so many products of a matrix take the time of one product of single entries
+EXPANDED = 1 << 22  # products of single entries at a time
 SCORE_DECIMALS = 7
 DISTANCE_DECIMALS = 12
 
@@ -39,29 +41,52 @@ def _matrix(table: pa.Table, column: str) -> np.ndarray:
     return flat.reshape(len(values), -1) if len(values) else flat.reshape(0, 0)
 
 
-def _sparse_matrices(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Dense blocks over the terms the two blocks share; other terms add nothing to a dot product."""
+class _Sparse:
+    """The entries of a tile in order of term: rows and weights, and where each distinct term begins."""
 
-    def parts(table):
+    def __init__(self, table: pa.Table) -> None:
         terms = table.column("terms").combine_chunks()
         lengths = terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        rows = np.repeat(np.arange(len(terms)), lengths)
         ids = terms.flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(ids, kind="stable")
         weights = table.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return rows, ids, weights
-
-    lr, li, lw = parts(left)
-    rr, ri, rw = parts(right)
-    shared = np.intersect1d(li, ri)
-    out = []
-    for table, rows, ids, weights in ((left, lr, li, lw), (right, rr, ri, rw)):
-        at = np.searchsorted(shared, ids)
-        hit = (at < len(shared)) & (shared[np.minimum(at, max(len(shared) - 1, 0))] == ids) if len(shared) else (
-            np.zeros(len(ids), bool))
-        dense = np.zeros((table.num_rows, len(shared)))
-        np.add.at(dense, (rows[hit], at[hit]), weights[hit])
-        out.append(dense)
-    return out[0], out[1]
+        self.height = table.num_rows
+        self.rows = np.repeat(np.arange(len(terms), dtype=np.int32), lengths)[order]
+        self.weights = weights[order]
+        self.terms, self.starts, self.counts = np.unique(ids[order], return_index=True, return_counts=True)
+
+    def dense(self, at: np.ndarray) -> np.ndarray:
+        """The columns of the terms at these places."""
+        out = np.zeros((self.height, len(at)))
+        column = np.repeat(np.arange(len(at)), self.counts[at])
+        entry = np.arange(len(column)) + np.repeat(self.starts[at] - np.r_[0, np.cumsum(self.counts[at])[:-1]], self.counts[at])
+        np.add.at(out, (self.rows[entry], column), self.weights[entry])
+        return out
+
+
+def sparse_dot(a: _Sparse, b: _Sparse) -> np.ndarray:
+    """Dot products of all rows, term by term: terms that fill much of the product go through dense slices of
+    DENSE_TERMS columns, each other term gives one product per entry on either side. Memory follows the entries and the
+    tile of scores, whatever the vocabulary."""
+    out = np.zeros((a.height, b.height))
+    _, left, right = np.intersect1d(a.terms, b.terms, assume_unique=True, return_indices=True)
+    products = a.counts[left] * b.counts[right]
+    often = products * DENSE_GAIN > out.size
+    x, y = left[often], right[often]
+    for i in range(0, len(x), DENSE_TERMS):
+        out += a.dense(x[i:i + DENSE_TERMS]) @ b.dense(y[i:i + DENSE_TERMS]).T
+    x, y, products = left[~often], right[~often], products[~often]
+    wave = (np.cumsum(products) - products) // EXPANDED
+    cuts = np.r_[0, np.flatnonzero(wave[1:] != wave[:-1]) + 1, len(wave)] if len(wave) else np.zeros(1, int)
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        n = products[i:j]
+        term = np.repeat(np.arange(i, j), n)
+        place = np.arange(len(term)) - np.repeat(np.cumsum(n) - n, n)
+        width = b.counts[y[term]]
+        e, f = a.starts[x[term]] + place // width, b.starts[y[term]] + place % width
+        cells = a.rows[e].astype(np.int64) * b.height + b.rows[f]
+        np.add.at(out.reshape(-1), cells, a.weights[e] * b.weights[f])
+    return out
 
 
 def _score(q: np.ndarray, t: np.ndarray, metric: str) -> np.ndarray:
@@ -98,20 +123,46 @@ def _blocks(rows: int, other: int, block_rows: int, tasks: int) -> tuple[int, in
     return left, right
 
 
-Tile = Callable[[pa.Table, pa.Table, np.ndarray], pa.Table]
+def grid(queries: DataFrame, targets: DataFrame, block_rows: int | None) -> tuple[int, int, int]:
+    """Blocks per side and partitions for their cells. Without `block_rows` a block has BLOCK_BYTES of vectors."""
+    tasks = queries.sparkSession.sparkContext.defaultParallelism
+    column, width = ("terms", 12) if "terms" in queries.columns else ("vec", 8)
+    (left, a), (right, b) = (s.agg(F.count("*"), F.sum(F.size(column).cast("bigint"))).first() for s in (queries, targets))
+    per_row = max(a / left if left and a else 1, b / right if right and b else 1, 1) * width
+    n_left, n_right = _blocks(left, right, block_rows or max(1, int(BLOCK_BYTES / per_row)), tasks)
+    return n_left, n_right, tasks
+
 
+class _PerQuery:
+    """One row per query and cell. `reduce` makes columns with a value per query of a tile; `merge` says how those of
+    the next tile are added. A cell goes through its tiles query rows first, so one strip of queries is open."""
 
-class _Rows:
-    """Collects what a function makes of each tile."""
+    def __init__(self, reduce: Callable, merge: dict[str, Callable], schema: pa.Schema) -> None:
+        self.reduce, self.merge, self.schema = reduce, merge, schema
+        self.strip, self.open, self.parts = None, None, []
 
-    def __init__(self, reduce: Tile) -> None:
-        self.reduce, self.parts = reduce, []
+    def _close(self) -> None:
+        if self.open is not None:
+            self.parts.append(pa.table(self.open).select(self.schema.names).cast(self.schema))
 
     def add(self, q: pa.Table, t: pa.Table, scores: np.ndarray) -> None:
-        self.parts.append(self.reduce(q, t, scores))
+        if q is not self.strip:
+            self._close()
+            self.strip, self.open = q, None
+        if not scores.size:
+            return
+        found = self.reduce(q, t, scores)
+        if self.open is not None:
+            found.update({c: f(self.open[c], found[c]) for c, f in self.merge.items()})
+        self.open = found
 
     def result(self) -> pa.Table:
-        return pa.concat_tables(self.parts)
+        self._close()
+        return pa.concat_tables(self.parts) if self.parts else self.schema.empty_table()
+
+
+def per_query(reduce: Callable, merge: dict[str, Callable], **types: pa.DataType) -> Callable[[], _PerQuery]:
+    return lambda: _PerQuery(reduce, merge, pa.schema(types))
 
 
 class _Counts:
@@ -227,15 +278,14 @@ class _Nearest:
 def pair_cells(
     queries: DataFrame,
     targets: DataFrame,
-    reducer: Tile | Callable[[], _Counts],
+    reducer: Callable,
     schema: str,
     metric: str = "cosine",
     decimals: int | None = DISTANCE_DECIMALS,
-    block_rows: int = BLOCK_ROWS,
-    per_cell: bool = False,
+    block_rows: int | None = None,
 ) -> DataFrame:
-    """Run `reducer(query tile, target tile, score matrix)` on every tile of every cell of the grid. With `per_cell`,
-    `reducer()` makes an accumulator that sees all tiles of a cell and answers once.
+    """Score every tile of every cell of the grid. `reducer()` makes an accumulator for a cell: its `add(query tile,
+    target tile, score matrix)` sees all tiles, those of one strip of queries in a row, and `result()` answers once.
 
     Both sides need `id`, `label` and either `vec` or the sparse pair (`terms`, `weights`); other columns
     travel along for the reducer.
@@ -245,9 +295,7 @@ def pair_cells(
     sparse = "terms" in queries.columns
     if sparse and metric != "linear":
         raise ValueError("sparse vectors support the linear metric only")
-    tile = SPARSE_TILE_ROWS if sparse else TILE_ROWS
-    tasks = queries.sparkSession.sparkContext.defaultParallelism
-    n_left, n_right = _blocks(queries.count(), targets.count(), block_rows, tasks)
+    n_left, n_right, tasks = grid(queries, targets, block_rows)
 
     left = queries.withColumn("_i", F.pmod(F.xxhash64("id"), F.lit(n_left)).cast("int")).withColumn(
         "_j", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
@@ -259,20 +307,23 @@ def pair_cells(
     left = left.toDF(*left.columns).repartition(partitions, "_i", "_j")
     right = right.toDF(*right.columns).repartition(partitions, "_i", "_j")
 
-    def score_tile(q: pa.Table, t: pa.Table) -> np.ndarray:
-        if not (q.num_rows and t.num_rows):
-            return np.zeros((q.num_rows, t.num_rows))
-        a, b = _sparse_matrices(q, t) if sparse else (_matrix(q, "vec"), _matrix(t, "vec"))
-        scores = _score(a, b, metric)
+    def vectors(tile: pa.Table) -> _Sparse | np.ndarray:
+        return _Sparse(tile) if sparse else _matrix(tile, "vec")
+
+    def score_tile(a: _Sparse | np.ndarray, b: _Sparse | np.ndarray) -> np.ndarray:
+        scores = sparse_dot(a, b) if sparse else _score(a, b, metric)
         return scores if decimals is None else np.round(scores, decimals) + 0.0
 
     def cell(q: pa.Table, t: pa.Table) -> pa.Table:
-        found = reducer() if per_cell else _Rows(reducer)
-        for i in range(0, max(q.num_rows, 1), tile):
-            a = q.slice(i, tile)
-            for j in range(0, max(t.num_rows, 1), tile):
-                b = t.slice(j, tile)
-                found.add(a, b, score_tile(a, b))
+        found = reducer()
+        if q.num_rows and t.num_rows:
+            others = [t.slice(j, TILE_ROWS) for j in range(0, t.num_rows, TILE_ROWS)]
+            others = [(b, vectors(b)) for b in others]
+            for i in range(0, q.num_rows, TILE_ROWS):
+                strip = q.slice(i, TILE_ROWS)
+                a = vectors(strip)
+                for b, made in others:
+                    found.add(strip, b, score_tile(a, made))
         return found.result()
 
     return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(cell, schema)
@@ -283,20 +334,17 @@ def _numbers(table: pa.Table, column: str) -> np.ndarray:
 
 
 def score_statistics(queries: DataFrame, targets: DataFrame, metric: str = "cosine",
-                     decimals: int = SCORE_DECIMALS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                     decimals: int | None = SCORE_DECIMALS, block_rows: int | None = None) -> DataFrame:
     """Per query over all targets: how many, how many of the same author, and score sum, least and greatest."""
 
     def reduce(q, t, s):
-        if not s.size:
-            return pa.table({c: pa.array([], k) for c, k in (
-                ("q", pa.int64()), ("n", pa.int64()), ("m", pa.int64()),
-                ("total", pa.float64()), ("least", pa.float64()), ("greatest", pa.float64()))})
         same = _numbers(q, "label")[:, None] == _numbers(t, "label")[None, :]
-        return pa.table({
-            "q": _numbers(q, "id"), "n": np.full(len(s), s.shape[1], np.int64), "m": same.sum(axis=1),
-            "total": s.sum(axis=1), "least": s.min(axis=1), "greatest": s.max(axis=1)})
+        return {"q": _numbers(q, "id"), "n": np.full(len(s), s.shape[1], np.int64), "m": same.sum(axis=1),
+                "total": s.sum(axis=1), "least": s.min(axis=1), "greatest": s.max(axis=1)}
 
-    cells = pair_cells(queries, targets, reduce,
+    merge = {"n": np.add, "m": np.add, "total": np.add, "least": np.minimum, "greatest": np.maximum}
+    whole, real = pa.int64(), pa.float64()
+    cells = pair_cells(queries, targets, per_query(reduce, merge, q=whole, n=whole, m=whole, total=real, least=real, greatest=real),
                        "q bigint, n bigint, m bigint, total double, least double, greatest double",
                        metric, decimals, block_rows)
     return cells.groupBy("q").agg(
@@ -305,18 +353,18 @@ def score_statistics(queries: DataFrame, targets: DataFrame, metric: str = "cosi
 
 
 def score_distribution(queries: DataFrame, targets: DataFrame, metric: str = "cosine",
-                       decimals: int = SCORE_DECIMALS, block_rows: int = COUNTING_BLOCK_ROWS) -> DataFrame:
+                       decimals: int = SCORE_DECIMALS, block_rows: int | None = None) -> DataFrame:
     """(score, pos, neg): how many same-author and other-author pairs have each score. Distances are negated, so
-    larger always means closer. The size is bounded by the score grid, not by the number of pairs; a cell of 16,384
-    rows a side counts 2.7 x 10^8 pairs before it hands on at most one row per grid point."""
+    larger always means closer. The size is bounded by the score grid, not by the number of pairs; a cell
+    counts all its pairs before it hands on at most one row per grid point."""
     sign = 1.0 if metric in SIMILARITIES else -1.0
     cells = pair_cells(queries, targets, lambda: _Counts(sign, decimals), "score double, pos bigint, neg bigint",
-                       metric, decimals, block_rows, per_cell=True)
+                       metric, decimals, block_rows)
     return cells.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def nearest_targets(queries: DataFrame, targets: DataFrame, k: int, metric: str = "cosine",
-                    decimals: int = DISTANCE_DECIMALS, block_rows: int = COUNTING_BLOCK_ROWS) -> DataFrame:
+                    decimals: int = DISTANCE_DECIMALS, block_rows: int | None = None) -> DataFrame:
     """The k nearest targets of each query by (distance, target id). A cell keeps the best of its tiles so far and hands
     on at most k rows per query."""
     from pyspark.sql import Window
@@ -324,6 +372,6 @@ def nearest_targets(queries: DataFrame, targets: DataFrame, k: int, metric: str
     sign = -1.0 if metric in SIMILARITIES else 1.0
     cells = pair_cells(queries, targets, lambda: _Nearest(k, sign),
                        "q bigint, t bigint, distance double, t_label bigint, q_label bigint",
-                       metric, decimals, block_rows, per_cell=True)
+                       metric, decimals, block_rows)
     best = Window.partitionBy("q").orderBy("distance", "t")
     return cells.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

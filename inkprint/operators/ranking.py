@@ -47,7 +47,7 @@ def true_distances(queries: DataFrame, targets: DataFrame, metric: str = "cosine
 
 
 def true_rank(queries: DataFrame, targets: DataFrame, metric: str = "cosine",
-              decimals: int = pairs.DISTANCE_DECIMALS, block_rows: int = pairs.BLOCK_ROWS) -> DataFrame:
+              decimals: int = pairs.DISTANCE_DECIMALS, block_rows: int | None = None) -> DataFrame:
     """1 + number of targets closer than the true one, ties by target id. Nothing is sorted and no pair leaves
     its cell: each cell returns one count per query."""
     known = settle(true_distances(queries, targets, metric, decimals))
@@ -56,11 +56,12 @@ def true_rank(queries: DataFrame, targets: DataFrame, metric: str = "cosine",
         true_d, true_t = q.column("true_d").to_numpy()[:, None], q.column("true_t").to_numpy()[:, None]
         t_ids = t.column("id").to_numpy()[None, :]
         closer = (t_ids != true_t) & ((d < true_d) | ((d == true_d) & (t_ids < true_t)))
-        return pa.table({
-            "q": q.column("id").to_numpy(), "label": q.column("label").to_numpy().astype(np.int64),
-            "closer": closer.sum(axis=1).astype(np.int64)})
+        return {"q": q.column("id").to_numpy(), "label": q.column("label").to_numpy().astype(np.int64),
+                "closer": closer.sum(axis=1).astype(np.int64)}
 
-    cells = pairs.pair_cells(known, targets, reduce, "q bigint, label bigint, closer bigint",
+    whole = pa.int64()
+    made = pairs.per_query(reduce, {"closer": np.add}, q=whole, label=whole, closer=whole)
+    cells = pairs.pair_cells(known, targets, made, "q bigint, label bigint, closer bigint",
                              metric, decimals, block_rows)
     return cells.groupBy("q", "label").agg((F.sum("closer") + 1).alias("rank"))
 

@@ -196,6 +196,43 @@ def test_sparse_equals_dense(spark):
         assert got[i].score_max == pytest.approx(scores[i].max(), abs=1e-6)
 
 
+def test_sparse_products_in_slices_and_waves(monkeypatch):
+    draw = np.random.default_rng(3)
+    share = np.r_[np.full(6, 0.9), np.full(60, 0.05)]
+    sides = [draw.random((n, 66)) * (draw.random((n, 66)) < share) for n in (50, 41)]
+    sides[0][7] = 0
+
+    def tile(d):
+        return pairs._Sparse(pa.table({"terms": [np.nonzero(x)[0].astype(np.int32) for x in d], "weights": [x[np.nonzero(x)] for x in d]}))
+
+    want = sides[0] @ sides[1].T
+    assert np.allclose(pairs.sparse_dot(*map(tile, sides)), want)
+    monkeypatch.setattr(pairs, "DENSE_TERMS", 4)
+    monkeypatch.setattr(pairs, "EXPANDED", 30)
+    for gain in (0, 5, 1 << 40):  # single entries only, both, slices only
+        monkeypatch.setattr(pairs, "DENSE_GAIN", gain)
+        assert np.allclose(pairs.sparse_dot(*map(tile, sides)), want)
+    nothing = pairs.sparse_dot(tile(sides[0] * 0), tile(sides[1]))
+    assert nothing.shape == (50, 41) and not nothing.any()
+
+
+def test_tiles_of_a_cell_merge_to_one_row_per_query(spark, monkeypatch):
+    q, t = frames(spark)
+    want = {r.q: r for r in pairs.score_statistics(q, t, "linear", 9).collect()}
+    merge = {"n": np.add}
+    made = pairs.per_query(lambda q, t, s: {"q": q.column("id").to_numpy(), "n": np.full(len(s), s.shape[1])}, merge,
+                           q=pa.int64(), n=pa.int64())()
+    table = pa.table({"id": np.arange(5)})
+    for strip in (table.slice(0, 3), table.slice(3)):
+        for width in (4, 2, 0):
+            made.add(strip, table, np.zeros((strip.num_rows, width)))
+    assert made.result().to_pydict() == {"q": [0, 1, 2, 3, 4], "n": [6] * 5}
+    assert pairs.grid(q, t, None)[0] >= 1 and pairs._blocks(10**6, 10**6, 131_072, 8) == (8, 8)
+    got = {r.q: r for r in pairs.score_statistics(q, t, "linear", 9, block_rows=5).collect()}
+    assert got.keys() == want.keys() and all(got[k].n_targets == 12 == want[k].n_targets for k in got)
+    assert all(abs(got[k].score_sum - want[k].score_sum) < 1e-6 and got[k].score_max == want[k].score_max for k in got)
+
+
 # --- verification metrics against plain loops ---------------------------------------------------------------------
 
 
