@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from inkprint.session import spread
+from inkprint.session import broadcast_if_small, spread
 
 BINS = 1024
 SHAPES = 17
@@ -161,29 +161,32 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, prior: flo
     prior is estimated from the two samples (`class_prior`), unless given. Documents labelled 0 are used for nothing.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1")
-    good = good.select("doc_id", F.lit(1).alias("_good"))
-    texts = docs.select("doc_id", "text").where("text is not null").join(good, "doc_id", "left")
-    total, ones = texts.agg(F.count("*"), F.count("_good")).first()
+    good = good.select("doc_id")
+    texts = docs.select("doc_id", "text").where("text is not null")
+    total, ones = texts.count(), texts.join(good, "doc_id", "left_semi").count()
+    # Either the draw leaves few texts for the look-up, or there are few positives to look up.
+    good = broadcast_if_small(good, fit_rows)
     draw = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    shares = [min(1.0, fit_rows / max(1, size)) for size in (ones, total)]
+    drawn = [texts.where(draw < min(1.0, fit_rows / max(1, size))) for size in (ones, total)]
+    marked = [d.select("text", F.lit(p).alias("p"), F.lit(1 - p).alias("u"))
+              for d, p in ((drawn[0].join(good, "doc_id", "left_semi"), 1), (drawn[1], 0))]
     # Equal texts of a sample are one row; the texts themselves stay on the workers.
-    taken = texts.select("text", (F.col("_good").isNotNull() & (draw < shares[0])).cast("int").alias("p"),
-                         (draw < shares[1]).cast("int").alias("u")).where("p + u > 0")
-    counted = taken.groupBy("text").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).withColumn(
-        "half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
-    found = spread(counted).mapInArrow(_features, "x binary, p bigint, u bigint, half int").toArrow()
+    counted = marked[0].unionByName(marked[1]).groupBy("text").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counted = counted.repartition(docs.sparkSession.sparkContext.defaultParallelism, "text").withColumn("key", F.xxhash64("text"))
+    found = counted.mapInArrow(_features, "x binary, p bigint, u bigint, key bigint").toArrow()
     x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float16).reshape(-1, BINS + SHAPES).astype(np.float32)
-    p, u, half = (found.column(c).to_numpy().astype(np.int64) for c in ("p", "u", "half"))
+    p, u, key = (found.column(c).to_numpy().astype(np.int64) for c in ("p", "u", "key"))
     # Rows come back in no fixed order; draws go by position.
-    order = np.lexsort((half, u, p, *x[:, -SHAPES:].T, *x[:, :8].T)) if len(x) else np.arange(0)
-    positives, unlabelled = (Sample(x[order][n[order] > 0], n[order][n[order] > 0], half[order][n[order] > 0]) for n in (p, u))
+    order = np.argsort(key)
+    kept = [order[n[order] > 0] for n in (p, u)]
+    positives, unlabelled = (Sample(x[at], n[at], key[at] & 1) for at, n in zip(kept, (p, u)))
     return learn(positives, unlabelled, class_prior(positives, unlabelled) if prior is None else prior)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = [features(t.as_py()).astype(np.float16).tobytes() for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), *batch.columns[1:]], names=["x", "p", "u", "half"])
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), *batch.columns[1:]], names=["x", "p", "u", "key"])
 
 
 def _score(model: Model) -> Callable:
