@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkprint.operators.prefix import with_range_bucket
-from inkprint.session import settle, spread
+from inkprint.session import broadcast_if_small, settle, spread
 
 SALTS = 64
+HOT_REVISITS = 1000  # revisits of one response that a task joins
+MAX_BROADCAST_HOT = 100_000
 ROWS_PER_BUCKET = 50_000
 #: Headers that describe one message, not the stored content; a 304 does not change them (fixed names of HTTP).
 NOT_MERGED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive",
@@ -147,13 +149,19 @@ def resolve(records: DataFrame, bodies: bool = True, rows_per_bucket: int = ROWS
                .when(differ("tag"), "tag_differs").when(differ("digest"), "digest_differs")
                .when(no_tag & differ("modified"), "date_differs").otherwise("resolved"))
     found = found.withColumn("outcome", outcome).withColumn("refers_to", F.col("response.record_id"))
-    stored = full.dropDuplicates(["record_id"]).select(
-        F.col("record_id").alias("refers_to"), F.col("headers").alias("old"), F.col("digest").alias("old_digest"),
-        *(["body"] if bodies else []))
-    # Revisits without a response need no look-up. Many may refer to one response, so every response is copied to
-    # `SALTS` places and its revisits are dealt among them.
-    salted = found.where("refers_to is not null").withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)))
-    copies = stored.join(salted.select("refers_to", "salt").distinct(), "refers_to")
+    # Revisits without a response need no look-up. Responses with very many revisits are copied to SALTS places and
+    # their revisits dealt among them; all others have one place, so a body is moved once.
+    asking = found.where("refers_to is not null")
+    hot = settle(asking.groupBy("refers_to").agg(F.count("*").alias("n")).where(F.col("n") > HOT_REVISITS).select(
+        "refers_to", F.lit(SALTS).alias("places")))
+    hot = broadcast_if_small(hot, MAX_BROADCAST_HOT)
+    places = F.coalesce("places", F.lit(1))
+    salted = asking.join(hot, "refers_to", "left").withColumn(
+        "salt", F.pmod(F.xxhash64("record_id"), places).cast("int")).drop("places")
+    stored = full.select(F.col("record_id").alias("refers_to"), F.col("headers").alias("old"),
+                         F.col("digest").alias("old_digest"), *(["body"] if bodies else []))
+    copies = stored.join(hot, "refers_to", "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), places - 1))).drop("places").dropDuplicates(["refers_to", "salt"])
     joined = salted.join(copies, ["refers_to", "salt"], "left").drop("salt").unionByName(
         found.where("refers_to is null"), allowMissingColumns=True)
     news = F.map_filter("headers", lambda k, v: ~k.isin(*NOT_MERGED))

@@ -123,9 +123,11 @@ def test_malformed_dates_and_lengths(spark):
     assert got == {"r1": ("no_response", None), "r2": ("resolved", "a")}
 
 
-def test_one_url_with_most_revisits(spark):
+@pytest.mark.parametrize("hot", [100, 1000])  # one response above the bound, none above it
+def test_one_url_with_most_revisits(spark, monkeypatch, hot):
+    monkeypatch.setattr(warc, "HOT_REVISITS", hot)
     day = "2020-01-{:02d}T00:00:00Z".format
-    rows = [record("response", f"a{i}", "https://hot.org/p", day(i), headers=[("ETag", '"1"')], body=b"%d" % i) for i in (1, 9, 20)]
+    rows = [record("response", f"a{i}", "https://hot.org/p", day(i), headers=[("ETag", '"1"')], body=b"%d" % i) for i in (1, 9, 20)] * 2
     rows += [record("revisit", f"r{i}", "https://hot.org/p", day(2 + i % 27), "304 Not Modified", [("ETag", '"1"')]) for i in range(300)]
     rows += [record("revisit", f"s{i}", f"https://cold.org/{i}", day(3), "304 Not Modified") for i in range(40)]
     table = spark.createDataFrame([(bytearray(r),) for r in rows], "record binary")
