@@ -90,3 +90,18 @@ def test_slices_and_picks_cross_segments(spark):
         assert cut == {0: list(range(3, 10)), 1: [0, 1]}
         got = {r.author_id: r.syms for r in episodes.gather_histories(nested, picks, size).collect()}
         assert got == {0: [[0, 1], [0, 4], [0, 11]], 1: [[1, 4]]}
+
+
+def test_opened_positions_are_never_broadcast(spark):
+    """Few authors open to many positions: neither side of the join is collected on the driver."""
+    members = episodes.episode_posts(episodes.spec_positions(
+        episodes.contiguous_spec(episodes.draw_samples(counts(spark, [20, 30]), "s", 8), "s")), posts(spark, [20, 30]))
+    assert members.count() == 2 * 8 * 16
+    assert "Broadcast" not in members._jdf.queryExecution().executedPlan().toString()
+
+
+def test_episodes_by_numbers_of_symbols(spark):
+    spec = episodes.contiguous_spec(episodes.draw_samples(counts(spark, [20]), "s"), "s")
+    numbered = posts(spark, [20]).withColumn("n_syms", F.size("syms")).drop("syms")
+    row = episodes.nest_episodes(episodes.episode_posts(episodes.spec_positions(spec), numbered)).first()
+    assert row.num_posts == 16 and row.n_syms == [2] * 16
