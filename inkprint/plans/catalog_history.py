@@ -101,9 +101,9 @@ WITH {q.EP}, {thinned("community <> 'error'")}
 def assemble_without_heldout(spark, sf):
     """The whole preprocessing: order, remove held-out posts, close the gaps, look up, nest; authors left without posts
     stay."""
-    kept = history.exclude_heldout(inputs.encoded_posts(spark, sf), inputs.heldout(spark, sf))
-    kept = history.renumber(kept, "author_id")
-    return history_rows(history.assemble_history(kept, inputs.authors(spark, sf)))
+    kept = history.renumber(history.exclude_heldout(inputs.timeline(spark, sf), inputs.heldout(spark, sf)))
+    posts = inputs.encoded_posts(spark, sf, kept, pack=True)
+    return history_rows(history.assemble_history(posts, inputs.authors(spark, sf)))
 
 
 @query("preprocess_with_spec", f"""

@@ -120,3 +120,28 @@ def test_id_lines_keep_the_order_of_long_histories(spark, tmp_path):
     got = readers.read_id_lists(spark, str(tmp_path / "ids")).collect()
     want = [(5000 if r.author == "1" else 9000, r.pos, r.post_id) for r in posts.collect()]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_packed_symbols_give_the_same_histories(spark):
+    """Order, a post without symbols, one without text, ids up to 65,535, equal positions and an author without posts."""
+    from inkprint.functions import arrays
+
+    rows = [(1, p, [p, 65535, 55296 + p], p % 24, 0, 0, 2) for p in reversed(range(10))]
+    rows += [(1, 10, [], 1, 1, 1, 1), (1, 11, None, 1, 1, 1, 1), (3, 0, [7, 300], 1, 1, 1, 1), (3, 0, [7], 1, 1, 1, 1)]
+    authors = spark.createDataFrame([(1,), (2,), (3,)], "author_id bigint")
+    plain = post_rows(spark, rows)
+    packed = plain.withColumn("packed", arrays.packed("syms")).drop("syms")
+    for size in (4, 1024):
+        want, got = (history.assemble_history(p, authors, segment_posts=size) for p in (plain, packed))
+        assert sorted(want.collect()) == sorted(got.select(want.columns).collect())
+    hours = history.assemble_history(plain.select("author_id", "pos", "hour"), authors)
+    assert hours.columns == ["author_id", "segment", "hour"] and hours.count() == 3
+
+
+def test_index_and_slices_read_no_symbols(spark):
+    """The histories of these queries are nested without the symbols of the posts, and nothing is written for them."""
+    import __spark_entry__ as entry
+
+    for name in ("zip_episode_index", "slice_episode", "gather_posts"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "syms" not in plan and "packed" not in plan and "regexp_extract_all" not in plan, name
