@@ -187,3 +187,31 @@ def test_vectorised_expectation_equals_the_word_by_word_one():
     for group in by_length(words):
         expected_uses(pieces.arcs([words[i] for i in group]), np.append(list(chances.values()), 0.0), weight[group], got)
     assert np.allclose(got[:-1], [uses[p] for p in names])
+
+
+def test_best_cuts_equal_the_word_by_word_ones(spark):
+    """Ties, uncovered letters and pieces of all lengths; then through the encoder, long words included."""
+    import random
+
+    from inkprint.functions.lattice import Pieces, best_cuts
+
+    draw = random.Random(4)
+    scores = {"".join(draw.choices("abc", k=draw.randint(1, 5))): -float(draw.randint(1, 4)) for _ in range(40)}
+    names = list(scores)
+    for n in (1, 2, 7, 12):
+        words = ["".join(draw.choices("abcd", k=n)) for _ in range(50)]
+        cuts = best_cuts(Pieces(names).arcs(words), np.append(list(scores.values()), -np.inf), -9.0)
+        for word, cut in zip(words, cuts):
+            assert [None if i == len(names) else names[i] for i in cut] == subword.best_split(word, scores, 5, -9.0)[0]
+
+
+def test_bucket_digits_do_not_change_buckets(spark):
+    from inkprint.functions.text import md5_bucket
+
+    words = F.array(*[F.lit(w) for w in "the cat sat on the mat and the cat ran".split()])
+    for buckets in (1, 2, 16, 64, 100, 4096):
+        got, want = spark.range(1).select(
+            features.ngram_buckets(words, buckets, (2,)),
+            F.array_distinct(F.transform(F.zip_with(F.slice(words, 1, 9), F.slice(words, 2, 9), lambda a, b: F.concat(a, F.lit(" "), b)),
+                                         lambda g: md5_bucket(g, buckets).cast("int")))).first()
+        assert got == want, buckets
