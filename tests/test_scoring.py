@@ -311,3 +311,12 @@ def test_metric_edges(spark):
     assert perfect.auc_roc == 1.0 and perfect.eer_v2 == 0.0 and perfect.min_dcf == 0.0
     for rows in ([(0.1, 0), (0.2, 0)], [(0.1, 1), (0.2, 1)]):
         assert metrics(rows).auc_roc is None
+
+
+def test_a_cell_of_the_grid_is_small(spark):
+    """A block of vectors and a tile of scores leave room for several workers in one executor; long rows share fewer."""
+    from inkprint.operators import pairs
+
+    rows = spark.range(300_000).selectExpr("id", "array_repeat(1D, 64) vec")
+    left, right, _ = pairs.grid(rows, rows, None)
+    assert 300_000 * 64 * 8 / min(left, right) <= 16 << 20 and pairs.TILE_ROWS ** 2 * 8 <= 8 << 20
