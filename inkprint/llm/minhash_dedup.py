@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkprint.llm.common import components, mix, span_hashes
-from inkprint.session import settle, spread
+from inkprint.session import broadcast_if_small, settle, spread
 
 WORDS = 5
 PERCENT = 75
 ROWS, BANDS = 4, 32  # values in a band, half of them minima, half maxima
 FINER = ((6, 64), (10, 200))  # longer keys for the members of large buckets that stay open
 PAIRS_PER_MEMBER = 16
+MAX_BROADCAST_ROWS = 100_000
 
 
 def normalised(text: str) -> bytes:
@@ -79,8 +80,8 @@ def _finer(rows: int, bands: int, seed: int) -> Callable:
         for batch in batches:
             keys = [band_keys(shingles(t.as_py()), bands, rows, seed) for t in batch.column("data")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("key", "size", "shared")), pa.array(keys, pa.list_(pa.int64()))],
-                names=["key", "size", "shared", "bands"])
+                [*(batch.column(c) for c in ("key", "size", "shared", "component")), pa.array(keys, pa.list_(pa.int64()))],
+                names=["key", "size", "shared", "component", "bands"])
 
     return run
 
@@ -131,27 +132,74 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one, other = of(a.as_py()), of(b.as_py())
             both = len(np.intersect1d(one, other, assume_unique=True))
             ok.append(100 * both >= PERCENT * (len(one) + len(other) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())],
-                                         names=["a", "b", "ok"])
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("a", "b", "in_a", "in_b")), pa.array(ok, pa.bool_())],
+            names=["a", "b", "in_a", "in_b", "ok"])
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, in_a, in_b, ok): pairs of texts, the components they were in, and whether they link."""
     left = texts.select(F.col("key").alias("a"), F.col("data").alias("data_a"))
     right = texts.select(F.col("key").alias("b"), F.col("data").alias("data_b"))
-    both = pairs.select("a", "b").join(right, "b").join(left, "a")
-    return settle(both.select("a", "b", "data_a", "data_b").mapInArrow(_confirm, "a binary, b binary, ok boolean"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "in_a", "in_b", "data_a", "data_b")
+    return settle(both.mapInArrow(_confirm, "a binary, b binary, in_a binary, in_b binary, ok boolean"))
 
 
 def _members(signed: DataFrame) -> DataFrame:
-    """(bucket, key, size, central) of all buckets with two members or more. `central` is how many members a text meets
-    in all its buckets: the text that a group of near copies was made from meets the most."""
-    opened = signed.select(F.explode("bands").alias("bucket"), "key", "size", "shared")
-    full = opened.groupBy("bucket").agg(F.count("*").alias("s")).where("s > 1")
+    """(bucket, key, size, central and what else `signed` has) of all buckets with two members or more; where components
+    are known, with two components or more. `central` is how many members a text meets in all its buckets: the text that
+    a group of near copies was made from meets the most."""
+    opened = signed.withColumn("bucket", F.explode("bands")).drop("bands")
+    full = opened.groupBy("bucket")
+    if "component" in signed.columns:
+        full = full.agg(F.count("*").alias("s"), F.min("component").alias("low"), F.max("component").alias("high")).where(
+            "low <> high").select("bucket", "s")
+    else:
+        full = full.agg(F.count("*").alias("s")).where("s > 1")
     met = settle(opened.join(full, "bucket"))
     central = met.groupBy("key").agg(F.sum("s").alias("central"))
     return settle(met.drop("s").join(central, "key"))
 
 
+def _with_leader(members: DataFrame) -> DataFrame:
+    """Pairs of the members of each bucket with its most central one, where these are not in one component yet."""
+    lead = members.groupBy("bucket").agg(F.max_by(
+        F.struct("key", "component", "size", "shared"), F.struct("central", "key")).alias("lead"))
+    star = members.join(lead, "bucket").where("component <> lead.component").where(
+        _possible(F.col("lead.size"), F.col("lead.shared")))
+    ends = F.struct("key", "component"), F.struct("lead.key", "lead.component")
+    star = star.select(F.least(*ends).alias("low"), F.greatest(*ends).alias("high"))
+    return star.select(F.col("low.key").alias("a"), F.col("high.key").alias("b"),
+                       F.col("low.component").alias("in_a"), F.col("high.component").alias("in_b"))
+
+
+def _across(near: DataFrame) -> DataFrame:
+    """All pairs of members of a bucket that are not in one component."""
+    other = near.select("bucket", F.col("key").alias("b"), F.col("size").alias("size_b"),
+                        F.col("shared").alias("shared_b"), F.col("component").alias("in_b"))
+    return near.join(other, "bucket").where("component <> in_b and key < b").where(
+        _possible(F.col("size_b"), F.col("shared_b"))).select(
+            F.col("key").alias("a"), "b", F.col("component").alias("in_a"), "in_b")
+
+
+def _new(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """Each pair once, without those compared before."""
+    pairs = pairs.distinct()
+    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+
+
+def _grown(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after more links between components, each named by its smallest text. A text without any link
+    need not be in `groups`."""
+    merged = settle(components(links, "in_a", "in_b"))
+    if groups is None:
+        return merged
+    further = broadcast_if_small(merged.select(F.col("node").alias("component"), F.col("component").alias("into")),
+                                 MAX_BROADCAST_ROWS)
+    old = groups.join(further, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return settle(old.unionByName(merged.join(groups, "node", "left_anti")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept. Documents link when 100 * |A and B| >= 75 * |A or B|
     over their sets of distinct 5-word shingles; a component is named by its smallest id.
@@ -160,10 +208,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     evaluated once and giving its minimum and its maximum, in 32 bands of 4. Two sets at the threshold share no band with
     a probability of about 5 in 10^6. All members of a bucket are compared with its most central member, on full sets.
     Buckets that then still hold several components compare the pairs across components, where these are few; members
-    of larger ones get longer keys (64 of 6 values, then 200 of 10) and are treated in the same way. So a large group of
-    copies costs about one comparison per member and band, and no step lists all pairs of a group. Shingles that only
-    one candidate has bound every intersection from above; texts and pairs that cannot reach the threshold by this bound
-    are not compared.
+    of larger ones get longer keys (64 of 6 values, then 200 of 10) and are treated in the same way, but only buckets
+    with several components and only members outside the component of the central one. So a large group of copies costs
+    about one comparison per member and band once, and no step lists all pairs of a group. Shingles that only one
+    candidate has bound every intersection from above; texts and pairs that cannot reach the threshold by this bound are
+    not compared.
 
     Defined cases: a text without words or a null has the size 0 and no link; fewer than five words are one shingle; a
     null id links with nothing and is kept; rows that repeat an id are one document if their words agree, else separate
@@ -185,17 +234,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     alone = _alone(texts)
     able = classes.join(alone, "key").withColumn("shared", F.col("size") - F.col("alone"))
+    # Until the first links every text is a component of its own.
     members = _members(able.where(f"100 * shared >= {PERCENT} * size").select("key", "size", "shared", "bands"))
-    tested = classes.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(True).alias("ok")).limit(0)
+    members = members.withColumn("component", F.col("key"))
+    tested = waiting = groups = None
     for level in range(len(FINER) + 1):
-        lead = members.groupBy("bucket").agg(F.max_by(F.struct("key", "size", "shared"), F.struct("central", "key")).alias("lead"))
-        star = members.join(lead, "bucket").where("key <> lead.key").where(
-            _possible(F.col("lead.size"), F.col("lead.shared")))
-        star = star.select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")).distinct()
-        tested = tested.unionByName(_confirmed(star.join(tested, ["a", "b"], "left_anti"), texts))
-        groups = settle(components(tested.where("ok").select("a", "b")))
-        named = settle(members.join(groups, members.key == groups.node, "left").select(
-            "bucket", "key", "size", "shared", F.coalesce("component", "key").alias("component")))
+        pairs = _with_leader(members)
+        named, found = members, _new(pairs if waiting is None else pairs.unionByName(waiting), tested)
+        found = _confirmed(found, texts)
+        tested = found if tested is None else tested.unionByName(found)
+        links = found.where("ok").select("in_a", "in_b")
+        if not links.isEmpty():
+            groups = _grown(groups, links)
+            named = settle(members.drop("component").join(groups, members.key == groups.node, "left").select(
+                "bucket", "key", "size", "shared", F.coalesce("component", "key").alias("component")))
         parts = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         several = settle(parts.groupBy("bucket").agg(
             F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("parts")).where(
@@ -205,23 +257,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         last = level == len(FINER)
         now = several if last else several.where("few")
-        near = named.join(now.select("bucket"), "bucket")
-        other = near.select("bucket", F.col("key").alias("b"), F.col("size").alias("size_b"),
-                            F.col("shared").alias("shared_b"), F.col("component").alias("component_b"))
-        pairs = near.join(other, "bucket").where("component <> component_b and key < b").where(
-            _possible(F.col("size_b"), F.col("shared_b"))).select(F.col("key").alias("a"), "b").distinct().join(
-                tested, ["a", "b"], "left_anti")
-        tested = tested.unionByName(_confirmed(pairs, texts))
+        waiting = _across(named.join(now.select("bucket"), "bucket"))
         large = several.where("not few")
         if last or large.isEmpty():
-            groups = components(tested.where("ok").select("a", "b"))
+            links = _confirmed(_new(waiting, tested), texts).where("ok").select("in_a", "in_b")
+            groups = groups if links.isEmpty() else _grown(groups, links)
             break
-        still = named.join(large.select("bucket"), "bucket").select("key", "size", "shared").distinct()
+        # The pairs that wait are compared together with those of the next leaders.
+        still = named.join(large.select("bucket"), "bucket").select("key", "size", "shared", "component").distinct()
         length, bands = FINER[level]
-        members = _members(settle(texts.join(still, "key").select("key", "size", "shared", "data").mapInArrow(
-            _finer(length, bands, level + 2), "key binary, size bigint, shared bigint, bands array<bigint>")))
-    linked = classes.select("key", "first").join(groups, F.col("key") == F.col("node"), "left").select(
-        "key", "first", F.coalesce("component", "key").alias("component"))
+        members = _members(settle(texts.join(still, "key").select("key", "size", "shared", "component", "data").mapInArrow(
+            _finer(length, bands, level + 2),
+            "key binary, size bigint, shared bigint, component binary, bands array<bigint>")))
+    linked = classes.select("key", "first", F.col("key").alias("component"))
+    if groups is not None:
+        linked = classes.select("key", "first").join(groups, F.col("key") == F.col("node"), "left").select(
+            "key", "first", F.coalesce("component", "key").alias("component"))
     names = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     of_key = linked.join(names, "component").select("key", "component_id")
     out = signed.select("doc_id", "key", "n_shingles").join(of_key, "key", "left").select(

@@ -77,6 +77,42 @@ def test_near_duplicates(spark, monkeypatch, pairs):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(near_brute(rows), key=str)
 
 
+def test_linked_texts_are_not_compared_again(spark, monkeypatch):
+    """Finer keys give the buckets of a group new leaders; only texts outside the leader's component meet them."""
+    monkeypatch.setattr(minhash_dedup, "PAIRS_PER_MEMBER", 0)
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+
+    def changed(times):
+        words = list(base)
+        for _ in range(times):
+            words[draw.randrange(len(words))] = f"x{draw.random()}"
+        return " ".join(words)
+
+    rows = [(i, changed(2 if i % 2 else 6), None) for i in range(60)]
+    parent, again, rounds, confirm = {}, [], [], minhash_dedup._confirmed
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    def watched(pairs, texts):
+        found = confirm(pairs, texts)
+        met = [(bytes(r.a), bytes(r.b), r.ok) for r in found.collect()]
+        again.extend((a, b) for a, b, _ in met if root(a) == root(b))
+        for a, b, ok in met:
+            if ok:
+                parent[root(a)] = root(b)
+        rounds.append(len(met))
+        return found
+
+    monkeypatch.setattr(minhash_dedup, "_confirmed", watched)
+    got = minhash_dedup.near_duplicates(frame(spark, rows))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(near_brute(rows), key=str)
+    assert len(rounds) > 2 and not again
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_dedup.near_duplicates(frame(spark, [])).count() == 0
 
