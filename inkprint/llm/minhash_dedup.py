@@ -17,7 +17,8 @@ PERCENT = 75
 ROWS, BANDS = 4, 32  # values in a band, half of them minima, half maxima
 FINER = ((6, 64), (10, 200))  # longer keys for the members of large buckets that stay open
 PAIRS_PER_MEMBER = 16
-MAX_BROADCAST_ROWS = 100_000
+CARRIED = ("key", "size", "shared", "component", "pivot", "common")
+MAX_BROADCAST_ROWS = 20_000
 
 
 def normalised(text: str) -> bytes:
@@ -80,8 +81,7 @@ def _finer(rows: int, bands: int, seed: int) -> Callable:
         for batch in batches:
             keys = [band_keys(shingles(t.as_py()), bands, rows, seed) for t in batch.column("data")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("key", "size", "shared", "component")), pa.array(keys, pa.list_(pa.int64()))],
-                names=["key", "size", "shared", "component", "bands"])
+                [*(batch.column(c) for c in CARRIED), pa.array(keys, pa.list_(pa.int64()))], names=[*CARRIED, "bands"])
 
     return run
 
@@ -127,22 +127,34 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return found
 
     for batch in batches:
-        ok = []
+        common, ok = [], []
         for a, b in zip(batch.column("data_a"), batch.column("data_b"), strict=True):
             one, other = of(a.as_py()), of(b.as_py())
             both = len(np.intersect1d(one, other, assume_unique=True))
+            common.append(both)
             ok.append(100 * both >= PERCENT * (len(one) + len(other) - both))
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("a", "b", "in_a", "in_b")), pa.array(ok, pa.bool_())],
-            names=["a", "b", "in_a", "in_b", "ok"])
+            [*(batch.column(c) for c in ("a", "b", "in_a", "in_b")), pa.array(common, pa.int64()), pa.array(ok, pa.bool_())],
+            names=["a", "b", "in_a", "in_b", "common", "ok"])
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, in_a, in_b, ok): pairs of texts, the components they were in, and whether they link."""
+    """(a, b, in_a, in_b, common, ok): pairs of texts, the components they were in, how many shingles they have in common
+    and whether they link."""
     left = texts.select(F.col("key").alias("a"), F.col("data").alias("data_a"))
     right = texts.select(F.col("key").alias("b"), F.col("data").alias("data_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "in_a", "in_b", "data_a", "data_b")
-    return settle(both.mapInArrow(_confirm, "a binary, b binary, in_a binary, in_b binary, ok boolean"))
+    return settle(both.mapInArrow(
+        _confirm, "a binary, b binary, in_a binary, in_b binary, common bigint, ok boolean"))
+
+
+def _pivots(found: DataFrame) -> DataFrame:
+    """(key, pivot, common): for each text in `found` the one of its partners that met the most texts."""
+    ends = found.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "common").unionByName(
+        found.select(F.col("b").alias("key"), F.col("a").alias("pivot"), "common"))
+    often = broadcast_if_small(ends.groupBy("pivot").agg(F.count("*").alias("n")), MAX_BROADCAST_ROWS)
+    best = F.max_by(F.struct("pivot", "common"), F.struct("n", "pivot")).alias("best")
+    return settle(ends.join(often, "pivot").groupBy("key").agg(best).select("key", "best.pivot", "best.common"))
 
 
 def _members(signed: DataFrame) -> DataFrame:
@@ -164,9 +176,9 @@ def _members(signed: DataFrame) -> DataFrame:
 def _with_leader(members: DataFrame) -> DataFrame:
     """Pairs of the members of each bucket with its most central one, where these are not in one component yet."""
     lead = members.groupBy("bucket").agg(F.max_by(
-        F.struct("key", "component", "size", "shared"), F.struct("central", "key")).alias("lead"))
+        F.struct(*CARRIED), F.struct("central", "key")).alias("lead"))
     star = members.join(lead, "bucket").where("component <> lead.component").where(
-        _possible(F.col("lead.size"), F.col("lead.shared")))
+        _possible(*(F.col(f"lead.{c}") for c in ("size", "shared", "pivot", "common"))))
     ends = F.struct("key", "component"), F.struct("lead.key", "lead.component")
     star = star.select(F.least(*ends).alias("low"), F.greatest(*ends).alias("high"))
     return star.select(F.col("low.key").alias("a"), F.col("high.key").alias("b"),
@@ -175,10 +187,11 @@ def _with_leader(members: DataFrame) -> DataFrame:
 
 def _across(near: DataFrame) -> DataFrame:
     """All pairs of members of a bucket that are not in one component."""
-    other = near.select("bucket", F.col("key").alias("b"), F.col("size").alias("size_b"),
-                        F.col("shared").alias("shared_b"), F.col("component").alias("in_b"))
+    numbers = ("size", "shared", "pivot", "common")
+    other = near.select("bucket", F.col("key").alias("b"), F.col("component").alias("in_b"),
+                        *(F.col(c).alias(f"{c}_b") for c in numbers))
     return near.join(other, "bucket").where("component <> in_b and key < b").where(
-        _possible(F.col("size_b"), F.col("shared_b"))).select(
+        _possible(*(F.col(f"{c}_b") for c in numbers))).select(
             F.col("key").alias("a"), "b", F.col("component").alias("in_a"), "in_b")
 
 
@@ -211,8 +224,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of larger ones get longer keys (64 of 6 values, then 200 of 10) and are treated in the same way, but only buckets
     with several components and only members outside the component of the central one. So a large group of copies costs
     about one comparison per member and band once, and no step lists all pairs of a group. Shingles that only one
-    candidate has bound every intersection from above; texts and pairs that cannot reach the threshold by this bound are
-    not compared.
+    candidate has bound every intersection from above, and for finer keys also what both texts have in common with the
+    leader of their first buckets; texts and pairs that cannot reach the threshold by this bound are not compared.
 
     Defined cases: a text without words or a null has the size 0 and no link; fewer than five words are one shingle; a
     null id links with nothing and is kept; rows that repeat an id are one document if their words agree, else separate
@@ -236,8 +249,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     able = classes.join(alone, "key").withColumn("shared", F.col("size") - F.col("alone"))
     # Until the first links every text is a component of its own.
     members = _members(able.where(f"100 * shared >= {PERCENT} * size").select("key", "size", "shared", "bands"))
-    members = members.withColumn("component", F.col("key"))
-    tested = waiting = groups = None
+    members = members.select("*", F.col("key").alias("component"), F.lit(None).cast("binary").alias("pivot"),
+                             F.lit(None).cast("bigint").alias("common"))
+    tested = waiting = groups = pivots = None
     for level in range(len(FINER) + 1):
         pairs = _with_leader(members)
         named, found = members, _new(pairs if waiting is None else pairs.unionByName(waiting), tested)
@@ -247,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not links.isEmpty():
             groups = _grown(groups, links)
             named = settle(members.drop("component").join(groups, members.key == groups.node, "left").select(
-                "bucket", "key", "size", "shared", F.coalesce("component", "key").alias("component")))
+                "bucket", *CARRIED[:3], F.coalesce("component", "key").alias("component"), *CARRIED[4:]))
         parts = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         several = settle(parts.groupBy("bucket").agg(
             F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("parts")).where(
@@ -264,11 +278,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             groups = groups if links.isEmpty() else _grown(groups, links)
             break
         # The pairs that wait are compared together with those of the next leaders.
-        still = named.join(large.select("bucket"), "bucket").select("key", "size", "shared", "component").distinct()
+        pivots = _pivots(found) if pivots is None else pivots
+        still = named.join(large.select("bucket"), "bucket").select(*CARRIED[:4]).distinct().join(pivots, "key", "left")
         length, bands = FINER[level]
-        members = _members(settle(texts.join(still, "key").select("key", "size", "shared", "component", "data").mapInArrow(
-            _finer(length, bands, level + 2),
-            "key binary, size bigint, shared bigint, component binary, bands array<bigint>")))
+        members = _members(settle(texts.join(still, "key").select(*CARRIED, "data").mapInArrow(
+            _finer(length, bands, level + 2), "key binary, size bigint, shared bigint, component binary, pivot binary, "
+            "common bigint, bands array<bigint>")))
     linked = classes.select("key", "first", F.col("key").alias("component"))
     if groups is not None:
         linked = classes.select("key", "first").join(groups, F.col("key") == F.col("node"), "left").select(
@@ -281,7 +296,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def _possible(size: Column, shared: Column) -> Column:
-    """The largest possible intersection reaches the threshold; the other text's columns are `size` and `shared`."""
-    most = F.least("shared", shared)
+def _possible(size: Column, shared: Column, pivot: Column, common: Column) -> Column:
+    """The largest possible intersection reaches the threshold; the arguments are the other text's columns. Two texts that
+    were both compared with a third one, the pivot, have some of `common` with it and with each other, and outside of it
+    only shingles that are in `shared` but not in `common`."""
+    outside = F.least(F.col("shared") - F.col("common"), shared - common)
+    most = F.when(F.col("pivot") == pivot, F.least("common", common) + outside).otherwise(F.least("shared", shared))
     return 100 * most >= PERCENT * (F.col("size") + size - most)
