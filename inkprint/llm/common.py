@@ -92,24 +92,27 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", small: bool = False) -> DataFrame:
     """(node, component) of all ids in undirected links; the component is the smallest id reachable.
 
     Alternates large-star and small-star steps: every node points its larger neighbours, then its smaller ones, to
-    the least id it knows. Each round is written to the shared folder; the links shrink to one per node.
+    the least id it knows. Each round is written to the shared folder; the links shrink to one per node. `small` says
+    that the links were counted and are few: they stay in one partition and are not dealt out in every round.
     """
-    edges = links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi > lo").distinct()
-    edges = settle(edges)
+    held = lambda df: df.coalesce(1) if small else df
+    edges = links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi > lo")
+    edges = held(settle(held(edges).distinct()))
     while True:
-        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
-            edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        both = held(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
+            edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        edges = settle(large.join(down, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi > lo")
-                       .unionByName(down.select("hi", F.col("m").alias("lo"))).distinct())
-        roles = edges.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(
-            edges.select(F.col("lo").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+        edges = held(settle(held(
+            large.join(down, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi > lo")
+            .unionByName(down.select("hi", F.col("m").alias("lo")))).distinct()))
+        roles = held(edges.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(
+            edges.select(F.col("lo").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root"))))
         open_ = roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where(
             "up > 1 or (up = 1 and root = 1)")
         if open_.isEmpty():

@@ -15,9 +15,13 @@ from inkprint.session import broadcast_if_small, settle, spread
 WORDS = 5
 PERCENT = 75
 ROWS, BANDS = 4, 32  # values in a band, half of them minima, half maxima
-FINER = ((6, 64), (10, 200))  # longer keys for the members of large buckets that stay open
+PIVOT_ROUNDS = 2  # how often the members of large buckets that stay open meet a new pivot
+WITHIN = (6, 64)  # longer keys for texts that could link by what they have of their pivot alone
+FINER = ((6, 64), (10, 200))  # longer keys for the members of buckets that are large after that
 PAIRS_PER_MEMBER = 16
 CARRIED = ("key", "size", "shared", "component", "pivot", "common")
+CLASS_ROWS = 512  # texts that meet one copy of their pivot
+STEPS = 256  # steps of a pivot's size in which sizes and intersections are summed up
 MAX_BROADCAST_ROWS = 20_000
 
 
@@ -76,16 +80,41 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "bands"])
 
 
-def _finer(rows: int, bands: int, seed: int) -> Callable:
+def _finer(rows: int, bands: int, seed: int, carried: tuple[str, ...] = CARRIED) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [band_keys(shingles(t.as_py()), bands, rows, seed) for t in batch.column("data")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in CARRIED), pa.array(keys, pa.list_(pa.int64()))], names=[*CARRIED, "bands"])
+                [*(batch.column(c) for c in carried), pa.array(keys, pa.list_(pa.int64()))], names=[*carried, "bands"])
 
     return run
 
 
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The size of a text's pivot, how many shingles both have in common, whether they link, and the shingles that only
+    the text has, a part of the batch at a time."""
+    known: dict[bytes, np.ndarray] = {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part, sizes, common, ok, outside = batch.slice(at, 256), [], [], [], []
+            for a, b in zip(part.column("data"), part.column("data_pivot"), strict=True):
+                data, found = b.as_py(), shingles(a.as_py())
+                if data not in known:
+                    if len(known) >= 64:
+                        known.clear()
+                    known[data] = shingles(data)
+                rest = np.setdiff1d(found, known[data], assume_unique=True)
+                both = len(found) - len(rest)
+                sizes.append(len(known[data]))
+                common.append(both)
+                ok.append(100 * both >= PERCENT * (len(found) + len(known[data]) - both))
+                outside.append(rest.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in ("pivot", "key", "size", "component", "in_pivot")), pa.array(sizes, pa.int64()),
+                 pa.array(common, pa.int64()), pa.array(ok, pa.bool_()), pa.array(outside, pa.list_(pa.int64()))],
+                names=["pivot", "key", "size", "component", "in_pivot", "size_pivot", "common", "ok", "outside"])
+
+
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, shingle) of every text, a part of the batch at a time."""
     for batch in batches:
@@ -148,15 +177,6 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         _confirm, "a binary, b binary, in_a binary, in_b binary, common bigint, ok boolean"))
 
 
-def _pivots(found: DataFrame) -> DataFrame:
-    """(key, pivot, common): for each text in `found` the one of its partners that met the most texts."""
-    ends = found.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "common").unionByName(
-        found.select(F.col("b").alias("key"), F.col("a").alias("pivot"), "common"))
-    often = broadcast_if_small(ends.groupBy("pivot").agg(F.count("*").alias("n")), MAX_BROADCAST_ROWS)
-    best = F.max_by(F.struct("pivot", "common"), F.struct("n", "pivot")).alias("best")
-    return settle(ends.join(often, "pivot").groupBy("key").agg(best).select("key", "best.pivot", "best.common"))
-
-
 def _members(signed: DataFrame) -> DataFrame:
     """(bucket, key, size, central and what else `signed` has) of all buckets with two members or more; where components
     are known, with two components or more. `central` is how many members a text meets in all its buckets: the text that
@@ -185,14 +205,34 @@ def _with_leader(members: DataFrame) -> DataFrame:
                        F.col("low.component").alias("in_a"), F.col("high.component").alias("in_b"))
 
 
+def _open(named: DataFrame) -> tuple[DataFrame, bool, bool]:
+    """(bucket, main, few): buckets with several components, the component with the most members, and whether the pairs
+    across components are few for the number of members. Then whether there is any such bucket and whether some have to
+    be taken further: none if the pairs of all buckets are few for all members."""
+    parts = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    sums = parts.groupBy("bucket").agg(
+        F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("parts"),
+        F.max_by("component", F.struct("n", "component")).alias("main")).where("parts > 1")
+    pairs = (F.col("s") * F.col("s") - F.col("q")) / 2
+    several = settle(sums.select("bucket", "main", "s", pairs.alias("pairs"), (
+        pairs <= F.lit(PAIRS_PER_MEMBER) * F.col("s")).alias("few")))
+    n, rows, listed, large = several.agg(
+        F.count("*"), F.sum("s"), F.sum("pairs"), F.max((~F.col("few")).cast("int"))).first()
+    few = not large or 2 * listed <= PAIRS_PER_MEMBER * rows
+    return several.select("bucket", "main", "few"), n > 0, not few
+
+
 def _across(near: DataFrame) -> DataFrame:
-    """All pairs of members of a bucket that are not in one component."""
+    """All pairs of members of a bucket that are not in one component. One of the two is outside the main one."""
     numbers = ("size", "shared", "pivot", "common")
     other = near.select("bucket", F.col("key").alias("b"), F.col("component").alias("in_b"),
                         *(F.col(c).alias(f"{c}_b") for c in numbers))
-    return near.join(other, "bucket").where("component <> in_b and key < b").where(
-        _possible(*(F.col(f"{c}_b") for c in numbers))).select(
-            F.col("key").alias("a"), "b", F.col("component").alias("in_a"), "in_b")
+    met = near.where("component <> main").join(other, "bucket").where(
+        "component <> in_b and (in_b = main or key < b)").where(_possible(*(F.col(f"{c}_b") for c in numbers)))
+    ends = F.struct("key", "component"), F.struct(F.col("b").alias("key"), F.col("in_b").alias("component"))
+    met = met.select(F.least(*ends).alias("low"), F.greatest(*ends).alias("high"))
+    return met.select(F.col("low.key").alias("a"), F.col("high.key").alias("b"),
+                      F.col("low.component").alias("in_a"), F.col("high.component").alias("in_b"))
 
 
 def _new(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
@@ -204,7 +244,8 @@ def _new(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
 def _grown(groups: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, component) after more links between components, each named by its smallest text. A text without any link
     need not be in `groups`."""
-    merged = settle(components(links, "in_a", "in_b"))
+    small = links.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    merged = settle(components(links, "in_a", "in_b", small))
     if groups is None:
         return merged
     further = broadcast_if_small(merged.select(F.col("node").alias("component"), F.col("component").alias("into")),
@@ -213,6 +254,80 @@ def _grown(groups: DataFrame | None, links: DataFrame) -> DataFrame:
     return settle(old.unionByName(merged.join(groups, "node", "left_anti")))
 
 
+def _named(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """`rows` with the component of each text in place of an earlier one."""
+    if groups is None:
+        return rows.withColumn("component", F.col("key"))
+    of = groups.select(F.col("node").alias("key"), F.col("component").alias("_found"))
+    return rows.drop("component").join(of, "key", "left").withColumn(
+        "component", F.coalesce("_found", "key")).drop("_found")
+
+
+def _classes(near: DataFrame) -> DataFrame:
+    """(pivot, key, size, component, in_pivot): every bucket gets one pivot, and each text meets the pivots of its
+    buckets. A text follows the most central leader of its buckets and a bucket the most central one that a member
+    follows, so a group has few pivots."""
+    rank = F.struct("central", "key", "component")
+    lead = settle(near.groupBy("bucket").agg(F.max(rank).alias("lead")))
+    first = near.select("bucket", "key").join(broadcast_if_small(lead, MAX_BROADCAST_ROWS), "bucket").groupBy("key").agg(
+        F.max("lead").alias("first"))
+    chosen = near.select("bucket", "key").join(first, "key").groupBy("bucket").agg(F.max("first").alias("pivot"))
+    chosen = chosen.select("bucket", F.col("pivot.key").alias("pivot"), F.col("pivot.component").alias("in_pivot"))
+    return settle(near.select("bucket", "key", "size", "component").join(
+        broadcast_if_small(settle(chosen), MAX_BROADCAST_ROWS), "bucket").drop("bucket").distinct())
+
+
+def _with_pivots(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Every text of a class beside its pivot, of which large classes get several copies."""
+    parts = settle(classes.groupBy("pivot").agg(F.ceil(F.count("*") / CLASS_ROWS).cast("int").alias("parts")))
+    parts = broadcast_if_small(parts, MAX_BROADCAST_ROWS)
+    copies = texts.select(F.col("key").alias("pivot"), F.col("data").alias("data_pivot")).join(parts, "pivot").select(
+        "pivot", "data_pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = classes.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    both = texts.join(broadcast_if_small(dealt, MAX_BROADCAST_ROWS), "key").join(copies, ["pivot", "part"]).select(
+        *classes.columns, "data", "data_pivot")
+    return settle(both.select("pivot", "key", "size", "component", "in_pivot", "data", "data_pivot").mapInArrow(
+        _beside, "pivot binary, key binary, size bigint, component binary, in_pivot binary, size_pivot bigint, "
+        "common bigint, ok boolean, outside array<bigint>"))
+
+
+def _around_pivots(beside: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
+    """The members of the next buckets of texts that were compared with the pivots of their classes.
+
+    Two texts of a class have no more of their pivot in common than either has of it. If that does not reach the
+    threshold, they can link only by shingles outside of the pivot that both have: these are buckets, exactly, and only
+    those that several components have. Texts that could link with another component by what they have of the pivot
+    alone get longer keys besides. Whether a text could is read off sums of its class by steps of size and of
+    intersection, which never rule out too much."""
+    opened = beside.select("pivot", "key", "component", F.explode("outside").alias("value"))
+    apart = opened.groupBy("pivot", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
+        "low <> high").select("pivot", "value")
+    met = settle(opened.join(apart, ["pivot", "value"]).select("pivot", "key", "value"))
+    number = met.groupBy("pivot", "key").agg(F.count("*").alias("n"))
+    rows = settle(beside.drop("outside", "in_pivot", "ok").join(number, ["pivot", "key"], "left").withColumn(
+        "n", F.coalesce("n", F.lit(0))))
+
+    at = [F.least(F.floor(F.col(c) * STEPS / F.col("size_pivot")), F.lit(4 * STEPS)).alias(f"{c}_step")
+          for c in ("size", "common")]
+    sums = rows.groupBy("pivot", *at).agg(
+        F.min("size").alias("least_size"), F.max("common").alias("most_common"), F.max("n").alias("most"),
+        F.min("component").alias("low"), F.max("component").alias("high"))
+    sums = broadcast_if_small(settle(sums.drop("size_step", "common_step").withColumnRenamed("pivot", "of")),
+                              MAX_BROADCAST_ROWS)
+    same = (F.col("pivot") == F.col("of")) & ((F.col("low") != F.col("component")) | (F.col("high") != F.col("component")))
+    reach = F.least("common", "most_common")
+    enough = lambda most: 100 * most >= PERCENT * (F.col("size") + F.col("least_size") - most)
+    able = settle(rows.join(sums, same & enough(reach + F.least("n", "most")), "left_semi"))
+    within = able.join(sums, same & enough(reach), "left_semi").select("pivot", "key")
+    length, bands = WITHIN
+    longer = within.join(texts, "key").select("pivot", "key", "data").mapInArrow(
+        _finer(length, bands, seed, ("pivot", "key")), "pivot binary, key binary, bands array<bigint>")
+    values = met.unionByName(longer.select("pivot", "key", F.explode("bands").alias("value")))
+    return settle(values.join(able, ["pivot", "key"]).select(
+        F.xxhash64("pivot", "value").alias("bucket"), "key", "size", (F.col("common") + F.col("n")).alias("shared"),
+        "component", "pivot", "common", F.col("common").alias("central")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept. Documents link when 100 * |A and B| >= 75 * |A or B|
     over their sets of distinct 5-word shingles; a component is named by its smallest id.
@@ -220,12 +335,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents with the same word sequence form one class. A class has a min-max signature: 64 permutations, each
     evaluated once and giving its minimum and its maximum, in 32 bands of 4. Two sets at the threshold share no band with
     a probability of about 5 in 10^6. All members of a bucket are compared with its most central member, on full sets.
-    Buckets that then still hold several components compare the pairs across components, where these are few; members
-    of larger ones get longer keys (64 of 6 values, then 200 of 10) and are treated in the same way, but only buckets
-    with several components and only members outside the component of the central one. So a large group of copies costs
-    about one comparison per member and band once, and no step lists all pairs of a group. Shingles that only one
-    candidate has bound every intersection from above, and for finer keys also what both texts have in common with the
-    leader of their first buckets; texts and pairs that cannot reach the threshold by this bound are not compared.
+    Buckets that then still hold several components compare the pairs across components, where these are few. The members
+    of larger ones are classed by pivots, central members, and compared with these; two texts of a class that have too
+    little of the pivot to link by that alone must share shingles outside of it, which make their next buckets. These are
+    treated in the same way. After some rounds members of buckets that are still large get longer keys (64 of 6 values,
+    then 200 of 10), and only then all pairs across components. So a large group of copies costs about one comparison per
+    member and band once, and no step but the last lists all pairs of a group. Shingles that only one candidate has bound
+    every intersection from above, and so does what both texts have in common with a pivot; texts and pairs that cannot
+    reach the threshold by this bound are not compared.
 
     Defined cases: a text without words or a null has the size 0 and no link; fewer than five words are one shingle; a
     null id links with nothing and is kept; rows that repeat an id are one document if their words agree, else separate
@@ -247,42 +364,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     alone = _alone(texts)
     able = classes.join(alone, "key").withColumn("shared", F.col("size") - F.col("alone"))
+    able = settle(able.where(f"100 * shared >= {PERCENT} * size").select("key", "size", "shared", "bands"))
     # Until the first links every text is a component of its own.
-    members = _members(able.where(f"100 * shared >= {PERCENT} * size").select("key", "size", "shared", "bands"))
+    members = _members(able)
     members = members.select("*", F.col("key").alias("component"), F.lit(None).cast("binary").alias("pivot"),
                              F.lit(None).cast("bigint").alias("common"))
-    tested = waiting = groups = pivots = None
-    for level in range(len(FINER) + 1):
-        pairs = _with_leader(members)
-        named, found = members, _new(pairs if waiting is None else pairs.unionByName(waiting), tested)
-        found = _confirmed(found, texts)
-        tested = found if tested is None else tested.unionByName(found)
-        links = found.where("ok").select("in_a", "in_b")
-        if not links.isEmpty():
-            groups = _grown(groups, links)
-            named = settle(members.drop("component").join(groups, members.key == groups.node, "left").select(
-                "bucket", *CARRIED[:3], F.coalesce("component", "key").alias("component"), *CARRIED[4:]))
-        parts = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        several = settle(parts.groupBy("bucket").agg(
-            F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("parts")).where(
-                "parts > 1").select("bucket", ((F.col("s") * F.col("s") - F.col("q")) / 2 <= (
-                    F.lit(PAIRS_PER_MEMBER) * F.col("s"))).alias("few")))
-        if several.isEmpty():
+    tested = groups = pivots = own = None
+
+    def compare(pairs: DataFrame, texts: DataFrame) -> bool:
+        nonlocal tested
+        found = _confirmed(_new(pairs, tested), texts)
+        return grow(found)
+
+    def grow(found: DataFrame) -> bool:
+        nonlocal tested, groups
+        pairs = found.select("a", "b")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found.where("ok and in_a <> in_b").select("in_a", "in_b")
+        if links.isEmpty():
+            return False
+        groups = _grown(groups, links)
+        return True
+
+    steps = [None] * PIVOT_ROUNDS + list(FINER)
+    for at, step in enumerate([*steps, None]):
+        # Buckets of keys have leaders, those of shingles outside of a pivot were made after the comparison with it.
+        if (at == 0 or at > PIVOT_ROUNDS) and compare(_with_leader(members), own or texts):
+            members = settle(_named(members, groups))
+        several, some, further = _open(members)
+        if not some:
             break
-        last = level == len(FINER)
-        now = several if last else several.where("few")
-        waiting = _across(named.join(now.select("bucket"), "bucket"))
-        large = several.where("not few")
-        if last or large.isEmpty():
-            links = _confirmed(_new(waiting, tested), texts).where("ok").select("in_a", "in_b")
-            groups = groups if links.isEmpty() else _grown(groups, links)
+        last = at == len(steps) or not further
+        grown = compare(_across(members.join(several if last else several.where("few"), "bucket")), own or texts)
+        large = several.where("not few").select("bucket")
+        if last:
             break
-        # The pairs that wait are compared together with those of the next leaders.
-        pivots = _pivots(found) if pivots is None else pivots
-        still = named.join(large.select("bucket"), "bucket").select(*CARRIED[:4]).distinct().join(pivots, "key", "left")
-        length, bands = FINER[level]
-        members = _members(settle(texts.join(still, "key").select(*CARRIED, "data").mapInArrow(
-            _finer(length, bands, level + 2), "key binary, size bigint, shared bigint, component binary, pivot binary, "
+        near = members.join(large, "bucket")
+        near = settle(_named(near, groups) if grown else near)
+        if own is None:
+            own = settle(texts.join(broadcast_if_small(settle(near.select("key").distinct()), MAX_BROADCAST_ROWS),
+                                    "key", "left_semi"))
+        if step is None:
+            pivots = _with_pivots(_classes(near), own)
+            linked = grow(pivots.select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b"),
+                                        F.col("component").alias("in_a"), F.col("in_pivot").alias("in_b"), "ok"))
+            members = _around_pivots(_named(pivots, groups) if linked else pivots, own, at + 11)
+            continue
+        if at == PIVOT_ROUNDS:
+            pivots = pivots.groupBy("key").agg(F.max_by(F.struct("pivot", "common"), F.struct("common", "pivot")).alias("p"))
+            pivots = settle(pivots.select("key", "p.pivot", "p.common"))
+        still = _named(near.select("key").distinct(), groups).join(able.select("key", "size", "shared"), "key").join(
+            pivots, "key", "left")
+        length, bands = step
+        members = _members(settle(own.join(still, "key").select(*CARRIED, "data").mapInArrow(
+            _finer(length, bands, at + 2), "key binary, size bigint, shared bigint, component binary, pivot binary, "
             "common bigint, bands array<bigint>")))
     linked = classes.select("key", "first", F.col("key").alias("component"))
     if groups is not None:

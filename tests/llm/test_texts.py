@@ -113,6 +113,45 @@ def test_linked_texts_are_not_compared_again(spark, monkeypatch):
     assert len(rounds) > 2 and not again
 
 
+def test_texts_near_the_threshold_of_a_large_group(spark, monkeypatch):
+    """Copies that do not reach the threshold get few further keys and few comparisons, not some hundred each."""
+    monkeypatch.setattr(minhash_dedup, "PAIRS_PER_MEMBER", 2)
+    draw = random.Random(7)
+    base, passage = [f"w{i}" for i in range(120)], [f"p{i}" for i in range(7)]
+
+    def changed(times):
+        words = list(base)
+        for _ in range(times):
+            words[draw.randrange(len(words))] = f"x{draw.random()}"
+        return " ".join(words + passage * draw.randrange(2))
+
+    rows = [(i, changed(i % 3 if i % 2 else 5), None) for i in range(240)]
+    keys, pairs, confirm, members = [], [], minhash_dedup._confirmed, minhash_dedup._members
+    around = minhash_dedup._around_pivots
+
+    def confirmed(*args):
+        found = confirm(*args)
+        pairs.append(found.count())
+        return found
+
+    def further(*args):
+        made = around(*args)
+        keys.append(made.count())
+        return made
+
+    def longer(signed):
+        if "component" in signed.columns:
+            keys.append(signed.select(F.explode("bands")).count())
+        return members(signed)
+
+    monkeypatch.setattr(minhash_dedup, "_confirmed", confirmed)
+    monkeypatch.setattr(minhash_dedup, "_around_pivots", further)
+    monkeypatch.setattr(minhash_dedup, "_members", longer)
+    got = minhash_dedup.near_duplicates(frame(spark, rows))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(near_brute(rows), key=str)
+    assert len(keys) > 0 and sum(keys) < 20 * len(rows) and sum(pairs) < 10 * len(rows), (keys, pairs)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_dedup.near_duplicates(frame(spark, [])).count() == 0
 
