@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,67 @@ def test_degenerate_sides(spark):
     assert tuple(got) == tuple(want)
     with pytest.raises(ValueError, match="dense vectors"):
         narrowing.link_metrics(left.drop("vec"), right.drop("vec"))
+
+
+def cell_of_vectors(odd=False):
+    """Two sides with copies, opposite and zero vectors, missing labels; with `odd`, values that are not finite."""
+    rng = np.random.default_rng(4)
+    q, t = rng.normal(size=(150, 6)), rng.normal(size=(1200, 6))
+    q[:20], q[20:30], t[:25], t[30:33] = q[0], -q[0], q[0], 0.0
+    if odd:
+        q[40, 2], t[41, 1] = np.nan, np.nan
+    tables = [pa.table({"label": pa.array([None if i % 11 == 0 else int(x) for i, x in enumerate(rng.integers(0, 4, len(v)))], pa.int64())})
+              for v in (q, t)]
+    rows, columns = (x.ravel() for x in np.indices((len(q), len(t))))
+    return q, t, narrowing._codes(*tables), intervals._exact_pairs(q, t, rows, columns, "cosine")
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_even_slots_count_every_pair_once(monkeypatch, odd):
+    """The slot of nearly all pairs is a whole part; no pair goes through the search among ranges as a whole tile."""
+    q, t, codes, exact = cell_of_vectors(odd)
+    monkeypatch.setattr(narrowing, "_between", None)
+    same, every = (codes[0][:, None] == codes[1][None, :]).ravel(), narrowing.even_ranges(12)
+    assert every.start[0] == -2 ** 63 and every.last[-1] == 2 ** 63 - 1 and (every.last[:-1] + 1 == every.start[1:]).all()
+    low, high = keys_of(np.array([-0.4, 0.3]))
+    seen = 0
+    for ranges in (*narrowing._waves(every, 4, 1 << 22), *narrowing._waves(every.within(int(low), int(high)), 6, 1 << 17)):
+        found = narrowing._Slots(ranges, "cosine")
+        if found.even is None:
+            continue
+        found.open(len(exact))
+        narrowing._Tiles(q, t, codes, found.bits).each(found)
+        got, want = np.zeros((2, ranges.total, 2), np.int64)
+        for row in found.result().to_pylist():
+            n = min(narrowing.CHUNK_SLOTS, ranges.total - row["chunk"] * narrowing.CHUNK_SLOTS)
+            part = got[row["chunk"] * narrowing.CHUNK_SLOTS:][:n]
+            part[:, 1], part[:, 0] = narrowing._unpacked(row["pos"], n), narrowing._unpacked(row["neg"], n)
+        slots = ranges.slot(keys_of(exact))
+        np.add.at(want, (slots[slots >= 0], same[slots >= 0].astype(int)), 1)
+        assert (got == want).all()
+        seen += 1
+    assert seen >= 2
+
+
+@pytest.mark.parametrize("ends", [(-1e-9, 1e-9), (0.2, 0.21), (0.999, 2.0), (-5.0, -0.9999)])
+def test_scores_of_ranges_are_listed(ends):
+    q, t, codes, exact = cell_of_vectors()
+    low, high = keys_of(np.array(ends)) >> 30
+    ranges = Ranges(np.array([low << 30]), np.array([30]), np.array([high - low + 1]))
+    found = narrowing._Listed(ranges, "cosine")
+    found.open(len(exact))
+    narrowing._Tiles(q, t, codes, found.bits).each(found)
+    inside = ranges.slot(keys_of(exact)) >= 0
+    same = (codes[0][:, None] == codes[1][None, :]).ravel()
+    got = found.result()
+    assert got["score"].to_pylist() == np.unique(exact[inside]).tolist()
+    assert (sum(got["pos"].to_pylist()), sum(got["neg"].to_pylist())) == (same[inside].sum(), (~same)[inside].sum())
+
+
+def test_slots_within_keys():
+    ranges = narrowing.even_ranges(10)
+    low, high = (int(x) for x in keys_of(np.array([-0.3, 0.7])))
+    part = ranges.within(low, high)
+    starts, shifts = ranges.parts(np.arange(ranges.total))
+    want = (starts + ((1 << shifts) - 1) >= low) & (starts <= high)
+    assert (part.parts(np.arange(part.total))[0] == starts[want]).all()
